@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.llm import langid, media, mixing, pieces, quality, sharding, urls, warc
+from deckloom.llm import jaccard, langid, linededup, media, mixing, pieces, quality, sharding, urls, warc
 from deckloom.llm.common import table
 
 N_SHARDS = 40
@@ -18,6 +18,16 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return done.select("doc_id", "n_lines", "n_kept", "n_exact", "n_near", F.crc32(text.cast("binary")).alias("kept_crc32"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, urls.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -54,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op4_url_filter, op5_warc, op6_language, op7_media, op8_pieces, op9_shards, op10_quality)
+    f.__name__: f for f in (op1_mix, op2_line_dedup, op3_ngram_join, op4_url_filter, op5_warc, op6_language, op7_media, op8_pieces, op9_shards, op10_quality)
 }
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
