@@ -109,9 +109,9 @@ def rule_votes() -> dict[str, Column]:
     return {
         "symbols": vote(100 * F.col("n_symbols") <= words, 10 * F.col("n_symbols") > words),
         "word_length": vote(mean.between(3.0, 8.0), (mean < 2.0) | (mean > 15.0)),
-        "letters": vote(100 * F.col("n_letters") >= 70 * chars, 100 * F.col("n_letters") < 50 * chars),
+        "letters": vote(100 * F.col("n_letters") >= 76 * chars, 100 * F.col("n_letters") < 72 * chars),
         "dup_lines": vote((F.col("n_lines") >= 2) & (F.col("n_dup_lines") == 0), 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
-        "repeats": vote((words >= 50) & (F.col("n_repeat_words") == 0), 10 * F.col("n_repeat_words") > 2 * words),
+        "repeats": vote((words >= 50) & (F.col("n_repeat_words") == 0), 10 * F.col("n_repeat_words") > 3 * words),
         "short_lines": vote((F.col("n_lines") >= 3) & (10 * F.col("n_short_lines") <= 3 * F.col("n_lines")), (F.col("n_lines") >= 3) & (10 * F.col("n_short_lines") > 9 * F.col("n_lines"))),
         "variety": vote((words >= 50) & (10 * F.col("n_distinct_words") >= 3 * words), (words >= 50) & (10 * F.col("n_distinct_words") < 1 * words)),
     }
@@ -121,24 +121,23 @@ def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = EM_STEPS) -> tupl
     """Expectation-maximisation for rules that err independently given the class.
 
     ``patterns`` (patterns x rules: 1, -1, 0) with their ``counts``. Returns the share of good documents and, for each
-    class (poor, good) and rule, the probabilities of the votes -1, 0, 1. Starts from the majority of votes, which
+    class (poor, good) and rule, the probabilities of the votes -1 and 1 among the votes that it casts: abstaining says nothing about the
+    class, so short documents, on which many rules abstain, aren't taken for poor ones. Starts from the majority of votes, which
     also fixes which class is the good one; sums are over all documents, so the fit does not depend on their order.
     """
     counts = counts.astype(float)
     total = max(counts.sum(), 1.0)
     score = patterns.sum(axis=1) / np.maximum(1, np.abs(patterns).sum(axis=1))
     good = np.clip(0.5 + 0.49 * score, 0.01, 0.99)
-    share, table = 0.5, np.full((2, patterns.shape[1], 3), 1 / 3)
+    share, table = 0.5, np.full((2, patterns.shape[1], 2), 0.5)
     for _ in range(steps):
         weight = np.stack([(1 - good) * counts, good * counts])
         share = float(np.clip(weight[1].sum() / total, 0.01, 0.99))
-        for v in (-1, 0, 1):
-            table[:, :, v + 1] = (weight @ (patterns == v) + 1.0) / (weight.sum(axis=1, keepdims=True) + 3.0)
-        # a rule may be useless but not perverse: its accuracy in each class is at least that of a coin
-        for c, right, wrong in ((0, 0, 2), (1, 2, 0)):
-            both = table[c, :, right] + table[c, :, wrong]
-            table[c, :, right] = np.maximum(table[c, :, right], both / 2)
-            table[c, :, wrong] = both - table[c, :, right]
+        cast = np.stack([weight @ (patterns == v) + 1.0 for v in (-1, 1)], axis=2)
+        table = cast / cast.sum(axis=2, keepdims=True)
+        # a rule may be useless but not perverse: a poor vote is no likelier for a good document than for a poor one
+        table[0, :, 0] = np.maximum(table[0, :, 0], table[1, :, 0])
+        table[0, :, 1] = 1.0 - table[0, :, 0]
         new = posterior(patterns, share, table)
         if np.abs(new - good).max(initial=0.0) < 1e-9:
             break
@@ -149,8 +148,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = EM_STEPS) -> tupl
 def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
     """Probability of the good class for each pattern."""
     logs = np.log(table)
-    rules = np.arange(patterns.shape[1])
-    each = [logs[c, rules, patterns + 1].sum(axis=1) if len(patterns) else np.zeros(0) for c in (0, 1)]
+    each = [((patterns == -1) * logs[c, :, 0] + (patterns == 1) * logs[c, :, 1]).sum(axis=1) for c in (0, 1)]
     return 1.0 / (1.0 + np.exp(np.clip(each[0] + np.log(1 - share) - each[1] - np.log(share), -700, 700)))
 
 
