@@ -43,7 +43,7 @@ WORD = r"[A-Za-z][A-Za-z\-']+"
 
 def sentences(text: Column) -> Column:
     """Pieces between sentence ends, trimmed, blanks left out."""
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def tokens(text: Column) -> Column:

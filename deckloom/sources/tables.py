@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def slides(docs: DataFrame) -> DataFrame:
     """(doc_id, slide_no, body, sents, title, bullets): ``slide_no`` counts lines with text from 1."""
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = docs.select("doc_id", F.posexplode(lines).alias("pos", "body"))
     rows = rows.select("doc_id", (F.col("pos") + 1).alias("slide_no"), "body", sentences(F.col("body")).alias("sents"))
     return rows.select("*", F.col("sents")[0].alias("title"), F.slice("sents", F.lit(2), F.greatest(F.size("sents") - 1, F.lit(0))).alias("bullets"))
@@ -49,7 +49,7 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_text(content):
-    """UTF-8 (its mark removed) or UTF-16 by byte order mark, else Windows-1252."""
+    """UTF-8 (its mark removed) or UTF-16 by byte order mark, else Latin-1."""
     utf16 = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
     utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.when(utf16, F.decode(content, "UTF-16")).otherwise(F.coalesce(F.regexp_replace(utf8, "^﻿", ""), F.decode(content, "windows-1252")))
+    return F.when(utf16, F.decode(content, "UTF-16")).otherwise(F.coalesce(F.regexp_replace(utf8, "^﻿", ""), F.decode(content, "iso-8859-1")))
