@@ -73,7 +73,9 @@ def with_redundancy(slides: DataFrame) -> DataFrame:
     rows = rows.withColumn("_sorted", F.array_sort(F.flatten("_sets")))
     rows = rows.withColumns({"_twice": F.array_distinct(F.filter("_sorted", lambda x, i: (i > 0) & (x == F.get("_sorted", i - 1)))), "_n": F.size(F.array_distinct("_sorted"))})
     # an overlap is 0 if the bullet or the rest has no content words; then nothing is shared either
-    rows = rows.withColumn("_each", F.transform("_sets", lambda s: F.greatest(jaccard(s, F.col("_head")), F.when(F.col("_n") == 0, 0.0).otherwise(F.size(F.array_intersect(s, F.col("_twice"))).cast("double") / F.col("_n")))))
+    # naming the arrays outside the lambda too keeps the optimiser from copying what makes them into it, once a bullet
+    made = F.col("_head").isNotNull() & F.col("_twice").isNotNull()
+    rows = rows.withColumn("_each", F.when(made, F.transform("_sets", lambda s: F.greatest(jaccard(s, F.col("_head")), F.when(F.col("_n") == 0, 0.0).otherwise(F.size(F.array_intersect(s, F.col("_twice"))).cast("double") / F.col("_n"))))))
     total = F.aggregate("_each", F.lit(0.0), lambda a, x: a + x)
     return rows.withColumn("redundancy", F.when(F.size("bullets") == 0, 0.0).otherwise(total / F.size("bullets"))).drop("_sets", "_head", "_sorted", "_twice", "_n", "_each")
 
