@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.text import mixed
+from deckloom.llm.text import give_back, mixed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts are taken in groups of about so many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 #: Segments that a worker remembers between batches; then it starts anew.
-CACHE_SEGMENTS = 1 << 20
+CACHE_SEGMENTS = 1 << 19
 #: Segments of more symbols merge by a heap of their own.
 LONG = 64
 SPACE = "▁".encode()
@@ -73,61 +73,64 @@ class Vocabulary:
         return Vocabulary([p[0] for p in plain], np.array([p[1] for p in plain], dtype=np.int32), np.array([p[2] for p in plain]), byte_ids, surface, model.trainer_spec.model_type == model.trainer_spec.BPE, unk)
 
 
-def _keys(text: np.ndarray, levels: int) -> np.ndarray:
-    """(levels, n): the 8 bytes at i, i + 8, ... as big-endian numbers, so they compare as the bytes do."""
-    n = len(text)
-    wide = np.concatenate((text, np.zeros(8 * levels + 8, dtype=np.uint8))).astype(np.uint64)
-    one = np.zeros(n + 8 * levels, dtype=np.uint64)
+def _first_bytes(text: np.ndarray, depth: int) -> np.ndarray:
+    """At each position the next 8 bytes as a big-endian number, so they compare as the bytes do; zeros follow the text."""
+    n = len(text) + depth + 8
+    wide = np.zeros(n + 8, dtype=np.uint8)
+    wide[: len(text)] = text
+    one = np.zeros(n, dtype=np.uint64)
     for k in range(8):
-        one = (one << np.uint64(8)) | wide[k : k + len(one)]
-    return np.stack([one[8 * k : 8 * k + n] for k in range(levels)])
+        one <<= np.uint64(8)
+        one |= wide[k : k + n]
+    return one
 
 
 def suffix_array(text: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions sorted by their next bytes, and the sorted keys (levels, n).
+    """Positions sorted by their next bytes, and the bytes at each position (``_first_bytes``).
 
     Sorted by 8 bytes, and by as many as the longest piece has where a piece of more than 8 bytes begins as the suffix does:
     only there could a deeper order be asked for.
     """
-    keys = _keys(text, max(1, -(-max(map(len, pieces), default=1) // 8)))
-    order = np.argsort(keys[0])
+    depth = max(map(len, pieces), default=1)
+    at = _first_bytes(text, depth)
+    order = np.argsort(at[: len(text)])
     deep = sorted({p[:8] for p in pieces if len(p) > 8})
     if deep and len(order):
         heads = np.frombuffer(b"".join(deep), dtype=">u8").astype(np.uint64)
-        first = keys[0][order]
+        first = at[order]
         a, b = np.searchsorted(first, heads), np.searchsorted(first, heads, side="right")
         sizes = b - a
-        at = np.repeat(a, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        part = order[at]
-        order[at] = part[np.lexsort(tuple(keys[k][part] for k in range(len(keys) - 1, -1, -1)))]
-    return order, keys[:, order]
+        where = np.repeat(a, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        part = order[where]
+        order[where] = part[np.lexsort(tuple(at[part + 8 * k] for k in range(-(-depth // 8) - 1, -1, -1)))]
+    return order, at
 
 
-def occurrences(keys: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(order: np.ndarray, at: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each piece the range of the suffix array whose suffixes begin with it, by binary search."""
     short = np.array([len(p) <= 8 for p in pieces], dtype=bool)
     out = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
-    padded = [np.frombuffer(b"".join(p.ljust(8, pad) for p in pieces if len(p) <= 8), dtype=">u8").astype(np.uint64) for pad in (b"\0", b"\xff")]
-    out[0][short], out[1][short] = np.searchsorted(keys[0], padded[0]), np.searchsorted(keys[0], padded[1], side="right")
+    first = at[order]
+    bounds = [np.frombuffer(b"".join(p.ljust(8, pad) for p in pieces if len(p) <= 8), dtype=">u8").astype(np.uint64) for pad in (b"\0", b"\xff")]
+    out[0][short], out[1][short] = np.searchsorted(first, bounds[0]), np.searchsorted(first, bounds[1], side="right")
     if not short.all():
-        out[0][~short], out[1][~short] = _occurrences_deep(keys, [p for p in pieces if len(p) > 8])
+        out[0][~short], out[1][~short] = _occurrences_deep(order, at, [p for p in pieces if len(p) > 8])
     return out
 
 
-def _occurrences_deep(keys: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    width = 8 * len(keys)
-    low = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=">u8").astype(np.uint64).reshape(len(pieces), -1)
-    high = np.frombuffer(b"".join(p.ljust(width, b"\xff") for p in pieces), dtype=">u8").astype(np.uint64).reshape(len(pieces), -1)
-    n = keys.shape[1]
+def _occurrences_deep(order: np.ndarray, at: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    levels = -(-max(map(len, pieces)) // 8)
+    low, high = (np.frombuffer(b"".join(p.ljust(8 * levels, pad) for p in pieces), dtype=">u8").astype(np.uint64).reshape(len(pieces), -1) for pad in (b"\0", b"\xff"))
+    n = len(order)
     out = []
     for target, right in ((low, False), (high, True)):
         a, b = np.zeros(len(pieces), dtype=np.int64), np.full(len(pieces), n, dtype=np.int64)
         while (a < b).any():
             mid = (a + b) >> 1
-            at = np.minimum(mid, max(n - 1, 0))
+            suffix = order[np.minimum(mid, max(n - 1, 0))]
             before, equal = np.zeros(len(pieces), dtype=bool), np.ones(len(pieces), dtype=bool)
-            for k in range(len(keys)):
-                here = keys[k][at]
+            for k in range(levels):
+                here = at[suffix + 8 * k]
                 before |= equal & (here < target[:, k])
                 equal &= here == target[:, k]
             if right:
@@ -144,18 +147,18 @@ class Lattice:
 
     def __init__(self, text: np.ndarray, vocab: Vocabulary):
         depth = max(map(len, vocab.pieces), default=1)
-        order, keys = suffix_array(text, vocab.pieces)
-        low, high = occurrences(keys, vocab.pieces)
+        order, at = suffix_array(text, vocab.pieces)
+        low, high = occurrences(order, at, vocab.pieces)
         counts = high - low
-        which = np.repeat(np.arange(len(counts)), counts)
-        inside = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = order[low[which] + inside]
-        lengths = np.array([len(p) for p in vocab.pieces], dtype=np.int64)[which]
         self.shift = int(depth).bit_length()
         bits = int(len(counts)).bit_length()
         # position, length and piece in one number: a plain sort puts the edges in order
-        edge = np.sort((start.astype(np.int64) << (self.shift + bits)) | (lengths << bits) | which)
-        self.edge, self.piece = edge >> bits, edge & ((1 << bits) - 1)
+        lengths = np.array([len(p) for p in vocab.pieces], dtype=np.int64)
+        edge = np.repeat((lengths << bits) | np.arange(len(counts)), counts)
+        inside = np.arange(len(edge)) - np.repeat(np.cumsum(counts) - counts - low, counts)
+        edge |= order[inside] << (self.shift + bits)
+        edge.sort()
+        self.edge, self.piece = edge >> bits, (edge & ((1 << bits) - 1)).astype(np.int32)
 
     def find(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The piece on each span, -1 where there is none."""
@@ -297,7 +300,8 @@ class Encoder:
         self.surface = np.frombuffer(b"".join(vocab.surface), dtype=np.uint8)
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, dtype=np.uint64)  # hashes of segments, sorted, with their slots
+        self.slots = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.int32)
         self.at = np.zeros(1, dtype=np.int64)
 
@@ -342,17 +346,21 @@ class Encoder:
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_SEGMENTS:
             self.forget()
-        raw = data.tobytes()
-        keys = unique.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        if new:
-            ends = zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)
-            found, counts = self.segments([raw[a:b] for a, b in ends])
+        place = np.searchsorted(self.known, unique)
+        have = np.zeros(len(unique), dtype=bool)
+        inside = place < len(self.known)
+        have[inside] = self.known[place[inside]] == unique[inside]
+        new = np.flatnonzero(~have)
+        if len(new):
+            raw = memoryview(data)
+            found, counts = self.segments([bytes(raw[a:b]) for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
             base = len(self.at) - 1
-            self.known.update(zip((keys[j] for j in new), range(base, base + len(new)), strict=True))
+            self.known = np.insert(self.known, place[new], unique[new])
+            self.slots = np.insert(self.slots, place[new], np.arange(base, base + len(new)))
             self.flat = np.concatenate((self.flat, found))
             self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(counts)))
-        slots = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[inverse]
+            place = np.searchsorted(self.known, unique)
+        slots = self.slots[place][inverse]
         counts = self.at[slots + 1] - self.at[slots]
         where = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - self.at[slots], counts)
         row = np.searchsorted(row_start, start, side="right") - 1
@@ -428,6 +436,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     names=["id", "token_ids", "n_tokens", "n_bytes", "round_trip"],
                 )
                 done += len(texts)
+            give_back()
 
     shaped = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return shaped.mapInArrow(run, f"id {kind}, token_ids array<int>, n_tokens long, n_bytes long, round_trip boolean").withColumnRenamed("id", id_col)

@@ -6,13 +6,14 @@ pattern ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Texts are taken in groups of about so many bytes, so temporary arrays stay small whatever a batch holds.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,6 +27,15 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers: dict[int, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker lives on beside others after its batch."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        return
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX1
     x = (x ^ (x >> np.uint64(27))) * _MIX2
@@ -36,11 +46,11 @@ def _power(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n-1) modulo 2 ** 64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(19, (n - 1).bit_length())
         have = np.ones(size, dtype=np.uint64)
         have[1:] = base
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 22:  # a rare longer text doesn't keep its table
+        if size <= 1 << 20:  # a rare longer text doesn't keep its table
             _powers[base] = have
     return have[:n]
 
@@ -50,13 +60,16 @@ def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, in
 
     ``limit``: bytes of a group; a longer text is a group of its own. Nulls are empty.
     """
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    if not len(column):
+        return
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    # views of the batch's own buffers: nothing is copied
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
-        yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
+        end = max(first + 1, int(np.searchsorted(offsets, int(offsets[first]) + limit, side="right")) - 1)
+        yield first, end, data[offsets[first] : offsets[end]], (offsets[first : end + 1] - offsets[first]).astype(np.int64)
         first = end
 
 
