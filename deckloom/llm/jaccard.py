@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from deckloom.llm import bloom
 from deckloom.llm.common import staged
 from deckloom.llm.components import components
-from deckloom.llm.text import Words, groups, mixed
+from deckloom.llm.text import Words, give_back, groups, mixed
 
 WORDS = 5
 #: Two sets link if 100 * |intersection| >= PERCENT * |union|.
@@ -25,6 +25,8 @@ SMALL_MAX = 24
 FREQUENT_MAX = 1 << 20
 #: Inverted lists of up to so many sets are compared pair by pair; longer ones by a centre first.
 LIGHT_LIST = 32
+#: Shingles that are counted together; a token that is seen once in each lot isn't counted, which moves cost only.
+COUNTED = 1 << 21
 #: Sets that a task remembers so as not to send a copy's tokens again.
 SEEN = 1 << 18
 
@@ -111,7 +113,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, salt: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "doc_id", "n", "a", "b"]
         for batch in batches:
-            sizes, one, two, held, seen = [], [], [], [], set()
+            sizes, one, two, held, seen, total = [], [], [], [], set(), 0
             for tokens in shingle_sets(batch.column(1)):
                 s = signature(tokens, salt) if len(tokens) else (None, None)
                 sizes.append(len(tokens))
@@ -120,14 +122,24 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, salt: int) -> DataFram
                 if len(tokens) and s not in seen:
                     seen.add(s)
                     held.append(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=names)
+                    total += len(tokens)
+                    if total > COUNTED:
+                        yield counts(held, batch.column(0).type)
+                        held, total = [], 0
             if held:
-                every = np.sort(np.concatenate(held))
-                starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-                counts = np.diff(np.concatenate((starts, [len(every)])))
-                some = counts > 1
-                n = int(some.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, batch.column(0).type), pa.nulls(n, pa.int64()), _int64(every[starts[some]]), pa.array(counts[some])], names=names)
+                yield counts(held, batch.column(0).type)
+            give_back()
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=names)
+
+    def counts(held: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        found = np.diff(np.concatenate((starts, [len(every)])))
+        some = found > 1
+        n = int(some.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), _int64(every[starts[some]]), pa.array(found[some])], names=["kind", "doc_id", "n", "a", "b"])
 
     shaped = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return staged(shaped.mapInArrow(run, f"kind int, doc_id {kind}, n long, a long, b long"))
@@ -181,6 +193,7 @@ def _listed(docs: DataFrame, text_col: str, salt: int, tables: object, only: obj
                     keys, nodes, sizes, held = [], [], [], 0
             if held:
                 yield pack(keys, nodes, sizes)
+            give_back()
 
     def pack(keys: list, nodes: list, sizes: list) -> pa.RecordBatch:
         counts = [len(k) for k in keys]
@@ -233,6 +246,7 @@ def _sets_of(docs: DataFrame, text_col: str, salt: int, nodes: DataFrame) -> Dat
                     ids, sets, size = [], [], 0
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
+            give_back()
 
     found = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "node long, tokens binary")
     return staged(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
@@ -281,10 +295,15 @@ def links(docs: DataFrame, text_col: str, salt: int, histogram: dict[int, int],
     bound = rows.groupBy(F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     bound = bound.select("_node", F.when(single, F.col("n") - need + F.col("c")).otherwise(F.col("n")).cast("int").alias("s"))
     rows = staged(rows.join(bound, F.col("node") == F.col("_node")).drop("_node"))
-    own = rows.withColumn("u", (F.col("n") - F.col("s")).cast("int"))
-    lists = own.groupBy(F.col("token").alias("_token")).agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("u", "node", "n", "s")).alias("centre")).where("size > 1")
+    lists = rows.groupBy(F.col("token").alias("_token")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = staged(rows.join(lists, F.col("token") == F.col("_token")).drop("_token"))
-    star = rows.where(F.col("size") > LIGHT_LIST).where(F.col("node") != F.col("centre.node")).where(_can_link(F.col("n"), F.col("s"), F.col("centre.n"), F.col("centre.s")))
+    # A list's centre is the set whose own lists are the longest on average: the original among its near copies.
+    alone = F.first("n") - F.first("s")
+    weight = rows.groupBy(F.col("node").alias("_node")).agg(((F.sum("size") + alone) / (F.count(F.lit(1)) + alone)).alias("common"))
+    long = rows.where(F.col("size") > LIGHT_LIST).join(weight, F.col("node") == F.col("_node")).drop("_node")
+    centres = long.groupBy(F.col("token").alias("_token")).agg(F.max(F.struct("common", "node", "n", "s")).alias("centre"))
+    long = staged(long.join(centres, F.col("token") == F.col("_token")).drop("_token"))
+    star = long.where(F.col("node") != F.col("centre.node")).where(_can_link(F.col("n"), F.col("s"), F.col("centre.n"), F.col("centre.s")))
     star = star.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
     light = rows.where(F.col("size") <= LIGHT_LIST).select("token", "node", "n", "s")
     pairs = staged(star.union(_pairs(light, F.lit(True))).distinct())
@@ -292,13 +311,17 @@ def links(docs: DataFrame, text_col: str, salt: int, histogram: dict[int, int],
     found = staged(_verified(pairs, sets))
     # Long lists whose sets are all in one component by now are settled. In the others, sets of different components still
     # have to be compared: the exact way for the rest.
-    long = rows.where(F.col("size") > LIGHT_LIST).select("token", "node", "n", "s")
+    long = long.select("token", "node", "n", "s")
     parts = components(found).select(F.col("node").alias("_node"), "component")
     long = long.join(parts, F.col("node") == F.col("_node"), "left").withColumn("part", F.coalesce("component", "node")).drop("_node", "component")
     long = staged(long)
     open_lists = long.groupBy(F.col("token").alias("_token")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("_token")
-    rest = long.join(open_lists, F.col("token") == F.col("_token")).drop("_token")
-    more = _pairs(rest, F.col("l.part") != F.col("r.part")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = staged(long.join(open_lists, F.col("token") == F.col("_token")).drop("_token"))
+    # Sets that share many lists are paired in the first of them only: each brings its open lists along.
+    shared = rest.groupBy(F.col("node").alias("_node")).agg(F.sort_array(F.collect_list("token")).alias("own"))
+    rest = rest.join(shared, F.col("node") == F.col("_node")).drop("_node")
+    once = F.get(F.array_intersect(F.col("l.own"), F.col("r.own")), F.lit(0)) == F.col("l.token")
+    more = _pairs(rest, (F.col("l.part") != F.col("r.part")) & once).distinct().join(pairs, ["a", "b"], "left_anti")
     more = staged(more)
     if not more.isEmpty():
         nodes = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
