@@ -317,11 +317,18 @@ def links(docs: DataFrame, text_col: str, salt: int, histogram: dict[int, int],
     long = staged(long)
     open_lists = long.groupBy(F.col("token").alias("_token")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("_token")
     rest = staged(long.join(open_lists, F.col("token") == F.col("_token")).drop("_token"))
-    # Sets that share many lists are paired in the first of them only: each brings its open lists along.
+    # Sets that share many lists are paired in the first of them only: each brings its open lists along. It brings its whole listed
+    # prefix too: a set whose prefix ends first has its prefix's tokens in common with the other's prefix only, so two sets share
+    # at most those and the rest of the longer remainder.
+    open_nodes = rest.select(F.col("node").alias("_node")).distinct()
+    whole = rows.join(open_nodes, F.col("node") == F.col("_node"), "left_semi").groupBy(F.col("node").alias("_w")).agg(F.collect_list("token").alias("prefix"))
     shared = rest.groupBy(F.col("node").alias("_node")).agg(F.sort_array(F.collect_list("token")).alias("own"))
-    rest = rest.join(shared, F.col("node") == F.col("_node")).drop("_node")
+    rest = rest.join(shared, F.col("node") == F.col("_node")).join(whole, F.col("node") == F.col("_w")).drop("_node", "_w")
+    rest = rest.withColumns({"single": single, "after": F.when(single, F.col("n") - need).otherwise(F.col("n")).cast("int")})
     once = F.get(F.array_intersect(F.col("l.own"), F.col("r.own")), F.lit(0)) == F.col("l.token")
-    more = _pairs(rest, (F.col("l.part") != F.col("r.part")) & once).distinct().join(pairs, ["a", "b"], "left_anti")
+    most = F.size(F.array_intersect(F.col("l.prefix"), F.col("r.prefix"))) + F.greatest("l.after", "r.after")
+    enough = ~(F.col("l.single") & F.col("r.single")) | (most * (100 + PERCENT) >= PERCENT * (F.col("l.n") + F.col("r.n")))
+    more = _pairs(rest, (F.col("l.part") != F.col("r.part")) & once & enough).distinct().join(pairs, ["a", "b"], "left_anti")
     more = staged(more)
     if not more.isEmpty():
         nodes = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
