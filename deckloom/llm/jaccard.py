@@ -249,7 +249,9 @@ def _sets_of(docs: DataFrame, text_col: str, salt: int, nodes: DataFrame) -> Dat
             give_back()
 
     found = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "node long, tokens binary")
-    return staged(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    sets = staged(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    shared.unpersist()  # workers would keep it for as long as they live
+    return sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -266,6 +268,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 shared = int((v[at] == u).sum())
                 keep.append(100 * shared >= PERCENT * (len(u) + len(v) - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a"))
     two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("of_b"))

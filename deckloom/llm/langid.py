@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckloom.llm.common import hash_bits
+from deckloom.llm.text import give_back
 
 #: Bounds of what is learned: documents a language, bytes of a piece from each, bytes of a dictionary.
 SAMPLE_DOCS, PIECE_CHARS, DICT_BYTES = 600, 220, 131072
@@ -79,6 +80,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     names = ["_lang_pred", "_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what earlier stages left in this worker
         made = packers(shared.value)
         for batch in batches:
             *rest, letters, texts = batch.columns

@@ -24,7 +24,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts are taken in groups of about so many bytes.
 GROUP_BYTES = 1 << 20
 #: Segments that a worker remembers between batches; then it starts anew.
-CACHE_SEGMENTS = 1 << 19
+CACHE_SEGMENTS = 1 << 18
 #: Segments of more symbols merge by a heap of their own.
 LONG = 64
 SPACE = "▁".encode()
@@ -418,6 +418,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what earlier stages left in this worker
         own = encoder(model)
         for batch in batches:
             done = 0
