@@ -213,9 +213,16 @@ def _token_hashes(tokens: DataFrame) -> DataFrame:
     return tokens.select("token").mapInPandas(run, "h1 long, h2 long")
 
 
-def _can_link(n_a: Column, s_a: Column, n_b: Column, s_b: Column) -> Column:
-    """``s``: how many of a set's ``n`` shingles another set could have. Follows from 100 i >= PERCENT (n_a + n_b - i)."""
-    return F.least(s_a, s_b) * (100 + PERCENT) >= PERCENT * (n_a + n_b)
+def _can_link(l: str, r: str) -> Column:
+    """Whether two sets with ``n`` shingles, ``c`` listed ones in the prefix and ``after`` behind it can link: 100 i >= PERCENT (n_l + n_r - i).
+
+    The set whose prefix ends first in the order of tokens has its prefix's tokens in common with the other's prefix only, so two
+    sets share at most what both prefixes list and the longer remainder. A set's own ``c`` and ``after`` don't bound it: the larger
+    set may hold the smaller one's prefix behind its own.
+    """
+    n_l, n_r = F.col(f"{l}n"), F.col(f"{r}n")
+    most = F.least(n_l, n_r, F.least(f"{l}c", f"{r}c") + F.greatest(f"{l}after", f"{r}after"))
+    return most * (100 + PERCENT) >= PERCENT * (n_l + n_r)
 
 
 def _sets_of(docs: DataFrame, text_col: str, salt: int, nodes: DataFrame) -> DataFrame:
@@ -292,42 +299,41 @@ def links(docs: DataFrame, text_col: str, salt: int, histogram: dict[int, int],
     rows = _listed(docs, text_col, salt, tables, sc.broadcast(filt) if filt is not None else None)
     rows = staged(rows.join(shared, "token", "left_semi").groupBy("token", "node").agg(F.first("n").alias("n")))
     small = tables.value[2]
-    # s: n less the prefix's tokens that no other set has. Sets listed by pairs keep s = n.
+    # c: the prefix's tokens that other sets list too; after: the tokens behind the prefix. Sets listed by pairs count whole.
     need = F.expr(f"CAST(n - ({PERCENT} * n + 99) DIV 100 + 1 AS INT)")
     single = (F.col("n") > small + small // 4) | (F.col("n") < 3)
-    bound = rows.groupBy(F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    bound = bound.select("_node", F.when(single, F.col("n") - need + F.col("c")).otherwise(F.col("n")).cast("int").alias("s"))
+    bound = rows.groupBy(F.col("node").alias("_node")).agg(F.count(F.lit(1)).cast("int").alias("c"), F.first("n").alias("n"))
+    bound = bound.select("_node", "c", F.when(single, F.col("n") - need).otherwise(F.col("n")).cast("int").alias("after"))
     rows = staged(rows.join(bound, F.col("node") == F.col("_node")).drop("_node"))
     lists = rows.groupBy(F.col("token").alias("_token")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = staged(rows.join(lists, F.col("token") == F.col("_token")).drop("_token"))
     # A list's centre is the set whose own lists are the longest on average: the original among its near copies.
-    alone = F.first("n") - F.first("s")
+    alone = F.greatest(F.first("n") - F.first("after") - F.first("c"), F.lit(0))
     weight = rows.groupBy(F.col("node").alias("_node")).agg(((F.sum("size") + alone) / (F.count(F.lit(1)) + alone)).alias("common"))
     long = rows.where(F.col("size") > LIGHT_LIST).join(weight, F.col("node") == F.col("_node")).drop("_node")
-    centres = long.groupBy(F.col("token").alias("_token")).agg(F.max(F.struct("common", "node", "n", "s")).alias("centre"))
+    centres = long.groupBy(F.col("token").alias("_token")).agg(F.max(F.struct("common", "node", "n", "c", "after")).alias("centre"))
     long = staged(long.join(centres, F.col("token") == F.col("_token")).drop("_token"))
-    star = long.where(F.col("node") != F.col("centre.node")).where(_can_link(F.col("n"), F.col("s"), F.col("centre.n"), F.col("centre.s")))
+    star = long.where(F.col("node") != F.col("centre.node")).where(_can_link("", "centre."))
     star = star.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
-    light = rows.where(F.col("size") <= LIGHT_LIST).select("token", "node", "n", "s")
+    light = rows.where(F.col("size") <= LIGHT_LIST).select("token", "node", "n", "c", "after")
     pairs = staged(star.union(_pairs(light, F.lit(True))).distinct())
     sets = _sets_of(docs, text_col, salt, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     found = staged(_verified(pairs, sets))
     # Long lists whose sets are all in one component by now are settled. In the others, sets of different components still
     # have to be compared: the exact way for the rest.
-    long = long.select("token", "node", "n", "s")
+    long = long.select("token", "node", "n", "c", "after")
     parts = components(found).select(F.col("node").alias("_node"), "component")
     long = long.join(parts, F.col("node") == F.col("_node"), "left").withColumn("part", F.coalesce("component", "node")).drop("_node", "component")
     long = staged(long)
     open_lists = long.groupBy(F.col("token").alias("_token")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("_token")
     rest = staged(long.join(open_lists, F.col("token") == F.col("_token")).drop("_token"))
     # Sets that share many lists are paired in the first of them only: each brings its open lists along. It brings its whole listed
-    # prefix too: a set whose prefix ends first has its prefix's tokens in common with the other's prefix only, so two sets share
-    # at most those and the rest of the longer remainder.
+    # prefix too, for the bound of ``_can_link`` from what two prefixes do share.
     open_nodes = rest.select(F.col("node").alias("_node")).distinct()
     whole = rows.join(open_nodes, F.col("node") == F.col("_node"), "left_semi").groupBy(F.col("node").alias("_w")).agg(F.collect_list("token").alias("prefix"))
     shared = rest.groupBy(F.col("node").alias("_node")).agg(F.sort_array(F.collect_list("token")).alias("own"))
     rest = rest.join(shared, F.col("node") == F.col("_node")).join(whole, F.col("node") == F.col("_w")).drop("_node", "_w")
-    rest = rest.withColumns({"single": single, "after": F.when(single, F.col("n") - need).otherwise(F.col("n")).cast("int")})
+    rest = rest.withColumn("single", single)
     once = F.get(F.array_intersect(F.col("l.own"), F.col("r.own")), F.lit(0)) == F.col("l.token")
     most = F.size(F.array_intersect(F.col("l.prefix"), F.col("r.prefix"))) + F.greatest("l.after", "r.after")
     enough = ~(F.col("l.single") & F.col("r.single")) | (most * (100 + PERCENT) >= PERCENT * (F.col("l.n") + F.col("r.n")))
@@ -341,7 +347,7 @@ def links(docs: DataFrame, text_col: str, salt: int, histogram: dict[int, int],
 
 def _pairs(rows: DataFrame, extra: Column) -> DataFrame:
     left, right = rows.alias("l"), rows.alias("r")
-    fits = (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & extra & _can_link(F.col("l.n"), F.col("l.s"), F.col("r.n"), F.col("r.s"))
+    fits = (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & extra & _can_link("l.", "r.")
     return left.join(right, fits).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 

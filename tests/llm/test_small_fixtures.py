@@ -396,6 +396,32 @@ def test_jaccard_components(spark, odd, empty, monkeypatch, light):
     assert jaccard.similar_documents(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
 
 
+def unequal_pairs(seed: int, first: int = 0) -> list[tuple]:
+    """(id, text) of pairs, each of words of its own: a text and the same with words appended or less its last ones, Jaccard 0.77 to 0.87."""
+    rnd, rows = random.Random(seed), []
+    for k in range(120):
+        size = rnd.randrange(30, 240)
+        own = [f"u{seed}p{k}w{j}" for j in range(size)]
+        other = rnd.choice([[*own, *(f"u{seed}q{k}w{j}" for j in range(round((size - 4) * rnd.uniform(0.15, 0.3))))], own[: round((size - 4) * rnd.uniform(0.77, 0.87)) + 4]])
+        rows += [(first + 2 * k, " ".join(own)), (first + 2 * k + 1, " ".join(other))]
+    return rows
+
+
+@pytest.mark.parametrize("light", [32, 1])
+def test_jaccard_of_unequal_lengths(spark, monkeypatch, light):
+    """Isolated pairs of near copies, one of them longer: no other set helps them to meet."""
+    monkeypatch.setattr(jaccard, "LIGHT_LIST", light)
+    rows = unequal_pairs(3)
+    # a frame of words that many texts have makes the pairs' shared shingles the frequent ones
+    common = [f"c{j}" for j in range(80)]
+    rows += [(1000 + k, " ".join([*common, *(f"v{k}w{j}" for j in range(15 + k))])) for k in range(10)]
+    rows += [(1100, " ".join(common)), (1101, " ".join(common[:70]))]
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = brute_components(rows)
+    assert sum(i != c for i, _, c in want) > 40
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(want)
+
+
 @pytest.mark.parametrize("small", [0, 24])
 def test_prefix_keys_meet(small):
     """Any two sets of Jaccard 0.8 share a key, on both sides of the boundary and with any table of frequent tokens."""
