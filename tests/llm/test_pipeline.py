@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
-from test_small_fixtures import WORD, brute_components, brute_lines, fill, n_words
+from test_small_fixtures import WORD, brute_components, brute_lines, fill, n_words, unequal_pairs
 
 import corpus_pipeline
 from deckloom.llm import langid, pieces
@@ -76,6 +76,14 @@ def test_near_duplicate_stage(stages):
     assert {r["doc_id"] for r in stages[3]} == {i for i, _, c in found if i == c}
 
 
+def test_near_duplicate_stage_of_unequal_lengths(spark, folder):
+    """Of a text and its appended or shortened copy near Jaccard 0.8, one stays."""
+    rows = unequal_pairs(9)
+    docs = spark.createDataFrame([(i, t, "xx", "s0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i for i, _, c in brute_components(rows) if i == c}
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, folder).select("doc_id").collect()} == want and len(want) < len(rows) - 40
+
+
 def test_mix_stage(stages):
     sizes, got = Counter(), Counter()
     for r in stages[3]:
