@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,27 +66,41 @@ def naive_bayes(train: DataFrame, test: DataFrame) -> DataFrame:
     return scored.withColumn("_r", best).where("_r = 1").select("id", "label", "score")
 
 
+#: Chances are scaled up by this power of two, which is exact, before a long sequence would take them to zero.
+SCALE_BITS = 512
+
+
 def viterbi(sequences: DataFrame, states: list[str], start: dict[str, float], move: dict[tuple[str, str], float], emit: dict[tuple[str, str], float]) -> DataFrame:
-    """The likeliest states of each sequence (id, observations array), the first of equals; a fold over the array, no UDF."""
+    """The likeliest states of each whole sequence (id, observations array), the first of equals; a fold over the array, no UDF.
 
-    def best(cells, seen):
-        made = []
+    ``p`` is the path's chance, zero where a double can't hold it; ``log_p`` holds it at any length (null if the chance is none).
+    """
+
+    def best(state, seen):
+        cells, made = state["cells"], []
         for s in states:
             options = F.array(*[F.struct((F.get(cells, F.lit(i))["p"] * move.get((r, s), 0.0)).alias("p"), F.lit(-i).alias("o"), F.get(cells, F.lit(i))["path"].alias("path")) for i, r in enumerate(states)])
             top = F.array_max(options)
             chance = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for o in sorted({o for _, o in emit}) for x in (o, float(emit.get((s, o), 0.0)))]), seen), F.lit(0.0))
             made.append(F.struct((top["p"] * chance).alias("p"), F.concat(top["path"], F.array(F.lit(s))).alias("path")))
-        return F.array(*made)
+        return scaled(F.struct(F.array(*made).alias("cells"), state["shift"].alias("shift")))
+
+    def scaled(state):
+        top = F.array_max(F.transform(state["cells"], lambda c: c["p"]))
+        up = F.transform(state["cells"], lambda c: F.struct((c["p"] * 2.0**SCALE_BITS).alias("p"), c["path"].alias("path")))
+        return F.when((top > 0) & (top < 2.0**-SCALE_BITS), F.struct(up.alias("cells"), (state["shift"] + 1).alias("shift"))).otherwise(state)
 
     def chance0(s, seen):
         return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for o in sorted({o for _, o in emit}) for x in (o, float(emit.get((s, o), 0.0)))]), seen), F.lit(0.0))
 
     first = F.get("observations", F.lit(0))
     cells = F.array(*[F.struct((F.lit(float(start[s])) * chance0(s, first)).alias("p"), F.array(F.lit(s)).alias("path")) for s in states])
-    folded = F.aggregate(F.slice("observations", F.lit(2), F.greatest(F.size("observations") - 1, F.lit(0))), cells, best)
-    ends = F.transform(folded, lambda c, i: F.struct(c["p"].alias("p"), (-i).alias("o"), c["path"].alias("path")))
-    top = F.array_max(ends)
-    return sequences.where(F.size("observations") > 0).select("id", F.array_join(top["path"], ">").alias("path"), top["p"].alias("p"))
+    folded = F.aggregate(F.slice("observations", F.lit(2), F.greatest(F.size("observations") - 1, F.lit(0))), F.struct(cells.alias("cells"), F.lit(0).alias("shift")), best)
+    done = sequences.where(F.size("observations") > 0).select("id", folded.alias("f"))
+    ends = F.transform("f.cells", lambda c, i: F.struct(c["p"].alias("p"), (-i).alias("o"), c["path"].alias("path")))
+    done = done.select("id", F.array_max(ends).alias("top"), (F.col("f.shift") * SCALE_BITS).cast("double").alias("bits"))
+    p = F.col("top.p")
+    return done.select("id", F.array_join("top.path", ">").alias("path"), (p * F.pow(F.lit(2.0), -F.col("bits"))).alias("p"), F.when(p > 0, F.log(p) - F.col("bits") * math.log(2.0)).alias("log_p"))
 
 
 def group_costs(slides: DataFrame, cap: int, target: int) -> DataFrame:

@@ -267,10 +267,10 @@ EMIT = {("quiet", "view"): 0.5, ("quiet", "click"): 0.2, ("quiet", "error"): 0.1
 
 @query("viterbi_paths")
 def viterbi_paths(spark, sf_dir):
-    """States behind each user's first six events of the five known kinds."""
+    """States behind all of each user's events of the five known kinds."""
     kinds = [o for s, o in EMIT if s == "quiet"]
     events = table(spark, sf_dir, "events").where(F.col("event_type").isin(kinds))
-    rows = events.groupBy(F.col("user_id").alias("id")).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]), 1, 6).alias("observations"))
+    rows = events.groupBy(F.col("user_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("observations"))
     return T.viterbi(rows, STATES, START, MOVE, EMIT)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections import deque
 
 from pyspark.sql import functions as F
@@ -43,6 +44,27 @@ def test_viterbi_is_the_best_path(spark):
         assert abs(r["p"] - brute_viterbi(seqs[r["id"]], STATES, START, MOVE, EMIT)) < 1e-12
 
 
+def test_viterbi_decodes_whole_sequences(spark, tmp_path):
+    from deckloom.plans.service import EMIT, MOVE, START, STATES, viterbi_paths
+
+    kinds = ["view", "click", "error", "signup", "purchase"]
+    seqs = {1: [kinds[i * i % 5] for i in range(10)], 2: ["error", "view"] * 4, 3: [kinds[(i * 7 + i // 3) % 5] for i in range(1200)]}
+    rows = [(1000 * u + i, i, u, k) for u, seq in seqs.items() for i, k in enumerate(seq)]
+    events = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string").withColumn("ts", F.timestamp_seconds("t"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["id"]: r for r in viterbi_paths(spark, str(tmp_path)).collect()}
+    for u, seq in seqs.items():
+        path = got[u]["path"].split(">")
+        assert len(path) == len(seq)
+        value = math.log(START[path[0]] * EMIT[path[0], seq[0]]) + sum(math.log(MOVE[a, b] * EMIT[b, o]) for a, b, o in zip(path, path[1:], seq[1:], strict=False))
+        top = {s: math.log(START[s] * EMIT[s, seq[0]]) for s in STATES}
+        for o in seq[1:]:
+            top = {s: max(top[r] + math.log(MOVE[r, s] * EMIT[s, o]) for r in STATES) for s in STATES}
+        assert abs(got[u]["log_p"] - value) < 1e-6 and abs(value - max(top.values())) < 1e-6
+        if len(seq) <= 10:
+            assert math.isclose(got[u]["p"], brute_viterbi(seq, STATES, START, MOVE, EMIT), rel_tol=1e-9)
+
+
 def test_segments_are_the_cheapest_and_lose_nothing(spark):
     text = "Cells divide because energy flows. Plants convert light. Light drives chemistry. Water splits then oxygen leaves. Sugar stores energy. Roots take water. Leaves hold pigment."
     bullets = text.replace(". ", ".|").split("|")
