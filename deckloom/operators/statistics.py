@@ -108,8 +108,8 @@ def group_costs(slides: DataFrame, cap: int, target: int) -> DataFrame:
     from deckloom.functions.text import content_words, idf_guess, words
 
     rows = slides.where(F.size("bullets") > 0).select("doc_id", "slide_no", F.size("bullets").alias("m"), "bullets")
-    ends = F.flatten(F.transform(F.sequence(F.lit(1), F.col("m")), lambda j: F.transform(F.sequence(F.greatest(F.lit(0), j - cap), j - 1), lambda i: F.struct(i.alias("i"), j.alias("j")))))
-    spans = rows.select("doc_id", "slide_no", "m", "bullets", F.explode(ends).alias("s")).select("doc_id", "slide_no", "m", "s.i", "s.j", F.slice("bullets", F.col("s.i") + 1, F.col("s.j") - F.col("s.i")).alias("bullets"), F.lit("").alias("title"))
+    ends = F.flatten(F.transform(F.sequence(F.lit(1), F.col("m")), lambda j: F.transform(F.sequence(F.greatest(F.lit(0), j - cap), j - 1), lambda i: F.struct(i.alias("i"), j.alias("j"), F.slice("bullets", i + 1, j - i).alias("bullets")))))
+    spans = rows.select("doc_id", "slide_no", "m", F.explode(ends).alias("s")).select("doc_id", "slide_no", "m", "s.i", "s.j", "s.bullets", F.lit("").alias("title"))
     spans = S.with_redundancy(spans).withColumn("body", F.array_join("bullets", " "))
     spans = spans.withColumn("concepts", F.array_distinct(content_words(F.col("body"))))
     information = F.bround(F.aggregate(F.transform("concepts", idf_guess), F.lit(0.0), lambda a, x: a + x), 6)

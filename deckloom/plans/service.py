@@ -276,4 +276,4 @@ def viterbi_paths(spark, sf_dir):
 
 @query("load_segments")
 def load_segments(spark, sf_dir):
-    return T.segments(_slides(spark, sf_dir).where(F.size("bullets") <= 40))
+    return T.segments(_slides(spark, sf_dir))

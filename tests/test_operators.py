@@ -65,6 +65,18 @@ def test_viterbi_decodes_whole_sequences(spark, tmp_path):
             assert math.isclose(got[u]["p"], brute_viterbi(seq, STATES, START, MOVE, EMIT), rel_tol=1e-9)
 
 
+def test_long_slides_are_segmented_too(spark, tmp_path):
+    from deckloom.plans.service import load_segments
+
+    verbs = ["divide because", "convert light into", "need", "store then release"]
+    text = "A title. " + " ".join(f"Cells number {i} {verbs[i % 4]} energy {i % 9}." for i in range(60))
+    spark.createDataFrame([(1, text), (2, "A title. One bullet.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in load_segments(spark, str(tmp_path)).collect()}
+    assert set(rows) == {1, 2} and rows[1]["n_bullets"] == 60
+    ends = [0, *map(int, rows[1]["page_ends"].split(","))]
+    assert ends[-1] == 60 and all(0 < b - a <= 5 for a, b in zip(ends, ends[1:], strict=False)) and rows[1]["n_pages"] == len(ends) - 1
+
+
 def test_segments_are_the_cheapest_and_lose_nothing(spark):
     text = "Cells divide because energy flows. Plants convert light. Light drives chemistry. Water splits then oxygen leaves. Sugar stores energy. Roots take water. Leaves hold pigment."
     bullets = text.replace(". ", ".|").split("|")
