@@ -208,6 +208,30 @@ def test_language(spark, odd, empty):
     assert set(langid.accepted_documents(odd, known).columns) == set(odd.columns)
 
 
+def tongue_rows(seed: int) -> tuple[list[tuple], list[tuple]]:
+    """(id, text, lang) of short texts in three languages of 600 words each, and of texts of 20,000 to 80,000 words in them."""
+    rnd = random.Random(seed)
+    words = {k: ["".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 9))) for _ in range(600)] for k, letters in (("xx", "abcdefghijklmno"), ("yy", "ghijklmnopqrstu"), ("zz", "adgjmpsvybehknqt"))}
+    weight = [1 / (1 + i) ** 0.7 for i in range(600)]
+    text = lambda k, n: " ".join(rnd.choices(words[k], weight, k=n))
+    short = [(i, text(k, 120), k) for i in range(900) for k in [("xx", "xx", "yy", "zz")[i % 4]]]
+    return short, [(10000 + n + j, text(k, n), k) for n in (20000, 40000, 80000) for j, k in enumerate(words)]
+
+
+def test_language_of_very_long_texts(spark):
+    """The margin doesn't fall with length: a dictionary counts as much in a long text as in a text of one block."""
+    short, long = tongue_rows(4)
+    schema = "doc_id long, text string, lang string"
+    known = langid.learn(spark.createDataFrame(short, schema))
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(long, schema), known).collect()}
+    assert {i: (r["lang_pred"], r["rejected"]) for i, r in got.items()} == {i: (k, False) for i, _, k in long}
+    made = langid.packers(known)
+    for i, text, _ in long:
+        assert got[i]["score"] > 0.8 * langid.classify(text[: langid.BLOCK_BYTES - 1000].encode(), made)[1]
+    block = b"x" * langid.BLOCK_BYTES
+    assert langid.classify(block, made)[1] >= 0 and langid.classify(b"", made)[1] >= 0
+
+
 def test_media(spark, odd, empty):
     rows = media.document_media(odd).collect()
     assert len(rows) == len(odd_rows())
