@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
-from test_small_fixtures import WORD, brute_components, brute_lines, fill, n_words, unequal_pairs
+from test_small_fixtures import WORD, brute_components, brute_lines, fill, n_words, tongue_rows, unequal_pairs
 
 import corpus_pipeline
 from deckloom.llm import langid, pieces
@@ -62,6 +62,14 @@ def test_language_stage(spark, folder, stages):
     assert {tuple(r) for r in stages[1]} == want and len(want) >= 160
 
 
+def test_language_stage_keeps_very_long_texts(spark, folder):
+    """Clean documents of 20,000 words and more stay, in every language."""
+    short, long = tongue_rows(5)
+    docs = spark.createDataFrame([(i, t, k, "s0", len(t)) for i, t, k in short + long], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, folder).select("doc_id").collect()}
+    assert kept >= {i for i, _, _ in long}
+
+
 def test_line_stage(stages):
     kept = brute_lines([(r["doc_id"], r["text"]) for r in stages[1]])
     want = {r["doc_id"]: kept[r["doc_id"], r["text"]] for r in stages[1]}
