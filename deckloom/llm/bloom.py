@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import hash_bits
+from deckloom.llm.common import hash_bits, mapped, staged
 
 #: A filter beyond so many bits isn't built: the caller takes its other way (64 MB).
 MAX_BITS = 1 << 29
@@ -60,14 +60,14 @@ class Bloom:
         return ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
 
 
-def _unsigned(s: pd.Series) -> np.ndarray:
-    return s.to_numpy(dtype=np.int64, copy=True).view(np.uint64)
+def _unsigned(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-def build(keys: DataFrame, n_keys: int, rate: float, salt: int) -> Bloom | None:
+def build(keys: DataFrame, n_keys: int, rate: float, salt: int, hashes: Callable[[pa.RecordBatch], tuple] | None = None) -> Bloom | None:
     """Encode ``keys`` (h1, h2). None if the filter would pass ``MAX_BITS``.
 
-    Executors turn keys into (word, bits) and bit_or them; what reaches the driver is the filter itself.
+    ``hashes`` gives h1 and h2 (numpy) of a batch of other columns, in the same worker. Executors turn keys into (word, bits) and bit_or them; what reaches the driver is the filter itself.
     """
     n_bits, n_hashes = Bloom.shape(max(1, n_keys), rate)
     if n_bits > MAX_BITS:
@@ -75,13 +75,13 @@ def build(keys: DataFrame, n_keys: int, rate: float, salt: int) -> Bloom | None:
     filled = Bloom(n_bits, n_hashes, salt, np.zeros(n_bits // 64, dtype=np.uint64))
     shape = Bloom(n_bits, n_hashes, salt, np.zeros(0, dtype=np.uint64))
 
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = shape.positions(_unsigned(batch["h1"]), _unsigned(batch["h2"])).ravel()
-            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bits": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
+            at = shape.positions(*(hashes(batch) if hashes else map(_unsigned, batch.columns))).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
 
-    merged = keys.select("h1", "h2").mapInPandas(bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
-    filled.words[merged["word"].to_numpy(dtype=np.int64)] = _unsigned(merged["bits"])
+    merged = mapped(keys if hashes else keys.select("h1", "h2"), bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    filled.words[merged["word"].to_numpy()] = merged["bits"].to_numpy().view(np.uint64)
     return filled
 
 
@@ -132,15 +132,13 @@ def cascade(listed: DataFrame, universe: DataFrame, n_universe: int) -> Cascade
         return None
 
     def passing(level: Bloom):
-        def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch[level.might_contain(_unsigned(batch["h1"]), _unsigned(batch["h2"]))]
+                yield batch.filter(pa.array(level.might_contain(_unsigned(batch.column(0)), _unsigned(batch.column(1)))))
 
         return keep
 
-    from deckloom.llm.common import staged
-
-    false = universe.select("h1", "h2").mapInPandas(passing(first), "h1 long, h2 long").distinct().join(listed, ["h1", "h2"], "left_anti")
+    false = mapped(universe.select("h1", "h2"), passing(first), "h1 long, h2 long").distinct().join(listed, ["h1", "h2"], "left_anti")
     rest = [staged(listed), staged(false)]  # of the side that the next level encodes after the other
     levels = [first]
     while len(levels) < MAX_LEVELS:
@@ -151,7 +149,7 @@ def cascade(listed: DataFrame, universe: DataFrame, n_universe: int) -> Cascade
         if level is None:
             return None
         levels.append(level)
-        rest = [rest[1], staged(rest[0].mapInPandas(passing(level), "h1 long, h2 long"))]
+        rest = [rest[1], staged(mapped(rest[0], passing(level), "h1 long, h2 long"))]
     sides = rest[1] if len(levels) % 2 == 0 else rest[0]
-    left = sides.toPandas()  # keys with equal bits at every level: hash collisions, a handful at most
-    return Cascade(levels, np.stack([_unsigned(left["h1"]), _unsigned(left["h2"])], axis=1))
+    left = sides.toArrow()  # keys with equal bits at every level: hash collisions, a handful at most
+    return Cascade(levels, np.stack([left[c].to_numpy().view(np.uint64) for c in ("h1", "h2")], axis=1))

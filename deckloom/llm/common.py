@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,21 +53,78 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> bool:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    except Exception:  # the session may be gone at exit; files in the shared folder are then its owner's to clean
+        return False
+    return True
+
+
 def release() -> None:
-    """Remove all staged tables of this process."""
+    """Remove all staged tables of this process; one that can't be removed doesn't keep the others."""
     while _made:
-        spark, path = _made.pop()
-        try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-        except Exception:  # the session may be gone at exit; files in the shared folder are then its owner's to clean
-            return
+        _remove(*_made.pop())
+
+
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes at its end the tables staged inside, but for those passed to what it yields."""
+    before, kept = len(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        """Stage ``df`` and keep that table."""
+        done = staged(df)
+        kept.add(_made[-1][1])
+        return done
+
+    yield keep
+    inside = _made[before:]
+    _made[before:] = [m for m in inside if m[1] in kept or not _remove(*m)]
 
 
 atexit.register(release)
 
 
+#: Rows go to Python workers in batches of about so many bytes, whatever their number.
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes: a worker holds a few batches, however long the texts are.
+
+    The bound is a setting of the session (``spark.sql.execution.arrow.maxBytesPerBatch``); a lower one that is set already stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, str((1 << 31) - 1)).removesuffix("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names for internal columns that none of ``columns`` has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in wanted:
+        name = f"_deckloom_{name}"
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
+def typed(df: DataFrame, columns: list[str]) -> list[str]:
+    """The columns as items of a schema string."""
+    return [f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in columns]
+
+
+def col(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

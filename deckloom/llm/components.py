@@ -1,4 +1,8 @@
-"""Connected components of an edge table by large-star and small-star rounds (no vertex gathers its neighbours)."""
+"""Connected components of an edge table by large-star and small-star rounds.
+
+A vertex's least neighbour is found from partial minima, one row a task. Each edge then meets its vertex's minimum in an equi-join whose
+other side has one row a vertex: a hot vertex's edges stay narrow rows, which adaptive execution splits over tasks.
+"""
 
 from __future__ import annotations
 

@@ -6,13 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckloom.llm import bloom
-from deckloom.llm.common import staged
+from deckloom.llm.common import col, free_names, mapped, staged
 from deckloom.llm.components import components
 from deckloom.llm.text import Words, give_back, groups, mixed
 
@@ -142,7 +141,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, salt: int) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), _int64(every[starts[some]]), pa.array(found[some])], names=["kind", "doc_id", "n", "a", "b"])
 
     shaped = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return staged(shaped.mapInArrow(run, f"kind int, doc_id {kind}, n long, a long, b long"))
+    return staged(mapped(shaped, run, f"kind int, doc_id {kind}, n long, a long, b long"))
 
 
 def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -199,18 +198,13 @@ def _listed(docs: DataFrame, text_col: str, salt: int, tables: object, only: obj
         counts = [len(k) for k in keys]
         return pa.RecordBatch.from_arrays([_int64(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), counts)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts))], names=["token", "node", "n"])
 
-    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "token long, node long, n int")
+    return mapped(docs.select(F.col(text_col).cast("binary").alias("text")), run, "token long, node long, n int")
 
 
-def _token_hashes(tokens: DataFrame) -> DataFrame:
-    """The (h1, h2) under which ``_listed`` looks up a token in the Bloom filter: numpy's mix of it and itself."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            raw = batch["token"].to_numpy(dtype=np.int64, copy=True).view(np.uint64)
-            yield pd.DataFrame({"h1": mixed(raw).view(np.int64), "h2": raw.view(np.int64)})
-
-    return tokens.select("token").mapInPandas(run, "h1 long, h2 long")
+def _token_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The (h1, h2) under which ``_listed`` looks up a token in the Bloom filter."""
+    raw = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    return mixed(raw), raw
 
 
 def _can_link(l: str, r: str) -> Column:
@@ -228,7 +222,7 @@ def _can_link(l: str, r: str) -> Column:
 def _sets_of(docs: DataFrame, text_col: str, salt: int, nodes: DataFrame) -> DataFrame:
     """(node, tokens) of the given nodes, from another pass over the texts; tokens as packed 64-bit numbers."""
     count = nodes.count()
-    filt = bloom.build(_token_hashes(nodes.select(F.col("node").alias("token"))), count, 0.01, salt=77)
+    filt = bloom.build(nodes.select("node"), count, 0.01, salt=77, hashes=_token_hashes)
     shared = docs.sparkSession.sparkContext.broadcast(filt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +249,7 @@ def _sets_of(docs: DataFrame, text_col: str, salt: int, nodes: DataFrame) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
             give_back()
 
-    found = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "node long, tokens binary")
+    found = mapped(docs.select(F.col(text_col).cast("binary").alias("text")), run, "node long, tokens binary")
     sets = staged(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
     shared.unpersist()  # workers would keep it for as long as they live
     return sets
@@ -279,7 +273,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a"))
     two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("of_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return mapped(pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b"), run, "a long, b long")
 
 
 def links(docs: DataFrame, text_col: str, salt: int, histogram: dict[int, int], profile: DataFrame) -> DataFrame:
@@ -295,7 +289,7 @@ def links(docs: DataFrame, text_col: str, salt: int, histogram: dict[int, int],
     n_shared = shared.count()
     if not n_shared:
         return docs.sparkSession.createDataFrame([], "a long, b long")
-    filt = bloom.build(_token_hashes(shared), n_shared, 0.02, salt=78)  # None beyond its bound: then all rows are sent again
+    filt = bloom.build(shared, n_shared, 0.02, salt=78, hashes=_token_hashes)  # None beyond its bound: then all rows are sent again
     rows = _listed(docs, text_col, salt, tables, sc.broadcast(filt) if filt is not None else None)
     rows = staged(rows.join(shared, "token", "left_semi").groupBy("token", "node").agg(F.first("n").alias("n")))
     small = tables.value[2]
@@ -381,9 +375,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id is not their component's: one id of each group stays, and all that link with nothing.
 
-    The ids to drop are fewer than those to keep, so they are what meets the documents; rows that repeat a kept id stay.
+    The ids to drop are fewer than those to keep, so they are what meets the documents; rows that repeat a kept id stay, and null and
+    empty texts, which link with nothing. Columns may have any name; an empty table gives no rows.
     """
     found = similar_documents(docs, id_col, text_col)
-    mine = F.col(id_col).eqNullSafe(F.col("component_id"))
-    dropped = staged(found.groupBy(F.col(id_col).alias("_id")).agg(F.max(mine).alias("stays")).where("NOT stays").select("_id"))
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    (own,) = free_names(docs.columns, "id")
+    mine = col(id_col).eqNullSafe(F.col("component_id"))
+    dropped = staged(found.groupBy(col(id_col).alias(own)).agg(F.max(mine).alias("stays")).where("NOT stays").select(own))
+    return docs.join(dropped, col(id_col).eqNullSafe(F.col(own)), "left_anti")

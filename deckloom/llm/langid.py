@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import hash_bits
+from deckloom.llm.common import col, free_names, hash_bits, mapped, typed
 from deckloom.llm.text import give_back
 
 #: Bounds of what is learned: documents a language, bytes of a piece from each, bytes of a dictionary.
@@ -74,35 +74,47 @@ def classify(text: bytes, made: list[tuple[str, zstandard.ZstdCompressor]]) -> t
     return made[best][0], (min(others) - sizes[best]) / min(others) if others else 1.0
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_margin: float = MIN_MARGIN) -> DataFrame:
-    """(id, ``keep``, lang_pred, score, rejected) for every row, from its whole text.
-
-    ``und`` with score 0, rejected, for null texts and those without a letter, and for all if no language was learned. Texts of
-    any length, repeated rows and empty tables need no care; equal texts get equal results. Nothing but the text enters a prediction.
-    """
+def _predicted(docs: DataFrame, dictionaries: dict[str, bytes], cols: list[str], text_col: str, pred: str, score: str) -> DataFrame:
+    """``cols``, and the predicted language and its score under the given names."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    names = ["_lang_pred", "_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()  # what earlier stages left in this worker
         made = packers(shared.value)
         for batch in batches:
             *rest, letters, texts = batch.columns
             found = []
             for text, ok in zip(texts, letters, strict=True):
                 found.append(classify(text.as_buffer().to_pybytes(), made) if ok.as_py() and made else (UNKNOWN, 0.0))
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*cols, *names])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*cols, pred, score])
+            give_back()
+
+    has_letter = F.coalesce(col(text_col).rlike(r"\p{L}"), F.lit(False))
+    letter, raw = free_names(cols, "letter", "raw")
+    shaped = docs.select(*map(col, cols), has_letter.alias(letter), col(text_col).cast("binary").alias(raw))
+    return mapped(shaped, run, ", ".join([*typed(docs, cols), f"{pred} string", f"{score} double"]))
+
+
+def _rejected(pred: str, score: str, min_margin: float) -> Column:
+    return (F.col(pred) == UNKNOWN) | (F.col(score) < min_margin)
+
 
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_margin: float = MIN_MARGIN) -> DataFrame:
+    """(id, ``keep``, lang_pred, score, rejected) for every row, from its whole text.
+
+    ``und`` with score 0, rejected, for null texts and those without a letter, and for all if no language was learned. Texts of
+    any length, repeated rows and empty tables need no care; equal texts get equal results. Nothing but the text enters a prediction.
+    """
     cols = [id_col, *[c for c in keep if c != id_col]]
-    kinds = [docs.schema[c].dataType.simpleString() for c in cols]
-    has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    shaped = docs.select(*cols, has_letter.alias("_letter"), F.col(text_col).cast("binary").alias("_bytes"))
-    out = shaped.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in zip(cols, kinds, strict=True)) + ", _lang_pred string, _score double")
-    return out.select(*cols, F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), ((F.col("_lang_pred") == UNKNOWN) | (F.col("_score") < min_margin)).alias("rejected"))
-
-
-def accepted_documents(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is not rejected. The text goes through Python once and unchanged."""
-    columns = docs.columns
-    kept = identify(docs, dictionaries, id_col, text_col, tuple(c for c in columns if c != id_col), min_margin)
-    return kept.where(~F.col("rejected")).select(*columns)
+    pred, score = free_names(cols, "lang_pred", "score")
+    out = _predicted(docs, dictionaries, cols, text_col, pred, score)
+    return out.select(*map(col, cols), F.col(pred).alias("lang_pred"), F.col(score).alias("score"), _rejected(pred, score, min_margin).alias("rejected"))
+
+
+def accepted_documents(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is not rejected. The text goes through Python once and unchanged.
+
+    Null texts and texts without a letter go; repeated rows stay as often as given; columns may have any name and type; an empty table
+    gives no rows.
+    """
+    pred, score = free_names(docs.columns, "lang_pred", "score")
+    return _predicted(docs, dictionaries, docs.columns, text_col, pred, score).where(~_rejected(pred, score, min_margin)).select(*map(col, docs.columns))

@@ -1,38 +1,44 @@
 """Operator 2: line deduplication by a segment-partition edit join.
 
-A line is dropped if the same line, or one within edit distance ``THRESHOLD``, comes earlier in the corpus (by document id,
-then place). Two lines within distance 1 share one of their two halves: lines are listed under their own halves and probe
-the halves that a line one shorter would have. Pairs from short lists are verified by banded bit-parallel edit distance.
-Lists longer than ``HOT`` (a half that many lines share) are never paired: their lines meet under the text around a small
-window, then under the window less one character, which finds the same links in linear work.
+A line is dropped if the same line, or one within the edit distance below, comes earlier in the corpus (by document id, then
+place). Lines are sequences of symbols: words, or characters. A line of n symbols is split into ``THRESHOLD`` + 1 segments and listed under
+each; every line probes, for each length it could match, the substrings that a segment of that length could have moved to.
+Lines within the distance share such a key, since the edits can't touch all segments. What shares a key is verified by banded
+bit-parallel edit distance.
+
+Long lists are never paired. First their lines are verified against the list's earliest line, which settles groups of near copies.
+Then all lines of long lists are listed anew under two segments of a partition into one more, and so on: lines
+within the distance share m segments of ``THRESHOLD`` + m at any m, and lists get shorter with each. Lines that are settled
+probe no more. What is still in long lists at the last level is paired there, lines not yet settled against the list only.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm import bloom
-from deckloom.llm.common import hash_bits, staged, text_or_empty
+from deckloom.llm.common import broadcast_if_small, col, free_names, hash_bits, mapped, staged, text_or_empty, typed
 from deckloom.llm.text import give_back
 
-THRESHOLD = 1
-#: Shorter lines are dropped only when equal to an earlier one.
-MIN_CHARS = 16
-#: Lists of more distinct lines are compared by windows.
-HOT = 48
-WINDOW = 16
+#: Edits that make a near copy at most, and the share of the longer line's symbols that they may be: two words of twenty.
+THRESHOLD, SHARE = 2, 0.1
+#: What an edit is about: a word or a character.
+UNIT = "word"
+#: Lists of more distinct lines aren't paired at once, and the levels of ever more segments that split them.
+HOT, LEVELS = 48, 3
 HAS_WORD = r"[^\x20\x09-\x0D]"
+SPACES = r"[\x20\x09-\x0D]+"
 
 
-def within(a: str, b: str, k: int) -> bool:
-    """Whether the edit distance of ``a`` and ``b`` is at most ``k``: bit-parallel over a band of 2 k + 1 diagonals, after the
-    common ends are cut off; it ends as soon as the band's outer diagonal is too far."""
+def within(a, b, k: int) -> bool:
+    """Whether the edit distance of two sequences (texts or lists of symbols) is at most ``k``: bit-parallel over a band of 2 k + 1
+    diagonals, after the common ends are cut off; it ends as soon as the band's outer diagonal is too far."""
     if abs(len(a) - len(b)) > k:
         return False
     size = min(len(a), len(b))
@@ -51,7 +57,7 @@ def within(a: str, b: str, k: int) -> bool:
     m, n = len(a), len(b)
     if m <= k:  # every cell is in the band: n is at most 2 k here
         return n <= k or _distance(a, b) <= k
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     width = 2 * k + 1
@@ -78,7 +84,7 @@ def within(a: str, b: str, k: int) -> bool:
     return value <= k
 
 
-def _distance(a: str, b: str) -> int:
+def _distance(a, b) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -87,150 +93,207 @@ def _distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each line with a word: doc, mark (of the whole text), no, line."""
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc"), hash_bits(text, seed=2).alias("mark"), F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("no", "line"))
-    return rows.where(F.col("line").rlike(HAS_WORD))
+def allowed(n: int, k: int, share: float) -> int:
+    """Edits between two lines of which the longer has ``n`` symbols."""
+    return min(k, int(share * n + 1e-9))
 
 
-def _half_keys(line: Column) -> Column:
-    """(role, key): own halves (role 0), and the halves that a line of one character less would share (role 1)."""
-    n = F.length(line)
+@cache
+def moves(k: int, m: int) -> tuple:
+    """(lack, segments, shifts): where ``m`` segments of a line that is ``lack`` symbols shorter can stand in a line within ``k`` edits.
 
-    def key(size: Column, part: int, start: Column, count: Column) -> Column:
-        return F.xxhash64(F.lit(20 + part), size, F.substring(line, start, count))
-
-    half, less = (n / 2).cast("int"), ((n - 1) / 2).cast("int")
-    own = [key(n, 1, F.lit(1), half), key(n, 2, half + 1, n - half)]
-    shorter = [key(n - 1, 1, F.lit(1), less), key(n - 1, 2, less + 2, n - 1 - less)]
-    # of one line, an own and a probing key are of different sizes and never meet
-    return F.when(n >= MIN_CHARS, F.array(*own, *shorter)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """h1, h2 (the line), first (doc, mark, no) and its keys. A line that all documents share is one row a task."""
-    rows = _lines(docs, id_col, text_col)
-    h1, h2 = bloom.key_hashes(F.col("line"))
-    keyed = rows.select(h1.alias("h1"), h2.alias("h2"), F.struct("doc", "mark", "no").alias("place"), _half_keys(F.col("line")).alias("keys"))
-    return staged(keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("keys").alias("keys")))
+    A line is split into k + m segments, of which at least m are untouched. A segment's shift is what the edits before it
+    add, so shifts start from 0, end at ``lack``, and their changes sum up to k at most. With one segment the first untouched one will do
+    from either side: i segments before it were edited, so its shift is at most i, and alike from behind.
+    """
+    found = []
+    for lack in range(k + 1):
+        for chosen in combinations(range(k + m), m):
+            for shifts in _shifts(k, m, lack):
+                if m > 1 or (abs(shifts[0]) <= chosen[0] and abs(lack - shifts[0]) <= k - chosen[0]):
+                    found.append((lack, chosen, shifts))
+    return tuple(found)
+
+
+def _shifts(k: int, m: int, lack: int) -> list[tuple]:
+    found = [((), 0, k)]
+    for _ in range(m):
+        found = [((*s, t), t, left - abs(t - last)) for s, last, left in found for t in range(-k, k + 1) if abs(t - last) <= left]
+    return [s for s, last, left in found if abs(lack - last) <= left]
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
+    """One row for each line with a word: doc, mark (of the whole text), no, line (with single spaces if words count)."""
+    text = col(text_col)
+    rows = docs.select(col(id_col).alias("doc"), hash_bits(text, seed=2).alias("mark"), F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("no", "line"))
+    rows = rows.where(F.col("line").rlike(HAS_WORD))
+    return rows.withColumn("line", F.trim(F.regexp_replace("line", SPACES, " "))) if unit == "word" else rows
+
+
+def _symbols(line: Column, unit: str) -> Column:
+    return F.split(line, " ") if unit == "word" else F.split(line, "")
+
+
+def _split(line: str, unit: str):
+    return line.split(" ") if unit == "word" else line
+
+
+def distinct_lines(docs: DataFrame, id_col: str, text_col: str, unit: str = UNIT) -> DataFrame:
+    """id, line, n (symbols), place (its first doc, mark, no). Occurrences are reduced in each task first: a line that all documents
+    share is one row a task."""
+    rows = _lines(docs, id_col, text_col, unit)
+    keyed = rows.select(hash_bits(F.col("line"), seed=1).alias("h1"), hash_bits(F.col("line"), seed=2).alias("h2"), F.struct("doc", "mark", "no").alias("place"), "line")
+    once = keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line"))
+    return staged(once.select(F.monotonically_increasing_id().alias("id"), "line", F.size(_symbols(F.col("line"), unit)).alias("n"), "place"))
+
+
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b))
+
+
+def _first_keys(lines: DataFrame, unit: str, k: int, share: float) -> DataFrame:
+    """(key, id, own): level 1, as columns. ``own``: the line's own segment."""
+    parts, n, symbols = k + 1, F.col("n"), F.col("s")
+    most = F.least(F.lit(k), F.floor(share * n + 1e-9))
+
+    def key(size: Column, segment: int, shift: int) -> Column:
+        start, stop = (_div(F.lit(x) * size, parts) for x in (segment, segment + 1))
+        return F.xxhash64(F.lit(segment), size, F.slice(symbols, (start + shift + 1).cast("int"), (stop - start).cast("int")))
+
+    listed = F.floor(share * (n + k) + 1e-9) >= 1
+    options = []
+    for lack, (segment,), (shift,) in moves(k, 1):
+        size = n - lack
+        own = lack == 0 and shift == 0
+        start = _div(F.lit(segment) * size, parts) + shift
+        stop = _div(F.lit(segment + 1) * size, parts) + shift
+        fits = (size >= 1) & (start >= 0) & (stop <= n) & (listed if own else (most >= max(1, abs(shift) + abs(lack - shift))))
+        options.append(F.when(fits, F.struct(key(size, segment, shift).alias("key"), F.lit(own).alias("own"))))
+    rows = lines.where(listed).select("id", "n", _symbols(F.col("line"), unit).alias("s"))
+    # a line may meet one key by several ways: once is enough
+    keys = F.array_distinct(F.filter(F.array(*options), lambda x: x.isNotNull()))
+    return rows.select("id", F.explode(keys).alias("x")).select("x.key", "id", "x.own")
+
+
+def _deeper_keys(lines: DataFrame, unit: str, k: int, share: float, m: int) -> DataFrame:
+    """(key, id, own) of the lines (id, line, probes) under ``m`` of k + m segments; those that don't probe look for shorter lines only."""
+    parts = k + m
+
+    def keys(symbols, probes: bool) -> Iterator[tuple[int, bool]]:
+        n, seen = len(symbols), set()
+        for lack, chosen, shifts in moves(k, m):
+            size, own = n - lack, lack == 0 and not any(shifts)
+            if size < 1 or not own and (allowed(n, k, share) < 1 or not probes and not lack):
+                continue  # a settled line is found by the open ones of its length, but has to look for the shorter ones
+            spans = [(i * size // parts + t, (i + 1) * size // parts + t) for i, t in zip(chosen, shifts, strict=True)]
+            if spans[0][0] < 0 or any(b > n for _, b in spans):
+                continue
+            found = (m, size, chosen, *(tuple(symbols[max(0, a) : b]) for a, b in spans))
+            key = int.from_bytes(hashlib.blake2b(repr(found).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            if (key, own) not in seen:
+                seen.add((key, own))
+                yield key, own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, line, probes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(key, i, own) for key, own in keys(_split(line, unit), probes)]
+                if len(out) > 1 << 16:
+                    yield pack(out)
+                    out = []
+            yield pack(out)
 
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        keys_, ids, own = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(keys_, pa.int64()), pa.array(ids, pa.int64()), pa.array(own, pa.bool_())], names=["key", "id", "own"])
 
-def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(h1, h2, line) of the wanted lines, by another pass over the texts; a Bloom filter spares the others the shuffle."""
-    lines = _lines(docs, id_col, text_col).select("line")
-    h1, h2 = bloom.key_hashes(F.col("line"))
-    rows = lines.select(h1.alias("h1"), h2.alias("h2"), "line")
-    filt = bloom.build(wanted, wanted.count(), 0.01, salt=21)
-    if filt is not None:
-        shared = docs.sparkSession.sparkContext.broadcast(filt)
+    return mapped(lines.select("id", "line", "probes"), run, "key long, id long, own boolean")
 
-        @F.pandas_udf("boolean")
-        def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.might_contain(*(x.to_numpy(dtype=np.int64, copy=True).view(np.uint64) for x in (a, b))))
 
-        rows = rows.where(maybe("h1", "h2"))
-    return staged(rows.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")))
+def _lists(keys: DataFrame) -> DataFrame:
+    """The rows of lists that hold an own segment and another line. Sizes are summed in each task first."""
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("any_own"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    good = sizes.where("any_own AND lo <> hi").select(F.col("key").alias("k"), "size")
+    return staged(keys.join(good, F.col("key") == F.col("k")).drop("k"))
 
 
-def _near_by_pairs(short: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(h1, h2) of lines that have an earlier line within ``k``, from pairs of short lists."""
-    left, right = short.where("role = 0").alias("l"), short.alias("r")
-    differ = (F.col("l.h1") != F.col("r.h1")) | (F.col("l.h2") != F.col("r.h2"))
-    once = (F.col("r.role") == 1) | (F.col("l.h1") < F.col("r.h1")) | ((F.col("l.h1") == F.col("r.h1")) & (F.col("l.h2") < F.col("r.h2")))
-    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & differ & once)
-    ordered = [F.when(F.col("l.place") < F.col("r.place"), F.col(f"l.{c}")).otherwise(F.col(f"r.{c}")).alias(f"a_{c}") for c in ("h1", "h2")]
-    later = [F.when(F.col("l.place") < F.col("r.place"), F.col(f"r.{c}")).otherwise(F.col(f"l.{c}")).alias(c) for c in ("h1", "h2")]
-    pairs = pairs.select(*ordered, *later).distinct()
-    joined = pairs.join(texts, ["h1", "h2"]).withColumnRenamed("line", "later")
-    first = texts.select(F.col("h1").alias("a_h1"), F.col("h2").alias("a_h2"), F.col("line").alias("earlier"))
-    joined = joined.join(first, ["a_h1", "a_h2"]).select("h1", "h2", "later", "earlier")
+def _verified(pairs: DataFrame, lines: DataFrame, unit: str, k: int, share: float) -> DataFrame:
+    """Ids of the later lines of those pairs (a, b) that are near."""
+    one = lines.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("place").alias("place_a"))
+    two = lines.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("place").alias("place_b"))
+    joined = pairs.select("a", "b").distinct().join(one, "a").join(two, "b")
+    joined = joined.select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("id"), "line_a", "line_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [within(x.as_py(), y.as_py(), k) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["h1", "h2"]).filter(pa.array(good, pa.bool_()))
-
-    return joined.mapInArrow(verify, "h1 long, h2 long")
-
-
-def _near_by_windows(lines: DataFrame) -> DataFrame:
-    """(h1, h2) of lines that have an earlier line within distance 1 among ``lines`` (h1, h2, place, line); no pairs.
-
-    For each size N, a line of N characters and one of N - 1 give the same key where all but a window of ``WINDOW`` characters is equal.
-    Under such a key two lines of N link if their windows agree but for one place, and one of N - 1 links if
-    its window is the other's less one character. Both are equalities of the window less a character.
-    """
-    n = F.length("line")
-    steps = lambda size: F.sequence(F.lit(0), ((size - 1) / WINDOW).cast("int"))
-
-    def windows(size: Column, lack: int) -> Column:
-        """Of a line with ``size - lack`` characters, as one of ``size``."""
-
-        def one(j: Column) -> Column:
-            start = j * WINDOW
-            stop = F.least(start + WINDOW, size) - lack
-            before, after = F.substring(F.col("line"), F.lit(1), start), F.substring(F.col("line"), stop + 1, n)
-            return F.struct(hash_bits(size, j, before, after, seed=22).alias("k1"), hash_bits(size, j, before, after, seed=23).alias("k2"), F.substring(F.col("line"), start + 1, stop - start).alias("window"))
-
-        return F.transform(steps(size), one)
-
-    own = lines.select("h1", "h2", "place", F.lit(0).alias("lack"), F.explode(windows(n, 0)).alias("w")).select("h1", "h2", "place", "lack", "w.*")
-    less = lines.select("h1", "h2", "place", F.lit(1).alias("lack"), F.explode(windows(n + 1, 1)).alias("w")).select("h1", "h2", "place", "lack", "w.*")
-    rows = staged(own.union(less))
-    several = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c"), F.min("lack").alias("any_own")).where("c > 1 AND any_own = 0").select("k1", "k2")
-    rows = staged(rows.join(several, ["k1", "k2"], "left_semi"))
-    size = F.length("window")
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.struct(i.alias("at"), F.concat(F.substring(F.col("window"), F.lit(1), i - 1), F.substring(F.col("window"), i + 1, size)).alias("rest")))
-    longer = rows.where("lack = 0").select("h1", "h2", "place", "k1", "k2", F.explode(cut).alias("c")).select("h1", "h2", "place", "k1", "k2", "c.*")
-    longer = staged(longer)
-    # lines of one size that differ in one place: all but the first under (key, place of the change, rest)
-    keys = ["k1", "k2", "at", "rest"]
-    least = longer.groupBy(*keys).agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    same = longer.join(least, keys).where(F.col("place") > F.col("least")).select("h1", "h2")
-    # a line and those with one character more
-    keys = ["k1", "k2", "rest"]
-    shorter = rows.where("lack = 1").select("h1", "h2", "place", "k1", "k2", F.col("window").alias("rest"))
-    least = shorter.groupBy(*keys).agg(F.min("place").alias("least"))
-    after_short = longer.join(least, keys).where(F.col("place") > F.col("least")).select("h1", "h2")
-    least = longer.groupBy(*keys).agg(F.min("place").alias("least"))
-    after_long = shorter.join(least, keys).where(F.col("place") > F.col("least")).select("h1", "h2")
-    return same.union(after_short).union(after_long)
-
-
-def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, k: int = THRESHOLD) -> DataFrame:
-    """(h1, h2) of the distinct lines that have an earlier line within ``k``."""
-    if k != 1:
-        raise ValueError("threshold 1 only: lists of any length are then exact without pairs")
-    listed = distinct.select("h1", "h2", "place", F.posexplode("keys").alias("at", "key")).withColumn("role", F.when(F.col("at") < 2, 0).otherwise(1)).drop("at")
-    counts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("role").alias("least"), F.sum(1 - F.col("role")).alias("own")).where("size > 1 AND least = 0")
-    listed = staged(listed.join(counts.select("key", "size"), "key"))
-    short, long = listed.where(F.col("size") <= HOT), listed.where(F.col("size") > HOT)
-    wanted = staged(listed.select("h1", "h2").distinct())
-    texts = _texts(docs, id_col, text_col, wanted)
-    pairs = _near_by_pairs(short, texts, k)
-    hot = long.select("h1", "h2", "place").distinct().join(texts, ["h1", "h2"])
-    return staged(pairs.union(_near_by_windows(hot)).distinct())
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = THRESHOLD) -> DataFrame:
+            good = []
+            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x, y = _split(x, unit), _split(y, unit)
+                good.append(within(x, y, allowed(max(len(x), len(y)), k, share)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:1], names=["id"]).filter(pa.array(good, pa.bool_()))
+
+    return staged(mapped(joined, verify, "id long").distinct())
+
+
+def near_lines(lines: DataFrame, unit: str = UNIT, k: int = THRESHOLD, share: float = SHARE, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
+    """(id) of the distinct lines (id, line, n, place) that have an earlier line within the distance."""
+    spark = lines.sparkSession
+    if k < 1:
+        return spark.createDataFrame([], "id long")
+    near: DataFrame | None = None
+    listed = _lists(_first_keys(lines, unit, k, share))
+    lines = staged(lines.join(listed.select("id").distinct(), "id", "left_semi"))  # all that can matter from here on
+    for level in range(1, levels + 1):
+        short, long = listed.where(F.col("size") <= hot), listed.where(F.col("size") > hot)
+        pairs = _pairs(short, F.lit(True))
+        # a long list's lines against its earliest one
+        own = long.where("own").join(lines.select("id", "place"), "id").groupBy("key").agg(F.min(F.struct("place", "id")).alias("first"))
+        star = long.join(own.select(F.col("key").alias("k"), F.col("first.id").alias("centre")), F.col("key") == F.col("k")).where("id <> centre")
+        star = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+        found = _verified(pairs.unionByName(star), lines, unit, k, share)
+        near = found if near is None else staged(near.union(found).distinct())
+        if long.isEmpty():
+            return near
+        inside = long.select("id").distinct()
+        if level < levels:
+            asked = lines.join(inside, "id", "left_semi").join(near.withColumn("known", F.lit(True)), "id", "left")
+            listed = _lists(_deeper_keys(asked.select("id", "line", F.col("known").isNull().alias("probes")), unit, k, share, level + 1))
+    # what the levels leave: lines not settled yet against the lists that they are in
+    open_ids = near.select(F.col("id").alias("i"))
+    rest = long.join(open_ids, F.col("id") == F.col("i"), "left").withColumn("open", F.col("i").isNull()).drop("i")
+    return staged(near.union(_verified(_pairs(rest, F.col("l.open") | F.col("r.open")), lines, unit, k, share)).distinct())
+
+
+def _pairs(rows: DataFrame, extra: Column) -> DataFrame:
+    """(a, b) of lines that meet in a list, one by its own segment."""
+    left, right = rows.where("own").alias("l"), rows.alias("r")
+    once = ~F.col("r.own") | (F.col("l.id") < F.col("r.id"))
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") != F.col("r.id")) & once & extra)
+    return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = THRESHOLD, share: float = SHARE, unit: str = UNIT) -> DataFrame:
     """``docs`` with ``text_col`` less its dropped lines, and n_lines, n_kept, n_exact, n_near (long).
 
-    Lines are cut at line feeds; only lines with a word count, the others stay where they are. A line stays if no equal line and
-    no line within distance ``k`` (both of ``MIN_CHARS`` characters or more) comes before it, by id (null first), then a hash of
-    the text, then place; dropped lines count as coming before too.
+    Lines are cut at line feeds; only lines with a word count, the others stay where they are. With ``unit`` 'word' a line is
+    its words (white space between them doesn't count), with 'char' its characters. A line stays if no equal line and no line within ``k`` edits of a
+    symbol, nor more than ``share`` of the longer one's symbols, comes before it, by id (null first), then a hash of
+    the text, then place; dropped lines count as coming before too. So short lines (under 10 words at the default share) are dropped as
+    equal only: one word of five makes another line.
 
     Null texts stay null with zeros. Rows that repeat id and text are one document: all keep the same lines. Very long lines
-    cost their length. An empty table gives no rows. Input columns named like the results are replaced.
+    cost their length. An empty table gives no rows. Input columns named like the results are replaced; other columns may have any name.
     """
-    distinct = _distinct_lines(docs, id_col, text_col)
-    near = near_lines(docs, distinct, id_col, text_col, k).withColumn("is_near", F.lit(True))
-    marked = distinct.select("h1", "h2", "place").join(near, ["h1", "h2"], "left")
-    kept = marked.groupBy("place.doc", "place.mark").agg(F.sort_array(F.collect_list(F.when(F.col("is_near").isNull(), F.col("place.no")))).alias("_kept"), F.count("is_near").alias("_near"))
+    lines = distinct_lines(docs, id_col, text_col, unit)
+    near = near_lines(lines, unit, k, share).select(F.col("id").alias("near_id"))
+    marked = lines.select("id", "place").join(broadcast_if_small(near, 16), F.col("id") == F.col("near_id"), "left")
     added = ("n_lines", "n_kept", "n_exact", "n_near")
     columns = [c for c in docs.columns if c not in added]
-    marks = docs.select(*columns, hash_bits(F.col(text_col), seed=2).alias("_mark"))
-    joined = marks.join(kept, marks[id_col].eqNullSafe(kept["doc"]) & (marks["_mark"] == kept["mark"]), "left")
+    mark, doc, of_mark, places, n_near = free_names(columns, "mark", "doc", "of_mark", "places", "near")
+    kept = marked.groupBy(F.col("place.doc").alias(doc), F.col("place.mark").alias(of_mark)).agg(F.sort_array(F.collect_list(F.when(F.col("near_id").isNull(), F.col("place.no")))).alias(places), F.count("near_id").alias(n_near))
+    rows = docs.select(*map(col, columns), hash_bits(col(text_col), seed=2).alias(mark))
+    joined = rows.join(kept, col(id_col).eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(of_mark)), "left")
     where = columns.index(text_col)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,5 +313,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             del out, counts, arrays
             give_back()
 
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
-    return joined.select(*columns, "_kept", "_near").mapInArrow(rebuild, ", ".join([*kinds, *(f"{c} long" for c in added)]))
+    return mapped(joined.select(*map(col, columns), places, n_near), rebuild, ", ".join([*typed(docs, columns), *(f"{c} long" for c in added)]))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import staged, text_or_empty
+from deckloom.llm.common import BROADCAST_BYTES, col, free_names, mapped, staged, text_or_empty, typed
 
 WIDTH = 576
 PAD = 255
@@ -26,6 +26,9 @@ HIDDEN = frozenset(("script", "style", "template", "noscript", "head"))
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 MEDIA = frozenset(("img", "video", "audio", "source", "embed"))
 
+#: Parts of one digest beyond which it counts as hot; bytes of a row of ``media`` (features, not payloads); tasks that share a hot digest.
+HOT_PARTS, MEDIA_ROW_BYTES, SALTS = 256, 512, 16
+
 PART = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
 PART_SQL = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>"
 
@@ -108,21 +111,35 @@ def interleaved(docs: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
             parts = pa.array([parse_parts(h.as_py()) for h in batch.column(batch.num_columns - 1)], pa.list_(PART))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], parts], names=[*keep, "parts"])
 
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.select(*keep, F.col(html_col).alias("_html")).mapInArrow(run, ", ".join([*kinds, f"parts {PART_SQL}"]))
+    (html,) = free_names(list(keep), "html")
+    return mapped(docs.select(*map(col, keep), col(html_col).alias(html)), run, ", ".join([*typed(docs, list(keep)), f"parts {PART_SQL}"]))
 
 
 def resolve(parts: DataFrame, media: DataFrame, id_col: str, media_cols: tuple[str, ...] = ("media",)) -> DataFrame:
     """One row a part, in place: id, pos, kind, text, caption, digest and the columns of ``media`` (keyed by digest).
 
     A reference whose payload is missing keeps its row with nulls, so positions and captions stay aligned. ``media`` has one
-    row a digest; a digest that many documents share is split by adaptive execution, since only rows of parts are skewed.
+    row a digest. Digests of more than ``HOT_PARTS`` parts are counted first, with partial sums: their few rows of ``media`` are broadcast if they
+    fit (else their parts are spread over ``SALTS`` tasks each), so no task gets all parts that share a payload; the rest meet in an equi-join.
     """
-    rows = parts.select(F.col(id_col), F.explode_outer("parts").alias("p")).select(id_col, "p.*")
+    rows = parts.select(col(id_col), F.explode_outer("parts").alias("p")).select(id_col, "p.*")
     digest = F.regexp_extract(F.coalesce("ref", F.lit("")), r"^media:([0-9a-f]{64})$", 1)
-    rows = rows.withColumn("digest", F.when(digest != "", digest))
+    rows = staged(rows.withColumn("digest", F.when(digest != "", digest)).drop("ref"))
     own = media.select(F.col("digest").alias("_digest"), *media_cols)
-    return rows.join(own, F.col("digest") == F.col("_digest"), "left").drop("_digest", "ref")
+    hot = staged(rows.where("digest IS NOT NULL").groupBy("digest").count().where(F.col("count") > HOT_PARTS).select(F.col("digest").alias("_hot")))
+    many = hot.count()
+    if not many:
+        return rows.join(own, F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    if many * MEDIA_ROW_BYTES <= BROADCAST_BYTES:
+        few = F.broadcast(staged(own.join(F.broadcast(hot), F.col("_digest") == F.col("_hot")).drop("_hot")))
+        is_hot = rows.join(F.broadcast(hot), F.col("digest") == F.col("_hot"), "left")
+        shared = is_hot.where("_hot IS NOT NULL").drop("_hot").join(few, F.col("digest") == F.col("_digest"), "left")
+        rest = is_hot.where("_hot IS NULL").drop("_hot").join(own, F.col("digest") == F.col("_digest"), "left")
+        return shared.unionByName(rest).drop("_digest")
+    salt = F.pmod(F.xxhash64(col(id_col), F.col("pos")), F.lit(SALTS))
+    spread = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    met = rows.withColumn("_own_salt", salt).join(spread, (F.col("digest") == F.col("_digest")) & (F.col("_own_salt") == F.col("_salt")), "left")
+    return met.drop("_digest", "_salt", "_own_salt")
 
 
 def padded(payload: bytes) -> bytes:
@@ -186,7 +203,7 @@ def store_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
         digests, sizes, images = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(digests), pa.array(sizes, pa.int64()), pa.array(images, pa.binary())], names=["digest", "n_bytes", "media"])
 
-    return staged(docs.select(text_or_empty(text_col).cast("binary").alias("payload")).mapInArrow(run, "digest string, n_bytes long, media binary"))
+    return staged(mapped(docs.select(text_or_empty(col(text_col)).cast("binary").alias("payload")), run, "digest string, n_bytes long, media binary"))
 
 
 def media_table(stored: DataFrame) -> DataFrame:
@@ -215,7 +232,7 @@ def media_features(stored: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    found = stored.mapInArrow(run, schema)
+    found = mapped(stored, run, schema)
     return found.groupBy("digest").agg(*[F.first(c).alias(c) for c in names[1:]])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import WORD, broadcast_if_small, staged, text_or_empty
+from deckloom.llm.common import WORD, broadcast_if_small, col, free_names, staged, text_or_empty
 from deckloom.llm.prefix import running_totals
 
 #: Weights of the sources in their order, repeating.
@@ -37,7 +37,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
     Targets share ``share`` of all words by weight; one that would pass ``cap`` times its source stops there and the
     excess is shared again by weight. With sources sorted by cap / weight, the level at which the others settle is the
-    largest of the levels that the running sums give, so no loop is needed. One row a source, however many documents.
+    largest of the levels that the running sums give, so no loop is needed. One row a source, however many documents: the
+    windows over all sources run in one task, so what grows there is the number of sources, not the corpus.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("rank", F.row_number().over(by_name) - 1)
@@ -96,20 +97,18 @@ def mixed_documents(docs: DataFrame, quality: Column | None = None, id_col: str
 
     The document at a source's bound is taken if at least half of it fits. The running totals give one bounding key a
     source, and documents are chosen by comparing with it: texts are neither joined by id nor shuffled while the table
-    of sources is below the broadcast bound. Repeated rows tie at the bound and go together.
+    of sources is below the broadcast bound. Repeated rows tie at the bound and go together; null and empty texts have no words and go with the
+    epochs and as long as the bound isn't passed. Ids of any type, columns of any name; an empty table gives no rows.
     """
     quality = symbol_quality(F.col(text_col)) if quality is None else quality
     rows, targets = sampled(docs, quality, id_col, text_col, source_col, seed)
-    mark = F.struct(F.col("_key").alias("k"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")).alias("i"), F.col("size").alias("s"))
-    last = rows.where(2 * F.col("_into") + F.col("size") <= 2 * F.col("remainder")).groupBy("source").agg(F.max(mark).alias("_last"))
-    bounds = targets.alias("t").join(last.alias("l"), F.expr("t.source <=> l.source"), "left").select(F.col("t.source").alias("_source"), F.col("t.epochs").alias("_epochs"), "_last")
+    # a null id sorts first in a struct, as it does in the sampling order
+    mark = F.struct(F.col("_key").alias("k"), F.col("doc_id").alias("i"), F.col("size").alias("s"))
+    last = rows.where(2 * F.col("_into") + F.col("size") <= 2 * F.col("remainder")).groupBy("source").agg(F.max(mark).alias("last"))
+    of_source, epochs, bound, own, copy = free_names(docs.columns, "source", "epochs", "last", "own", "copy")
+    bounds = targets.alias("t").join(last.alias("l"), F.expr("t.source <=> l.source"), "left").select(F.col("t.source").alias(of_source), F.col("t.epochs").alias(epochs), F.col("l.last").alias(bound))
     bounds = broadcast_if_small(staged(bounds), SOURCE_ROW_BYTES)
-    own = F.struct(
-        sampling_key(F.col(id_col), quality, seed).alias("k"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("i"),
-        F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("s"),
-    )
-    keyed = docs.withColumn("_own", own)
-    joined = keyed.join(bounds, keyed[source_col].eqNullSafe(bounds["_source"]))
-    copies = F.col("_epochs") + F.when(F.col("_own") <= F.col("_last"), 1).otherwise(0)
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[joined[c] for c in docs.columns])
+    key = F.struct(sampling_key(col(id_col), quality, seed).alias("k"), col(id_col).alias("i"), F.regexp_count(text_or_empty(col(text_col)), F.lit(WORD)).cast("long").alias("s"))
+    joined = docs.withColumn(own, key).join(bounds, col(source_col).eqNullSafe(F.col(of_source)))
+    copies = F.col(epochs) + F.when(F.col(own) <= F.col(bound), 1).otherwise(0)
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*map(col, docs.columns))

@@ -10,21 +10,24 @@ model it is the best path.
 from __future__ import annotations
 
 import heapq
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.llm.text import give_back, mixed
+from deckloom.llm.common import col, free_names, mapped, typed
+from deckloom.llm.text import equal_spans, give_back, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts are taken in groups of about so many bytes.
-GROUP_BYTES = 1 << 20
-#: Segments that a worker remembers between batches; then it starts anew.
-CACHE_SEGMENTS = 1 << 18
+GROUP_BYTES = 1 << 18
+#: Bytes of segments, ids and tables that a worker remembers between groups; then it starts anew.
+CACHE_BYTES = 12 << 20
 #: Segments of more symbols merge by a heap of their own.
 LONG = 64
 SPACE = "▁".encode()
@@ -43,6 +46,9 @@ class Vocabulary:
     bpe: bool
     unk: int
 
+    def __post_init__(self) -> None:
+        self.probes = Probes(self.pieces)
+
     @staticmethod
     def load(path: str = MODEL) -> Vocabulary:
         from sentencepiece import sentencepiece_model_pb2
@@ -85,76 +91,84 @@ def _first_bytes(text: np.ndarray, depth: int) -> np.ndarray:
     return one
 
 
-def suffix_array(text: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+class Probes:
+    """What the pieces' binary searches need, made once a vocabulary: their bytes as numbers, padded to the least and the greatest
+    suffix that begins with them; pieces of more than 8 bytes in several numbers."""
+
+    def __init__(self, pieces: list[bytes]):
+        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.sizes, self.depth = sizes, int(sizes.max(initial=1))
+        self.levels = -(-self.depth // 8)
+        self.short, self.deep = np.flatnonzero(sizes <= 8), np.flatnonzero(sizes > 8)
+        self.low, self.high = (self._numbers([pieces[k] for k in self.short], 1, pad)[:, 0] for pad in (b"\0", b"\xff"))
+        self.deep_low, self.deep_high = (self._numbers([pieces[k] for k in self.deep], self.levels, pad) for pad in (b"\0", b"\xff"))
+        self.heads = np.unique(self.deep_low[:, 0])
+
+    @staticmethod
+    def _numbers(pieces: list[bytes], levels: int, pad: bytes) -> np.ndarray:
+        return np.frombuffer(b"".join(p.ljust(8 * levels, pad) for p in pieces), dtype=">u8").astype(np.uint64).reshape(len(pieces), levels)
+
+
+def suffix_array(text: np.ndarray, probes: Probes) -> tuple[np.ndarray, np.ndarray]:
     """Positions sorted by their next bytes, and the bytes at each position (``_first_bytes``).
 
     Sorted by 8 bytes, and by as many as the longest piece has where a piece of more than 8 bytes begins as the suffix does:
     only there could a deeper order be asked for.
     """
-    depth = max(map(len, pieces), default=1)
-    at = _first_bytes(text, depth)
+    at = _first_bytes(text, probes.depth)
     order = np.argsort(at[: len(text)])
-    deep = sorted({p[:8] for p in pieces if len(p) > 8})
-    if deep and len(order):
-        heads = np.frombuffer(b"".join(deep), dtype=">u8").astype(np.uint64)
+    if len(probes.heads) and len(order):
         first = at[order]
-        a, b = np.searchsorted(first, heads), np.searchsorted(first, heads, side="right")
+        a, b = np.searchsorted(first, probes.heads), np.searchsorted(first, probes.heads, side="right")
         sizes = b - a
         where = np.repeat(a, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         part = order[where]
-        order[where] = part[np.lexsort(tuple(at[part + 8 * k] for k in range(-(-depth // 8) - 1, -1, -1)))]
+        order[where] = part[np.lexsort(tuple(at[part + 8 * k] for k in range(probes.levels - 1, -1, -1)))]
     return order, at
 
 
-def occurrences(order: np.ndarray, at: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(order: np.ndarray, at: np.ndarray, probes: Probes) -> tuple[np.ndarray, np.ndarray]:
     """For each piece the range of the suffix array whose suffixes begin with it, by binary search."""
-    short = np.array([len(p) <= 8 for p in pieces], dtype=bool)
-    out = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
+    out = np.zeros(len(probes.sizes), dtype=np.int64), np.zeros(len(probes.sizes), dtype=np.int64)
     first = at[order]
-    bounds = [np.frombuffer(b"".join(p.ljust(8, pad) for p in pieces if len(p) <= 8), dtype=">u8").astype(np.uint64) for pad in (b"\0", b"\xff")]
-    out[0][short], out[1][short] = np.searchsorted(first, bounds[0]), np.searchsorted(first, bounds[1], side="right")
-    if not short.all():
-        out[0][~short], out[1][~short] = _occurrences_deep(order, at, [p for p in pieces if len(p) > 8])
+    out[0][probes.short], out[1][probes.short] = np.searchsorted(first, probes.low), np.searchsorted(first, probes.high, side="right")
+    for found, target, right in ((out[0], probes.deep_low, False), (out[1], probes.deep_high, True)):
+        found[probes.deep] = _search_deep(order, at, target, right)
     return out
 
 
-def _occurrences_deep(order: np.ndarray, at: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    levels = -(-max(map(len, pieces)) // 8)
-    low, high = (np.frombuffer(b"".join(p.ljust(8 * levels, pad) for p in pieces), dtype=">u8").astype(np.uint64).reshape(len(pieces), -1) for pad in (b"\0", b"\xff"))
+def _search_deep(order: np.ndarray, at: np.ndarray, target: np.ndarray, right: bool) -> np.ndarray:
+    """Binary search of all targets (several numbers each) at once."""
+    pieces, levels = target.shape
     n = len(order)
-    out = []
-    for target, right in ((low, False), (high, True)):
-        a, b = np.zeros(len(pieces), dtype=np.int64), np.full(len(pieces), n, dtype=np.int64)
-        while (a < b).any():
-            mid = (a + b) >> 1
-            suffix = order[np.minimum(mid, max(n - 1, 0))]
-            before, equal = np.zeros(len(pieces), dtype=bool), np.ones(len(pieces), dtype=bool)
-            for k in range(levels):
-                here = at[suffix + 8 * k]
-                before |= equal & (here < target[:, k])
-                equal &= here == target[:, k]
-            if right:
-                before |= equal
-            go = a < b
-            a = np.where(go & before, mid + 1, a)
-            b = np.where(go & ~before, mid, b)
-        out.append(a)
-    return out[0], out[1]
+    a, b = np.zeros(pieces, dtype=np.int64), np.full(pieces, n, dtype=np.int64)
+    while (a < b).any():
+        mid = (a + b) >> 1
+        suffix = order[np.minimum(mid, max(n - 1, 0))]
+        before, equal = np.zeros(pieces, dtype=bool), np.ones(pieces, dtype=bool)
+        for k in range(levels):
+            here = at[suffix + 8 * k]
+            before |= equal & (here < target[:, k])
+            equal &= here == target[:, k]
+        if right:
+            before |= equal
+        go = a < b
+        a = np.where(go & before, mid + 1, a)
+        b = np.where(go & ~before, mid, b)
+    return a
 
 
 class Lattice:
     """All occurrences of pieces in a text: edges sorted by position and length."""
 
     def __init__(self, text: np.ndarray, vocab: Vocabulary):
-        depth = max(map(len, vocab.pieces), default=1)
-        order, at = suffix_array(text, vocab.pieces)
-        low, high = occurrences(order, at, vocab.pieces)
+        order, at = suffix_array(text, vocab.probes)
+        low, high = occurrences(order, at, vocab.probes)
         counts = high - low
-        self.shift = int(depth).bit_length()
+        self.shift = vocab.probes.depth.bit_length()
         bits = int(len(counts)).bit_length()
         # position, length and piece in one number: a plain sort puts the edges in order
-        lengths = np.array([len(p) for p in vocab.pieces], dtype=np.int64)
-        edge = np.repeat((lengths << bits) | np.arange(len(counts)), counts)
+        edge = np.repeat((vocab.probes.sizes << bits) | np.arange(len(counts)), counts)
         inside = np.arange(len(edge)) - np.repeat(np.cumsum(counts) - counts - low, counts)
         edge |= order[inside] << (self.shift + bits)
         edge.sort()
@@ -290,7 +304,7 @@ def _relax_unigram(bounds: np.ndarray, seg_start: np.ndarray, seg_stop: np.ndarr
 
 
 class Encoder:
-    """Encodes texts in groups; remembers the ids of up to ``CACHE_SEGMENTS`` segments."""
+    """Encodes texts in groups; remembers segments with their bytes and ids, up to ``CACHE_BYTES``."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
@@ -302,8 +316,13 @@ class Encoder:
     def forget(self) -> None:
         self.known = np.zeros(0, dtype=np.uint64)  # hashes of segments, sorted, with their slots
         self.slots = np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.int32)
+        self.flat = np.zeros(0, dtype=np.int32)  # ids of the slots
         self.at = np.zeros(1, dtype=np.int64)
+        self.raw = np.zeros(0, dtype=np.uint8)  # bytes of the slots
+        self.raw_at = np.zeros(1, dtype=np.int64)
+
+    def held(self) -> int:
+        return sum(x.nbytes for x in (self.known, self.slots, self.flat, self.at, self.raw, self.raw_at))
 
     def segments(self, segs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct segments in one array, and their counts."""
@@ -342,31 +361,52 @@ class Encoder:
         begins[row_start[sizes > 0]] = True
         start = np.flatnonzero(begins)
         stop = np.concatenate((start[1:], [len(data)]))
-        hashes = _segment_hashes(data, start, stop)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_SEGMENTS:
-            self.forget()
-        place = np.searchsorted(self.known, unique)
-        have = np.zeros(len(unique), dtype=bool)
-        inside = place < len(self.known)
-        have[inside] = self.known[place[inside]] == unique[inside]
-        new = np.flatnonzero(~have)
-        if len(new):
-            raw = memoryview(data)
-            found, counts = self.segments([bytes(raw[a:b]) for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
-            base = len(self.at) - 1
-            self.known = np.insert(self.known, place[new], unique[new])
-            self.slots = np.insert(self.slots, place[new], np.arange(base, base + len(new)))
-            self.flat = np.concatenate((self.flat, found))
-            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(counts)))
-            place = np.searchsorted(self.known, unique)
-        slots = self.slots[place][inverse]
+        slots = self._slots(data, start, stop)
         counts = self.at[slots + 1] - self.at[slots]
         where = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - self.at[slots], counts)
         row = np.searchsorted(row_start, start, side="right") - 1
         per_row = np.bincount(row, weights=counts, minlength=len(rows)).astype(np.int64)
         return self.flat[where], np.concatenate(([0], np.cumsum(per_row)))
 
+    def _slots(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Where the ids of each segment are kept; new segments are encoded first.
+
+        Hashes only find candidates: a segment takes another's ids after their bytes were compared, and those that share a hash
+        with other bytes are encoded on their own.
+        """
+        if self.held() > CACHE_BYTES:
+            self.forget()
+        size = stop - start
+        unique, first, inverse = np.unique(span_hashes(data, start, stop), return_index=True, return_inverse=True)
+        twin = first[inverse]
+        alone = np.flatnonzero((size != size[twin]) | ~equal_spans(data, start, data, start[twin], np.minimum(size, size[twin])))
+        place = np.searchsorted(self.known, unique)
+        found = np.zeros(len(unique), dtype=np.int64)
+        known = np.zeros(len(unique), dtype=bool)
+        inside = np.flatnonzero(place < len(self.known))
+        known[inside] = self.known[place[inside]] == unique[inside]
+        hit = np.flatnonzero(known)
+        found[hit] = self.slots[place[hit]]
+        fits = self.raw_at[found[hit] + 1] - self.raw_at[found[hit]] == size[first[hit]]
+        fits[fits] = equal_spans(data, start[first[hit[fits]]], self.raw, self.raw_at[found[hit[fits]]], size[first[hit[fits]]])
+        new, other = np.flatnonzero(~known), hit[~fits]
+        view = memoryview(data)
+        spans = np.concatenate((first[new], first[other], alone)).tolist()
+        if spans:
+            raw = [bytes(view[a:b]) for a, b in zip(start[spans].tolist(), stop[spans].tolist(), strict=True)]
+            ids, counts = self.segments(raw)
+            base = len(self.at) - 1
+            self.flat = np.concatenate((self.flat, ids))
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(counts)))
+            self.raw = np.concatenate((self.raw, np.frombuffer(b"".join(raw), dtype=np.uint8)))
+            self.raw_at = np.concatenate((self.raw_at, self.raw_at[-1] + np.cumsum([len(r) for r in raw])))
+            self.known = np.insert(self.known, place[new], unique[new])
+            self.slots = np.insert(self.slots, place[new], np.arange(base, base + len(new)))
+            found[new], found[other] = np.arange(base, base + len(new)), np.arange(base + len(new), base + len(new) + len(other))
+        out = found[inverse]
+        out[alone] = len(self.at) - 1 - len(alone) + np.arange(len(alone))
+        return out
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The texts of id lists; the dummy prefix's space goes."""
         counts = self.surface_at[ids + 1] - self.surface_at[ids]
@@ -376,27 +416,28 @@ class Encoder:
         return [raw[a + 1 if raw[a : a + 1] == b" " else a : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_BYTES = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
-def _segment_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    from deckloom.llm.text import _BASE, _INVERSE, _power
-
-    values = _BYTES[data] * _power(_BASE, len(data))
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values, dtype=np.uint64)))
-    return mixed((sums[stop] - sums[start]) * _power(_INVERSE, len(data))[start] + (stop - start).astype(np.uint64))
-
-
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str = MODEL) -> Encoder:
-    """This worker's encoder for the model file."""
+    """This process's encoder for the model file."""
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = Encoder(Vocabulary.load(path))
     return _encoders[path]
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Send the model file to all executors; returns the name under which workers find it."""
+    if path not in _shipped.setdefault(spark.sparkContext.applicationId, set()):
+        spark.sparkContext.addFile(path)
+        _shipped[spark.sparkContext.applicationId].add(path)
+    return os.path.basename(path)
+
+
+_shipped: dict[str, set[str]] = {}
+
+
 def _groups(texts: pa.Array) -> Iterator[list[bytes]]:
     held, size = [], 0
     for value in texts:
@@ -413,13 +454,14 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, token_ids array<int>, n_tokens, n_bytes, round_trip) of every whole text.
 
     ``round_trip``: decoding the ids gives the text (with U+2581 as a space, which the model does not tell apart). Null texts and
-    empty ones have no tokens; null text is not told from empty here. Characters without a piece become byte pieces.
+    empty ones have no tokens; null text is not told from empty here. Characters without a piece become byte pieces. Repeated rows come back as often as
+    given, null ids too; an empty table gives no rows; other columns are ignored. Very long texts are groups of their own.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    name = shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()  # what earlier stages left in this worker
-        own = encoder(model)
+        own = encoder(SparkFiles.get(name))
         for batch in batches:
             done = 0
             for texts in _groups(batch.column(1)):
@@ -437,17 +479,22 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     names=["id", "token_ids", "n_tokens", "n_bytes", "round_trip"],
                 )
                 done += len(texts)
+                del texts, ids, back
             give_back()
+        _encoders.clear()  # a worker lives on: the vocabulary and what it remembers don't
+        del own
+        give_back()
 
-    shaped = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return shaped.mapInArrow(run, f"id {kind}, token_ids array<int>, n_tokens long, n_bytes long, round_trip boolean").withColumnRenamed("id", id_col)
+    shaped = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"))
+    return mapped(shaped, run, f"id {kind}, token_ids array<int>, n_tokens long, n_bytes long, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, keep: tuple[str, ...], ids_col: str = "token_ids", model: str = MODEL) -> DataFrame:
     """``keep`` and ``text``: the texts of id lists (null for null)."""
+    name = shipped(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model)
+        own = encoder(SparkFiles.get(name))
         for batch in batches:
             lists = [x.values.to_numpy(zero_copy_only=False).astype(np.int32) if x.is_valid else np.zeros(0, np.int32) for x in batch.column(batch.num_columns - 1)]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
@@ -456,5 +503,5 @@ def decode_ids(encoded: DataFrame, keep: tuple[str, ...], ids_col: str = "token_
             valid = batch.column(batch.num_columns - 1).is_valid().to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([t if ok else None for t, ok in zip(texts, valid, strict=True)], pa.string())], names=[*keep, "text"])
 
-    kinds = [f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep]
-    return encoded.select(*keep, F.col(ids_col).alias("_ids")).mapInArrow(run, ", ".join([*kinds, "text string"]))
+    (ids,) = free_names(list(keep), "ids")
+    return mapped(encoded.select(*map(col, keep), col(ids_col).alias(ids)), run, ", ".join([*typed(encoded, list(keep)), "text string"]))

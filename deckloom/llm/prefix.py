@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from deckloom.llm.common import shuffle_partitions, staged
 
 
+#: Rows that a part holds at most, about; small tables keep the session's number of shuffle partitions.
+ROWS_A_PART = 1 << 22
+
+
 def running_totals(df: DataFrame, order: list[Column], value: str) -> DataFrame:
     """Append ``_before`` (sum of ``value`` over all earlier rows), ``_index`` (rows before) and ``_total``.
 
@@ -20,7 +24,8 @@ def running_totals(df: DataFrame, order: list[Column], value: str) -> DataFrame:
     """
     spark = df.sparkSession
     salted = staged(df.withColumn("_salt", F.monotonically_increasing_id()))
-    placed = staged(salted.repartitionByRange(shuffle_partitions(spark), *order, F.col("_salt")).withColumn("_part", F.spark_partition_id()))
+    n_parts = max(shuffle_partitions(spark), -(-salted.count() // ROWS_A_PART))
+    placed = staged(salted.repartitionByRange(n_parts, *order, F.col("_salt")).withColumn("_part", F.spark_partition_id()))
     parts = placed.groupBy("_part").agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -32,7 +37,7 @@ def running_totals(df: DataFrame, order: list[Column], value: str) -> DataFrame:
     )
     inside = Window.partitionBy("_part").orderBy(*order, F.col("_salt"))
     so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
-    # one row a part: the count of shuffle partitions bounds what is broadcast
+    # one row a part: some tens of bytes for each ROWS_A_PART rows
     return (
         placed.join(F.broadcast(offsets), "_part")
         .withColumn("_before", F.coalesce(F.sum(value).over(so_far), F.lit(0)) + F.col("_sum0"))

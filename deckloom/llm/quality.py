@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import staged
-from deckloom.llm.text import Words, groups, mixed
+from deckloom.llm.common import col, mapped, staged
+from deckloom.llm.text import Words, give_back, groups, mixed
 
 #: Base rules: fewer words, or more than so many percent of words in repeated windows, fail.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -91,11 +91,12 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, features(batch.column(1)))], names=["id", *FIELDS])
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     # bytes, not strings: an unpaired surrogate in a text can't stop the pass
-    shaped = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return shaped.mapInArrow(run, f"id {kind}, " + ", ".join(f"{f} long" for f in FIELDS))
+    shaped = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"))
+    return mapped(shaped, run, f"id {kind}, " + ", ".join(f"{f} long" for f in FIELDS))
 
 
 #: Each rule votes 1 (good), -1 (poor) or 0 (abstains), over all documents with a word.

@@ -63,8 +63,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
 
 
+def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of every page's html, in order."""
+    parts = media.interleaved(table(spark, sf_dir, "pages"), "html", ("page_id",))
+    return parts.select("page_id", F.explode_outer("parts").alias("p")).select("page_id", "p.pos", "p.kind", "p.text", "p.ref", "p.caption")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_line_dedup, op3_ngram_join, op4_url_filter, op5_warc, op6_language, op7_media, op8_pieces, op9_shards, op10_quality)
+    f.__name__: f for f in (op1_mix, op2_line_dedup, op3_ngram_join, op4_url_filter, op5_warc, op6_language, op7_media, op8_pieces, op9_shards, op10_quality, interleaved_pages)
 }
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"

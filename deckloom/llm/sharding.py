@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import text_or_empty
+from deckloom.llm.common import col, free_names, text_or_empty
 from deckloom.llm.prefix import running_totals
 
 #: Bytes that a row takes beside its text.
@@ -43,15 +43,23 @@ def balanced_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text
     )
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_shards(docs: DataFrame, path: str, n_shards: int, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard") -> None:
     """Write the documents as Parquet under ``path/shard=K``; rows of one shard stay in the order of their slots.
 
-    Rows with equal id and text share their place.
+    A document's shard follows from its place among the running totals, which is found again by (id, checksum, size) and its turn among the
+    rows that share them; texts are shuffled once, to their shard. A column of ``docs`` named as ``shard_col`` would clash with the
+    folders' and raises.
     """
-    text = text_or_empty(text_col)
-    placed = balanced_shards(docs, n_shards, id_col, text_col).groupBy(F.col(id_col).alias("_id"), F.col("text_crc32").alias("_crc")).agg(
-        F.min("shard").alias("shard"), F.min("slot").alias("_slot")
-    )
-    keyed = docs.withColumn("_crc", F.crc32(text.cast("binary")))
-    joined = keyed.join(placed, keyed[id_col].eqNullSafe(placed["_id"]) & (keyed["_crc"] == placed["_crc"])).drop("_id", "_crc")
-    joined.repartitionByRange(n_shards, "shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_slot").write.partitionBy("shard").parquet(path)
+    if shard_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs have a column {shard_col}: name another one for the folders")
+    text = text_or_empty(col(text_col))
+    of_id, crc, size, turn, slot = free_names(docs.columns, "id", "crc", "size", "turn", "slot")
+    twins = Window.partitionBy(of_id, crc, size)
+    placed = balanced_shards(docs, n_shards, id_col, text_col).select(col(id_col).alias(of_id), F.col("text_crc32").alias(crc), F.col("size").alias(size), F.col("shard").alias(shard_col), F.col("slot").alias(slot))
+    placed = placed.withColumn(turn, F.row_number().over(twins.orderBy(shard_col, slot)))
+    keyed = docs.withColumns({crc: F.crc32(text.cast("binary")), size: F.octet_length(text).cast("long") + ROW_BYTES})
+    keyed = keyed.withColumn(turn, F.row_number().over(Window.partitionBy(id_col, crc, size).orderBy(F.lit(1))))
+    same = [keyed[id_col].eqNullSafe(placed[of_id]), *[keyed[c] == placed[c] for c in (crc, size, turn)]]
+    joined = keyed.join(placed, same[0] & same[1] & same[2] & same[3]).select(*[keyed[c] for c in docs.columns], placed[shard_col], placed[slot])
+    dealt = joined.repartitionByRange(n_shards, shard_col, slot).sortWithinPartitions(shard_col, slot)
+    dealt.drop(slot).write.partitionBy(shard_col).parquet(path)

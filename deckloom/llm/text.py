@@ -7,6 +7,7 @@ pattern ``[^\\x20\\x09-\\x0D]+``.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,10 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_RANDOM = np.random.default_rng(20240229)
-_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers: dict[int, np.ndarray] = {}
+#: Bytes of a word that are mixed block by block; a longer word is known by a digest.
+BLOCKED = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
 def give_back() -> None:
@@ -42,17 +41,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n-1) modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(19, (n - 1).bit_length())
-        have = np.ones(size, dtype=np.uint64)
-        have[1:] = base
-        np.multiply.accumulate(have, out=have)
-        if size <= 1 << 20:  # a rare longer text doesn't keep its table
-            _powers[base] = have
-    return have[:n]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as one little-endian number (zeros follow the data): a view, nothing is spread out."""
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64 bits of each span's bytes. The state is mixed after each 8 bytes, so no arithmetic relation of the bytes makes two spans
+    collide; spans of over ``BLOCKED`` bytes are known by a digest."""
+    size = (stop - start).astype(np.int64)
+    out = mixed(size.astype(np.uint64) * _MIX1 + _MIX2)
+    wide = eights(data)
+    active = np.flatnonzero(size <= BLOCKED)
+    at, rest = start[active], size[active]
+    while len(active):
+        block = wide[at] & _MASKS[np.minimum(rest, 8)]
+        out[active] = mixed((out[active] * _MIX2 + _MIX1) ^ block)
+        more = rest > 8
+        active, at, rest = active[more], at[more] + 8, rest[more] - 8
+    long = np.flatnonzero(size > BLOCKED)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        spans = zip(start[long].tolist(), stop[long].tolist(), strict=True)
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in spans]
+    return out
+
+
+def equal_spans(data: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``size`` bytes in ``data`` and ``other`` are the same, byte for byte."""
+    same = np.ones(len(size), dtype=bool)
+    one, two = eights(data), eights(other)
+    active, a, b, rest = np.arange(len(size)), start, other_start, size
+    while len(active):
+        differ = ((one[a] ^ two[b]) & _MASKS[np.minimum(rest, 8)]) != 0
+        same[active[differ]] = False
+        more = ~differ & (rest > 8)
+        active, a, b, rest = active[more], a[more] + 8, b[more] + 8, rest[more] - 8
+    return same
 
 
 def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -95,14 +121,8 @@ class Words:
         self.first = np.concatenate(([0], np.cumsum(self.per_row)))
 
     def hashes(self, lower: bool) -> np.ndarray:
-        """64 bits a word: a polynomial of its bytes, taken from running sums over the group, then mixed."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, dtype=np.uint64)
-        values = _BYTE[_LOWER[self.data] if lower else self.data] * _power(_BASE, n)
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values, dtype=np.uint64)))
-        raw = (sums[self.stop] - sums[self.start]) * _power(_INVERSE, n)[self.start]
-        return mixed(raw + (self.stop - self.start).astype(np.uint64) * _MIX1)
+        """64 bits a word (``span_hashes``), A-Z lower-cased first if asked."""
+        return span_hashes(_LOWER[self.data] if lower else self.data, self.start, self.stop)
 
     def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``size`` words within a text, and the word that each begins at."""

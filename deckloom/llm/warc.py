@@ -10,13 +10,14 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import staged, text_or_empty
+from deckloom.llm.common import BROADCAST_BYTES, col, mapped, staged, text_or_empty
 
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT_BYTES = 100
@@ -26,6 +27,9 @@ ARCHIVE_BYTES = 4 << 20
 DICT_SAMPLES, DICT_SAMPLE_BYTES, DICT_BYTES = 200, 8192, 16384
 LEVEL = 3
 
+#: Bytes of a row of the table of repeated digests, and tasks that share a digest's pages if that table can't be broadcast.
+GROUP_ROW_BYTES, SALTS = 96, 16
+
 DICT_FRAME_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
 URN = "urn:page:"
@@ -35,34 +39,46 @@ DATE = "2020-01-01T00:00:00Z"
 def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
     """``pages`` as (page_id, url, payload, digest, refers_to, is_revisit).
 
-    Digests are counted after partial aggregation, and only those seen more than once meet the pages again, so a
-    payload that a third of all pages share costs one row. Pages with the group's smallest id are all responses if
+    Digests are counted after partial aggregation, and only those seen more than once meet the pages again. Their table is
+    broadcast if it is counted to fit, and payloads then aren't shuffled; else each of its rows goes to ``SALTS`` tasks, among which the pages of a
+    digest are dealt, so a payload that a third of all pages share is in no single task. Pages with the group's smallest id are all responses if
     that id repeats; a null id counts as the largest.
     """
-    payload = text_or_empty(payload_col)
+    payload = text_or_empty(col(payload_col))
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
-    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload.cast("binary"), 256)).alias("digest"))
+    rows = pages.select(col(id_col).alias("page_id"), url.alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload.cast("binary"), 256)).alias("digest"))
     large = F.octet_length("payload") >= MIN_REVISIT_BYTES
     groups = rows.where(large).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").select(F.col("digest").alias("_digest"), "first")
-    joined = rows.join(groups, large & (F.col("digest") == F.col("_digest")), "left")
+    groups = staged(groups)
+    same = large & (F.col("digest") == F.col("_digest"))
+    if groups.count() * GROUP_ROW_BYTES <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(groups), same, "left")
+    else:
+        spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        joined = rows.withColumn("_own_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).join(spread, same & (F.col("_own_salt") == F.col("_salt")), "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", F.when(again, F.col("first")).alias("refers_to"), again.alias("is_revisit"))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, is_revisit: bool) -> bytes:
+def id_text(page_id: object) -> str:
+    """An id as the end of a record's name: '' for null, numbers as they are, texts percent-encoded behind ``s:``."""
+    return "" if page_id is None else "s:" + quote(page_id, safe="") if isinstance(page_id, str) else str(page_id)
+
+
+def record(page_id: object, url: str | None, payload: bytes, digest: bytes, refers_to: object, is_revisit: bool) -> bytes:
     """One WARC/1.1 record. A revisit has the HTTP head of its response (with the payload's length) and no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if is_revisit else http + payload
     target = "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "")
     head = [
         ("WARC-Type", "revisit" if is_revisit else "response"),
-        ("WARC-Record-ID", f"<{URN}{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", f"<{URN}{id_text(page_id)}>"),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", target),
         ("WARC-Payload-Digest", f"sha256:{digest.hex()}"),
     ]
     if is_revisit:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{URN}{refers_to}>")]
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{URN}{id_text(refers_to)}>")]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + b"\r\n" + block + b"\r\n\r\n"
 
@@ -187,7 +203,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", payload_col: str =
             yield close()
 
     shaped = rows.select("page_id", "url", F.col("payload").cast("binary"), "digest", "refers_to", "is_revisit")
-    return staged(shaped.mapInArrow(pack, "archive string, data binary"), codec="uncompressed")
+    return staged(mapped(shaped, pack, "archive string, data binary"), codec="uncompressed")
 
 
 def read_archives(archives: DataFrame, data_col: str = "data", payloads: bool = False) -> DataFrame:
@@ -227,17 +243,22 @@ def read_archives(archives: DataFrame, data_col: str = "data", payloads: bool =
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in held], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    return archives.select(data_col).mapInArrow(unpack, schema)
+    return mapped(archives.select(data_col), unpack, schema)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
     """Write all pages and read them back: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
-    Null html is an empty payload. A null page_id comes back null. Repeated rows are separate records. A record that
+    Null html is an empty payload. A null page_id comes back null; ids may be numbers or texts. Repeated rows are separate records. A record that
     fails its checks raises. An empty table gives no rows; other columns are ignored.
     """
     back = read_archives(write_archives(pages, id_col, payload_col))
-    number = lambda c: F.when(F.length(c) > len(URN), F.substring(c, len(URN) + 1, 30)).cast("long")
+    kind = pages.schema[id_col].dataType
+
+    def number(c: Column) -> Column:
+        text = F.when(F.length(c) > len(URN), F.substring(c, F.lit(len(URN) + 1), F.length(c)))
+        return F.url_decode(F.replace(F.substring(text, F.lit(3), F.length(text)), F.lit("+"), F.lit("%2B"))) if kind.simpleString() == "string" else text.cast(kind)
+
     return back.select(
         number(F.col("record_id")).alias("page_id"),
         "url",

@@ -12,6 +12,7 @@ from test_small_fixtures import WORD, brute_components, brute_lines, fill, n_wor
 
 import corpus_pipeline
 from deckloom.llm import langid, pieces
+from deckloom.llm.common import staged
 
 ROWS: list[tuple] = []
 
@@ -40,7 +41,7 @@ def stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     out = [docs.collect()]
     for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.staged(stage(spark, docs, folder))
+        docs = staged(stage(spark, docs, folder))
         out.append(docs.collect())
     return out
 

@@ -332,7 +332,7 @@ def test_within_is_edit_distance():
     assert linededup.within("x" * 5000 + "a" + "y" * 5000, "x" * 5000 + "y" * 5000, 1)
 
 
-def brute_lines(rows):
+def brute_lines(rows, k=linededup.THRESHOLD, share=linededup.SHARE, unit=linededup.UNIT):
     """rows (id, text): kept text of each by comparing every line with all before it."""
     order = sorted({(i is not None, i or 0, t) for i, t in rows if t is not None}, key=lambda x: x[:2])
     before, out = [], {}
@@ -342,41 +342,62 @@ def brute_lines(rows):
             if not WORD.search(line):
                 keep.append(line)
                 continue
-            near = len(line) >= 16 and any(len(b) >= 16 and abs(len(b) - len(line)) <= 1 and linededup._distance(b, line) <= 1 for b in before)
-            if line not in before and not near:
+            own = WORD.findall(line) if unit == "word" else line
+            room = [min(k, int(share * max(len(b), len(own)) + 1e-9)) for b in before]
+            if not any(b == own or (r and abs(len(b) - len(own)) <= r and linededup._distance(b, own) <= r) for b, r in zip(before, room, strict=True)):
                 keep.append(line)
-            before.append(line)
+            before.append(own)
         out[(i if has else None, t)] = "\n".join(keep)
     return out
 
 
-@pytest.mark.parametrize("hot", [48, 2])
-def test_line_dedup(spark, monkeypatch, hot):
-    """With ``hot`` 2 nearly all lists take the way of windows; both ways give what brute force gives."""
-    monkeypatch.setattr(linededup, "HOT", hot)
-    rnd = random.Random(7)
-    base = ["a line of text that many documents share with small changes", "short", "another shared line which is somewhat longer than the first one, and more", "x" * 40]
+def line_rows(seed: int) -> list[tuple]:
+    """(id, text): lines that are some edits of words and characters away from a few others; null and repeated rows, odd white space."""
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(30)]
+    base = [[rnd.choice(words) for _ in range(n)] for n in (3, 9, 10, 12, 19, 20, 21, 26, 40)]
     rows = [(None, "first of all, a null id line\nshort")]
     for i in range(60):
         lines = []
         for _ in range(4):
-            s = list(rnd.choice(base))
-            for _ in range(rnd.randrange(3)):
-                at = rnd.randrange(len(s))
-                rnd.choice([lambda: s.__setitem__(at, rnd.choice("abé")), lambda: s.insert(at, "z"), lambda: s.pop(at)])() if s else None
-            lines.append("".join(s))
+            own = list(rnd.choice(base))
+            for _ in range(rnd.randrange(4)):
+                at = rnd.randrange(len(own))
+                rnd.choice([lambda: own.__setitem__(at, rnd.choice(words) + "x"), lambda: own.insert(at, "new"), lambda: own.pop(at)])() if len(own) > 1 else None
+            lines.append(rnd.choice([" ", " ", "  "]).join(own))
         rows.append((i, "\n".join([*lines, "", "  "])))
-    rows += [rows[5], (200, None), (201, ""), (202, rows[9][1])]
+    return [*rows, rows[5], (200, None), (201, ""), (202, rows[9][1])]
+
+
+@pytest.mark.parametrize(("k", "share", "unit", "hot", "levels"), [(2, 0.1, "word", 48, 3), (2, 0.1, "word", 2, 3), (1, 0.1, "word", 2, 1), (3, 0.15, "word", 4, 2), (1, 0.1, "char", 48, 3), (2, 0.1, "char", 3, 2)])
+def test_line_dedup(spark, monkeypatch, k, share, unit, hot, levels):
+    """With a low ``hot`` nearly all lists are long ones; every way gives what brute force gives."""
+    monkeypatch.setattr(linededup.near_lines, "__defaults__", (unit, k, share, hot, levels))
+    rows = line_rows(7)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_kept string").repartition(3)
-    want = brute_lines(rows)
-    got = linededup.dedup_lines(docs).collect()
+    want = brute_lines(rows, k, share, unit)
+    got = linededup.dedup_lines(docs, k=k, share=share, unit=unit).collect()
     assert len(got) == len(rows)
-    texts = Counter((r["doc_id"], r["text"]) for r in got)
-    assert texts == Counter((i, want.get((i, t))) for i, t in rows)
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, want.get((i, t))) for i, t in rows)
+    assert all(r["n_lines"] == r["n_kept"] + r["n_exact"] + r["n_near"] for r in got)
     assert sum(r["n_near"] for r in got) > 10
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        linededup.dedup_lines(docs, k=2)
+
+
+def test_line_dedup_of_equal_lines_only(spark):
+    rows = line_rows(8)
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), k=0).collect()
+    want = brute_lines(rows, 0, 0.0)
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, want.get((i, t))) for i, t in rows)
+    assert not any(r["n_near"] for r in got)
+
+
+def test_line_dedup_finds_single_words(spark):
+    """One word changed, put in or left out of a line of ten words and more makes a near copy; of five words, another line."""
+    long, few = "one two three four five six seven eight nine ten eleven", "one two three four five"
+    texts = [long, long.replace("five", "FIVE"), f"new {long}", long.replace(" six", ""), few, few.replace("two", "too")]
+    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["n_near"] for r in got] == [0, 1, 1, 1, 0, 0]
 
 
 def brute_components(rows):
