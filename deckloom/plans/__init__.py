@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("documents", "extracts", "service", "relational", "streams", "shaped", "decked", "phrased", "assisted", "solved")
+MODULES = ("documents", "extracts", "service", "relational", "streams", "shaped", "decked", "phrased", "assisted", "solved", "desked")
 
 
 def _all(name: str) -> dict:
