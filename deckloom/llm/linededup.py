@@ -6,10 +6,10 @@ each; every line probes, for each length it could match, the substrings that a s
 Lines within the distance share such a key, since the edits can't touch all segments. What shares a key is verified by banded
 bit-parallel edit distance.
 
-Long lists are never paired. First their lines are verified against the list's earliest line, which settles groups of near copies.
-Then all lines of long lists are listed anew under two segments of a partition into one more, and so on: lines
-within the distance share m segments of ``THRESHOLD`` + m at any m, and lists get shorter with each. Lines that are settled
-probe no more. What is still in long lists at the last level is paired there, lines not yet settled against the list only.
+Lists aren't paired. First their lines are verified against two of each list, its earliest line and the one with the longest lists, which
+settles groups of near copies. Lines that are still open meet what is before them in their lists, if lengths and parities of their
+symbols let them be near; where such a list is long, its lines are listed anew under two segments of a partition into one more, and so on: lines within the distance share m segments of ``THRESHOLD`` + m
+at any m, and lists get shorter with each. Lines that are settled probe no more. What is still in long lists at the last level is paired there.
 """
 
 from __future__ import annotations
@@ -19,19 +19,27 @@ from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import broadcast_if_small, col, free_names, hash_bits, mapped, staged, text_or_empty, typed
-from deckloom.llm.text import give_back
+from deckloom.llm import bloom
+from deckloom.llm.common import BROADCAST_BYTES, broadcast_if_small, col, free_names, hash_bits, mapped, staged, text_or_empty, typed
+from deckloom.llm.text import Words, give_back, groups, mixed, span_hashes
 
 #: Edits that make a near copy at most, and the share of the longer line's symbols that they may be: two words of twenty.
 THRESHOLD, SHARE = 2, 0.1
 #: What an edit is about: a word or a character.
 UNIT = "word"
-#: Lists of more distinct lines aren't paired at once, and the levels of ever more segments that split them.
-HOT, LEVELS = 48, 3
+#: Longer lists of open lines are split by levels of ever more segments. A pair costs some 20 ns there (two comparisons of its facts), a line's keys at
+#: the next level some 100 us: lists of some thousands are where they cost the same.
+HOT, LEVELS = 4096, 3
+#: Lines that a task remembers so as not to list a copy again.
+SEEN = 1 << 18
+#: An odd number and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 HAS_WORD = r"[^\x20\x09-\x0D]"
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -122,57 +130,82 @@ def _shifts(k: int, m: int, lack: int) -> list[tuple]:
     return [s for s, last, left in found if abs(lack - last) <= left]
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
-    """One row for each line with a word: doc, mark (of the whole text), no, line (with single spaces if words count)."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, unit: str, salt: int) -> DataFrame:
+    """One row for each line with a word: doc, mark (of the whole text), no, line (with single spaces if words count), id (64 bits of the
+    line under that salt) and check (64 others)."""
     text = col(text_col)
     rows = docs.select(col(id_col).alias("doc"), hash_bits(text, seed=2).alias("mark"), F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("no", "line"))
     rows = rows.where(F.col("line").rlike(HAS_WORD))
-    return rows.withColumn("line", F.trim(F.regexp_replace("line", SPACES, " "))) if unit == "word" else rows
-
-
-def _symbols(line: Column, unit: str) -> Column:
-    return F.split(line, " ") if unit == "word" else F.split(line, "")
+    rows = rows.withColumn("line", F.trim(F.regexp_replace("line", SPACES, " "))) if unit == "word" else rows
+    return rows.select("*", hash_bits(F.col("line"), seed=2 * salt + 11).alias("id"), hash_bits(F.col("line"), seed=2 * salt + 12).alias("check"))
 
 
 def _split(line: str, unit: str):
     return line.split(" ") if unit == "word" else line
 
 
-def distinct_lines(docs: DataFrame, id_col: str, text_col: str, unit: str = UNIT) -> DataFrame:
-    """id, line, n (symbols), place (its first doc, mark, no). Occurrences are reduced in each task first: a line that all documents
-    share is one row a task."""
-    rows = _lines(docs, id_col, text_col, unit)
-    keyed = rows.select(hash_bits(F.col("line"), seed=1).alias("h1"), hash_bits(F.col("line"), seed=2).alias("h2"), F.struct("doc", "mark", "no").alias("place"), "line")
-    once = keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line"))
-    return staged(once.select(F.monotonically_increasing_id().alias("id"), "line", F.size(_symbols(F.col("line"), unit)).alias("n"), "place"))
-
+def distinct_lines(docs: DataFrame, id_col: str, text_col: str, unit: str = UNIT) -> tuple[DataFrame, DataFrame]:
+    """(id, place: its first doc, mark, no) of each line, and (id, line) of all occurrences. Lines are known by 128 bits; ids are the half of
+    them that no two lines share, so texts need not travel. Occurrences are reduced in each task first: a line that all
+    documents share is one row a task."""
+    for salt in range(8):
+        rows = _lines(docs, id_col, text_col, unit, salt)
+        once = rows.groupBy("id").agg(F.min(F.struct("doc", "mark", "no")).alias("place"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+        lines = staged(once)
+        if lines.where("lo <> hi").isEmpty():
+            break
+    return lines.select("id", "place"), rows.select("id", "line")
+
+
+def _symbols(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of each symbol of a group of lines, and the symbols before each line."""
+    if unit == "word":
+        words = Words(data, offsets)
+        return words.hashes(lower=False), words.first
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    return span_hashes(data, start, np.append(start[1:], len(data))), np.searchsorted(start, offsets)
+
+
+def segment_keys(hashes: np.ndarray, first: np.ndarray, k: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(keys, lines, own) of a group of lines for each way that a segment can stand in a line. A key is a hash of the length that it is for, the
+    segment's number and its symbols; hashes of segments come from sums of powers, which may collide: what meets is verified."""
+    n, parts = np.diff(first), k + 1
+    powers = np.cumprod(np.full(len(hashes) + 1, _BASE, dtype=np.uint64))
+    back = np.cumprod(np.full(len(hashes) + 1, _BACK, dtype=np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * powers[:-1])))
+    listed = np.floor(share * (n + k) + 1e-9) >= 1
+    most = np.minimum(k, np.floor(share * n + 1e-9))
+    for lack, (segment,), (shift,) in moves(k, 1):
+        size, own = n - lack, lack == 0 and shift == 0
+        start, stop = segment * size // parts + shift, (segment + 1) * size // parts + shift
+        enough = listed if own else most >= max(1, abs(shift) + abs(lack - shift))
+        at = np.flatnonzero(enough & (size >= 1) & (start >= 0) & (stop <= n))
+        a, b = first[at] + start[at], first[at] + stop[at]
+        yield mixed((sums[b] - sums[a]) * back[a] + mixed(size[at].astype(np.uint64) * np.uint64(parts) + np.uint64(segment))), at, own
 
-def _div(a: Column, b: int) -> Column:
-    return F.call_function("div", a, F.lit(b))
 
+def _first_keys(texts: DataFrame, unit: str, k: int, share: float) -> DataFrame:
+    """(key, id, own): level 1. ``own``: the line's own segment. A task skips lines that it has seen, as far as it remembers them."""
 
-def _first_keys(lines: DataFrame, unit: str, k: int, share: float) -> DataFrame:
-    """(key, id, own): level 1, as columns. ``own``: the line's own segment."""
-    parts, n, symbols = k + 1, F.col("n"), F.col("s")
-    most = F.least(F.lit(k), F.floor(share * n + 1e-9))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for begin, _, data, offsets in groups(batch.column(1)):
+                fresh = np.zeros(len(offsets) - 1, dtype=bool)
+                for i, line in enumerate(ids[begin : begin + len(fresh)].tolist()):
+                    if line not in seen:
+                        fresh[i] = True
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(line)
+                hashes, first = _symbols(data, offsets, unit)
+                for keys, at, own in segment_keys(hashes, first, k, share):
+                    new = fresh[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(ids[begin + at[new]]), pa.array(np.full(int(new.sum()), own))], names=["key", "id", "own"])
+            give_back()
 
-    def key(size: Column, segment: int, shift: int) -> Column:
-        start, stop = (_div(F.lit(x) * size, parts) for x in (segment, segment + 1))
-        return F.xxhash64(F.lit(segment), size, F.slice(symbols, (start + shift + 1).cast("int"), (stop - start).cast("int")))
-
-    listed = F.floor(share * (n + k) + 1e-9) >= 1
-    options = []
-    for lack, (segment,), (shift,) in moves(k, 1):
-        size = n - lack
-        own = lack == 0 and shift == 0
-        start = _div(F.lit(segment) * size, parts) + shift
-        stop = _div(F.lit(segment + 1) * size, parts) + shift
-        fits = (size >= 1) & (start >= 0) & (stop <= n) & (listed if own else (most >= max(1, abs(shift) + abs(lack - shift))))
-        options.append(F.when(fits, F.struct(key(size, segment, shift).alias("key"), F.lit(own).alias("own"))))
-    rows = lines.where(listed).select("id", "n", _symbols(F.col("line"), unit).alias("s"))
-    # a line may meet one key by several ways: once is enough
-    keys = F.array_distinct(F.filter(F.array(*options), lambda x: x.isNotNull()))
-    return rows.select("id", F.explode(keys).alias("x")).select("x.key", "id", "x.own")
+    return mapped(texts.select("id", F.col("line").cast("binary").alias("line")), run, "key long, id long, own boolean")
 
 
 def _deeper_keys(lines: DataFrame, unit: str, k: int, share: float, m: int) -> DataFrame:
@@ -211,19 +244,76 @@ def _deeper_keys(lines: DataFrame, unit: str, k: int, share: float, m: int) -> D
     return mapped(lines.select("id", "line", "probes"), run, "key long, id long, own boolean")
 
 
-def _lists(keys: DataFrame) -> DataFrame:
-    """The rows of lists that hold an own segment and another line. Sizes are summed in each task first."""
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("any_own"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    good = sizes.where("any_own AND lo <> hi").select(F.col("key").alias("k"), "size")
-    return staged(keys.join(good, F.col("key") == F.col("k")).drop("k"))
+def _met(keys: DataFrame) -> DataFrame:
+    """(key, id, own, size): the rows of lists that hold an own segment and another line, with the list's size. All keys are dealt once, and most
+    go there."""
+    mine = Window.partitionBy("key")
+    met = keys.select("*", F.max("own").over(mine).alias("owned"), F.min("id").over(mine).alias("lo"), F.max("id").over(mine).alias("hi")).where("owned AND lo <> hi")
+    return staged(met.groupBy("key", "id").agg(F.max("own").alias("own")).withColumn("size", F.count(F.lit(1)).over(mine)))
+
+
+def _facts(near_texts: DataFrame, lines: DataFrame, unit: str) -> DataFrame:
+    """(id, place, n, parity) of the lines that met another: symbols, and 64 bits of which each says whether an odd number of the symbols has that
+    hash. An edit changes two of them at most, so lines with more changed bits can't be near."""
+    symbols = "split(line, ' ')" if unit == "word" else "split(line, '')"
+    parity = F.expr(f"aggregate(transform({symbols}, x -> shiftleft(1L, CAST(xxhash64(x) & 63L AS INT))), 0L, (a, x) -> a ^ x)")
+    return staged(near_texts.select("id", F.expr(f"size({symbols})").alias("n"), parity.alias("parity")).join(lines, "id"))
+
+
+def _listed(met: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows with their line's facts, and ``first``: the facts of the list's earliest line that owns the segment."""
+    mine = Window.partitionBy("key")
+    first = F.min(F.when(F.col("own"), F.struct("place", "id", "n", "parity"))).over(mine)
+    return staged(met.join(facts, "id").select("key", "id", "place", "n", "parity", "own", "size", first.alias("first")))
+
+
+def _close(l: str, r: str, k: int, share: float) -> Column:
+    """Whether two lines can be near, by their lengths and parities."""
+    most = F.least(F.lit(k), F.floor(share * F.greatest(f"{l}n", f"{r}n") + 1e-9))
+    return (F.abs(F.col(f"{l}n") - F.col(f"{r}n")) <= most) & (F.bit_count(F.col(f"{l}parity").bitwiseXOR(F.col(f"{r}parity"))) <= 2 * most)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, unit: str, k: int, share: float) -> DataFrame:
-    """Ids of the later lines of those pairs (a, b) that are near."""
-    one = lines.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("place").alias("place_a"))
-    two = lines.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("place").alias("place_b"))
-    joined = pairs.select("a", "b").distinct().join(one, "a").join(two, "b")
-    joined = joined.select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("id"), "line_a", "line_b")
+def _stars(listed: DataFrame, k: int, share: float) -> DataFrame:
+    """(a, b), a before b: every line of a list with two of its lines, the earliest and the one whose own lists are the longest (the original
+    among its near copies). The number of pairs is that of the rows at most."""
+    rich = listed.where("size > 2")
+    weight = rich.where("own").groupBy(F.col("id").alias("i")).agg(F.sum("size").alias("weight"))
+    heavy = rich.where("own").join(weight, F.col("id") == F.col("i")).groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", "place", "id", "n", "parity")).alias("centre"))
+    own = ("id", "place", "n", "parity")
+    second = rich.join(heavy, F.col("key") == F.col("k")).select(*own, F.struct(*[F.col(f"centre.{c}").alias(c) for c in ("place", "id", "n", "parity")]).alias("centre"))
+    both = listed.select(*own, F.col("first").alias("centre")).union(second).where(F.col("id") != F.col("centre.id")).where(_close("", "centre.", k, share))
+    before = F.col("place") < F.col("centre.place")
+    return both.select(F.when(before, F.col("id")).otherwise(F.col("centre.id")).alias("a"), F.when(before, F.col("centre.id")).otherwise(F.col("id")).alias("b"))
+
+
+def _of_ids(texts: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """(id, line), once, of the given ids (a column i, ``count`` rows at most): from another pass over the texts, of which little travels."""
+    if count * 16 <= BROADCAST_BYTES:
+        return staged(texts.join(F.broadcast(ids), F.col("id") == F.col("i"), "left_semi").dropDuplicates(["id"]))
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(bloom.build(ids.select("i"), count, 0.01, salt=79, hashes=_id_hashes))  # None beyond its bound
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch if shared.value is None else batch.filter(pa.array(shared.value.might_contain(mixed(own), own)))
+
+    found = mapped(texts, run, "id long, line string")
+    kept = staged(found.join(ids, F.col("id") == F.col("i"), "left_semi").dropDuplicates(["id"]))
+    shared.unpersist()
+    return kept
+
+
+def _id_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    return mixed(own), own
+
+
+def _verified(pairs: DataFrame, near_texts: DataFrame, unit: str, k: int, share: float) -> DataFrame:
+    """Ids of the later lines b of those pairs (a, b) that are near."""
+    one = near_texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
+    two = near_texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
+    joined = staged(pairs.select("a", "b").distinct()).join(one, "a").join(two, "b").select("b", "line_a", "line_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,41 +326,49 @@ def _verified(pairs: DataFrame, lines: DataFrame, unit: str, k: int, share: floa
     return staged(mapped(joined, verify, "id long").distinct())
 
 
-def near_lines(lines: DataFrame, unit: str = UNIT, k: int = THRESHOLD, share: float = SHARE, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
-    """(id) of the distinct lines (id, line, n, place) that have an earlier line within the distance."""
-    spark = lines.sparkSession
+def near_lines(lines: DataFrame, texts: DataFrame, unit: str = UNIT, k: int = THRESHOLD, share: float = SHARE, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
+    """(id) of the distinct lines (id, place; texts: id, line) that have an earlier line within the distance.
+
+    ``hot`` and ``levels`` move cost only."""
     if k < 1:
-        return spark.createDataFrame([], "id long")
+        return lines.sparkSession.createDataFrame([], "id long")
+    met = _met(_first_keys(texts, unit, k, share))
+    ids = staged(met.select(F.col("id").alias("i")).distinct())
+    near_texts = _of_ids(texts, ids, ids.count())
+    facts = _facts(near_texts, lines, unit)
     near: DataFrame | None = None
-    listed = _lists(_first_keys(lines, unit, k, share))
-    lines = staged(lines.join(listed.select("id").distinct(), "id", "left_semi"))  # all that can matter from here on
     for level in range(1, levels + 1):
-        short, long = listed.where(F.col("size") <= hot), listed.where(F.col("size") > hot)
-        pairs = _pairs(short, F.lit(True))
-        # a long list's lines against its earliest one
-        own = long.where("own").join(lines.select("id", "place"), "id").groupBy("key").agg(F.min(F.struct("place", "id")).alias("first"))
-        star = long.join(own.select(F.col("key").alias("k"), F.col("first.id").alias("centre")), F.col("key") == F.col("k")).where("id <> centre")
-        star = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-        found = _verified(pairs.unionByName(star), lines, unit, k, share)
+        listed = _listed(met, facts)
+        found = _verified(_stars(listed, k, share), near_texts, unit, k, share)
         near = found if near is None else staged(near.union(found).distinct())
-        if long.isEmpty():
+        rest = _open_lists(listed, near)
+        if rest.isEmpty():
             return near
-        inside = long.select("id").distinct()
-        if level < levels:
-            asked = lines.join(inside, "id", "left_semi").join(near.withColumn("known", F.lit(True)), "id", "left")
-            listed = _lists(_deeper_keys(asked.select("id", "line", F.col("known").isNull().alias("probes")), unit, k, share, level + 1))
-    # what the levels leave: lines not settled yet against the lists that they are in
-    open_ids = near.select(F.col("id").alias("i"))
-    rest = long.join(open_ids, F.col("id") == F.col("i"), "left").withColumn("open", F.col("i").isNull()).drop("i")
-    return staged(near.union(_verified(_pairs(rest, F.col("l.open") | F.col("r.open")), lines, unit, k, share)).distinct())
+        last = level == levels  # what the levels leave is paired
+        short, long = rest.where(F.lit(last) | (F.col("size") <= hot)), rest.where(~F.lit(last) & (F.col("size") > hot))
+        near = staged(near.union(_verified(_pairs(short, k, share), near_texts, unit, k, share)).distinct())
+        if last or long.isEmpty():
+            return near
+        inside = long.groupBy("id").agg(F.max("open").alias("open"))
+        asked = near_texts.join(inside, "id").join(near.withColumn("known", F.lit(True)), "id", "left")
+        met = _met(_deeper_keys(asked.select("id", "line", F.col("known").isNull().alias("probes")), unit, k, share, level + 1))
+    return near
+
+
+def _open_lists(listed: DataFrame, near: DataFrame) -> DataFrame:
+    """The rows, with ``open``, of lists where a line that is not settled has another one than the earliest before it; what comes after the last
+    such line is left out, and ``size`` is what remains."""
+    rows = listed.where("size > 2").join(near.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left").withColumn("open", F.col("i").isNull()).drop("i", "size")
+    last = rows.groupBy(F.col("key").alias("k")).agg(F.max(F.when(F.col("open"), F.col("place"))).alias("last"), F.min(F.when(F.col("id") != F.col("first.id"), F.col("place"))).alias("second"))
+    kept = rows.join(last.where("last > second"), F.col("key") == F.col("k")).where("place <= last").drop("k", "last", "second")
+    return staged(kept.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))))
 
 
-def _pairs(rows: DataFrame, extra: Column) -> DataFrame:
-    """(a, b) of lines that meet in a list, one by its own segment."""
-    left, right = rows.where("own").alias("l"), rows.alias("r")
-    once = ~F.col("r.own") | (F.col("l.id") < F.col("r.id"))
-    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") != F.col("r.id")) & once & extra)
-    return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+def _pairs(rows: DataFrame, k: int, share: float) -> DataFrame:
+    """(a, b) of lines that meet in a list, one by its own segment, b not settled and after a, that can be near; the earliest line's are known."""
+    left, right = rows.where(F.col("id") != F.col("first.id")).alias("l"), rows.where("open").alias("r")
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.place") < F.col("r.place")) & (F.col("l.own") | F.col("r.own")) & _close("l.", "r.", k, share))
+    return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = THRESHOLD, share: float = SHARE, unit: str = UNIT) -> DataFrame:
@@ -285,8 +383,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts stay null with zeros. Rows that repeat id and text are one document: all keep the same lines. Very long lines
     cost their length. An empty table gives no rows. Input columns named like the results are replaced; other columns may have any name.
     """
-    lines = distinct_lines(docs, id_col, text_col, unit)
-    near = near_lines(lines, unit, k, share).select(F.col("id").alias("near_id"))
+    lines, texts = distinct_lines(docs, id_col, text_col, unit)
+    near = near_lines(lines, texts, unit, k, share).select(F.col("id").alias("near_id"))
     marked = lines.select("id", "place").join(broadcast_if_small(near, 16), F.col("id") == F.col("near_id"), "left")
     added = ("n_lines", "n_kept", "n_exact", "n_near")
     columns = [c for c in docs.columns if c not in added]

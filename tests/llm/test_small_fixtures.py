@@ -380,7 +380,7 @@ def test_line_dedup(spark, monkeypatch, k, share, unit, hot, levels):
     assert len(got) == len(rows)
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, want.get((i, t))) for i, t in rows)
     assert all(r["n_lines"] == r["n_kept"] + r["n_exact"] + r["n_near"] for r in got)
-    assert sum(r["n_near"] for r in got) > 10
+    assert sum(r["n_near"] for r in got) > (10 if k > 1 or unit == "word" else 2)  # words are edited: few lines are one character apart
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
 
 
