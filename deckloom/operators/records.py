@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A share and a job's record live so many days; a finished job so many hours in the live store, which has room for so many.
-SHARE_DAYS, KEEP_DAYS, LIVE_HOURS, LIVE_JOBS = 30, 30, 6, 200
+#: A job's record lives so many days; a finished job so many hours in the live store, which has room for so many.
+KEEP_DAYS, LIVE_HOURS, LIVE_JOBS = 30, 6, 200
 COOLDOWN_S, MOST_AN_HOUR = 30, 5
 
 

@@ -101,9 +101,6 @@ def truncated(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(kept, r"[ ,;:—–.]+$", ""), F.lit("…")))
 
 
-NUMBER = r"([+-]?\d*\.?\d+|[+-]?)"
-
-
 def solve_linear(problem: Column) -> Column:
     """x of ``ax + b = cx + d`` as written with x, or null."""
     text = F.regexp_replace(F.regexp_extract(problem, r"([-+\d.x\s]*x[-+\d.x\s]*=[-+\d.x\s]*|[-+\d.\s]*=[-+\d.x\s]*x[-+\d.x\s]*)", 1), r"\s+", "")

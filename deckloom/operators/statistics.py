@@ -37,9 +37,11 @@ def bigrams(sentences: DataFrame) -> DataFrame:
 
     ``sentences``: words (array). Pairs are counted with partial sums, so a pair that is everywhere costs a row a task.
     """
-    padded = F.concat(F.array(F.lit("<s>")), "words", F.array(F.lit("</s>")))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(padded) - 2), lambda i: F.struct(F.get(padded, i).alias("a"), F.get(padded, i + 1).alias("b")))
-    counts = sentences.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    rows = sentences.select(F.concat(F.array(F.lit("<s>")), "words", F.array(F.lit("</s>"))).alias("padded"))
+    short = F.size("padded") - 1
+    pairs = F.arrays_zip(F.slice("padded", F.lit(1), short).alias("a"), F.slice("padded", F.lit(2), short).alias("b"))
+    # exploded as outer, so that no test of sizes makes the arrays once more
+    counts = rows.select(F.explode_outer(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
     first = counts.groupBy("a").agg(F.sum("n").alias("n_a"))
     vocab = counts.agg(F.count_distinct("b").alias("v"))
     joined = counts.join(first, "a").join(F.broadcast(vocab))  # one row
@@ -58,9 +60,9 @@ def naive_bayes(train: DataFrame, test: DataFrame) -> DataFrame:
     known = counts.select("w").distinct()
     asked = test.select("id", F.explode("words").alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).cast("double").alias("k")).join(known, "w", "left_semi")
     # a word's log probability under every class: what the counts lack is the same for all unseen words of a class
-    seen = asked.join(counts, "w").join(F.broadcast(classes.select("label", "room")), "label").groupBy("id", "label").agg(F.sum(F.bround(F.col("k") * (F.log(F.col("c") + 1.0)), 9)).alias("gain"))
+    seen = asked.join(counts, "w").join(classes.select("label", "room"), "label").groupBy("id", "label").agg(F.sum(F.bround(F.col("k") * (F.log(F.col("c") + 1.0)), 9)).alias("gain"))
     words_each = asked.groupBy("id").agg(F.sum("k").alias("k"))
-    base = words_each.join(F.broadcast(classes))
+    base = words_each.join(F.broadcast(classes))  # the result has a row for each class and text: classes are few
     scored = base.join(seen, ["id", "label"], "left").select("id", "label", F.bround(F.col("prior") - F.col("k") * F.log("room") + F.coalesce("gain", F.lit(0.0)), 4).alias("score"))
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "label"))
     return scored.withColumn("_r", best).where("_r = 1").select("id", "label", "score")

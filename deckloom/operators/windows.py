@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 from deckloom.functions.text import jaccard, tokens
 
+# Titles that say nothing, and verbs by which a title says something.
+GENERIC_TITLE = (
+    r"(?i)^(?:introduction|overview|example|examples|summary|contd\.?|continued|notes?|slide \d+|untitled|"
+    r"definition|definitions|types|advantages|disadvantages|applications?|problem|solution)$"
+)
+TITLE_VERB = (
+    r"(?i)\b(?:is|are|was|were|has|have|uses?|makes?|gives?|shows?|predicts?|measures?|reduces?|increases?|changes?|depends?|means|keeps?|splits?|finds?|"
+    r"chooses?|learns?|minimi[sz]es|maximi[sz]es|converts?|forms?|causes?|leads?|requires?|balances?|controls?|describes?|represents?|estimates?|works?|helps?)\b"
+)
+
 
 def run_numbers(slides: DataFrame) -> DataFrame:
     """Runs of slides of one deck with equal titles (case aside): number in the run and its length, and the title with ``(k/n)``."""
@@ -70,27 +80,6 @@ def furniture(docs: DataFrame, least: int = 3, share: float = 0.002) -> DataFram
     return counts.join(F.broadcast(total)).where((F.col("n_docs") >= least) & (F.col("n_docs") >= share * F.col("total"))).select("line", "n_docs")
 
 
-def sections(lines: DataFrame) -> DataFrame:
-    """``lines`` (doc_id, n, line) of markdown to sections: a heading of level one or two that is no junk opens one; what stands before the
-    first is kept if it is not blank. Later sections without title take the last one before."""
-    head = r"^(#{1,6})\s+(.*)$"
-    level = F.length(F.regexp_extract(F.trim("line"), head, 1))
-    title = F.trim(F.regexp_extract(F.trim("line"), head, 2))
-    opens = (level.between(1, 2)) & ~junk_heading(title)
-    order = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumns({"opens": opens, "title": title, "level": level})
-    rows = rows.withColumn("section", F.sum(F.col("opens").cast("int")).over(order))
-    text = F.when(F.col("opens"), F.lit(None)).when(F.col("level") > 0, F.col("title")).otherwise(F.col("line"))
-    grouped = rows.groupBy("doc_id", "section").agg(
-        F.max(F.when(F.col("opens"), F.col("title"))).alias("title"),
-        F.coalesce(F.max(F.when(F.col("opens"), F.col("level"))), F.lit(0)).alias("level"),
-        F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("n", text.alias("t"))))), lambda x: x["t"]), " ")).alias("text"),
-    )
-    kept = grouped.where(F.col("title").isNotNull() | (F.col("text") != ""))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("section"))
-    return kept.select("doc_id", place.cast("long").alias("section_no"), F.coalesce("title", F.concat(F.lit("Section "), place.cast("string"))).alias("title"), F.col("level").cast("long").alias("level"), "text")
-
-
 def junk_heading(text):
     """Whether a heading is really content: blank, an open formula, mostly no letters, one word repeated, or over 12 words."""
     t = F.trim(text)
@@ -107,16 +96,8 @@ def junk_heading(text):
 
 def headings(slides: DataFrame) -> DataFrame:
     """Titles judged as headings: junk, weak (generic, under five words or without a verb) and whether the slide is thin (under 60 words)."""
-    generic = (
-        r"(?i)^(?:introduction|overview|example|examples|summary|contd\.?|continued|notes?|slide \d+|untitled|"
-        r"definition|definitions|types|advantages|disadvantages|applications?|problem|solution)$"
-    )
-    verb = (
-        r"(?i)\b(?:is|are|was|were|has|have|uses?|makes?|gives?|shows?|predicts?|measures?|reduces?|increases?|changes?|depends?|means|keeps?|splits?|finds?|"
-        r"chooses?|learns?|minimi[sz]es|maximi[sz]es|converts?|forms?|causes?|leads?|requires?|balances?|controls?|describes?|represents?|estimates?|works?|helps?)\b"
-    )
     t = F.regexp_replace(F.trim("title"), r"(?i)\s*\((?:\d+/\d+|continued)\)\s*$", "")
-    weak = t.rlike(generic) | (F.size(tokens(t)) < 5) | ~t.rlike(verb)
+    weak = t.rlike(GENERIC_TITLE) | (F.size(tokens(t)) < 5) | ~t.rlike(TITLE_VERB)
     thin = F.size(tokens(F.col("body"))) < 60
     return slides.select("doc_id", "slide_no", junk_heading(F.col("title")).alias("junk"), weak.alias("weak"), thin.alias("thin"))
 

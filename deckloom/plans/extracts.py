@@ -9,7 +9,24 @@ from deckloom.sources.tables import slides, table
 QUERIES, ORACLE = {}, {}
 
 
+#: Texts of the kinds that the corpus lacks.
+STATED = (
+    (-1, "Unlike cats, dogs like water. Tea is hot whereas juice is cold.\nCompared to rock, sand is soft. It is the same as before."),
+    (-2, "Floods came because rain fell. Demand grew therefore prices rose. Due to frost, the crop failed.\nHeat leads to wear. The pump stopped since power failed."),
+    (-3, "In 1969 sales grew 12% to 1.5 million, then 1969 again. Force is F = ma and it grows.\n### Marker\nThe World Wide Web opened at CERN | NASA in 2,000 places. (IBM); x = y + 2 gives z"),
+)
+_DOCS = "(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM (VALUES " + ", ".join(f"({i}, {q.text(t)})" for i, t in STATED).replace("\n", "' || chr(10) || '") + ") AS v(doc_id, text))"
+
+
+def _with_stated(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text").union(spark.createDataFrame(list(STATED), "doc_id long, text string"))
+
+
 def add(name: str, run, sql: str | None = None) -> None:
+    if name in ("comparisons", "cause_effect"):
+        QUERIES[name] = lambda spark, sf_dir: run(slides(_with_stated(spark, sf_dir)))
+        ORACLE[name] = sql.replace("FROM documents)", f"FROM {_DOCS})")
+        return
     QUERIES[name] = lambda spark, sf_dir: run(slides(table(spark, sf_dir, "documents")))
     if sql:
         ORACLE[name] = sql
@@ -18,8 +35,8 @@ def add(name: str, run, sql: str | None = None) -> None:
 _LONG = f"{q.SLIDES}, ls AS (SELECT * FROM (SELECT doc_id, slide_no, unnest(sents) AS sent, generate_subscripts(sents, 1)::BIGINT AS sent_no FROM slides) WHERE length(sent) > 3)"
 
 
-def _any(low: str, phrases: str) -> str:
-    return "(" + " OR ".join(f"contains({low}, {q.text(p)})" for p in phrases.split("|")) + ")"
+def _any(low: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains({low}, {q.text(p)})" for p in phrases) + ")"
 
 
 _MARKED = " UNION ALL ".join(
@@ -32,7 +49,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slide_no, kind ORDER BY
 SELECT doc_id, slide_no, kind, pos, item FROM p WHERE pos <= most""")
 
 
-def _split(phrases: list[str], width: int) -> tuple[str, str, str]:
+def _split(phrases, width: int) -> tuple[str, str, str]:
     phrase = f"list_filter({q.listed(phrases)}, lambda p: contains(lower(sent), p))[1]"
     at = f"instr(lower(sent), {phrase})"
     left = f"regexp_replace(trim(substr(sent, 1, {at} - 1)), '[,;]+$', '')"
@@ -74,8 +91,7 @@ c AS (SELECT *, round_even(round_even(least(10.0, least(2.0::DOUBLE, richness *
 SELECT *, CASE WHEN complexity <= 2.5 THEN 'INTRODUCTORY' WHEN complexity <= 5.5 THEN 'INTERMEDIATE' WHEN complexity <= 8.0 THEN 'ADVANCED' ELSE 'EXPERT' END AS band FROM c""")
 
 
-def _score(phrases: str) -> str:
-    words = phrases.split("|")
+def _score(words) -> str:
     hits = " + ".join(f"contains(low, {q.text(w)})::INT" for w in words)
     return f"round_even(least(1.0::DOUBLE, ({hits})::DOUBLE / {max(1.0, len(words) * 0.3)!r}::DOUBLE) * 0.6::DOUBLE, 4)"
 
@@ -85,12 +101,17 @@ add("slide_intents", X.intents, f"""WITH {q.SLIDES}, t AS (SELECT doc_id, slide_
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slide_no ORDER BY score DESC, k) AS rank FROM i WHERE score >= 0.2)
 SELECT doc_id, slide_no, rank, intent, score FROM r WHERE rank <= 4
 UNION ALL SELECT doc_id, slide_no, 1, 'GENERAL', 0.1::DOUBLE FROM slides WHERE (doc_id, slide_no) NOT IN (SELECT (doc_id, slide_no) FROM r)""")
-QUERIES["facts"] = lambda spark, sf_dir: X.facts(table(spark, sf_dir, "documents"))
-ORACLE["facts"] = rf"""WITH k AS (SELECT doc_id, 1 AS o, 'date' AS kind, regexp_extract_all(coalesce(text, ''), {q.text(X.YEAR)}) AS found FROM documents
-  UNION ALL SELECT doc_id, 2, 'figure', regexp_extract_all(coalesce(text, ''), {q.text(X.FIGURE)}) FROM documents),
-u AS (SELECT doc_id, o, kind, unnest(found) AS value, generate_subscripts(found, 1) AS n FROM k),
-a AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id, kind, regexp_replace(lower(value), '[\s,]+', '', 'g') ORDER BY n) = 1),
-p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o, n) AS pos FROM a) SELECT doc_id, pos, kind, trim(value) AS value FROM p WHERE pos <= 40"""
+_MARKS = r"regexp_replace(replace(coalesce(text, ''), '[TABLE DATA]', ' '), '(?m)^###\s+.*$', ' ', 'g')"
+_ALL = lambda p: f"regexp_extract_all(t, {q.text(p)})"
+QUERIES["facts"] = lambda spark, sf_dir: X.facts(_with_stated(spark, sf_dir))
+ORACLE["facts"] = rf"""WITH d AS (SELECT doc_id, replace({_MARKS}, '|', ' ; ') AS t FROM {_DOCS}),
+k AS (SELECT doc_id, 0 AS o, 'formula' AS kind, list_transform({_ALL(X.FORMULA)}, lambda x: regexp_split_to_array(x, {q.text(X.FORMULA_END)})[1]) AS found FROM d
+  UNION ALL SELECT doc_id, 1, 'date', {_ALL(chr(92) + 'b' + X.YEAR + chr(92) + 'b')} FROM d
+  UNION ALL SELECT doc_id, 2, 'figure', list_filter(list_transform({_ALL(X.FIGURE)}, lambda x: trim(x)), lambda x: NOT regexp_matches(x, '^{X.YEAR}$') AND length(regexp_replace(x, '[^0-9]', '', 'g')) >= 1 AND (regexp_matches(x, {q.text(X.FIGURE_MARK)}) OR length(x) >= 3)) FROM d
+  UNION ALL SELECT doc_id, 3, 'term', list_filter({_ALL(chr(92) + 'b' + X.NAME + chr(92) + 'b')}, lambda x: length(x) > 3) FROM d),
+u AS (SELECT doc_id, o, kind, regexp_replace(unnest(found), '^[ .,;:()]+|[ .,;:()]+$', '', 'g') AS value, generate_subscripts(found, 1) AS n FROM k),
+a AS (SELECT * FROM u WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, kind, regexp_replace(lower(value), '[\s,]+', '', 'g') ORDER BY n) = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o, n) AS pos FROM a) SELECT doc_id, pos, kind, value FROM p WHERE pos <= 40"""
 _OWN = "list_distinct(regexp_extract_all(lower({}), '[a-z'']+'))"
 add("supporting_points", X.supporting, f"""WITH {q.SLIDES}, b AS (SELECT doc_id, slide_no, title, unnest(bullets) AS sent, generate_subscripts(bullets, 1) AS n FROM slides),
 f AS (SELECT doc_id, slide_no, n, substr(sent, 1, 120) AS item FROM b WHERE length(sent) >= 5 AND {q.jaccard(_OWN.format('sent'), _OWN.format('title'))} <= 0.7),

@@ -200,10 +200,8 @@ def _junk(t: str) -> str:
     return rf"({t} = '' OR (regexp_matches({t}, '[=+\-/*:]$') AND contains({t}, '=')) OR {letters} < greatest(3.0, length({t}) * 0.4) OR (len({ws}) >= 2 AND len(list_distinct({ws})) = 1) OR len({ws}) > 12)"
 
 
-_GENERIC = r"(?i)^(?:introduction|overview|example|examples|summary|contd\.?|continued|notes?|slide \d+|untitled|definition|definitions|types|advantages|disadvantages|applications?|problem|solution)$"
-_VERB = r"(?i)\b(?:is|are|was|were|has|have|uses?|makes?|gives?|shows?|predicts?|measures?|reduces?|increases?|changes?|depends?|means|keeps?|splits?|finds?|chooses?|learns?|minimi[sz]es|maximi[sz]es|converts?|forms?|causes?|leads?|requires?|balances?|controls?|describes?|represents?|estimates?|works?|helps?)\b"
 _HEADINGS = rf"""hs AS (SELECT doc_id, slide_no, body, trim(title) AS t, regexp_replace(trim(title), '(?i)\s*\((?:\d+/\d+|continued)\)\s*$', '') AS t2 FROM slides),
-headed AS (SELECT doc_id, slide_no, {_junk('t')} AS junk, regexp_matches(t2, '{_GENERIC}') OR len({q.tokens('t2')}) < 5 OR NOT regexp_matches(t2, '{_VERB}') AS weak, len({q.tokens('body')}) < 60 AS thin FROM hs)"""
+headed AS (SELECT doc_id, slide_no, {_junk('t')} AS junk, regexp_matches(t2, '{W.GENERIC_TITLE}') OR len({q.tokens('t2')}) < 5 OR NOT regexp_matches(t2, '{W.TITLE_VERB}') AS weak, len({q.tokens('body')}) < 60 AS thin FROM hs)"""
 
 
 @query("headings", f"WITH {q.SLIDES}, {_HEADINGS} SELECT * FROM headed")
