@@ -50,7 +50,16 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     _made.append((spark, path))
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.staged_path = path
+    return back
+
+
+def restaged(df: DataFrame, old: DataFrame) -> DataFrame:
+    """Stage ``df`` in place of ``old``, a staged table that nothing else reads from here on: it is removed."""
+    done = staged(df)
+    _made[:] = [m for m in _made if m[1] != old.staged_path or not _remove(*m)]
+    return done
 
 
 def _remove(spark: SparkSession, path: str) -> bool:

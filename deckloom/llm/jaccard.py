@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckloom.llm import bloom
-from deckloom.llm.common import col, free_names, mapped, staged
+from deckloom.llm.common import col, free_names, mapped, restaged, staged
 from deckloom.llm.components import components
 from deckloom.llm.text import Words, give_back, groups, mixed
 
@@ -298,9 +298,9 @@ def links(docs: DataFrame, text_col: str, salt: int, histogram: dict[int, int],
     single = (F.col("n") > small + small // 4) | (F.col("n") < 3)
     bound = rows.groupBy(F.col("node").alias("_node")).agg(F.count(F.lit(1)).cast("int").alias("c"), F.first("n").alias("n"))
     bound = bound.select("_node", "c", F.when(single, F.col("n") - need).otherwise(F.col("n")).cast("int").alias("after"))
-    rows = staged(rows.join(bound, F.col("node") == F.col("_node")).drop("_node"))
+    rows = restaged(rows.join(bound, F.col("node") == F.col("_node")).drop("_node"), rows)
     lists = rows.groupBy(F.col("token").alias("_token")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = staged(rows.join(lists, F.col("token") == F.col("_token")).drop("_token"))
+    rows = restaged(rows.join(lists, F.col("token") == F.col("_token")).drop("_token"), rows)
     # A list's centre is the set whose own lists are the longest on average: the original among its near copies.
     alone = F.greatest(F.first("n") - F.first("after") - F.first("c"), F.lit(0))
     weight = rows.groupBy(F.col("node").alias("_node")).agg(((F.sum("size") + alone) / (F.count(F.lit(1)) + alone)).alias("common"))
@@ -315,10 +315,10 @@ def links(docs: DataFrame, text_col: str, salt: int, histogram: dict[int, int],
     found = staged(_verified(pairs, sets))
     # Long lists whose sets are all in one component by now are settled. In the others, sets of different components still
     # have to be compared: the exact way for the rest.
-    long = long.select("token", "node", "n", "c", "after")
+    whole_long, long = long, long.select("token", "node", "n", "c", "after")
     parts = components(found).select(F.col("node").alias("_node"), "component")
     long = long.join(parts, F.col("node") == F.col("_node"), "left").withColumn("part", F.coalesce("component", "node")).drop("_node", "component")
-    long = staged(long)
+    long = restaged(long, whole_long)
     open_lists = long.groupBy(F.col("token").alias("_token")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("_token")
     rest = staged(long.join(open_lists, F.col("token") == F.col("_token")).drop("_token"))
     # Sets that share many lists are paired in the first of them only: each brings its open lists along. It brings its whole listed
