@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import hashlib
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -143,6 +145,42 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: More things than this that share half of their hash can't come from a sound hash at any size: n things have about n^2 / 2^65.
+TWINS_MAX = 1 << 16
+
+
+def twins(pairs: DataFrame, taken: DataFrame) -> list[tuple[int, int, int]]:
+    """(id, check, new id) for all but one of the things (id, check: two halves of 128 bits) that share an id.
+
+    ``pairs``: the distinct things whose id is shared; ``taken`` (id): all ids in use. The new ids are 64 bits of both halves, drawn again until no
+    one else has them, so ids that are told apart are exact at any number of things.
+    """
+    first = pairs.groupBy(F.col("id").alias("_id")).agg(F.min("check").alias("_first"))
+    rest = pairs.join(first, F.col("id") == F.col("_id")).where(F.col("check") != F.col("_first")).select("id", "check").distinct()
+    found = [(r["id"], r["check"]) for r in rest.limit(TWINS_MAX + 1).collect()]
+    if len(found) > TWINS_MAX:
+        raise ValueError(f"over {TWINS_MAX} things share half of their hash with another")
+    for attempt in range(64):
+        new = [int.from_bytes(hashlib.blake2b(struct.pack("<qqi", i, c, attempt), digest_size=8).digest(), "little", signed=True) for i, c in found]
+        used = len(set(new)) < len(new) or not taken.where(F.col("id").isin(new) if len(new) < 1000 else F.array_contains(F.lit(new), F.col("id"))).isEmpty()
+        if not used:
+            return [(i, c, n) for (i, c), n in zip(found, new, strict=True)]
+    raise ValueError("no free ids were found")
+
+
+def split_hot(counts: DataFrame, n: str, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """A staged table of keys with their numbers of rows, as the most frequent keys, at most ``limit``, and the rest (None if there is none).
+
+    Keys of more than total / limit rows are hot: there can't be more than ``limit`` of them, whatever the size of the input, and what
+    is left of a key is at most that share of all rows.
+    """
+    size = counts.agg(F.count(F.lit(1)).alias("keys"), F.sum(n).alias("total")).first()
+    if size["keys"] <= limit:
+        return counts, None
+    least = size["total"] // limit if limit else size["total"]
+    return counts.where(F.col(n) > least), counts.where(F.col(n) <= least)
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import hash_bits, staged
+from deckloom.llm.common import hash_bits, restaged, staged
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         small = _least(down)
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        current = staged(small)
+        current = restaged(small, current)
         now = _mark(current.withColumn("h", hash_bits(F.col("a"), F.col("b"))))
         if now == before:
             break

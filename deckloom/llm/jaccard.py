@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckloom.llm import bloom
-from deckloom.llm.common import col, free_names, mapped, restaged, staged
+from deckloom.llm.common import col, free_names, mapped, restaged, staged, twins
 from deckloom.llm.components import components
 from deckloom.llm.text import Words, give_back, groups, mixed
 
@@ -48,9 +49,21 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
             yield np.unique(shingles[a:b])
 
 
-def signature(tokens: np.ndarray, salt: int) -> tuple[int, int]:
-    raw = hashlib.blake2b(tokens.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
-    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+@dataclass
+class Names:
+    """A set's id: ``bits`` of its signature's first half, but for those of ``renamed``, which share them with another set."""
+
+    bits: int = 64
+    renamed: dict[tuple[int, int], int] = field(default_factory=dict)
+
+    def signature(self, tokens: np.ndarray) -> tuple[int, int]:
+        raw = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+        first = int.from_bytes(raw[:8], "little", signed=True)
+        return first if self.bits == 64 else first & ((1 << self.bits) - 1), int.from_bytes(raw[8:], "little", signed=True)
+
+    def node(self, tokens: np.ndarray) -> int:
+        pair = self.signature(tokens)
+        return self.renamed.get(pair, pair[0]) if self.renamed else pair[0]
 
 
 def prefix_length(n: int, subset: int = 1) -> int:
@@ -104,7 +117,7 @@ def _int64(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def _profile(docs: DataFrame, id_col: str, text_col: str, salt: int) -> DataFrame:
+def _profile(docs: DataFrame, id_col: str, text_col: str, named: Names) -> DataFrame:
     """One row a document (kind 0: doc_id, n, a and b: its set's signature) and one for each token that several sets of a
     batch have (kind 1: a: the token, b: how many)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -114,7 +127,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, salt: int) -> DataFram
         for batch in batches:
             sizes, one, two, held, seen, total = [], [], [], [], set(), 0
             for tokens in shingle_sets(batch.column(1)):
-                s = signature(tokens, salt) if len(tokens) else (None, None)
+                s = named.signature(tokens) if len(tokens) else (None, None)
                 sizes.append(len(tokens))
                 one.append(s[0])
                 two.append(s[1])
@@ -140,7 +153,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, salt: int) -> DataFram
         n = int(some.sum())
         return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), _int64(every[starts[some]]), pa.array(found[some])], names=["kind", "doc_id", "n", "a", "b"])
 
-    shaped = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    shaped = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("binary").alias("text"))
     return staged(mapped(shaped, run, f"kind int, doc_id {kind}, n long, a long, b long"))
 
 
@@ -162,7 +175,7 @@ def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], found["level"].to_numpy(dtype=np.int8)[order]
 
 
-def _listed(docs: DataFrame, text_col: str, salt: int, tables: object, only: object = None) -> DataFrame:
+def _listed(docs: DataFrame, text_col: str, named: Names, tables: object, only: object = None) -> DataFrame:
     """(token, node, n): the keys of every distinct set. ``only``: a Bloom filter of tokens; the others aren't sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +187,7 @@ def _listed(docs: DataFrame, text_col: str, salt: int, tables: object, only: obj
             for tokens in shingle_sets(batch.column(0)):
                 if not len(tokens):
                     continue
-                node = signature(tokens, salt)[0]
+                node = named.node(tokens)
                 if node in seen:
                     continue
                 if len(seen) >= SEEN:  # what is forgotten is sent once more; rows are made distinct later
@@ -198,7 +211,7 @@ def _listed(docs: DataFrame, text_col: str, salt: int, tables: object, only: obj
         counts = [len(k) for k in keys]
         return pa.RecordBatch.from_arrays([_int64(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), counts)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts))], names=["token", "node", "n"])
 
-    return mapped(docs.select(F.col(text_col).cast("binary").alias("text")), run, "token long, node long, n int")
+    return mapped(docs.select(col(text_col).cast("binary").alias("text")), run, "token long, node long, n int")
 
 
 def _token_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +232,7 @@ def _can_link(l: str, r: str) -> Column:
     return most * (100 + PERCENT) >= PERCENT * (n_l + n_r)
 
 
-def _sets_of(docs: DataFrame, text_col: str, salt: int, nodes: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, text_col: str, named: Names, nodes: DataFrame) -> DataFrame:
     """(node, tokens) of the given nodes, from another pass over the texts; tokens as packed 64-bit numbers."""
     count = nodes.count()
     filt = bloom.build(nodes.select("node"), count, 0.01, salt=77, hashes=_token_hashes)
@@ -230,7 +243,7 @@ def _sets_of(docs: DataFrame, text_col: str, salt: int, nodes: DataFrame) -> Dat
         for batch in batches:
             ids, sets, size = [], [], 0
             for tokens in shingle_sets(batch.column(0)):
-                node = signature(tokens, salt)[0] if len(tokens) else None
+                node = named.node(tokens) if len(tokens) else None
                 if node is None or node in seen:
                     continue
                 key = np.array([node], dtype=np.int64).view(np.uint64)
@@ -249,7 +262,7 @@ def _sets_of(docs: DataFrame, text_col: str, salt: int, nodes: DataFrame) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
             give_back()
 
-    found = mapped(docs.select(F.col(text_col).cast("binary").alias("text")), run, "node long, tokens binary")
+    found = mapped(docs.select(col(text_col).cast("binary").alias("text")), run, "node long, tokens binary")
     sets = staged(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
     shared.unpersist()  # workers would keep it for as long as they live
     return sets
@@ -276,7 +289,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return mapped(pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b"), run, "a long, b long")
 
 
-def links(docs: DataFrame, text_col: str, salt: int, histogram: dict[int, int], profile: DataFrame) -> DataFrame:
+def links(docs: DataFrame, text_col: str, named: Names, histogram: dict[int, int], profile: DataFrame) -> DataFrame:
     """Links (a, b) between distinct sets that give the right components: of two linked sets, either the link is there or both are
     linked through others."""
     sc = docs.sparkSession.sparkContext
@@ -284,13 +297,13 @@ def links(docs: DataFrame, text_col: str, salt: int, histogram: dict[int, int],
     total = sum(n * c for n, c in histogram.items())
     tables = sc.broadcast((frequent, level, boundary(histogram, min(1.0, len(frequent) / max(1, total)))))
     # Tokens that one set alone has can't lead to another: found from partial minima, so a hot token is one row a task.
-    counted = _listed(docs, text_col, salt, tables).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    counted = _listed(docs, text_col, named, tables).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = staged(counted.where("lo <> hi").select("token"))
     n_shared = shared.count()
     if not n_shared:
         return docs.sparkSession.createDataFrame([], "a long, b long")
     filt = bloom.build(shared, n_shared, 0.02, salt=78, hashes=_token_hashes)  # None beyond its bound: then all rows are sent again
-    rows = _listed(docs, text_col, salt, tables, sc.broadcast(filt) if filt is not None else None)
+    rows = _listed(docs, text_col, named, tables, sc.broadcast(filt) if filt is not None else None)
     rows = staged(rows.join(shared, "token", "left_semi").groupBy("token", "node").agg(F.first("n").alias("n")))
     small = tables.value[2]
     # c: the prefix's tokens that other sets list too; after: the tokens behind the prefix. Sets listed by pairs count whole.
@@ -311,7 +324,7 @@ def links(docs: DataFrame, text_col: str, salt: int, histogram: dict[int, int],
     star = star.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
     light = rows.where(F.col("size") <= LIGHT_LIST).select("token", "node", "n", "c", "after")
     pairs = staged(star.union(_pairs(light, F.lit(True))).distinct())
-    sets = _sets_of(docs, text_col, salt, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    sets = _sets_of(docs, text_col, named, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     found = staged(_verified(pairs, sets))
     # Long lists whose sets are all in one component by now are settled. In the others, sets of different components still
     # have to be compared: the exact way for the rest.
@@ -335,7 +348,7 @@ def links(docs: DataFrame, text_col: str, salt: int, histogram: dict[int, int],
     more = staged(more)
     if not more.isEmpty():
         nodes = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
-        found = staged(found.union(_verified(more, _sets_of(docs, text_col, salt, nodes))))
+        found = staged(found.union(_verified(more, _sets_of(docs, text_col, named, nodes))))
     return found
 
 
@@ -345,24 +358,40 @@ def _pairs(rows: DataFrame, extra: Column) -> DataFrame:
     return left.join(right, fits).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spark_rows(df: DataFrame, new: list[tuple[int, int, int]]) -> DataFrame:
+    return df.sparkSession.createDataFrame(new, "_id long, _check long, _new long")
+
+
+def with_ids(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """``rows`` with the new ids (``TWINS_MAX`` rows at most) of those that share half of their signature."""
+    met = rows.join(F.broadcast(new), (F.col("node") == F.col("_id")) & (F.col("check") == F.col("_check")), "left")
+    return met.withColumn("node", F.coalesce("_new", "node")).drop("_id", "_check", "_new")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
     """(id, n_shingles, component_id): the smallest id that links reach, the document's own included.
 
     Words are runs of bytes outside white space, A-Z lower-cased; a document's set has its distinct 5-word shingles, or its
     whole sequence of fewer words. Two documents link if 100 * |intersection| >= 80 * |union|. Copies are one set
-    from the start, so they are never paired. Shingles are known by 64 hash bits and sets by 128.
+    from the start, so they are never paired. Shingles are known by 64 hash bits and sets by 128, of
+    which ``id_bits`` are a set's id; sets that share those get ids of their own.
 
     Null and empty texts have no shingles and link with nothing. A null id never is a component's id unless it has no other.
     Repeated rows are copies. An empty table gives no rows. Other columns are ignored.
     """
-    for salt in range(4):
-        profile = _profile(docs, id_col, text_col, salt)
-        own = profile.where("kind = 0").select("doc_id", "n", F.col("a").alias("node"), F.col("b").alias("check"))
-        nodes = staged(own.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
-        if nodes.groupBy("node").count().where("count > 1").isEmpty():  # else two sets share 64 bits: salted anew
-            break
+    named = Names(id_bits)
+    profile = _profile(docs, id_col, text_col, named)
+    own = profile.where("kind = 0").select("doc_id", "n", F.col("a").alias("node"), F.col("b").alias("check"))
+    nodes = staged(own.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
+    shared = staged(nodes.groupBy(F.col("node").alias("_shared")).agg(F.count(F.lit(1)).alias("_sets")).where("_sets > 1"))
+    if not shared.isEmpty():
+        pairs = nodes.select(F.col("node").alias("id"), "check").join(shared, F.col("id") == F.col("_shared"), "left_semi")
+        new = twins(pairs, nodes.select(F.col("node").alias("id")))
+        named = Names(id_bits, {(i, c): n for i, c, n in new})
+        ids = spark_rows(docs, new)
+        own, nodes = with_ids(own, ids), staged(with_ids(nodes, ids))
     histogram = {r["n"]: r["count"] for r in nodes.where(F.col("n") <= SMALL_MAX).groupBy("n").count().collect()}
-    found = links(docs, text_col, salt, histogram, profile)
+    found = links(docs, text_col, named, histogram, profile)
     parts = components(found)
     members = parts.join(nodes.select("node", "least"), "node")
     least = members.groupBy("component").agg(F.min("least").alias("id"))

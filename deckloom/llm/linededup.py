@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckloom.llm import bloom
-from deckloom.llm.common import BROADCAST_BYTES, broadcast_if_small, col, free_names, hash_bits, mapped, staged, text_or_empty, typed
+from deckloom.llm.common import BROADCAST_BYTES, broadcast_if_small, col, free_names, hash_bits, mapped, staged, text_or_empty, twins, typed
 from deckloom.llm.text import Words, give_back, groups, mixed, span_hashes
 
 #: Edits that make a near copy at most, and the share of the longer line's symbols that they may be: two words of twenty.
@@ -130,14 +130,14 @@ def _shifts(k: int, m: int, lack: int) -> list[tuple]:
     return [s for s, last, left in found if abs(lack - last) <= left]
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, unit: str, salt: int) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
     """One row for each line with a word: doc, mark (of the whole text), no, line (with single spaces if words count), id (64 bits of the
-    line under that salt) and check (64 others)."""
+    line) and check (64 others)."""
     text = col(text_col)
     rows = docs.select(col(id_col).alias("doc"), hash_bits(text, seed=2).alias("mark"), F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("no", "line"))
     rows = rows.where(F.col("line").rlike(HAS_WORD))
     rows = rows.withColumn("line", F.trim(F.regexp_replace("line", SPACES, " "))) if unit == "word" else rows
-    return rows.select("*", hash_bits(F.col("line"), seed=2 * salt + 11).alias("id"), hash_bits(F.col("line"), seed=2 * salt + 12).alias("check"))
+    return rows.select("*", hash_bits(F.col("line"), seed=11).alias("id"), hash_bits(F.col("line"), seed=12).alias("check"))
 
 
 def _split(line: str, unit: str):
@@ -145,18 +145,26 @@ def _split(line: str, unit: str):
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str, unit: str = UNIT) -> tuple[DataFrame, DataFrame]:
-    """(id, place: its first doc, mark, no) of each line, and (id, line) of all occurrences. Lines are known by 128 bits; ids are the half of
-    them that no two lines share, so texts need not travel. Occurrences are reduced in each task first: a line that all
-    documents share is one row a task."""
-    for salt in range(8):
-        rows = _lines(docs, id_col, text_col, unit, salt)
-        once = rows.groupBy("id").agg(F.min(F.struct("doc", "mark", "no")).alias("place"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-        lines = staged(once)
-        if lines.where("lo <> hi").isEmpty():
-            break
+    """(id, place: its first doc, mark, no) of each line, and (id, line) of all occurrences. Lines are known by 128 bits; ids are half of
+    them, and of lines that share that half all but one get an id of their own (``twins``), so texts need not travel. Occurrences are reduced in each
+    task first: a line that all documents share is one row a task."""
+    rows = _lines(docs, id_col, text_col, unit)
+    lines = staged(_once(rows))
+    shared = staged(lines.where("lo <> hi").select(F.col("id").alias("_shared")))
+    if not shared.isEmpty():
+        pairs = staged(rows.select("id", "check").join(shared, F.col("id") == F.col("_shared"), "left_semi").distinct())
+        renamed = rows.sparkSession.createDataFrame(twins(pairs, lines.select("id")), "_id long, _check long, _new long")
+        # a row for each line but one that shares half of its hash: at most ``TWINS_MAX``
+        met = rows.join(F.broadcast(renamed), (F.col("id") == F.col("_id")) & (F.col("check") == F.col("_check")), "left")
+        rows = met.withColumn("id", F.coalesce("_new", "id")).drop("_id", "_check", "_new")
+        lines = staged(_once(rows))
     return lines.select("id", "place"), rows.select("id", "line")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("id").agg(F.min(F.struct("doc", "mark", "no")).alias("place"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+
+
 def _symbols(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
     """64 bits of each symbol of a group of lines, and the symbols before each line."""
     if unit == "word":

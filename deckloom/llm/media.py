@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import BROADCAST_BYTES, col, free_names, mapped, staged, text_or_empty, typed
+from deckloom.llm.common import BROADCAST_BYTES, col, free_names, mapped, split_hot, staged, text_or_empty, typed
 
 WIDTH = 576
 PAD = 255
@@ -27,7 +27,7 @@ BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption
 MEDIA = frozenset(("img", "video", "audio", "source", "embed"))
 
 #: Parts of one digest beyond which it counts as hot; bytes of a row of ``media`` (features, not payloads); tasks that share a hot digest.
-HOT_PARTS, MEDIA_ROW_BYTES, SALTS = 256, 512, 16
+HOT_PARTS, MEDIA_ROW_BYTES = 256, 512
 
 PART = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
 PART_SQL = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>"
@@ -119,27 +119,20 @@ def resolve(parts: DataFrame, media: DataFrame, id_col: str, media_cols: tuple[s
     """One row a part, in place: id, pos, kind, text, caption, digest and the columns of ``media`` (keyed by digest).
 
     A reference whose payload is missing keeps its row with nulls, so positions and captions stay aligned. ``media`` has one
-    row a digest. Digests of more than ``HOT_PARTS`` parts are counted first, with partial sums: their few rows of ``media`` are broadcast if they
-    fit (else their parts are spread over ``SALTS`` tasks each), so no task gets all parts that share a payload; the rest meet in an equi-join.
+    row a digest. Digests of more than ``HOT_PARTS`` parts are counted first, with partial sums: the rows of ``media`` of the most
+    frequent, as many as fit at any number of parts, are broadcast, so no task gets all parts that share a payload; the rest meet in an equi-join.
     """
-    rows = parts.select(col(id_col), F.explode_outer("parts").alias("p")).select(id_col, "p.*")
+    rows = parts.select(col(id_col), F.explode_outer("parts").alias("p")).select(col(id_col), "p.*")
     digest = F.regexp_extract(F.coalesce("ref", F.lit("")), r"^media:([0-9a-f]{64})$", 1)
     rows = staged(rows.withColumn("digest", F.when(digest != "", digest)).drop("ref"))
     own = media.select(F.col("digest").alias("_digest"), *media_cols)
-    hot = staged(rows.where("digest IS NOT NULL").groupBy("digest").count().where(F.col("count") > HOT_PARTS).select(F.col("digest").alias("_hot")))
-    many = hot.count()
-    if not many:
-        return rows.join(own, F.col("digest") == F.col("_digest"), "left").drop("_digest")
-    if many * MEDIA_ROW_BYTES <= BROADCAST_BYTES:
-        few = F.broadcast(staged(own.join(F.broadcast(hot), F.col("_digest") == F.col("_hot")).drop("_hot")))
-        is_hot = rows.join(F.broadcast(hot), F.col("digest") == F.col("_hot"), "left")
-        shared = is_hot.where("_hot IS NOT NULL").drop("_hot").join(few, F.col("digest") == F.col("_digest"), "left")
-        rest = is_hot.where("_hot IS NULL").drop("_hot").join(own, F.col("digest") == F.col("_digest"), "left")
-        return shared.unionByName(rest).drop("_digest")
-    salt = F.pmod(F.xxhash64(col(id_col), F.col("pos")), F.lit(SALTS))
-    spread = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
-    met = rows.withColumn("_own_salt", salt).join(spread, (F.col("digest") == F.col("_digest")) & (F.col("_own_salt") == F.col("_salt")), "left")
-    return met.drop("_digest", "_salt", "_own_salt")
+    counts = staged(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PARTS).select(F.col("digest").alias("_hot"), "n"))
+    hot = split_hot(counts, "n", BROADCAST_BYTES // MEDIA_ROW_BYTES)[0].drop("n")
+    few = F.broadcast(staged(own.join(F.broadcast(hot), F.col("_digest") == F.col("_hot")).drop("_hot")))
+    is_hot = rows.join(F.broadcast(hot), F.col("digest") == F.col("_hot"), "left")
+    shared = is_hot.where("_hot IS NOT NULL").drop("_hot").join(few, F.col("digest") == F.col("_digest"), "left")
+    rest = is_hot.where("_hot IS NULL").drop("_hot").join(own, F.col("digest") == F.col("_digest"), "left")
+    return shared.unionByName(rest).drop("_digest")
 
 
 def padded(payload: bytes) -> bytes:
@@ -251,7 +244,7 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stored = store_media(docs, text_col)
     text = text_or_empty(text_col)
     digest = F.sha2(text.cast("binary"), 256)
-    page = docs.select(F.col(id_col), figure_html(digest, F.concat(F.octet_length(text), F.lit(" bytes"))).alias("html"))
+    page = docs.select(col(id_col), figure_html(digest, F.concat(F.octet_length(text), F.lit(" bytes"))).alias("html"))
     parts = interleaved(page, "html", (id_col,))
     columns = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    return resolve(parts, media_features(stored), id_col, columns).select(id_col, "pos", "caption", *columns)
+    return resolve(parts, media_features(stored), id_col, columns).select(col(id_col), "pos", "caption", *columns)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import col, mapped, staged
+from deckloom.llm.common import col, free_names, mapped, staged
 from deckloom.llm.text import Words, give_back, groups, mixed
 
 #: Base rules: fewer words, or more than so many percent of words in repeated windows, fail.
@@ -25,9 +27,21 @@ _CONT = np.zeros(256, dtype=bool)
 _CONT[0x80:0xC0] = True
 _IS_SYMBOL = np.zeros(256, dtype=bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
-_LETTER[0xC3:0xF5] = True  # lead bytes beyond U+00BF: nearly all letters
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter (category L)."""
+    return np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
+
+
+def is_letter(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 whether a letter begins there."""
+    after = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int64)
+    a, b, c, d = (after[k : k + len(data)] for k in range(4))
+    tail = lambda x: x & 0x3F
+    point = np.select([a < 0x80, a < 0xC0, a < 0xE0, a < 0xF0], [a, 0, (a & 0x1F) << 6 | tail(b), (a & 0x0F) << 12 | tail(b) << 6 | tail(c)], (a & 0x07) << 18 | tail(b) << 12 | tail(c) << 6 | tail(d))
+    return _letters()[np.minimum(point, sys.maxunicode)]
 
 
 def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -79,24 +93,27 @@ def features(column: pa.Array) -> list[np.ndarray]:
         chars = np.concatenate(([0], np.cumsum(~_CONT[data], dtype=np.int64)))
         word_chars = np.bincount(words.row, weights=chars[words.stop] - chars[words.start], minlength=len(words.per_row)).astype(np.int64)
         lines, dups, short = _line_counts(data, offsets)
-        values = (words.per_row, word_chars, _per_row(_IS_SYMBOL[data], offsets), dups, _repeated(words, hashes), lines, _per_row(_LETTER[data], offsets), chars[offsets[1:]] - chars[offsets[:-1]], short, _distinct(words, hashes))
+        values = (words.per_row, word_chars, _per_row(_IS_SYMBOL[data], offsets), dups, _repeated(words, hashes), lines, _per_row(is_letter(data), offsets), chars[offsets[1:]] - chars[offsets[:-1]], short, _distinct(words, hashes))
         for part, v in zip(parts, values, strict=True):
             part.append(np.asarray(v, dtype=np.int64))
     return [np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in parts]
 
 
 def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``FIELDS``) of every document, in one pass over the texts."""
+    """(``id_col``, ``FIELDS``) of every document, in one pass over the texts."""
+    if id_col in FIELDS:
+        raise ValueError(f"{id_col} is the name of a result")
+    (own,) = free_names(FIELDS, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, features(batch.column(1)))], names=["id", *FIELDS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, features(batch.column(1)))], names=[own, *FIELDS])
             give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     # bytes, not strings: an unpaired surrogate in a text can't stop the pass
-    shaped = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"))
-    return mapped(shaped, run, f"id {kind}, " + ", ".join(f"{f} long" for f in FIELDS))
+    shaped = docs.select(col(id_col).alias(own), col(text_col).cast("binary").alias("text"))
+    return mapped(shaped, run, f"{own} {kind}, " + ", ".join(f"{f} long" for f in FIELDS)).withColumnRenamed(own, id_col)
 
 
 #: Each rule votes 1 (good), -1 (poor) or 0 (abstains), over all documents with a word.
@@ -165,17 +182,19 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = staged(document_features(docs, id_col, text_col))
     votes = rule_votes()
     code = sum(((v + 1) * 3**k for k, v in enumerate(votes.values())), F.lit(0))
-    coded = found.withColumn("_code", F.when(F.col("n_words") > 0, code))
+    own_code, known_code = free_names(found.columns, "code", "known")
+    coded = found.withColumn(own_code, F.when(F.col("n_words") > 0, code))
     # at most 3 ** rules rows reach the driver
-    counted = coded.where("_code IS NOT NULL").groupBy("_code").count().orderBy("_code").collect()
-    patterns = np.array([[r["_code"] // 3**k % 3 - 1 for k in range(len(votes))] for r in counted], dtype=np.int64).reshape(-1, len(votes))
-    share, table = fit(patterns, np.array([r["count"] for r in counted], dtype=np.int64))
-    rows = [(int(r["_code"]), float(p)) for r, p in zip(counted, posterior(patterns, share, table), strict=True)]
-    known = docs.sparkSession.createDataFrame(rows, "_known int, posterior double")
+    counted = coded.groupBy(F.col(own_code).alias("code")).agg(F.count(F.lit(1)).alias("n")).where("code IS NOT NULL").orderBy("code").collect()
+    patterns = np.array([[r["code"] // 3**k % 3 - 1 for k in range(len(votes))] for r in counted], dtype=np.int64).reshape(-1, len(votes))
+    share, table = fit(patterns, np.array([r["n"] for r in counted], dtype=np.int64))
+    rows = [(int(r["code"]), float(p)) for r, p in zip(counted, posterior(patterns, share, table), strict=True)]
+    known = docs.sparkSession.createDataFrame(rows, f"{known_code} int, posterior double")
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    joined = coded.join(F.broadcast(known), F.col("_code") == F.col("_known"), "left")
+    # a row a pattern of votes
+    joined = coded.join(F.broadcast(known), F.col(own_code) == F.col(known_code), "left")
     return joined.select(
-        F.col("id").alias(id_col),
+        col(id_col),
         *FIELDS,
         *[v.cast("int").alias(f"vote_{k}") for k, v in votes.items()],
         base_failed.alias("base_failed"),

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import BROADCAST_BYTES, col, mapped, staged, text_or_empty
+from deckloom.llm.common import BROADCAST_BYTES, col, mapped, split_hot, staged, text_or_empty
 
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT_BYTES = 100
@@ -27,8 +27,8 @@ ARCHIVE_BYTES = 4 << 20
 DICT_SAMPLES, DICT_SAMPLE_BYTES, DICT_BYTES = 200, 8192, 16384
 LEVEL = 3
 
-#: Bytes of a row of the table of repeated digests, and tasks that share a digest's pages if that table can't be broadcast.
-GROUP_ROW_BYTES, SALTS = 96, 16
+#: Bytes of a row of the table of repeated digests.
+GROUP_ROW_BYTES = 96
 
 DICT_FRAME_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
@@ -39,23 +39,24 @@ DATE = "2020-01-01T00:00:00Z"
 def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
     """``pages`` as (page_id, url, payload, digest, refers_to, is_revisit).
 
-    Digests are counted after partial aggregation, and only those seen more than once meet the pages again. Their table is
-    broadcast if it is counted to fit, and payloads then aren't shuffled; else each of its rows goes to ``SALTS`` tasks, among which the pages of a
-    digest are dealt, so a payload that a third of all pages share is in no single task. Pages with the group's smallest id are all responses if
-    that id repeats; a null id counts as the largest.
+    Digests are counted after partial aggregation, and only those seen more than once meet the pages again. The most frequent of
+    them, of which no more than fit can exist by the number of pages they need, are broadcast, so a payload that a third of all pages share is in no
+    single task; where that leaves none, payloads aren't shuffled. The others meet their pages in an equi-join. Pages with the group's smallest id
+    are all responses if that id repeats; a null id counts as the largest.
     """
     payload = text_or_empty(col(payload_col))
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(col(id_col).alias("page_id"), url.alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload.cast("binary"), 256)).alias("digest"))
     large = F.octet_length("payload") >= MIN_REVISIT_BYTES
-    groups = rows.where(large).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").select(F.col("digest").alias("_digest"), "first")
-    groups = staged(groups)
+    groups = staged(rows.where(large).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").select(F.col("digest").alias("_digest"), "first", "n"))
     same = large & (F.col("digest") == F.col("_digest"))
-    if groups.count() * GROUP_ROW_BYTES <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(groups), same, "left")
+    hot, rest = split_hot(groups, "n", BROADCAST_BYTES // GROUP_ROW_BYTES)
+    if rest is None:
+        joined = rows.join(F.broadcast(hot), same, "left")
     else:
-        spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
-        joined = rows.withColumn("_own_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).join(spread, same & (F.col("_own_salt") == F.col("_salt")), "left")
+        met = rows.join(F.broadcast(hot), same, "left")
+        others = met.where("_digest IS NULL").drop("_digest", "first", "n")
+        joined = met.where("_digest IS NOT NULL").unionByName(others.join(rest, same, "left"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", F.when(again, F.col("first")).alias("refers_to"), again.alias("is_revisit"))
 

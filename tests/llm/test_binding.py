@@ -104,6 +104,21 @@ def test_complementary_words_differ(spark, n):
     assert got == {1: brute_quality(f"{one} {seven} {two} {seven}")[4], 2: 16} and got[1] == 0
 
 
+@pytest.mark.parametrize("bits", [1, 8])
+def test_lines_and_sets_that_share_half_their_hash(spark, monkeypatch, bits):
+    """Ids follow the other half too: nothing is lost or merged where nearly all first halves collide."""
+    docs = [(i, "\n".join(f"{w} {' '.join(w * k for k in range(2, 9))} {i * (k % 2)}" for k, w in enumerate("abcdef"))) for i in range(8)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    whole = linededup.hash_bits
+    monkeypatch.setattr(linededup, "hash_bits", lambda *c, seed=0: F.pmod(whole(*c, seed=seed), F.lit(1 << bits)) if seed == 11 else whole(*c, seed=seed))
+    kept = brute_lines(docs)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(table).collect()}
+    assert got == {i: "\n".join(kept.get((i, t), "").split("\n")) for i, t in docs} and 0 < sum(map(len, got.values())) < sum(len(t) for _, t in docs)
+    sets = [(i, " ".join(f"w{i % 9}x{k}" for k in range(12 + i % 2))) for i in range(30)]
+    found = jaccard.similar_documents(spark.createDataFrame(sets, "doc_id long, text string").repartition(3), id_bits=bits)
+    assert Counter(tuple(r) for r in found.collect()) == Counter(brute_components(sets))
+
+
 def test_segments_that_share_a_hash(monkeypatch):
     """Ids follow the bytes even where nearly all hashes collide, in one group and between groups."""
     import sentencepiece
@@ -269,7 +284,7 @@ def plain_votes(text: str) -> list[int]:
     raw, w = text.encode(), WORD.findall(text)
     n, chars = len(w), max(1, len(text))
     words, symbols, dup, repeats = brute_quality(text)[1:5]
-    letters = sum(b in range(0x41, 0x5B) or b in range(0x61, 0x7B) or b in range(0xC3, 0xF5) for b in raw)
+    letters = sum(c.isalpha() for c in text)
     lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
     short, mean = sum(len(x) < 30 for x in lines), words / max(1, n)
     vote = lambda good, poor: -1 if poor else 1 if good else 0
