@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.llm import jaccard, langid, linededup, media, mixing, pieces, quality, sharding, urls, warc
+from deckloom.llm import alignment, conversations, jaccard, langid, linededup, media, mixing, packing, pieces, quality, sharding, urls, warc
 from deckloom.llm.common import table
 
 N_SHARDS = 40
@@ -63,6 +63,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repair_conversations(damaged, keep=table(spark, sf_dir, "conversations"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of every page's html, in order."""
     parts = media.interleaved(table(spark, sf_dir, "pages"), "html", ("page_id",))
@@ -70,7 +83,7 @@ def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_line_dedup, op3_ngram_join, op4_url_filter, op5_warc, op6_language, op7_media, op8_pieces, op9_shards, op10_quality, interleaved_pages)
+    f.__name__: f for f in (op1_mix, op2_line_dedup, op3_ngram_join, op4_url_filter, op5_warc, op6_language, op7_media, op8_pieces, op9_shards, op10_quality, op11_repair, op12_packing, op13_alignment, interleaved_pages)
 }
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
