@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from deckloom.operators import geometry as E
 from deckloom.operators import layouts as Y
 from deckloom.plans import sqltext as q
-from deckloom.plans.phrased import SENTENCES, STATED, blanks, ends, values
+from deckloom.plans.phrased import SENTENCES, STATED, STATED_SQL, blanks, ends, stated, values
+from deckloom.functions.text import sentences
 from deckloom.sources.tables import slides, table
 
 QUERIES, ORACLE = {}, {}
@@ -103,18 +104,23 @@ PICTURES = (
     (5, 300, 300, "cells divide fast", "cells divide in two", False), (6, 0, 0, "", "cells", True), (7, 900, 700, "icon of cells that divide", "cells divide", False), (8, 900, 700, "", "cells", False), (9, 400, 400, "words here", "other text", False),
     (10, 900, 900, " ".join(["cells divide"] * 25), "cells divide", False),
 )
+#: A slide's bullets as what is read on its picture, beside its title.
+_FROM_DOCS = f"(WITH {q.SLIDES} SELECT -1 - (doc_id * 1000 + slide_no), (length(body) * 3)::INT, (length(body) * 2)::INT, array_to_string(bullets, ' '), title, contains(lower(title), 'the') FROM slides WHERE len(bullets) > 0)"
 _OCR = r"trim(regexp_replace(ocr, '(?i)\[(?:OCR|Extracted)[^\]]*\]', '', 'g'))"
 _WD = lambda x: rf"regexp_extract_all({x}, '[A-Za-z][A-Za-z\-'']+')"
 
 
-@query("picture_actions", f"""WITH p AS (SELECT id, width, height, referenced, {_OCR} AS ocr, {_WD(_OCR)} AS w, list_distinct({_WD('lower(slide_text)')}) AS own FROM {values(PICTURES, 'id, width, height, ocr, slide_text, referenced')}),
+@query("picture_actions", f"""WITH p AS (SELECT id, width, height, referenced, {_OCR} AS ocr, {_WD(_OCR)} AS w, list_distinct({_WD('lower(slide_text)')}) AS own FROM (SELECT * FROM {values(PICTURES, 'id, width, height, ocr, slide_text, referenced')} UNION ALL {_FROM_DOCS})),
 m AS (SELECT id, referenced, len(w) AS n, width * height / 1e6 AS mp, CASE WHEN height > 0 THEN width / height::DOUBLE ELSE 0.0 END AS aspect, list_distinct(list_transform(w, lambda x: lower(x))) AS mine, own, len(regexp_extract_all(ocr, {q.text(Y.STRUCTURE)})) AS marks, regexp_matches(ocr, {q.text(Y.DECORATIVE)}) AS decor FROM p),
 r AS (SELECT *, CASE WHEN len(mine) > 0 AND len(own) > 0 THEN len(list_intersect(mine, own))::DOUBLE / len(mine) ELSE 0.0 END AS near FROM m),
 f AS (SELECT id, CASE WHEN ((mp > 0 AND mp < 0.02) OR (aspect <> 0 AND (aspect > 4 OR aspect < 0.25))) AND n < 8 THEN ('DROP', 0.9) WHEN decor AND near < 0.15 AND marks = 0 THEN ('DROP', 0.75) WHEN marks >= 2 AND n >= 8 THEN ('SUMMARISE_TO_STRUCTURE', 0.82) WHEN n >= 40 AND near >= 0.25 THEN ('SUMMARISE_TO_STRUCTURE', 0.7)
  WHEN mp < 0.12 AND (near >= 0.2 OR referenced) THEN ('ENHANCE', 0.6) WHEN decor AND (near >= 0.15 OR referenced) THEN ('REGENERATE', 0.55) WHEN near >= 0.15 OR referenced OR mp >= 0.25 THEN ('KEEP_AS_IS', 0.7) ELSE ('KEEP_AS_IS', 0.55) END AS f FROM r)
 SELECT id::BIGINT AS id, f[1] AS action, f[2]::DOUBLE AS confidence FROM f""")
 def picture_actions(spark, sf_dir):
-    return Y.picture_actions(spark.createDataFrame(list(PICTURES), "id long, width int, height int, ocr string, slide_text string, referenced boolean"))
+    deck = slides(table(spark, sf_dir, "documents")).where("size(bullets) > 0")
+    size = F.length("body").cast("int")
+    shown = deck.select((-1 - (F.col("doc_id") * 1000 + F.col("slide_no"))).alias("id"), (size * 3).cast("int"), (size * 2).cast("int"), F.array_join("bullets", " "), F.col("title"), F.lower("title").contains("the"))
+    return Y.picture_actions(spark.createDataFrame(list(PICTURES), "id long, width int, height int, ocr string, slide_text string, referenced boolean").union(shown))
 
 
 _FAM = "['PROSE', 'SET_DIAGRAM', 'TIMELINE', 'CHART_TREND'][(slide_no % 4 + 1)::INT]"
@@ -136,11 +142,11 @@ _LROWS = ", ".join(f"({i}, [{q.quoted(b)}]::VARCHAR[])" for i, b in LAYOUTS)
 _CNT = lambda p: f"len(regexp_extract_all(low, {q.text(p)}))"
 
 
-@query("layouts", rf"""WITH l AS (SELECT id, b, lower(array_to_string(b, ' ')) AS low, len({blanks("array_to_string(b, ' ')")}) AS words, len(b) AS n FROM (VALUES {_LROWS}) AS v(id, b)), h AS (SELECT *, n > 7 OR words / greatest(n, 1)::DOUBLE > 14 AS heavy, len(list_filter(b, lambda x: regexp_matches(x, '^[A-Z][\w /&.\-]{{1,32}}:\s'))) AS named FROM l)
+@query("layouts", rf"""WITH l AS (SELECT id, b, lower(array_to_string(b, ' ')) AS low, len({blanks("array_to_string(b, ' ')")}) AS words, len(b) AS n FROM (SELECT id, b FROM (VALUES {_LROWS}) AS v(id, b) UNION ALL SELECT -1 - (conv_id * 1000 + turn), {q.sentences("coalesce(text, '')")} FROM conversations)), h AS (SELECT *, n > 7 OR words / greatest(n, 1)::DOUBLE > 14 AS heavy, len(list_filter(b, lambda x: regexp_matches(x, '^[A-Z][\w /&.\-]{{1,32}}:\s'))) AS named FROM l)
 SELECT id::BIGINT AS id, CASE WHEN NOT heavy AND ({_CNT(Y.ORDINAL)} >= 3 OR regexp_matches(low, '(?s)step\s*1\b.*step\s*2\b')) THEN 'FLOWCHART' WHEN NOT heavy AND {_CNT(chr(92) + 'bvs' + chr(92) + '.?' + chr(92) + 'b|' + chr(92) + 'bversus' + chr(92) + 'b|' + chr(92) + 'bwhereas' + chr(92) + 'b|on the other hand')} >= 2 AND n BETWEEN 3 AND 8 THEN 'TABLE'
  WHEN NOT heavy AND {_CNT(r'\b\d{1,3}(?:\.\d+)?\s?%|\b\d+\s?percent\b')} >= greatest(3, 0.5 * greatest(n, 1)) THEN 'TABLE' WHEN {_CNT(r'\b\d{1,3}(?:\.\d+)?\s?%')} = 1 AND words < 40 THEN 'METRIC' WHEN NOT heavy AND named BETWEEN 3 AND 6 AND n <= 7 THEN 'CARD_GRID' ELSE 'MINIMAL_TEXT' END AS layout FROM h""")
 def layouts(spark, sf_dir):
-    return spark.createDataFrame(list(LAYOUTS), "id long, b array<string>").select("id", Y.layout(F.col("b")).alias("layout"))
+    return spark.createDataFrame(list(LAYOUTS), "id long, b array<string>").union(_turn_sentences(spark, sf_dir)).select("id", Y.layout(F.col("b")).alias("layout"))
 
 
 @query("old_layouts", f"SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), {q.text(Y.OLD_FLOW)}) THEN 'FLOWCHART' WHEN regexp_matches(lower(coalesce(text, '')), {q.text(Y.OLD_TABLE)}) THEN 'TABLE' WHEN regexp_matches(lower(coalesce(text, '')), {q.text(Y.OLD_METRIC)}) THEN 'METRIC' ELSE 'MINIMAL_TEXT' END AS layout FROM documents")
@@ -148,7 +154,7 @@ def old_layouts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", Y.old_layout(F.coalesce("text", F.lit("")), F.lit(False)).alias("layout"))
 
 
-_STATED = values(STATED, "id, text")
+_STATED = STATED_SQL
 _RAW, _UNITS = f"trim(regexp_extract(text, {q.text(Y.METRIC)}, 1))", lambda x: f"regexp_extract({x}, {q.text(Y.UNIT)}, 1)"
 _ANY = lambda ws: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + ")"
 _LBL = rf"left(regexp_replace(regexp_replace(regexp_replace(text, {q.text(Y.METRIC)}, '', 'g'), '^[ \-:—|]+|[ \-:—|]+$', '', 'g'), '\s+', ' ', 'g'), 40)"
@@ -157,7 +163,7 @@ _LBL = rf"left(regexp_replace(regexp_replace(regexp_replace(text, {q.text(Y.METR
 @query("metrics", f"""SELECT id::BIGINT AS id, CASE WHEN trim(regexp_replace({_RAW}, {q.text(Y.UNIT)}, '', 'g')) <> '' THEN trim(regexp_replace({_RAW}, {q.text(Y.UNIT)}, '', 'g')) ELSE {_RAW} END AS value, CASE WHEN {_UNITS(_RAW)} <> '' THEN {_UNITS(_RAW)} ELSE {_UNITS('text')} END AS unit,
  CASE WHEN {_LBL} <> '' THEN {_LBL} ELSE 'Metric' END AS label, CASE WHEN {_ANY(Y.UP)} THEN 'up' WHEN {_ANY(Y.DOWN)} THEN 'down' ELSE 'flat' END AS trend FROM {_STATED} WHERE {_RAW} <> ''""")
 def metrics(spark, sf_dir):
-    return spark.createDataFrame(STATED, "id long, text string").select("id", Y.metric(F.col("text")).alias("m")).where("m IS NOT NULL").select("id", "m.*")
+    return stated(spark, sf_dir).select("id", Y.metric(F.col("text")).alias("m")).where("m IS NOT NULL").select("id", "m.*")
 
 
 _DT = f"regexp_extract(text, {q.text(Y.DATE_WORD)}, 1)"
@@ -166,13 +172,13 @@ _RST = f"regexp_replace(replace(text, {_DT}, ''), '^[ \\-:—|]+|[ \\-:—|]+$',
 
 @query("dated_items", f"SELECT id::BIGINT AS id, CASE WHEN {_DT} <> '' THEN {_DT} ELSE 'Phase ' || (id + 1) END AS date, CASE WHEN {_DT} = '' THEN trim(text) WHEN {_RST} <> '' THEN {_RST} ELSE trim(text) END AS rest FROM {_STATED}")
 def dated_items(spark, sf_dir):
-    return spark.createDataFrame(STATED, "id long, text string").select("id", Y.dated(F.col("text"), F.col("id")).alias("d")).select("id", "d.*")
+    return stated(spark, sf_dir).select("id", Y.dated(F.col("text"), F.col("id")).alias("d")).select("id", "d.*")
 
 
 _SC = [f"{{'l': -({' + '.join(f'contains(lower(text), {q.text(w)})::INT' for w in ws)}), 'k': {k}, 'n': '{n}'}}" for k, (n, ws) in enumerate(Y.CHARTS.items())]
 
 
-@query("chart_kinds", f"SELECT doc_id, list_sort([{', '.join(_SC)}])[1].n AS chart FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT -1 - id, text FROM {_STATED})")
+@query("chart_kinds", f"SELECT doc_id, list_sort([{', '.join(_SC)}])[1].n AS chart FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT -1 - id, text FROM {values(STATED, 'id, text')})")
 def chart_kinds(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).union(spark.createDataFrame(STATED, "id long, text string").select(-1 - F.col("id"), "text"))
     return docs.select("doc_id", Y.chart_kind(F.col("text")).alias("chart"))
@@ -210,13 +216,18 @@ _PRED = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), {q.text
 
 @query("relationships", f"SELECT id::BIGINT AS id, {_FC}[1] AS subject, {_PRED} AS predicate, {_FC}[2] AS object FROM {_STATED} WHERE len({_FC}) >= 2")
 def relationships(spark, sf_dir):
-    rows = spark.createDataFrame(STATED, "id long, text string").select("id", Y.relationships(F.array("text"), F.array(*map(F.lit, CONCEPTS))).alias("r"))
+    rows = stated(spark, sf_dir).select("id", Y.relationships(F.array("text"), F.array(*map(F.lit, CONCEPTS))).alias("r"))
     return rows.select("id", F.explode("r").alias("r")).select("id", "r.*")
 
 
 @query("formulas", rf"WITH f AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, {q.text(Y.FORMULA_SIGN)}), lambda e: {ends('e')}), lambda e: length(e) BETWEEN 4 AND 200) AS f FROM {_STATED}) SELECT id::BIGINT AS id, array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i)[1:8], '|') AS formulas FROM f")
 def formulas(spark, sf_dir):
-    return spark.createDataFrame(STATED, "id long, text string").select("id", F.array_join(Y.formulas(F.col("text")), "|").alias("formulas"))
+    return stated(spark, sf_dir).select("id", F.array_join(Y.formulas(F.col("text")), "|").alias("formulas"))
+
+
+def _turn_sentences(spark, sf_dir):
+    """The sentences of every turn, under negative ids."""
+    return table(spark, sf_dir, "conversations").select((-1 - (F.col("conv_id") * 1000 + F.col("turn"))).alias("id"), sentences(F.coalesce("text", F.lit(""))))
 
 
 TALKS = ((1, ["What is it?", "A list.", "Why?", "Where?", "There.", "End?"]), (2, ["No question."]), (3, []), (4, [s for s in SENTENCES[:3]] + ["Ok?"]))
@@ -224,7 +235,7 @@ _TROWS = ", ".join(f"({i}, [{q.quoted(b)}]::VARCHAR[])" for i, b in TALKS)
 
 
 @query("question_answers", rf"""WITH t AS (SELECT id, list_reduce(s, lambda a, x: CASE WHEN a.w THEN {{'o': list_append(a.o[:-2], {{'q': a.o[-1].q, 'a': x}}), 'w': false}} WHEN regexp_matches(x, '\?$') THEN {{'o': list_append(a.o, {{'q': x, 'a': ''}}), 'w': true}} ELSE a END,
- {{'o': []::STRUCT(q VARCHAR, a VARCHAR)[], 'w': false}}).o[1:6] AS o FROM (VALUES {_TROWS}) AS v(id, s)) SELECT id::BIGINT AS id, unnest(o).q AS question, unnest(o).a AS answer FROM t""")
+ {{'o': []::STRUCT(q VARCHAR, a VARCHAR)[], 'w': false}}).o[1:6] AS o FROM (SELECT id, s FROM (VALUES {_TROWS}) AS v(id, s) UNION ALL SELECT -1 - (conv_id * 1000 + turn), {q.sentences("coalesce(text, '')")} FROM conversations)) SELECT id::BIGINT AS id, unnest(o).q AS question, unnest(o).a AS answer FROM t""")
 def question_answers(spark, sf_dir):
-    rows = spark.createDataFrame(list(TALKS), "id long, s array<string>").select("id", F.explode(Y.question_answers(F.col("s"))).alias("p"))
+    rows = spark.createDataFrame(list(TALKS), "id long, s array<string>").union(_turn_sentences(spark, sf_dir)).select("id", F.explode(Y.question_answers(F.col("s"))).alias("p"))
     return rows.select("id", "p.question", "p.answer")

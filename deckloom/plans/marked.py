@@ -23,7 +23,30 @@ MARKDOWN = (
     (7, f"## Long one\n{LONG}\n\n- item one {LONG[:400]}\n- item two {LONG[:900]}\n- item three\n\nshort end"),
     (8, "## Stages in NLP\nfirst\n## Stages in NLP, cont.\nsecond\n## Other\n## Other thing entirely\nx"),
 )
-_M = f"(SELECT id AS doc, text FROM {values(MARKDOWN, 'id, text')})"
+# Html as plain markdown: what is no content goes, headings and list items get their marks, other blocks begin a line, tags go.
+HTML_STEPS = (
+    (r"(?is)<head.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->", ""),
+    (r"(?i)<h1[^>]*>", "\n# "),
+    (r"(?i)<h2[^>]*>|<footer[^>]*>", "\n## "),
+    (r"(?i)<li[^>]*>", "\n- "),
+    (r"(?i)<p[^>]*>|<br[^>]*>|</(?:h[1-6]|ul|ol|nav|div)>|<article[^>]*>", "\n"),
+    (r"(?s)<[^>]*>", ""),
+)
+
+
+def page_text(html):
+    """A page's html as markdown, by ``HTML_STEPS``."""
+    for pattern, by in HTML_STEPS:
+        html = F.regexp_replace(html, pattern, by)
+    return html
+
+
+_PAGE = "coalesce(html, '')"
+for _pattern, _by in HTML_STEPS:
+    _by = f"chr(10) || {q.text(_by[1:])}" if _by else "''"
+    _PAGE = f"regexp_replace({_PAGE}, {q.text(_pattern)}, {_by}, 'g')"
+#: The stated markdown, and all pages under negative ids.
+_M = f"(SELECT id::BIGINT AS doc, text FROM {values(MARKDOWN, 'id, text')} UNION ALL SELECT -1 - page_id, {_PAGE} FROM pages)"
 _LINES = rf"""l AS (SELECT doc::BIGINT AS doc, unnest(string_split(text, chr(10))) AS line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS no FROM {_M}),
 s AS (SELECT doc, no, line, {ends('line')} AS s, length(regexp_extract({ends('line')}, '^(#{{1,6}})\s+(.*)$', 1)) AS level, trim(regexp_extract({ends('line')}, '^(#{{1,6}})\s+(.*)$', 2)) AS title FROM l)"""
 PAGES = ((1, 1, "title", "Deck", []), (1, 2, "content", "Cells", [(0, "one"), (1, "one a")]), (1, 3, "content", "", [(0, "two")]), (1, 4, "content", None, []), (2, 1, "content", "", [(2, "deep")]), (2, 2, "figure", "Plot", []))
@@ -39,8 +62,9 @@ def query(name: str, sql: str | None):
     return add
 
 
-def _texts(spark):
-    return spark.createDataFrame(list(MARKDOWN), "doc long, text string")
+def _texts(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("doc"), page_text(F.coalesce("html", F.lit(""))).alias("text"))
+    return spark.createDataFrame(list(MARKDOWN), "doc long, text string").union(pages)
 
 
 _TITLE = r"array_to_string(list_transform(regexp_extract_all({x}, '\p{{L}}+|[^\p{{L}}]+'), lambda r: upper(left(r, 1)) || lower(substr(r, 2))), '')"
@@ -53,7 +77,7 @@ u AS (SELECT doc, list_transform(string_split(replace(text, chr(13) || chr(10),
 SELECT doc, {ends("array_to_string(l, chr(10))")} AS markdown FROM u""")
 def outlines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    return _texts(spark).union(docs).select("doc", M.outline_to_markdown(F.col("text")).alias("markdown"))
+    return _texts(spark, sf_dir).union(docs).select("doc", M.outline_to_markdown(F.col("text")).alias("markdown"))
 
 
 @query("typed_documents", "SELECT doc_id AS doc, text AS markdown, 'Typed Input' AS source_name, 'typed' AS converter FROM documents")
@@ -63,7 +87,7 @@ def typed_documents(spark, sf_dir):
 
 @query("without_pictures", rf"SELECT doc::BIGINT AS doc, {ends('regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, ' + q.text(M.PICTURE) + ')), chr(10)), ' + q.text(chr(92) + 'n{3,}') + ', chr(10) || chr(10), ' + q.text('g') + ')')} AS text FROM {_M}")
 def without_pictures(spark, sf_dir):
-    return _texts(spark).select("doc", M.without_pictures(F.col("text")).alias("text"))
+    return _texts(spark, sf_dir).select("doc", M.without_pictures(F.col("text")).alias("text"))
 
 
 @query("without_boilerplate", rf"""WITH {_LINES}, k AS (SELECT *, level > 0 AS heading, CASE WHEN level = 0 AND length(lower(regexp_replace(regexp_replace(s, '^[-*+•\d.)\s]+', ''), '\s+', ' ', 'g'))) >= 8 THEN lower(regexp_replace(regexp_replace(s, '^[-*+•\d.)\s]+', ''), '\s+', ' ', 'g')) END AS key,
@@ -72,7 +96,7 @@ c AS (SELECT *, count(*) OVER (PARTITION BY doc) AS n, greatest(3, greatest(1, c
 SELECT doc, no, CASE WHEN n < 8 OR heading THEN line ELSE cut END AS line FROM c WHERE n < 8 OR (NOT (regexp_matches(s, {q.text(M.OCR_MARK)}) OR s IN (']', ']]')) AND (heading OR
  (NOT coalesce((times >= least_n AND lower(regexp_replace(body, '\s+', ' ', 'g')) = key) OR regexp_matches(s, {q.text(M.PAGE_NUMBER)}) OR regexp_matches(body, {q.text(M.FOOTER)}), false) AND {ends('cut')} <> '')))""")
 def without_boilerplate(spark, sf_dir):
-    return M.without_boilerplate(_texts(spark))
+    return M.without_boilerplate(_texts(spark, sf_dir))
 
 
 _CELLS = rf"list_transform(string_split(regexp_replace(s, '^\|+|\|+$', '', 'g'), '|'), lambda c: {ends('c')})"
@@ -85,7 +109,7 @@ f AS (SELECT *, sum(coalesce(len(list_filter(cells, lambda c: {_JUNK})), 0)) OVE
 x AS (SELECT doc, no, CASE WHEN piped AND nr > 0 AND (lead OR nj >= 0.3 * (nj + nr)) THEN list_transform(list_filter(coalesce(cells, []::VARCHAR[]), lambda c: NOT {_JUNK}), lambda c: '- ' || c) ELSE [line] END AS x FROM f)
 SELECT doc, no, (generate_subscripts(x, 1) - 1)::INT AS sub, unnest(x) AS line FROM x""")
 def without_fake_tables(spark, sf_dir):
-    return M.without_fake_tables(M.lines_of(_texts(spark)))
+    return M.without_fake_tables(M.lines_of(_texts(spark, sf_dir)))
 
 
 @query("whole_headings", rf"""WITH {_LINES}, b AS (SELECT *, lag(level) OVER o AS pl, lag(title) OVER o AS pt FROM s WHERE s <> '' WINDOW o AS (PARTITION BY doc ORDER BY no)),
@@ -94,7 +118,7 @@ r AS (SELECT *, sum((NOT wraps)::INT) OVER (PARTITION BY doc ORDER BY no) AS run
 g AS (SELECT doc, run, min(no) AS lo, max(no) AS hi, count(*) AS n, min_by(line, no) AS line, repeat('#', any_value(level)::INT) || ' ' || string_agg(title, ' ' ORDER BY no) AS whole FROM r GROUP BY doc, run)
 SELECT doc, lo AS no, CASE WHEN n > 1 THEN whole ELSE line END AS line FROM g UNION ALL SELECT doc, no, line FROM s WHERE s = '' AND NOT EXISTS (SELECT 1 FROM g WHERE g.doc = s.doc AND hi > lo AND s.no > lo AND s.no < hi)""")
 def whole_headings(spark, sf_dir):
-    return M.with_whole_headings(M.lines_of(_texts(spark)))
+    return M.with_whole_headings(M.lines_of(_texts(spark, sf_dir)))
 
 
 _SECTIONS = rf"""{_LINES}, o AS (SELECT *, level BETWEEN 1 AND 2 AND NOT {_junk('title')} AS opens FROM s), p AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc ORDER BY no) AS part FROM o),
@@ -105,12 +129,12 @@ sections AS (SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY part))::I
 
 @query("markdown_sections", f"WITH {_SECTIONS} SELECT doc, section, title, level, text FROM sections")
 def markdown_sections(spark, sf_dir):
-    return M.sections_of(_texts(spark))
+    return M.sections_of(_texts(spark, sf_dir))
 
 
 @query("parsed_units", f"WITH {_SECTIONS} SELECT doc, section AS unit, coalesce(nullif(title, ''), 'Section ' || section) AS title, len(list_filter(string_split(text, chr(10)), lambda x: {ends('x')} <> ''))::INT AS n_lines, text FROM sections")
 def parsed_units(spark, sf_dir):
-    return M.parsed_units(M.sections_of(_texts(spark)))
+    return M.parsed_units(M.sections_of(_texts(spark, sf_dir)))
 
 
 _LAST = "acc[-1]"
@@ -121,7 +145,7 @@ mf AS (SELECT doc, list_reduce(s, lambda acc, x: CASE WHEN len(acc) > 0 AND x.ti
 
 @query("merged_sections", f"WITH {_MERGED} SELECT doc, generate_subscripts(s, 1)::INT AS section, unnest(s).title AS title, unnest(s).text AS text FROM mf")
 def merged_sections(spark, sf_dir):
-    return M.merged_sections(M.sections_of(_texts(spark)))
+    return M.merged_sections(M.sections_of(_texts(spark, sf_dir)))
 
 
 def _state(out: str, cur: str, mode: str) -> str:
@@ -142,7 +166,7 @@ pg AS (SELECT doc, unit, list_filter({_CLOSED}, lambda p: {ends('p')} <> '') AS
 
 @query("section_paragraphs", f"WITH {_SECTIONS}, {_PARAS} SELECT doc, unit, para, text FROM paras")
 def section_paragraphs(spark, sf_dir):
-    return M.paragraphs(M.sections_of(_texts(spark)).select("doc", F.col("section").alias("unit"), "text"))
+    return M.paragraphs(M.sections_of(_texts(spark, sf_dir)).select("doc", F.col("section").alias("unit"), "text"))
 
 
 _N = lambda x: f"len({blanks(x)})"
@@ -153,13 +177,13 @@ cf AS (SELECT doc, unit, para, CASE WHEN prefix(text, '{M.TABLE_MARK}') OR conta
 chunks AS (SELECT doc, unit, para, (generate_subscripts(c, 1) - 1)::INT AS piece, unnest(c) AS text FROM cf)"""
 
 
-def _paras(spark):
-    return M.paragraphs(M.sections_of(_texts(spark)).select("doc", F.col("section").alias("unit"), "text"))
+def _paras(spark, sf_dir):
+    return M.paragraphs(M.sections_of(_texts(spark, sf_dir)).select("doc", F.col("section").alias("unit"), "text"))
 
 
 @query("section_chunks", f"WITH {_SECTIONS}, {_PARAS}, {_CHUNKS} SELECT doc, unit, para, piece, text FROM chunks")
 def section_chunks(spark, sf_dir):
-    return M.chunks(_paras(spark))
+    return M.chunks(_paras(spark, sf_dir))
 
 
 def _key(x: str) -> str:
@@ -181,7 +205,7 @@ SELECT doc, (generate_subscripts(s, 1) - 1)::INT AS place, unnest(s).title AS ti
 def chunks_by_heading(spark, sf_dir):
     from pyspark.sql import Window
 
-    pieces = M.chunks(_paras(spark)).join(M.sections_of(_texts(spark)).select("doc", F.col("section").alias("unit"), "title"), ["doc", "unit"])
+    pieces = M.chunks(_paras(spark, sf_dir)).join(M.sections_of(_texts(spark, sf_dir)).select("doc", F.col("section").alias("unit"), "title"), ["doc", "unit"])
     number = F.row_number().over(Window.partitionBy("doc").orderBy("unit", "para", "piece"))
     return M.chunks_by_heading(pieces.select("doc", F.col("unit").alias("source"), number.alias("chunk"), "title", "text"))
 
@@ -196,7 +220,7 @@ j AS (SELECT *, CASE WHEN tab THEN coalesce(lag(bold) OVER o, '') ELSE '' END AS
 k AS (SELECT doc, seg, tab, caption, CASE WHEN tab THEN n - 1 ELSE 0 END AS n_rows, CASE WHEN NOT tab AND bt AND bold <> '' THEN {ends("regexp_replace(text, '(?:^|" + chr(92) + "n)[ " + chr(92) + "t]*" + chr(92) + "*" + chr(92) + "*[^" + chr(92) + "n]+" + chr(92) + "*" + chr(92) + "*[ " + chr(92) + "t]*$', '')")} ELSE text END AS text FROM j)
 SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY seg))::INT AS segment, CASE WHEN tab THEN 'table' ELSE 'prose' END AS kind, caption, n_rows::BIGINT AS n_rows, text FROM k WHERE tab OR text <> ''""")
 def table_segments(spark, sf_dir):
-    return M.table_segments(_texts(spark))
+    return M.table_segments(_texts(spark, sf_dir))
 
 
 @query("loose_tables", rf"""WITH p AS (SELECT doc, list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {ends('x')}), lambda x: length(x) - length(replace(x, '|', '')) >= 2),
@@ -204,7 +228,7 @@ def table_segments(spark, sf_dir):
 u AS (SELECT doc, unnest(r) AS row, (generate_subscripts(r, 1) - 1)::INT AS row_no, list_max(list_transform(r, lambda x: len(x))) AS w FROM p WHERE len(r) >= 2)
 SELECT doc::BIGINT AS doc, row_no, array_to_string(list_resize(row, w, ''), '|') AS cells FROM u""")
 def loose_tables(spark, sf_dir):
-    return _texts(spark).select("doc", F.posexplode(M.loose_table(F.col("text"))).alias("row_no", "row")).select("doc", "row_no", F.array_join("row", "|").alias("cells"))
+    return _texts(spark, sf_dir).select("doc", F.posexplode(M.loose_table(F.col("text"))).alias("row_no", "row")).select("doc", "row_no", F.array_join("row", "|").alias("cells"))
 
 
 _PG = ", ".join(f"({d}, {p}, '{k}', {'NULL' if t is None else q.text(t)}, [{', '.join(f'{{{chr(39)}level{chr(39)}: {lv}, {chr(39)}text{chr(39)}: {q.text(tx)}}}' for lv, tx in it)}]::STRUCT(level INT, \"text\" VARCHAR)[])" for d, p, k, t, it in PAGES)
@@ -224,4 +248,4 @@ FRAGMENTS = ((3, "Plan Price Basic 5"), (3, "Team"), (1, "Cells"))
 w AS (SELECT l.doc, no, line, regexp_extract_all(lower(line), '[a-z0-9]+') AS w, coalesce(known, []::VARCHAR[]) AS known FROM l LEFT JOIN t ON t.doc = l.doc)
 SELECT doc, no, line FROM w WHERE NOT (len(w) > 0 AND len(list_filter(w, lambda x: list_contains(known, x))) >= 0.85 * len(w) AND NOT prefix(line, '##'))""")
 def without_fragments(spark, sf_dir):
-    return M.without_fragments(M.lines_of(_texts(spark)), spark.createDataFrame(list(FRAGMENTS), "doc long, cell string"))
+    return M.without_fragments(M.lines_of(_texts(spark, sf_dir)), spark.createDataFrame(list(FRAGMENTS), "doc long, cell string"))

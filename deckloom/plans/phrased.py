@@ -1,13 +1,13 @@
-"""Queries of ``functions.phrases`` over stated texts, over documents too where these hold such text, and their SQL."""
+"""Queries of ``functions.phrases`` over stated texts and the turns of conversations or the documents, and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deckloom.functions import phrases as P
 from deckloom.plans import sqltext as q
-from deckloom.sources.tables import table
+from deckloom.sources.tables import slides, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -66,20 +66,27 @@ def values(rows, names: str) -> str:
 
 
 STATED = [(i, s) for i, s in enumerate(SENTENCES)]
-STATED_SQL = values(STATED, "id, text")
+#: The stated texts, and all turns of conversations under negative ids.
+STATED_SQL = f"(SELECT id::BIGINT AS id, text FROM {values(STATED, 'id, text')} UNION ALL SELECT -1 - (conv_id * 1000 + turn), coalesce(text, '') FROM conversations)"
 
 
-def stated(spark: SparkSession) -> DataFrame:
+def only_stated(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STATED, "id long, text string")
 
 
+def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated texts and all turns of conversations."""
+    turns = table(spark, sf_dir, "conversations")
+    return only_stated(spark).union(turns.select((-1 - (F.col("conv_id") * 1000 + F.col("turn"))).alias("id"), F.coalesce("text", F.lit(""))))
+
+
 def with_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated texts and all documents, under negative ids."""
     docs = table(spark, sf_dir, "documents")
-    return stated(spark).union(docs.select((-1 - F.col("doc_id")).alias("id"), F.coalesce("text", F.lit(""))))
+    return only_stated(spark).union(docs.select((-1 - F.col("doc_id")).alias("id"), F.coalesce("text", F.lit(""))))
 
 
-WITH_DOCUMENTS_SQL = f"(SELECT id::BIGINT AS id, text FROM {STATED_SQL} UNION ALL SELECT -1 - doc_id, coalesce(text, '') FROM documents)"
+WITH_DOCUMENTS_SQL = f"(SELECT id::BIGINT AS id, text FROM {values(STATED, 'id, text')} UNION ALL SELECT -1 - doc_id, coalesce(text, '') FROM documents)"
 
 
 # ---- pieces of SQL
@@ -170,7 +177,7 @@ def unit_of(x: str) -> str:
 
 
 def add(name: str, run, sql: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: run(stated(spark))
+    QUERIES[name] = lambda spark, sf_dir: run(stated(spark, sf_dir))
     ORACLE[name] = sql
 
 
@@ -221,9 +228,9 @@ QUERIES["figures"] = lambda spark, sf_dir: (
 ORACLE["figures"] = rf"""WITH f AS (SELECT id, {figures('text')} AS f FROM {WITH_DOCUMENTS_SQL}), u AS (SELECT id, unnest(f) AS figure, (generate_subscripts(f, 1) - 1)::INT AS pos FROM f)
 SELECT id, pos, figure, {figure_value('figure')} AS value, {sub(ends('figure'), '(?i)' + chr(92) + 's*percent' + chr(92) + 'b', "'%'")} AS pretty, {unit_of('figure')} AS unit FROM u"""
 
-QUERIES["short_numbers"] = lambda spark, sf_dir: spark.createDataFrame([(v,) for v in NUMBERS], "v double").select("v", P.short_number(F.col("v")).alias("shown"))
+QUERIES["short_numbers"] = lambda spark, sf_dir: spark.createDataFrame([(v,) for v in NUMBERS], "v double").union(table(spark, sf_dir, "orders").select("o_totalprice")).select("v", P.short_number(F.col("v")).alias("shown"))
 ORACLE["short_numbers"] = f"""SELECT v, CASE WHEN v >= 1e9 THEN replace(printf('%.1fB', v / 1e9), '.0B', 'B') WHEN v >= 1e6 THEN replace(printf('%.1fM', v / 1e6), '.0M', 'M') WHEN v >= 1e4 THEN printf('%.0fK', v / 1e3)
- WHEN v = floor(v) THEN format('{{:,}}', v::BIGINT) ELSE printf('%g', v) END AS shown FROM {values([(v,) for v in NUMBERS], 'v')}"""
+ WHEN v = floor(v) THEN format('{{:,}}', v::BIGINT) ELSE printf('%g', v) END AS shown FROM (SELECT v FROM {values([(v,) for v in NUMBERS], 'v')} UNION ALL SELECT o_totalprice FROM orders)"""
 
 _EQ = sub(sub("text", "<->|<=>", "'⇌'"), "->|=>", "'→'")
 add(
@@ -313,20 +320,24 @@ def _spans() -> str:
 add("cue_spans", lambda t: t.select("id", F.explode(P.cue_spans(F.col("text"))).alias("s")).select("id", "s.*"), _spans())
 
 
-def _pair(a: Column, b: Column, spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PAIRS), "a string, b string").select("a", "b", P.title_key(a).alias("key"), P.same_heading(a, b).alias("same"))
+def _pair(a: Column, b: Column, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated pairs, and the headings of each document's slides that follow each other."""
+    after = F.lead("title").over(Window.partitionBy("doc_id").orderBy("slide_no"))
+    titles = slides(table(spark, sf_dir, "documents")).select(F.col("title").alias("a"), after.alias("b")).where("b IS NOT NULL")
+    return spark.createDataFrame(list(PAIRS), "a string, b string").union(titles).select("a", "b", P.title_key(a).alias("key"), P.same_heading(a, b).alias("same"))
 
 
 def _key(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9 ]', ' ', 'g'), '\b(?:cont(?:inued|d)?|part|contd)\b', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-QUERIES["same_headings"] = lambda spark, sf_dir: _pair(F.col("a"), F.col("b"), spark)
-ORACLE["same_headings"] = f"""WITH k AS (SELECT a, b, {_key('a')} AS ka, {_key('b')} AS kb FROM {values(PAIRS, 'a, b')}), w AS (SELECT *, list_distinct({blanks('ka')}) AS wa, list_distinct({blanks('kb')}) AS wb FROM k)
+QUERIES["same_headings"] = lambda spark, sf_dir: _pair(F.col("a"), F.col("b"), spark, sf_dir)
+ORACLE["same_headings"] = f"""WITH {q.SLIDES}, pairs AS (SELECT a, b FROM {values(PAIRS, 'a, b')} UNION ALL SELECT * FROM (SELECT title AS a, lead(title) OVER (PARTITION BY doc_id ORDER BY slide_no) AS b FROM slides) WHERE b IS NOT NULL),
+k AS (SELECT a, b, {_key('a')} AS ka, {_key('b')} AS kb FROM pairs), w AS (SELECT *, list_distinct({blanks('ka')}) AS wa, list_distinct({blanks('kb')}) AS wb FROM k)
 SELECT a, b, ka AS key, ka <> '' AND kb <> '' AND (ka = kb OR ((contains(ka, kb) OR contains(kb, ka)) AND least(len(wa), len(wb)) >= 0.75 * greatest(len(wa), len(wb)))
  OR (greatest(len(wa), len(wb)) >= 3 AND len(list_intersect(wa, wb)) >= 0.8 * greatest(len(wa), len(wb)))) AS same FROM w"""
 
 _OK = lambda x: f"(prefix({x}, '{{') AND json_valid({x}))"
-QUERIES["json_objects"] = lambda spark, sf_dir: spark.createDataFrame([(i, r) for i, r in enumerate(RAW)], "id long, raw string").select("id", P.json_object(F.col("raw")).alias("object"))
-ORACLE["json_objects"] = rf"""WITH r AS (SELECT id::BIGINT AS id, {ends('raw')} AS a, {ends(sub('raw', '(?i)```(?:json)?' + chr(92) + 's*'))} AS b, regexp_extract(raw, '(?s)\{{.*\}}') AS c FROM {values([(i, r) for i, r in enumerate(RAW)], 'id, raw')})
+QUERIES["json_objects"] = lambda spark, sf_dir: spark.createDataFrame([(i, r) for i, r in enumerate(RAW)], "id long, raw string").union(table(spark, sf_dir, "events").select(-1 - F.col("event_id"), F.concat(F.lit("Event: "), F.coalesce("props", F.lit(""))))).select("id", P.json_object(F.col("raw")).alias("object"))
+ORACLE["json_objects"] = rf"""WITH r AS (SELECT id::BIGINT AS id, {ends('raw')} AS a, {ends(sub('raw', '(?i)```(?:json)?' + chr(92) + 's*'))} AS b, regexp_extract(raw, '(?s)\{{.*\}}') AS c FROM (SELECT id, raw FROM {values([(i, r) for i, r in enumerate(RAW)], 'id, raw')} UNION ALL SELECT -1 - event_id, 'Event: ' || coalesce(props, '') FROM events))
 SELECT id, CASE WHEN {_OK('a')} THEN a WHEN {_OK('b')} THEN b WHEN {_OK('c')} THEN c END AS object FROM r"""
