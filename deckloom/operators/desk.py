@@ -206,10 +206,17 @@ def lost_facts(facts: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def labs_of_slides(slides: DataFrame, labs: DataFrame) -> DataFrame:
-    """(deck, slide_no, lab): the first lab with the highest score: 2 for a topic in the title, 1 for two or more mentions in the text. Labs are a small
-    table and sent to all."""
-    topics = labs.select("lab", F.explode("topics").alias("topic"))
-    rows = slides.select("deck", "slide_no", F.lower("title").alias("title"), F.lower("text").alias("text")).join(F.broadcast(topics))
+    """(deck, slide_no, lab): the first lab with the highest score: 2 for a topic in the title, 1 for two or more mentions in the text.
+
+    A topic is met by its first three letters among those that a slide's title and text hold anywhere, so slides and topics are never all paired; topics of
+    under three letters are met by their first letter.
+    """
+    topics = labs.select("lab", F.explode("topics").alias("topic")).where("topic <> ''").distinct()
+    topics = topics.withColumn("gram", F.when(F.length("topic") >= 3, F.substring("topic", 1, 3)).otherwise(F.substring("topic", 1, 1)))
+    rows = slides.select("deck", "slide_no", F.lower("title").alias("title"), F.lower("text").alias("text"))
+    whole = F.concat("title", F.lit("\n"), "text")
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(whole)), lambda i: F.array(F.substring(whole, i, F.lit(1)), F.substring(whole, i, F.lit(3))))))
+    rows = rows.withColumn("gram", F.explode(grams)).join(topics, "gram")
     times = (F.length("text") - F.length(F.replace(F.col("text"), F.col("topic"), F.lit("")))) / F.length("topic")
     score = F.when(F.contains("title", F.col("topic")), 2).when(times >= 2, 1).otherwise(0)
     best = rows.withColumn("score", score).where("score > 0").groupBy("deck", "slide_no").agg(F.max(F.struct("score", (-F.col("lab")).alias("back"))).alias("top"))

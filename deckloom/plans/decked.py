@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from deckloom.operators import decks as D
 from deckloom.plans import sqltext as q
 from deckloom.plans.extracts import _DEF
+from deckloom.plans.phrased import values
 from deckloom.sources.tables import passages, slides, table
 
 QUERIES, ORACLE = {}, {}
@@ -50,11 +51,16 @@ VALUES = ((1, "98765 43210", "ABC-PRES-0001-S03"), (2, "+1 (415) 555-2671", "abc
 
 
 def _identifiers(spark, sf_dir):
-    rows = spark.createDataFrame(list(VALUES), "id long, phone string, slide string")
+    """The stated identifiers, and some made of each customer's nation, key and segment."""
+    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey")
+    phone = F.concat((nation + 10).cast("string"), F.lit(" "), F.lpad(key, 8, "0"))
+    slide = F.concat(F.upper(F.left("c_mktsegment", F.lit(3))), F.lit("-PRES-"), key, F.lit("-S"), nation.cast("string"))
+    rows = spark.createDataFrame(list(VALUES), "id long, phone string, slide string").union(table(spark, sf_dir, "customer").select(-1 - F.col("c_custkey"), phone, slide))
     deck, number = D.slide_id(F.col("slide"))
     return rows.select("id", D.phone(F.col("phone")).alias("phone"), deck.alias("deck"), number.alias("slide_no"), F.left(F.sha1("slide"), F.lit(16)).alias("fingerprint"))
 
 
 QUERIES["identifiers"] = _identifiers
-ORACLE["identifiers"] = """SELECT id::BIGINT AS id, phone, deck, slide_no::BIGINT AS slide_no, substr(sha1(slide), 1, 16) AS fingerprint FROM (VALUES (1, '+919876543210', 'ABC-PRES-0001', 3, 'ABC-PRES-0001-S03'),
-(2, '+14155552671', NULL, NULL, 'abc'), (3, NULL, 'XY-PRES-12', 7, 'XY-PRES-12-S7')) AS v(id, phone, deck, slide_no, slide)"""
+ORACLE["identifiers"] = rf"""WITH v AS (SELECT id::BIGINT AS id, phone, slide FROM {values(VALUES, 'id, phone, slide')} UNION ALL SELECT -1 - c_custkey, (c_nationkey + 10) || ' ' || lpad(c_custkey::VARCHAR, 8, '0'), upper(left(c_mktsegment, 3)) || '-PRES-' || c_custkey || '-S' || c_nationkey FROM customer),
+d AS (SELECT *, regexp_replace(phone, '[^\d+]', '', 'g') AS digits FROM v), f AS (SELECT *, CASE WHEN prefix(digits, '+') THEN digits WHEN length(digits) = 10 THEN '+91' || digits ELSE '+' || digits END AS whole FROM d)
+SELECT id, CASE WHEN regexp_matches(whole, '^\+[1-9]\d{{7,14}}$') THEN whole END AS phone, nullif(regexp_extract(slide, '^([A-Z]+-PRES-\d+)-S\d+$', 1), '') AS deck, try_cast(regexp_extract(slide, '^[A-Z]+-PRES-\d+-S(\d+)$', 1) AS BIGINT) AS slide_no, left(sha1(slide), 16) AS fingerprint FROM f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from deckloom.operators import desk as D
 from deckloom.plans import sqltext as q
 from deckloom.plans.phrased import strip_end, values
+from deckloom.functions.text import sentences
 from deckloom.sources.tables import slides, table
 
 QUERIES, ORACLE = {}, {}
@@ -117,10 +118,11 @@ def kept_copies(spark, sf_dir):
 QUIZZES = ((1, "Two and two?", ["3", "4"], "B", ""), (2, "Capital?", ["A", "B", "C", "D", "E"], "A", "apply"), (3, "Open", [], "", None), (4, "Yes?", ["yes"], "A", None))
 
 
-@query("quiz_rows", """SELECT id::BIGINT AS id, question, coalesce(o[1], '') AS A, coalesce(o[2], '') AS B, coalesce(o[3], '') AS C, coalesce(o[4], '') AS D, correct, coalesce(nullif(difficulty, ''), 'recall') AS difficulty FROM (VALUES (1, 'Two and two?', ['3', '4'], 'B', ''),
- (2, 'Capital?', ['A', 'B', 'C', 'D', 'E'], 'A', 'apply'), (3, 'Open', []::VARCHAR[], '', NULL), (4, 'Yes?', ['yes'], 'A', NULL)) AS v(id, question, o, correct, difficulty) WHERE len(o) > 0""")
+@query("quiz_rows", """SELECT id::BIGINT AS id, question, coalesce(o[1], '') AS A, coalesce(o[2], '') AS B, coalesce(o[3], '') AS C, coalesce(o[4], '') AS D, correct, coalesce(nullif(difficulty, ''), 'recall') AS difficulty FROM (SELECT * FROM (VALUES (1, 'Two and two?', ['3', '4'], 'B', ''),
+ (2, 'Capital?', ['A', 'B', 'C', 'D', 'E'], 'A', 'apply'), (3, 'Open', []::VARCHAR[], '', NULL), (4, 'Yes?', ['yes'], 'A', NULL)) AS v(id, question, o, correct, difficulty) UNION ALL SELECT -1 - (conv_id * 1000 + turn), role, """ + q.sentences("coalesce(text, '')") + """, 'A', NULL FROM conversations) WHERE len(o) > 0""")
 def quiz_rows(spark, sf_dir):
-    return D.quiz_rows(spark.createDataFrame(list(QUIZZES), "id long, question string, options array<string>, correct string, difficulty string"))
+    turns = table(spark, sf_dir, "conversations").select((-1 - (F.col("conv_id") * 1000 + F.col("turn"))).alias("id"), "role", sentences(F.coalesce("text", F.lit(""))), F.lit("A"), F.lit(None).cast("string"))
+    return D.quiz_rows(spark.createDataFrame(list(QUIZZES), "id long, question string, options array<string>, correct string, difficulty string").union(turns))
 
 
 def _deck_slides(spark, sf_dir):
@@ -152,10 +154,11 @@ TITLES = ((1, "cell_biology-week_2.pptx", "# Other"), (2, "Untitled 3.pdf", "int
 _PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(name, '\.[A-Za-z0-9]{1,5}$', ''), '[_\-]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query("deck_titles", rf"""WITH t AS (SELECT id, {_PLAIN} AS plain, trim(regexp_extract(markdown, '(?m)^#{{1,6}}[ \t]+(\S.*)$', 1)) AS h FROM {values(TITLES, 'id, name, markdown')})
+@query("deck_titles", rf"""WITH t AS (SELECT id, {_PLAIN} AS plain, trim(regexp_extract(markdown, '(?m)^#{{1,6}}[ \t]+(\S.*)$', 1)) AS h FROM (SELECT id::BIGINT AS id, name, markdown FROM {values(TITLES, 'id, name, markdown')} UNION ALL SELECT -1 - doc_id, coalesce(source, 'document') || '_' || doc_id || '.pdf', coalesce(text, '') FROM documents))
 SELECT id::BIGINT AS id, CASE WHEN regexp_matches(plain, '(?i)^(?:typed input|untitled|document|file|upload|presentation|slides?)?\s*\d*$') AND h <> '' THEN h ELSE plain END AS title FROM t""")
 def deck_titles(spark, sf_dir):
-    return spark.createDataFrame(list(TITLES), "id long, name string, markdown string").select("id", D.deck_title(F.col("name"), F.col("markdown")).alias("title"))
+    docs = table(spark, sf_dir, "documents").select(-1 - F.col("doc_id"), F.concat(F.coalesce("source", F.lit("document")), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf")), F.coalesce("text", F.lit("")))
+    return spark.createDataFrame(list(TITLES), "id long, name string, markdown string").union(docs).select("id", D.deck_title(F.col("name"), F.col("markdown")).alias("title"))
 
 
 @query("recent_activity", f"""SELECT o_custkey AS user_id, coalesce(sum(CASE WHEN o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 7 DAYS THEN o_orderkey % 20 END), 0)::BIGINT AS recent_slides, sum(o_orderkey % 20)::BIGINT AS n_slides, sum(o_orderkey % 3)::BIGINT AS n_quizzes,
@@ -169,10 +172,10 @@ PROVIDERS = (("alpha", 1), ("beta", 2), ("gamma", 3), ("delta", 4))
 PREFERRED = (("chat", "gamma", 1), ("chat", "alpha", 2), ("image", "delta", 1))
 
 
-@query("provider_order", f"""WITH p AS {values(PROVIDERS, 'provider, ord')}, f AS {values(PREFERRED, 'task, provider, place')}, t AS (SELECT unnest(['chat', 'image', 'other']) AS task)
+@query("provider_order", f"""WITH p AS {values(PROVIDERS, 'provider, ord')}, f AS {values(PREFERRED, 'task, provider, place')}, t AS (SELECT unnest(['chat', 'image', 'other']) AS task UNION SELECT event_type FROM events)
 SELECT t.task, p.provider, (row_number() OVER (PARTITION BY t.task ORDER BY coalesce(f.place, 99), ord))::INT AS rank FROM t CROSS JOIN p LEFT JOIN f ON f.task = t.task AND f.provider = p.provider""")
 def provider_order(spark, sf_dir):
-    return D.provider_order(spark.createDataFrame(list(PROVIDERS), "provider string, ord int"), spark.createDataFrame([("chat",), ("image",), ("other",)], "task string"), PREFERRED)
+    return D.provider_order(spark.createDataFrame(list(PROVIDERS), "provider string, ord int"), spark.createDataFrame([("chat",), ("image",), ("other",)], "task string").union(table(spark, sf_dir, "events").select("event_type")).distinct(), PREFERRED)
 
 
 @query("evaluation", """WITH j AS (SELECT quality = 1 AS fit, doc_id % 10 <> 3 AS covered, toxic = 0 AS has_data, doc_id % 6 AS got FROM labels)
@@ -194,7 +197,8 @@ GOLD = (("OPEN", "open the algebra deck"), ("HELP", "what can you do"))
 
 @query("generated_questions", None)
 def generated_questions(spark, sf_dir):
-    return D.generated_questions(spark.createDataFrame(list(TEMPLATES), "intent string, template string, slot string"), spark.createDataFrame(list(SLOTS), "slot string, value string"), spark.createDataFrame(list(GOLD), "intent string, question string"))
+    slots = spark.createDataFrame(list(SLOTS), "slot string, value string").union(table(spark, sf_dir, "part").select(F.lit("topic"), F.lower("p_name")).distinct())
+    return D.generated_questions(spark.createDataFrame(list(TEMPLATES), "intent string, template string, slot string"), slots, spark.createDataFrame(list(GOLD), "intent string, question string"))
 
 
 _SQZ = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
@@ -218,23 +222,26 @@ def lost_facts(spark, sf_dir):
 LABS = ((1, "<p>x</p><!-- lab: Sorting | sort, Bubble Sort -->"), (2, "<!-- other -->"), (3, "<!--lab: Waves|wave ,tide-->"), (4, "<!-- lab: Cells | cell -->"))
 LAB_SLIDES = ((1, 1, "Bubble sort at work", "It swaps."), (1, 2, "Intro", "A sort is a sort."), (1, 3, "Tides", "The wave and the tide, wave by wave."), (1, 4, "None", "one cell only"), (2, 1, "Cells and waves", "cell cell"))
 _LABS = rf"""labs AS (SELECT lab, regexp_extract(html, '(?s)<!--\s*lab:\s*([^|>]+?)\s*\|\s*(.*?)\s*-->', 1) AS title, list_filter(list_transform(string_split(lower(regexp_extract(html, '(?s)<!--\s*lab:\s*([^|>]+?)\s*\|\s*(.*?)\s*-->', 2)), ','), lambda t: trim(t)), lambda t: t <> '') AS topics
- FROM {values(LABS, 'lab, html')} WHERE regexp_matches(html, '(?s)<!--\s*lab:\s*([^|>]+?)\s*\|\s*(.*?)\s*-->'))"""
+ FROM (SELECT lab::BIGINT AS lab, html FROM {values(LABS, 'lab, html')} UNION ALL SELECT 1000 + page_id, coalesce(html, '') || '<!-- lab: Page ' || page_id || ' | ' || regexp_extract(coalesce(url, ''), '([a-z]+)\.example', 1) || ' -->' FROM pages) WHERE regexp_matches(html, '(?s)<!--\s*lab:\s*([^|>]+?)\s*\|\s*(.*?)\s*-->'))"""
 
 
-def _labs(spark):
-    return D.lab_records(spark.createDataFrame(list(LABS), "lab long, html string"))
+def _labs(spark, sf_dir):
+    """The stated labs, and each page as one about its host's name."""
+    mark = F.concat(F.coalesce("html", F.lit("")), F.lit("<!-- lab: Page "), F.col("page_id").cast("string"), F.lit(" | "), F.regexp_extract(F.coalesce("url", F.lit("")), r"([a-z]+)\.example", 1), F.lit(" -->"))
+    return D.lab_records(spark.createDataFrame(list(LABS), "lab long, html string").union(table(spark, sf_dir, "pages").select(1000 + F.col("page_id"), mark)))
 
 
 @query("lab_records", f"WITH {_LABS} SELECT lab::BIGINT AS lab, title, array_to_string(topics, ',') AS topics FROM labs")
 def lab_records(spark, sf_dir):
-    return _labs(spark).select("lab", "title", F.array_join("topics", ",").alias("topics"))
+    return _labs(spark, sf_dir).select("lab", "title", F.array_join("topics", ",").alias("topics"))
 
 
-@query("labs_of_slides", f"""WITH {_LABS}, t AS (SELECT lab, unnest(topics) AS topic FROM labs), s AS {values(LAB_SLIDES, 'deck, slide_no, title, text')},
+@query("labs_of_slides", f"""WITH {_LABS}, t AS (SELECT lab, unnest(topics) AS topic FROM labs), {q.SLIDES}, s AS (SELECT deck::BIGINT AS deck, slide_no::BIGINT AS slide_no, title, text FROM {values(LAB_SLIDES, 'deck, slide_no, title, text')} UNION ALL SELECT -1 - doc_id, slide_no, title, body FROM slides),
 c AS (SELECT deck, slide_no, lab, CASE WHEN contains(lower(title), topic) THEN 2 WHEN (length(text) - length(replace(lower(text), topic, ''))) / length(topic)::DOUBLE >= 2 THEN 1 ELSE 0 END AS score FROM s, t)
 SELECT deck::BIGINT AS deck, slide_no::BIGINT AS slide_no, lab::BIGINT AS lab, score FROM c WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY deck, slide_no ORDER BY score DESC, lab) = 1""")
 def labs_of_slides(spark, sf_dir):
-    return D.labs_of_slides(spark.createDataFrame(list(LAB_SLIDES), "deck long, slide_no long, title string, text string"), _labs(spark))
+    decks = slides(table(spark, sf_dir, "documents")).select(-1 - F.col("doc_id"), "slide_no", "title", "body")
+    return D.labs_of_slides(spark.createDataFrame(list(LAB_SLIDES), "deck long, slide_no long, title string, text string").union(decks), _labs(spark, sf_dir))
 
 
 KEYWORDS = (
@@ -245,11 +252,12 @@ ICON_TEXTS = ((1, "Rain water fills rivers and oceans; the river runs on"), (2,
 _KEYWORD_ROWS = [(icon, k, w) for k, (icon, words) in enumerate(KEYWORDS) for w in words.split()]
 
 
-@query("icons_for_texts", rf"""WITH t AS (SELECT id, unnest(list_transform(regexp_extract_all(lower(text), '[a-z][a-z\-]+'), lambda t: replace(t, '-', ''))) AS t FROM {values(ICON_TEXTS, 'id, text')}), k AS {values(_KEYWORD_ROWS, 'icon, ord, word')},
+@query("icons_for_texts", rf"""WITH t AS (SELECT id, unnest(list_transform(regexp_extract_all(lower(text), '[a-z][a-z\-]+'), lambda t: replace(t, '-', ''))) AS t FROM (SELECT id::BIGINT AS id, text FROM {values(ICON_TEXTS, 'id, text')} UNION ALL SELECT -1 - (conv_id * 1000 + turn), coalesce(text, '') FROM conversations)), k AS {values(_KEYWORD_ROWS, 'icon, ord, word')},
 m AS (SELECT id, icon, ord, t, (count(*) // count(DISTINCT word)) AS times, max((t = word)::INT) AS same FROM t JOIN k ON length(t) >= 4 AND left(t, 2) = left(word, 2) AND (prefix(t, left(word, greatest(4, length(word) - 2)::INT)) OR prefix(word, left(t, greatest(4, length(t) - 2)::INT))) GROUP BY ALL),
 s AS (SELECT id, icon, ord, sum(times * (5 + same)) AS score FROM m GROUP BY ALL) SELECT id::BIGINT AS id, (row_number() OVER (PARTITION BY id ORDER BY score DESC, ord))::INT AS rank, icon, score::BIGINT AS score FROM s QUALIFY rank <= 4""")
 def icons_for_texts(spark, sf_dir):
-    return D.icons_for(spark.createDataFrame(list(ICON_TEXTS), "id long, text string"), spark.createDataFrame(_KEYWORD_ROWS, "icon string, ord int, word string"))
+    turns = table(spark, sf_dir, "conversations").select(-1 - (F.col("conv_id") * 1000 + F.col("turn")), F.coalesce("text", F.lit("")))
+    return D.icons_for(spark.createDataFrame(list(ICON_TEXTS), "id long, text string").union(turns), spark.createDataFrame(_KEYWORD_ROWS, "icon string, ord int, word string"))
 
 
 _LW = lambda x, n: f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda w: length(w) > {n}))"

@@ -8,7 +8,7 @@ from deckloom.operators import markdown as M
 from deckloom.plans import sqltext as q
 from deckloom.plans.phrased import blanks, ends, values
 from deckloom.plans.service import _junk
-from deckloom.sources.tables import table
+from deckloom.sources.tables import slides, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -234,11 +234,13 @@ def loose_tables(spark, sf_dir):
 _PG = ", ".join(f"({d}, {p}, '{k}', {'NULL' if t is None else q.text(t)}, [{', '.join(f'{{{chr(39)}level{chr(39)}: {lv}, {chr(39)}text{chr(39)}: {q.text(tx)}}}' for lv, tx in it)}]::STRUCT(level INT, \"text\" VARCHAR)[])" for d, p, k, t, it in PAGES)
 
 
-@query("page_markdown", f"""WITH p AS (SELECT * FROM (VALUES {_PG}) AS v(doc, page, kind, title, items)), h AS (SELECT *, coalesce(nullif(title, ''), last_value(nullif(title, '') IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'Slide ' || page) AS head FROM p),
+@query("page_markdown", f"""WITH {q.SLIDES}, p AS (SELECT * FROM (VALUES {_PG}) AS v(doc, page, kind, title, items) UNION ALL SELECT -1 - doc_id, slide_no::INT, 'content', CASE WHEN len(bullets) > 0 THEN title ELSE '' END, list_transform(bullets, lambda b, i: {{'level': ((i - 1) % 3)::INT, 'text': b}}) FROM slides), h AS (SELECT *, coalesce(nullif(title, ''), last_value(nullif(title, '') IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'Slide ' || page) AS head FROM p),
 b AS (SELECT doc, page, array_to_string(list_concat(list_concat(['## ' || head, ''], list_transform(items, lambda i: repeat('  ', i.level) || '- ' || i.text)), ['']), chr(10)) AS b FROM h WHERE kind <> 'title')
 SELECT doc::BIGINT AS doc, {ends("string_agg(b, chr(10) ORDER BY page)")} AS markdown FROM b GROUP BY doc""")
 def page_markdown(spark, sf_dir):
-    return M.pages_to_markdown(spark.createDataFrame(list(PAGES), "doc long, page int, kind string, title string, items array<struct<level:int,text:string>>"))
+    items = F.transform("bullets", lambda b, i: F.struct((i % 3).cast("int").alias("level"), b.alias("text")))
+    decks = slides(table(spark, sf_dir, "documents")).select((-1 - F.col("doc_id")).alias("doc"), F.col("slide_no").cast("int"), F.lit("content"), F.when(F.size("bullets") > 0, F.col("title")).otherwise(""), items)
+    return M.pages_to_markdown(spark.createDataFrame(list(PAGES), "doc long, page int, kind string, title string, items array<struct<level:int,text:string>>").union(decks))
 
 
 FRAGMENTS = ((3, "Plan Price Basic 5"), (3, "Team"), (1, "Cells"))

@@ -194,13 +194,16 @@ _R, _ = _even("i", "n", 4)
 _L, _ = _even("i", "n", 3)
 
 
-@query("paged_tables", f"""WITH t AS (SELECT * FROM (VALUES {_TROWS}) AS v(table_id, title, headers, rows, leads)),
+@query("paged_tables", f"""WITH t AS (SELECT * FROM (VALUES {_TROWS}) AS v(table_id, title, headers, rows, leads) UNION ALL SELECT -1 - o_custkey, 'Orders of ' || o_custkey, ['Order', 'Status'], list(o_orderkey || ' ' || o_orderstatus ORDER BY o_orderkey), []::VARCHAR[] FROM orders GROUP BY o_custkey),
 r AS (SELECT table_id, len(rows) AS n, unnest(rows) AS x, generate_subscripts(rows, 1) - 1 AS i FROM t), rp AS (SELECT table_id, part, string_agg(x, '|' ORDER BY i) AS r FROM (SELECT *, {_R} AS part FROM r) GROUP BY 1, 2),
 l AS (SELECT table_id, len(leads) AS n, unnest(leads) AS x, generate_subscripts(leads, 1) - 1 AS i FROM t), lp AS (SELECT table_id, part, string_agg(x, '|' ORDER BY i) AS l FROM (SELECT *, {_L} AS part FROM l) GROUP BY 1, 2),
 j AS (SELECT coalesce(rp.table_id, lp.table_id) AS table_id, coalesce(rp.part, lp.part) AS part, r, l FROM rp FULL JOIN lp ON rp.table_id = lp.table_id AND rp.part = lp.part), k AS (SELECT *, count(*) OVER (PARTITION BY table_id) AS pages FROM j)
 SELECT k.table_id::BIGINT AS table_id, part::BIGINT AS part, {_part('part', 'pages')} AS title, CASE WHEN r IS NOT NULL THEN array_to_string(headers, '|') ELSE '' END AS headers, coalesce(r, '') AS rows, coalesce(l, '') AS leads FROM k JOIN t ON t.table_id = k.table_id""")
 def paged_tables(spark, sf_dir):
-    made = P.paged_tables(spark.createDataFrame(list(TABLES), "table_id long, title string, headers array<string>, rows array<string>, leads array<string>"))
+    key = F.col("o_custkey")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda o: F.concat_ws(" ", o["o_orderkey"].cast("string"), o["o_orderstatus"]))
+    bought = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(lines.alias("rows")).select(-1 - key, F.concat(F.lit("Orders of "), key.cast("string")), F.array(F.lit("Order"), F.lit("Status")), "rows", F.array().cast("array<string>"))
+    made = P.paged_tables(spark.createDataFrame(list(TABLES), "table_id long, title string, headers array<string>, rows array<string>, leads array<string>").union(bought))
     return made.select("table_id", "part", "title", *[F.array_join(c, "|").alias(c) for c in ("headers", "rows", "leads")])
 
 

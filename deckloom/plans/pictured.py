@@ -1,4 +1,4 @@
-"""Queries of ``operators.engine`` over stated slides, and the SQL that states the rule of each detector."""
+"""Queries of ``operators.engine`` over stated slides and the documents' slides, and the SQL that states the rule of each detector."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from deckloom.operators import shapes as H
 from deckloom.plans import sqltext as q
 from deckloom.plans.phrased import VISUAL_SENTENCES_SQL, blanks, ends, figure_value, figures, strip_end, values
 from deckloom.plans.shaped import TEXTS
+from deckloom.sources.tables import slides, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -44,20 +45,26 @@ SLIDES = (
 )
 
 
-def _slides(spark):
+def _stated(spark):
     return spark.createDataFrame(list(SLIDES), "id long, title string, text string")
 
 
+def _slides(spark, sf_dir):
+    """The stated slides, and all slides of the documents under negative ids."""
+    decks = slides(table(spark, sf_dir, "documents")).select((-1 - (F.col("doc_id") * 100000 + F.col("slide_no"))).alias("id"), "title", F.col("body").alias("text"))
+    return _stated(spark).union(decks)
+
+
 def _detections(spark, sf_dir):
     names = [*G.FIRST, *G.WEIGHED, "base"]
-    rows = G.detections(_slides(spark))
+    rows = G.detections(_slides(spark, sf_dir))
     each = F.array(*[F.when(F.col(n).isNotNull(), F.struct(F.lit(n).alias("detector"), F.col(f"{n}.family"), F.col(f"{n}.variant"), F.col(f"{n}.confidence"), F.size(f"{n}.items").alias("size"))) for n in names])
     return rows.select("id", F.explode(F.filter(each, lambda d: d.isNotNull())).alias("d")).select("id", "d.*")
 
 
 QUERIES["slide_detections"] = _detections
-QUERIES["slide_decisions"] = lambda spark, sf_dir: G.decided(_slides(spark)).select("id", "family", "variant", "confidence", F.array_join(F.transform("items", lambda i: F.concat_ws(": ", F.nullif(i["head"], F.lit("")), i["body"])), " | ").alias("items"), F.array_join("others", ",").alias("others"))
-QUERIES["slide_takeaways"] = lambda spark, sf_dir: G.takeaways(G.decided(_slides(spark)))
+QUERIES["slide_decisions"] = lambda spark, sf_dir: G.decided(_slides(spark, sf_dir)).select("id", "family", "variant", "confidence", F.array_join(F.transform("items", lambda i: F.concat_ws(": ", F.nullif(i["head"], F.lit("")), i["body"])), " | ").alias("items"), F.array_join("others", ",").alias("others"))
+QUERIES["slide_takeaways"] = lambda spark, sf_dir: G.takeaways(G.decided(_slides(spark, sf_dir)))
 
 _KEYS = q.listed(P.LABEL_STOP)
 _CWORDS = f"list_distinct(list_filter(regexp_extract_all(lower(s), '[a-z0-9]{{3,}}'), lambda w: NOT list_contains({_KEYS}, w)))"
@@ -66,7 +73,7 @@ n_of = lambda p, xs="s": f"len(list_filter({xs}, lambda e: {has(p, 'e')}))"  # n
 wc = lambda x: f"len({blanks(x)})"
 lead = lambda x: f"regexp_replace({x}, {q.text(P.LEAD_CUE)}, '')"
 _CITE = lambda x: rf"((regexp_matches({x}, '^\s*\[\d{{1,3}}\]\s+\S') AND regexp_matches({x}, '\b(?:1[89]\d{{2}}|20\d{{2}})\b')) OR ({has(P.CITATION, x)} AND regexp_matches({x}, '(?i)\b(?:1[89]\d{{2}}|20\d{{2}})\b|\bed(?:ition)?\b')))"
-_BASE = f"""src AS (SELECT id::BIGINT AS id, title, text, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT prefix({ends('x')}, '|') AND {ends('x')} <> '[TABLE DATA]'), chr(10)) AS prose FROM {values(SLIDES, 'id, title, text')}),
+_BASE = f"""{q.SLIDES}, src AS (SELECT id::BIGINT AS id, title, text, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT prefix({ends('x')}, '|') AND {ends('x')} <> '[TABLE DATA]'), chr(10)) AS prose FROM (SELECT * FROM {values(SLIDES, 'id, title, text')} UNION ALL SELECT -1 - (doc_id * 100000 + slide_no), title, body FROM slides)),
 texts AS (SELECT id, prose AS text FROM src), {VISUAL_SENTENCES_SQL},
 agg AS (SELECT id, list(sent ORDER BY pos) AS f FROM sents GROUP BY id),
 uni AS (SELECT id, list_transform(list_reduce(list_transform(f, lambda s: {{'s': s, 'w': {_CWORDS}}}), lambda kept, x: CASE WHEN len(x.w) > 0 AND len(list_filter(kept, lambda k: len(k.w) > 0 AND len(list_intersect(x.w, k.w)) >= 0.75 * len(x.w))) > 0 THEN kept ELSE list_append(kept, x) END, []::STRUCT(s VARCHAR, w VARCHAR[])[]), lambda k: k.s) AS s FROM agg),

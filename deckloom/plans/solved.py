@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from deckloom.operators import problems as S
 from deckloom.plans import sqltext as q
 from deckloom.plans.phrased import ends, values
+from deckloom.functions.text import sentences
+from deckloom.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
 
@@ -18,19 +20,27 @@ PROBLEMS = (
     (22, "A right-angled triangle has sides 3 and 4"), (23, "Area of a circle with radius 2"), (24, "Circumference of a circle of radius 5"), (25, "The area of a room of 4 by 6.5 m"), (26, "Integrate x dx"), (27, "derivative of 5"),
     (28, "What chance is there? 4 cats, 4 dogs and 2 dogs"), (29, "Read this. Solve 4x = 10. Then rest."), (30, "Runner: 100 m in 12.5 s, what speed"),
 )
-_P = values(PROBLEMS, "id, text")
-GRAMMAR = (("S", "NP", "VP"), ("NP", "DET", "N"), ("VP", "V", "NP"), ("VP", "V", "PP"), ("PP", "P", "NP"), ("NP", "NP", "PP"), ("DET", "the", None), ("DET", "a", None), ("N", "dog", None), ("N", "cat", None), ("N", "park", None), ("V", "sees", None), ("P", "in", None), ("NP", "birds", None))
+#: The stated problems, and all turns of conversations under negative ids.
+_P = f"(SELECT id::BIGINT AS id, text FROM {values(PROBLEMS, 'id, text')} UNION ALL SELECT -1 - (conv_id * 1000 + turn), coalesce(text, '') FROM conversations)"
+GRAMMAR = (("S", "NP", "VP"), ("NP", "DET", "N"), ("VP", "V", "NP"), ("VP", "V", "PP"), ("PP", "P", "NP"), ("NP", "NP", "PP"), ("DET", "the", None), ("DET", "a", None), ("N", "dog", None), ("N", "cat", None), ("N", "park", None), ("V", "sees", None), ("P", "in", None), ("NP", "birds", None), ("P", "of", None), ("P", "to", None), ("V", "is", None), ("N", "that", None), ("NP", "it", None))
 PARSED = ((1, "the dog sees a cat"), (2, "the dog sees a cat in"), (3, "sees dog the"), (4, "birds sees a cat in"), (5, "a dog sees birds in the park"), (6, "unknown words"))
 
 
-def problems(spark):
-    return spark.createDataFrame(list(PROBLEMS), "id long, text string")
+def problems(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select((-1 - (F.col("conv_id") * 1000 + F.col("turn"))).alias("id"), F.coalesce("text", F.lit("")))
+    return spark.createDataFrame(list(PROBLEMS), "id long, text string").union(turns)
 
 
-QUERIES["explained_problems"] = lambda spark, sf_dir: S.explained(problems(spark))
-QUERIES["problem_answers"] = lambda spark, sf_dir: problems(spark).select("id", F.explode(F.array(*[f(F.col("text")) for f in S.SOLVERS])).alias("s")).where("s IS NOT NULL").select("id", "s.kind", "s.answer")
-QUERIES["problem_candidates"] = lambda spark, sf_dir: S.candidates(problems(spark))
-QUERIES["parse_chart"] = lambda spark, sf_dir: S.parsed(spark.createDataFrame(list(PARSED), "id long, text string"), spark.createDataFrame(list(GRAMMAR), "lhs string, one string, two string"))
+QUERIES["explained_problems"] = lambda spark, sf_dir: S.explained(problems(spark, sf_dir))
+QUERIES["problem_answers"] = lambda spark, sf_dir: problems(spark, sf_dir).select("id", F.explode(F.array(*[f(F.col("text")) for f in S.SOLVERS])).alias("s")).where("s IS NOT NULL").select("id", "s.kind", "s.answer")
+QUERIES["problem_candidates"] = lambda spark, sf_dir: S.candidates(problems(spark, sf_dir))
+def _sentences(spark, sf_dir):
+    """The stated sentences, and all of conversations under negative ids; the parser takes those of up to seven words."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("i", "text"))
+    return spark.createDataFrame(list(PARSED), "id long, text string").union(turns.select(-1 - ((F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("i")), "text"))
+
+
+QUERIES["parse_chart"] = lambda spark, sf_dir: S.parsed(_sentences(spark, sf_dir), spark.createDataFrame(list(GRAMMAR), "lhs string, one string, two string"))
 
 
 def num(x: str) -> str:
@@ -121,5 +131,6 @@ _STEPS = []
 for _s in range(2, 8):
     _all = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(1, _s))
     _STEPS.append(f"c{_s} AS (SELECT DISTINCT l.id, l.start, r.stop, g.lhs AS symbol FROM ({_all}) l JOIN ({_all}) r ON l.id = r.id AND r.start = l.stop + 1 AND r.stop - l.start = {_s - 1} JOIN g ON g.one = l.symbol AND g.two = r.symbol)")
-ORACLE["parse_chart"] = f"""WITH g AS {values(GRAMMAR, 'lhs, one, two')}, w AS (SELECT id::BIGINT AS id, unnest(string_split(text, ' ')) AS word, (generate_subscripts(string_split(text, ' '), 1) - 1)::INT AS i FROM {values(PARSED, 'id, text')}),
+ORACLE["parse_chart"] = rf"""WITH g AS {values(GRAMMAR, 'lhs, one, two')}, t AS (SELECT id::BIGINT AS id, text FROM {values(PARSED, 'id, text')} UNION ALL SELECT -1 - ((conv_id * 1000 + turn) * 1000 + i), text FROM (SELECT conv_id, turn, unnest(s) AS text, generate_subscripts(s, 1) - 1 AS i FROM (SELECT conv_id, turn, {q.sentences("coalesce(text, '')")} AS s FROM conversations))),
+ws AS (SELECT id, regexp_split_to_array(lower(text), '\s+') AS s FROM t), w AS (SELECT id, unnest(s) AS word, (generate_subscripts(s, 1) - 1)::INT AS i FROM ws WHERE len(s) <= 7),
 c1 AS (SELECT DISTINCT id, i AS start, i AS stop, lhs AS symbol FROM w JOIN g ON g.one = w.word AND g.two IS NULL), {', '.join(_STEPS)} {_LEVELS}"""
