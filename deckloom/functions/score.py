@@ -85,12 +85,16 @@ def efficiency(information: Column, redundant: Column, empty: Column) -> Column:
     return F.when(empty, 0.0).otherwise(clip01(information / (information + HALF) * (1.0 - redundant)))
 
 
+def load_terms(n_concepts: Column, body: Column, n_bullets: Column, visual: Column) -> tuple[Column, Column, Column]:
+    """Element interactivity, text and visual complexity, each from 0 to 1."""
+    relations = F.regexp_count(body, F.lit(RELATIONAL)).cast("double") / F.greatest(n_bullets, F.lit(1))
+    return clip01(n_concepts * (1.0 + relations) / ELEMENT_FULL), clip01(F.size(words(body)).cast("double") / TEXT_FULL), clip01(visual.cast("double") / VISUAL_FULL)
+
+
 def load(n_concepts: Column, body: Column, n_bullets: Column, visual: Column, split: Column) -> Column:
     """Cognitive load by a logistic curve of element interactivity, text, visual complexity and split attention."""
-    relations = F.regexp_count(body, F.lit(RELATIONAL)).cast("double") / F.greatest(n_bullets, F.lit(1))
-    element = clip01(n_concepts * (1.0 + relations) / ELEMENT_FULL)
-    text = clip01(F.size(words(body)).cast("double") / TEXT_FULL)
-    z = W_ELEMENT * element + W_TEXT * text + W_VISUAL * clip01(visual.cast("double") / VISUAL_FULL) + W_SPLIT * split - THETA
+    element, text, seen = load_terms(n_concepts, body, n_bullets, visual)
+    z = W_ELEMENT * element + W_TEXT * text + W_VISUAL * seen + W_SPLIT * split - THETA
     return 1.0 / (1.0 + F.exp(-z))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckloom.functions import score as S
@@ -28,19 +28,35 @@ def novelty(slides: DataFrame) -> DataFrame:
     return named.select("doc_id", "slide_no", "concept", (F.col("slide_no") == first).alias("is_new"))
 
 
-def fitness_terms(slides: DataFrame) -> DataFrame:
-    """Efficiency, load, coherence and fitness of each slide; concepts of earlier slides of the deck are no news."""
+def _shaped(slides: DataFrame) -> DataFrame:
+    """What the terms of fitness are made of; concepts of earlier slides of the deck are no news."""
     fresh = novelty(slides).where("is_new").groupBy("doc_id", "slide_no").agg(F.count(F.lit(1)).alias("n_new"), F.bround(F.sum(idf_guess(F.col("concept"))), 6).alias("information"))
     body = F.array_join("bullets", " ")
     concepts = F.array_distinct(content_words(F.concat_ws(" ", "title", body)))
-    shaped = S.with_redundancy(slides).select("doc_id", "slide_no", "title", concepts.alias("concepts"), F.size("bullets").alias("n"), body.alias("body"), "redundancy").join(fresh, ["doc_id", "slide_no"], "left")
-    e = S.efficiency(F.coalesce("information", F.lit(0.0)), F.col("redundancy"), F.col("n") == 0)
+    return S.with_redundancy(slides).select("doc_id", "slide_no", "title", concepts.alias("concepts"), F.size("bullets").alias("n"), body.alias("body"), "redundancy").join(fresh, ["doc_id", "slide_no"], "left")
+
+
+def _efficiency() -> Column:
+    return S.efficiency(F.coalesce("information", F.lit(0.0)), F.col("redundancy"), F.col("n") == 0)
+
+
+def _coherence() -> Column:
+    return S.coherence(F.col("title"), F.col("body"), F.col("n"), F.col("concepts"))
+
+
+def fitness_terms(slides: DataFrame) -> DataFrame:
+    """Efficiency, load, coherence and fitness of each slide."""
     load = S.load(F.size("concepts").cast("double"), F.col("body"), F.col("n"), F.lit(0), F.lit(0.0))
-    c = S.coherence(F.col("title"), F.col("body"), F.col("n"), F.col("concepts"))
-    rows = shaped.select("doc_id", "slide_no", "concepts", F.coalesce("n_new", F.lit(0)).alias("n_new"), e.alias("e"), load.alias("l"), c.alias("c"))
+    rows = _shaped(slides).select("doc_id", "slide_no", "concepts", F.coalesce("n_new", F.lit(0)).alias("n_new"), _efficiency().alias("e"), load.alias("l"), _coherence().alias("c"))
     return rows.withColumn("fit", S.fitness(F.col("e"), F.col("l"), F.col("c")))
 
 
+def fitness_parts(slides: DataFrame) -> DataFrame:
+    """(doc_id, slide_no, e, element, text, visual, split, c): the terms before they are weighed."""
+    element, text, visual = S.load_terms(F.size("concepts").cast("double"), F.col("body"), F.col("n"), F.lit(0))
+    return _shaped(slides).select("doc_id", "slide_no", _efficiency().alias("e"), element.alias("element"), text.alias("text"), visual.alias("visual"), F.lit(0.0).alias("split"), _coherence().alias("c"))
+
+
 def fitness_slides(slides: DataFrame) -> DataFrame:
     rounded = {name: F.bround(c, 4) for name, c in (("efficiency", "e"), ("load", "l"), ("coherence", "c"), ("fitness", "fit"))}
     return fitness_terms(slides).select("doc_id", "slide_no", "n_new", *[v.alias(k) for k, v in rounded.items()])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("documents", "extracts", "service", "relational", "streams", "shaped", "decked", "phrased", "assisted", "solved", "desked", "marked", "paged", "pictured", "laid", "enumerated", "enriched", "filed")
+MODULES = ("documents", "extracts", "service", "relational", "streams", "shaped", "decked", "phrased", "assisted", "solved", "desked", "marked", "paged", "pictured", "laid", "enumerated", "enriched", "filed", "fitted")
 
 
 def _all(name: str) -> dict:
