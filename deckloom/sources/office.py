@@ -277,7 +277,7 @@ def parsed_files(files: DataFrame, keep: str = "path") -> DataFrame:
 
 
 def read_office(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of all Word and PowerPoint files of a path that Spark reads, found recursively."""
+    """Blocks of all Word and PowerPoint files of a path that Spark reads, found recursively; files without a byte, which Spark passes over, have no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{docx,pptx}").load(path)
     return parsed_files(files.select("path", F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("kind"), "content"))
 

@@ -48,8 +48,15 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.regexp_replace(decode_text(F.col("content")), "\r\n?", "\n").alias("markdown"))
 
 
+# What code page 1252 has where Latin-1 has control characters; five of these bytes stand for nothing there.
+CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+_CP1252_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+
+
 def decode_text(content):
-    """UTF-8 (its mark removed) or UTF-16 by byte order mark, else Latin-1."""
+    """UTF-8 (its mark removed) or UTF-16 by byte order mark, else code page 1252, or Latin-1 if a byte stands for nothing in it."""
     utf16 = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
     utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.when(utf16, F.decode(content, "UTF-16")).otherwise(F.coalesce(F.regexp_replace(utf8, "^﻿", ""), F.decode(content, "iso-8859-1")))
+    latin = F.decode(content, "iso-8859-1")
+    western = F.when(latin.rlike(r"[\x81\x8D\x8F\x90\x9D]"), latin).otherwise(F.translate(latin, _CP1252_BYTES, CP1252))
+    return F.when(utf16, F.decode(content, "UTF-16")).otherwise(F.coalesce(F.regexp_replace(utf8, "^﻿", ""), western))
