@@ -106,6 +106,11 @@ def parts(text: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(text, pattern), ends), lambda x: x != "")
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named: inside a lambda the optimiser shares nothing."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def blanks(text: Column) -> Column:
     """Pieces between white space."""
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
@@ -118,15 +123,14 @@ def squeezed(text: Column) -> Column:
 
 def first_run(items: Column, keep) -> Column:
     """The items up to the last that ``keep`` (of item and place) takes."""
-    last = F.array_max(F.transform(items, lambda x, i: F.when(keep(x, i), i + 1).otherwise(0)))
-    return F.slice(items, F.lit(1), F.coalesce(last, F.lit(0)))
+    last = lambda xs: F.array_max(F.transform(xs, lambda x, i: F.when(keep(x, i), i + 1).otherwise(0)))
+    return let(items, lambda xs: F.slice(xs, F.lit(1), F.coalesce(last(xs), F.lit(0))))
 
 
 def without_head(items: Column, drop) -> Column:
     """The items from the first that ``drop`` doesn't take."""
-    flags = F.transform(items, lambda x: ~drop(x))
-    at = F.array_position(flags, F.lit(True)).cast("int")
-    return F.when(at > 0, F.slice(items, F.greatest(at, F.lit(1)), F.size(items))).otherwise(F.slice(items, F.lit(1), F.lit(0)))
+    first = lambda xs: F.array_position(F.transform(xs, lambda x: ~drop(x)), F.lit(True)).cast("int")
+    return let(items, lambda xs: let(first(xs), lambda at: F.when(at > 0, F.slice(xs, F.greatest(at, F.lit(1)), F.size(xs))).otherwise(F.slice(xs, F.lit(1), F.lit(0)))))
 
 
 def clauses(text: Column) -> Column:
@@ -197,28 +201,25 @@ def whole_sentences(text: Column) -> Column:
 
 def short_label(text: Column, most: int = 6, drop_aux: bool = False) -> Column:
     """A heading for a sentence: lead words removed, cut at a clause's end and ``most`` words, no word left hanging."""
-    t = F.regexp_replace(strip_end(text), LEAD_CUE, "")
-    words = blanks(F.element_at(F.split(t, CLAUSE, 2), 1))
+    words = blanks(F.element_at(F.split(F.regexp_replace(strip_end(text), LEAD_CUE, ""), CLAUSE, 2), 1))
     if drop_aux:
-        whole = words
-        words = F.filter(words, lambda w, i: ~(F.lower(w).isin("is", "are", "was", "were", "gets", "get") & F.coalesce(F.get(whole, i + 1).rlike(PARTICIPLE), F.lit(False))))
-        words = F.when(F.lower(F.get(words, F.lit(0))).isin("the", "a", "an") & (F.size(words) > 3), F.slice(words, 2, 1 << 20)).otherwise(words)
+        plain = lambda ws: F.filter(ws, lambda w, i: ~(F.lower(w).isin("is", "are", "was", "were", "gets", "get") & F.coalesce(F.get(ws, i + 1).rlike(PARTICIPLE), F.lit(False))))
+        words = let(words, plain)
+        words = let(words, lambda ws: F.when(F.lower(F.get(ws, F.lit(0))).isin("the", "a", "an") & (F.size(ws) > 3), F.slice(ws, 2, 1 << 20)).otherwise(ws))
     hanging = list(dict.fromkeys(LABEL_STOP + DANGLING))
     kept = first_run(F.slice(words, 1, most), lambda w, i: ~F.lower(w).isin(hanging))
-    label = cap(F.array_join(kept, " "))
-    return F.when(label != "", label).otherwise(cap(F.substring(strip_end(text), 1, 40)))
+    return let(cap(F.array_join(kept, " ")), lambda label: F.when(label != "", label).otherwise(cap(F.substring(strip_end(text), 1, 40))))
 
 
 def heading(text: Column) -> Column:
     """Two or three words that head a sentence."""
     t = F.regexp_replace(F.regexp_replace(strip_end(text), LEAD_CUE, ""), PRONOUN, "")
     words = F.slice(without_head(blanks(t), lambda w: F.lower(w).isin(LABEL_STOP)), 1, 3)
-    opened = F.array_position(F.transform(words, lambda w: F.regexp_count(w, F.lit(r"\(")) > F.regexp_count(w, F.lit(r"\)"))), F.lit(True)).cast("int")
-    words = F.when(opened > 0, F.slice(words, F.lit(1), F.greatest(opened - 1, F.lit(0)))).otherwise(words)
+    opened = lambda ws: F.array_position(F.transform(ws, lambda w: F.regexp_count(w, F.lit(r"\(")) > F.regexp_count(w, F.lit(r"\)"))), F.lit(True)).cast("int")
+    closed = let(words, lambda ws: let(opened(ws), lambda at: F.when(at > 0, F.slice(ws, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(ws)))
     hanging = list(dict.fromkeys([*LABEL_STOP, *DANGLING, "not", "also", "only", "very"]))
-    kept = first_run(words, lambda w, i: ~(F.lower(w).isin(hanging) | (F.lower(w).endswith("ly") & (i > 0))))
-    found = cap(F.array_join(kept, " "))
-    return F.when(found != "", found).otherwise(short_label(text, 3))
+    kept = first_run(closed, lambda w, i: ~(F.lower(w).isin(hanging) | (F.lower(w).endswith("ly") & (i > 0))))
+    return let(cap(F.array_join(kept, " ")), lambda found: F.when(found != "", found).otherwise(short_label(text, 3)))
 
 
 def figures(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,22 +206,61 @@ def lost_facts(facts: DataFrame, texts: DataFrame) -> DataFrame:
     return facts.join(texts, "deck").where(~F.contains(squeeze(F.col("text")), squeeze(F.col("value")))).select("deck", "kind", "value")
 
 
+#: Topics of so many characters at most go to all tasks as one automaton.
+TOPIC_CHARS = 4 << 20
+
+
 def labs_of_slides(slides: DataFrame, labs: DataFrame) -> DataFrame:
     """(deck, slide_no, lab): the first lab with the highest score: 2 for a topic in the title, 1 for two or more mentions in the text.
 
-    A topic is met by its first three letters among those that a slide's title and text hold anywhere, so slides and topics are never all paired; topics of
-    under three letters are met by their first letter.
+    An automaton of all topics reads each slide once, if the topics are counted to fit in ``TOPIC_CHARS``; else a topic is met by its first three letters among those that a
+    slide holds anywhere (topics of under three letters by their first). So slides and topics are never paired.
     """
-    topics = labs.select("lab", F.explode("topics").alias("topic")).where("topic <> ''").distinct()
-    topics = topics.withColumn("gram", F.when(F.length("topic") >= 3, F.substring("topic", 1, 3)).otherwise(F.substring("topic", 1, 1)))
+    topics = labs.select("lab", F.explode("topics").alias("topic")).where("topic <> ''").groupBy("topic").agg(F.min("lab").alias("lab"))
     rows = slides.select("deck", "slide_no", F.lower("title").alias("title"), F.lower("text").alias("text"))
+    size = topics.agg(F.coalesce(F.sum(F.length("topic")), F.lit(0))).first()[0]
+    scored = _by_automaton(rows, topics) if size <= TOPIC_CHARS else _by_grams(rows, topics)
+    best = scored.groupBy("deck", "slide_no").agg(F.max(F.struct("score", (-F.col("lab")).alias("back"))).alias("top"))
+    return best.select("deck", "slide_no", (-F.col("top.back")).alias("lab"), F.col("top.score").alias("score"))
+
+
+def _by_automaton(rows: DataFrame, topics: DataFrame) -> DataFrame:
+    """(deck, slide_no, lab, score) of the topics that each slide holds."""
+    found = [(r["topic"], r["lab"]) for r in topics.collect()]  # at most ``TOPIC_CHARS`` characters
+    shared = rows.sparkSession.sparkContext.broadcast(found)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("deck", "slide_no")}
+
+    def run(batches):
+        import ahocorasick
+
+        known = ahocorasick.Automaton()
+        for topic, lab in shared.value:
+            known.add_word(topic, (topic, lab))
+        if shared.value:
+            known.make_automaton()
+        for batch in batches:
+            at, labs, scores = [], [], []
+            for i, (title, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) if shared.value else ()):
+                for topic, lab in {v for _, v in known.iter(f"{title or ''}\n{text or ''}")}:
+                    score = 2 if topic in (title or "") else 1 if (text or "").count(topic) >= 2 else 0
+                    if score:
+                        at.append(i)
+                        labs.append(lab)
+                        scores.append(score)
+            part = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(labs, pa.int64()), pa.array(scores, pa.int32())], names=["deck", "slide_no", "lab", "score"])
+
+    return rows.mapInArrow(run, f"deck {kinds['deck']}, slide_no {kinds['slide_no']}, lab long, score int")
+
+
+def _by_grams(rows: DataFrame, topics: DataFrame) -> DataFrame:
+    topics = topics.withColumn("gram", F.when(F.length("topic") >= 3, F.substring("topic", 1, 3)).otherwise(F.substring("topic", 1, 1)))
     whole = F.concat("title", F.lit("\n"), "text")
     grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(whole)), lambda i: F.array(F.substring(whole, i, F.lit(1)), F.substring(whole, i, F.lit(3))))))
-    rows = rows.withColumn("gram", F.explode(grams)).join(topics, "gram")
+    met = rows.withColumn("gram", F.explode(grams)).join(topics, "gram")
     times = (F.length("text") - F.length(F.replace(F.col("text"), F.col("topic"), F.lit("")))) / F.length("topic")
     score = F.when(F.contains("title", F.col("topic")), 2).when(times >= 2, 1).otherwise(0)
-    best = rows.withColumn("score", score).where("score > 0").groupBy("deck", "slide_no").agg(F.max(F.struct("score", (-F.col("lab")).alias("back"))).alias("top"))
-    return best.select("deck", "slide_no", (-F.col("top.back")).alias("lab"), F.col("top.score").alias("score"))
+    return met.withColumn("score", score).where("score > 0").select("deck", "slide_no", "lab", "score")
 
 
 def lab_records(pages: DataFrame) -> DataFrame:

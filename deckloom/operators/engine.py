@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckloom.functions import phrases as P
+from deckloom.functions.phrases import let
 from deckloom.operators.paging import unlike_sentences
-from deckloom.operators.problems import let, named
+from deckloom.operators.problems import named
 from deckloom.operators.shapes import CAUSE, CYCLE, DATE, LABELLED, LOOP, MONTH, PROCEDURE, SHARE, STRONG_CAUSE, pipe_table
 
 # Patterns of the cues and the words that detectors go by.
@@ -324,10 +325,12 @@ def subject(s: Column) -> Column:
 
 
 def chart() -> Column:
-    listed = F.filter(F.transform("sents", P.listed_pairs), lambda p: F.size(p) > 0)
+    # what needs a figure looks at the sentences that have a digit
+    digits = F.filter("sents", lambda s: s.rlike(r"\d"))
+    listed = F.filter(F.transform(digits, P.listed_pairs), lambda p: F.size(p) > 0)
     periods = F.transform(F.arrays_zip(F.regexp_extract_all("blob", F.lit(IN_PERIOD), F.lit(1)).alias("v"), F.regexp_extract_all("blob", F.lit(IN_PERIOD), F.lit(2)).alias("x")), lambda p: named(head=F.trim(p["x"]), body=P.figure_value(p["v"]).cast("string")))
     shares = F.transform(F.filter("sents", lambda s: s.rlike(SHARE)), lambda s: named(label=subject(s), value=F.regexp_extract(s, SHARE, 1).cast("double")))
-    ones = F.filter(F.transform("sents", lambda s: let(P.figures(s), lambda f: F.when(F.size(f) == 1, named(label=subject(s), value=P.figure_value(F.get(f, F.lit(0))), unit=P.unit_of(F.get(f, F.lit(0))))))), lambda p: p.isNotNull() & (p["label"] != "") & p["value"].isNotNull() & (F.size(P.blanks(p["label"])) <= 4))
+    ones = F.filter(F.transform(digits, lambda s: let(P.figures(s), lambda f: F.when(F.size(f) == 1, named(label=subject(s), value=P.figure_value(F.get(f, F.lit(0))), unit=P.unit_of(F.get(f, F.lit(0))))))), lambda p: p.isNotNull() & (p["label"] != "") & p["value"].isNotNull() & (F.size(P.blanks(p["label"])) <= 4))
     total = lambda ps: F.aggregate(ps, F.lit(0.0), lambda a, p: a + p["value"])
     shown = lambda ps: F.transform(F.slice(ps, 1, 8), lambda p: named(head=p["label"], body=p["value"].cast("string")))
 
@@ -341,12 +344,13 @@ def chart() -> Column:
         ok = (F.size(ps) >= 3) & (F.size(F.array_distinct(labels)) == F.size(ps)) & (F.size(F.array_distinct(units)) == 1)
         return detection(ok, "CHART_CATEGORICAL", "bar", 0.84, shown(ps))
 
-    return F.coalesce(
+    found = F.coalesce(
         let(listed, lambda l: F.when(F.size(l) > 0, first(F.get(l, F.lit(0))))),  # noqa: E741
         let(shares, lambda ps: detection((F.size(ps) >= 3) & total(ps).between(95.0, 105.0), "CHART_PART_TO_WHOLE", "pie", 0.9, shown(ps))),
         let(periods, lambda ps: detection(F.size(ps) >= 3, "CHART_TREND", "line", 0.88, F.slice(ps, 1, 10))),
         let(ones, alone),
     )
+    return F.when(F.col("blob").rlike(r"\d"), found)
 
 
 def funnel() -> Column:
@@ -396,9 +400,10 @@ def layers() -> Column:
     entity = lambda s: F.when(s.rlike(lead), P.cap(F.regexp_extract(s, lead, 1))).otherwise(P.short_label(s, 3))
     body = F.when(F.col("n") > 3, F.slice("sents", 2, 1 << 20)).otherwise(F.col("sents"))
     picked = let(of_words(body, 4), lambda b: F.when(F.size(b) >= 3, b).otherwise(of_words(F.col("sents"), 4)))
-    pairs = F.transform(F.slice(picked, 1, 6), lambda s: named(k=F.lower(entity(s)), head=entity(s), body=P.strip_end(s)))
+    pairs = F.transform(F.slice(picked, 1, 6), lambda s: let(entity(s), lambda e: named(k=F.lower(e), head=e, body=P.strip_end(s))))
     distinct = let(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, F.lit(1), i), lambda o: o["k"] == p["k"])))
-    return let(distinct, lambda d: detection((F.regexp_count(F.concat_ws(" ", "blob", "title"), F.lit(LEVEL)) >= 2) & (F.size(d) >= 3), "LAYERS", "stack", 0.84, F.transform(d, lambda p: named(head=p["head"], body=p["body"]))))
+    found = let(distinct, lambda d: detection(F.size(d) >= 3, "LAYERS", "stack", 0.84, F.transform(d, lambda p: named(head=p["head"], body=p["body"]))))
+    return F.when(F.regexp_count(F.concat_ws(" ", "blob", "title"), F.lit(LEVEL)) >= 2, found)
 
 
 def cycle() -> Column:
@@ -407,7 +412,7 @@ def cycle() -> Column:
     listed = F.filter(P.parts(F.regexp_extract(first, r"([A-Za-z][^.]*?(?:,\s*[^,.]+){2,}(?:,?\s*and\s+[^.]+)?)\.", 1), r",\s*(?:and\s+)?|\s+and\s+"), lambda p: F.size(P.blanks(p)) >= 2)
     whole = of_words(F.col("sents"), 3)
     items = F.when((F.size(whole) < 3) & F.size(listed).between(3, 6), listed).otherwise(whole)
-    return let(items, lambda it: detection(said & (F.size(it) >= 3), "PROCESS_CYCLIC", "cycle", 0.8, items_of(it, 6, lambda s: P.short_label(s, 4))))
+    return F.when(said, let(items, lambda it: detection(F.size(it) >= 3, "PROCESS_CYCLIC", "cycle", 0.8, items_of(it, 6, lambda s: P.short_label(s, 4)))))
 
 
 def flowchart() -> Column:
@@ -452,18 +457,19 @@ def cause_effect() -> Column:
 def stats() -> Column:
     """Headline figures with the sentence around them as their label."""
     equations = F.exists("sents", lambda s: s.rlike(r"[A-Za-z0-9)]\s*=\s*[A-Za-z0-9(]"))
-    fit = F.filter("sents", lambda s: (F.size(P.figures(s)) <= 3) & ~F.contains(s, F.lit("|")))
+    has_digit = lambda s: s.rlike(r"\d")
+    fit = F.filter("sents", lambda s: (~has_digit(s) | (F.size(P.figures(s)) <= 3)) & ~F.contains(s, F.lit("|")))
 
     def of(ss: Column) -> Column:
-        tiles = F.flatten(F.transform(ss, lambda s: F.transform(F.slice(P.figures(s), 1, 2), lambda f: named(head=P.pretty_value(f), body=P.short_label(F.replace(s, f, F.lit(" ")), 6)))))
+        tiles = F.flatten(F.transform(F.filter(ss, has_digit), lambda s: F.transform(F.slice(P.figures(s), 1, 2), lambda f: named(head=P.pretty_value(f), body=P.short_label(F.replace(s, f, F.lit(" ")), 6)))))
         distinct = let(tiles, lambda ts: F.filter(ts, lambda t, i: ~F.exists(F.slice(ts, F.lit(1), i), lambda o: o["head"] == t["head"])))
         words = F.size(P.blanks(F.array_join(ss, " ")))
-        with_one = F.size(F.filter(ss, lambda s: F.size(P.figures(s)) > 0))
+        with_one = F.size(F.filter(ss, lambda s: has_digit(s) & (F.size(P.figures(s)) > 0)))
         passing = (with_one / F.greatest(F.size(ss), F.lit(1)) < F.when(words >= 45, 0.6).otherwise(0.5)) & (words >= 30)
         enough = lambda d: (F.size(d) >= 3) | ((F.size(d) >= 2) & (words < 60)) | ((F.size(d) >= 1) & (words < 30))
         return let(distinct, lambda d: detection(~passing & enough(d), "STAT_TILES", "tiles", F.when(F.size(d) >= 3, 0.8).otherwise(0.74), F.slice(d, 1, 4)))
 
-    return let(fit, lambda ss: F.when(~equations & (F.size(ss) > 0), of(ss)))
+    return F.when(F.col("blob").rlike(r"\d") & ~equations, let(fit, lambda ss: F.when(F.size(ss) > 0, of(ss))))
 
 
 def base() -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.functions.phrases import ends
+from deckloom.functions.phrases import ends, let
 
 POWERS = 5
 # Words beside a number that are no things to draw, and the patterns of the problems.
@@ -35,11 +35,6 @@ def number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once, however often it is named."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def named(**values: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in values.items()])
 

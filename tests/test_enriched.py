@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deckloom.functions import maths
-from deckloom.operators import anchors, calibration, enumerations, keyterms, shaping
+from deckloom.operators import anchors, calibration, desk, enumerations, keyterms, shaping
 from deckloom.plans import enriched, enumerated, fitted
 from deckloom.sources import office
 from deckloom.sources.tables import decode_text, slides
@@ -124,6 +124,23 @@ def test_context_sentences_equal_a_greedy_loop(spark):
     assert got == want and len(want) > 8
 
 
+@pytest.mark.parametrize("chars", [1 << 20, 0])
+def test_labs_by_automaton_and_by_letters(spark, monkeypatch, chars):
+    monkeypatch.setattr(desk, "TOPIC_CHARS", chars)
+    topics = [(1, ["sort", "bubble sort"]), (2, ["a", "of"]), (3, ["wave", "sort"]), (4, [""]), (5, ["ß x"])]
+    rows = [(1, k, t, x) for k, (t, x) in enumerate([("Bubble sort", "x"), ("No", "a sort of a sort"), ("None", "wave wave"), ("", "waves"), ("ß x", ""), ("Of", "b")], 1)]
+    labs, slides_ = spark.createDataFrame(topics, "lab long, topics array<string>"), spark.createDataFrame(rows, "deck long, slide_no long, title string, text string")
+    want = {}
+    for _, no, title, text in rows:
+        for lab, ts in topics:
+            for t in filter(None, ts):
+                score = 2 if t in title.lower() else 1 if text.lower().count(t) >= 2 else 0
+                if score and (score, -lab) > want.get(no, (0, 0)):
+                    want[no] = (score, -lab)
+    assert {r["slide_no"]: (r["score"], -r["lab"]) for r in desk.labs_of_slides(slides_, labs).collect()} == want
+    assert desk.labs_of_slides(slides_, labs.limit(0)).count() == 0
+
+
 def test_all_three_ways_of_anchoring_hit(spark):
     found = anchors.anchored_assets(enriched.page_parts(spark, SF), enriched.page_assets(spark, SF)).groupBy("stage").count().collect()
     assert {r["stage"] for r in found} == {"title", "words", "place"}
