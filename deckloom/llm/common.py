@@ -111,6 +111,8 @@ def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(conf.get(name, str((1 << 31) - 1)).removesuffix("b")) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
+    if any(set(c) & set(".`") for c in df.columns):  # mapInArrow looks its columns up by name and reads dots as fields
+        df = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
     return df.mapInArrow(run, schema)
 
 
@@ -181,8 +183,8 @@ def split_hot(counts: DataFrame, n: str, limit: int) -> tuple[DataFrame, DataFra
     return counts.where(F.col(n) > least), counts.where(F.col(n) <= least)
 
 
-def text_or_empty(col: str | Column) -> Column:
-    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+def text_or_empty(text: str | Column) -> Column:
+    return F.coalesce(col(text) if isinstance(text, str) else text, F.lit(""))
 
 
 def hash_bits(*cols: Column, seed: int = 0) -> Column:

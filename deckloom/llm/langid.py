@@ -35,15 +35,15 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", s
     Languages are counted over all rows; rows are then chosen by a hash of their piece, so reruns agree, copies count
     once and no language's rows gather anywhere. The order of the result is by falling count: ties go to the first.
     """
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang_col)).count().collect()}
+    known = labelled.where(col(lang_col).isNotNull() & col(text_col).isNotNull())
+    counts = {r[0]: r[1] for r in known.groupBy(col(lang_col)).count().collect()}
     if not counts:
         return {}
     spark = labelled.sparkSession
     shares = spark.createDataFrame([(lang, min(1.0, 2.0 * sample_docs / n)) for lang, n in counts.items()], "_lang string, _share double")
-    at = hash_bits(F.col(text_col), seed=6)
-    room = F.greatest(F.length(text_col) - PIECE_CHARS + 1, F.lit(1))
-    rows = known.select(F.col(lang_col).alias("_l"), at.alias("_at"), F.col(text_col).alias("_text"), room.alias("_room"))
+    at = hash_bits(col(text_col), seed=6)
+    room = F.greatest(F.length(col(text_col)) - PIECE_CHARS + 1, F.lit(1))
+    rows = known.select(col(lang_col).alias("_l"), at.alias("_at"), col(text_col).alias("_text"), room.alias("_room"))
     chosen = rows.join(F.broadcast(shares), F.col("_l") == F.col("_lang")).where(F.pmod("_at", F.lit(1 << 30)) < F.col("_share") * float(1 << 30))
     pieces = chosen.select("_lang", F.lower(F.expr(f"substring(_text, cast(1 + pmod(shiftright(_at, 31), _room) as int), {PIECE_CHARS})")).alias("piece"), "_at").groupBy("_lang", "piece").agg(F.min("_at").alias("_at"))
     found: dict[str, list[bytes]] = {lang: [] for lang in sorted(counts, key=lambda x: (-counts[x], x))}

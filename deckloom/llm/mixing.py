@@ -61,10 +61,10 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 def sampled(docs: DataFrame, quality: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """All rows in their sampling order with ``_into`` (words of the source before the row), and the sources' targets."""
     narrow = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
+        col(id_col).alias("doc_id"),
+        col(source_col).alias("source"),
         F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
-        sampling_key(F.col(id_col), quality, seed).alias("_key"),
+        sampling_key(col(id_col), quality, seed).alias("_key"),
     )
     order = [F.col("source").asc_nulls_last(), F.col("_key"), F.col("doc_id").asc_nulls_first(), F.col("size")]
     placed = staged(running_totals(narrow, order, "size"))
@@ -84,7 +84,7 @@ def mix_sources(docs: DataFrame, quality: Column | None = None, id_col: str = "d
     in order. Null and empty texts have size 0 and nothing taken; rows that repeat an id share its key and follow each
     other; a source without words has target 0. An empty table gives no rows. Other columns are ignored.
     """
-    quality = symbol_quality(F.col(text_col)) if quality is None else quality
+    quality = symbol_quality(col(text_col)) if quality is None else quality
     rows, _ = sampled(docs, quality, id_col, text_col, source_col, seed)
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("remainder") - F.col("_into")))
     return rows.select(
@@ -100,7 +100,7 @@ def mixed_documents(docs: DataFrame, quality: Column | None = None, id_col: str
     of sources is below the broadcast bound. Repeated rows tie at the bound and go together; null and empty texts have no words and go with the
     epochs and as long as the bound isn't passed. Ids of any type, columns of any name; an empty table gives no rows.
     """
-    quality = symbol_quality(F.col(text_col)) if quality is None else quality
+    quality = symbol_quality(col(text_col)) if quality is None else quality
     rows, targets = sampled(docs, quality, id_col, text_col, source_col, seed)
     # a null id sorts first in a struct, as it does in the sampling order
     mark = F.struct(F.col("_key").alias("k"), F.col("doc_id").alias("i"), F.col("size").alias("s"))

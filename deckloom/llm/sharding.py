@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import col, free_names, text_or_empty
+from deckloom.llm.common import col, free_names, staged, text_or_empty
 from deckloom.llm.prefix import running_totals
 
 #: Bytes that a row takes beside its text.
@@ -25,41 +25,37 @@ def balanced_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text
     side; one row far above the mean leaves shards beside it small or empty; an empty table gives no rows; other
     columns are not looked at.
     """
-    text = text_or_empty(text_col)
-    narrow = docs.select(
-        F.col(id_col).alias("_id"),
-        (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
+    return _dealt(_narrow(docs, id_col, text_col), n_shards).select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
+    """(_id, size, text_crc32, ``keep``) of each row."""
+    text = text_or_empty(col(text_col))
+    return docs.select(col(id_col).alias("_id"), (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *map(col, keep))
+
+
+def _dealt(narrow: DataFrame, n_shards: int) -> DataFrame:
+    """``narrow`` with shard and slot."""
     order = [F.col("_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
     totals = running_totals(narrow, order, "size")
-    dealt = totals.withColumn(
-        "shard", F.least(F.lit(n_shards - 1), F.expr(f"((2 * _before + size) * {n_shards}) div (2 * _total)")).cast("int")
-    )
-    starts = dealt.groupBy("shard").agg(F.min("_index").alias("_start"))
+    dealt = totals.withColumn("shard", F.least(F.lit(n_shards - 1), F.expr(f"((2 * _before + size) * {n_shards}) div (2 * _total)")).cast("int"))
+    starts = dealt.groupBy(F.col("shard").alias("_of")).agg(F.min("_index").alias("_start"))
     # at most n_shards rows
-    return dealt.join(F.broadcast(starts), "shard").select(
-        F.col("_id").alias(id_col), "size", "text_crc32", "shard", (F.col("_index") - F.col("_start")).alias("slot")
-    )
+    return dealt.join(F.broadcast(starts), F.col("shard") == F.col("_of")).withColumn("slot", F.col("_index") - F.col("_start"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard") -> None:
     """Write the documents as Parquet under ``path/shard=K``; rows of one shard stay in the order of their slots.
 
-    A document's shard follows from its place among the running totals, which is found again by (id, checksum, size) and its turn among the
-    rows that share them; texts are shuffled once, to their shard. A column of ``docs`` named as ``shard_col`` would clash with the
-    folders' and raises.
+    Rows are numbered in a staged table, and the numbers, not keys that many rows may share, bring each row its shard: no task has more than its part of rows, and a
+    lost task finds the same numbers again. Texts are staged and then shuffled to their shard. Null, empty and very long texts, repeated rows and null ids are rows like others; an empty table writes no
+    shard. A column of ``docs`` named as ``shard_col`` would clash with the folders' and raises.
     """
     if shard_col.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"docs have a column {shard_col}: name another one for the folders")
-    text = text_or_empty(col(text_col))
-    of_id, crc, size, turn, slot = free_names(docs.columns, "id", "crc", "size", "turn", "slot")
-    twins = Window.partitionBy(of_id, crc, size)
-    placed = balanced_shards(docs, n_shards, id_col, text_col).select(col(id_col).alias(of_id), F.col("text_crc32").alias(crc), F.col("size").alias(size), F.col("shard").alias(shard_col), F.col("slot").alias(slot))
-    placed = placed.withColumn(turn, F.row_number().over(twins.orderBy(shard_col, slot)))
-    keyed = docs.withColumns({crc: F.crc32(text.cast("binary")), size: F.octet_length(text).cast("long") + ROW_BYTES})
-    keyed = keyed.withColumn(turn, F.row_number().over(Window.partitionBy(id_col, crc, size).orderBy(F.lit(1))))
-    same = [keyed[id_col].eqNullSafe(placed[of_id]), *[keyed[c] == placed[c] for c in (crc, size, turn)]]
-    joined = keyed.join(placed, same[0] & same[1] & same[2] & same[3]).select(*[keyed[c] for c in docs.columns], placed[shard_col], placed[slot])
-    dealt = joined.repartitionByRange(n_shards, shard_col, slot).sortWithinPartitions(shard_col, slot)
+    row, of_row, slot = free_names([*docs.columns, shard_col], "row", "of_row", "slot")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    placed = _dealt(_narrow(numbered, id_col, text_col, row), n_shards).select(col(row).alias(of_row), F.col("shard").alias(shard_col), F.col("slot").alias(slot))
+    joined = numbered.join(placed, F.col(row) == F.col(of_row)).select(*map(col, docs.columns), col(shard_col), slot)
+    dealt = joined.repartitionByRange(n_shards, col(shard_col), slot).sortWithinPartitions(col(shard_col), slot)
     dealt.drop(slot).write.partitionBy(shard_col).parquet(path)

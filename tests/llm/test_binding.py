@@ -209,6 +209,59 @@ def test_op6_query_by_held_out_rows(spark, documents):
     assert sum(total.values()) >= 20 and sum(right.values()) >= 0.95 * sum(total.values()), (right, total)
 
 
+def test_identify_equals_one_text_at_a_time(spark):
+    """Sizes under each language's dictionary by a fresh compressor a text, the smallest chosen."""
+    import zstandard
+
+    docs = duck().execute("SELECT doc_id, text, lang FROM documents").fetchall()
+    known = langid.learn(spark.read.parquet(f"{SF}/documents.parquet").where(~langid.held_out(F.col("doc_id"))))
+    found = {r["doc_id"]: r for r in langid.identify(spark.read.parquet(f"{SF}/documents.parquet"), known).collect()}
+    for i, t, _ in docs:
+        if not t or not any(c.isalpha() for c in t):
+            assert found[i]["lang_pred"] == "und" and found[i]["rejected"]
+            continue
+        raw = t.lower().encode() + b" " * 64
+        n = math.ceil(len(raw) / 16384)
+        step = math.ceil(len(raw) / n)
+        sizes = {}
+        for lang, content in known.items():
+            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=own, write_content_size=False, write_checksum=False).compress(raw[a : a + step])) for a in range(0, len(raw), step))
+        least, second = sorted(sizes.values())[:2]
+        assert sizes[found[i]["lang_pred"]] == least and found[i]["score"] == pytest.approx((second - least) / second)
+        assert found[i]["rejected"] == (found[i]["score"] < langid.MIN_MARGIN)
+
+
+def test_identify_agrees_with_letters(spark):
+    """A classifier of another kind, naive Bayes on runs of three characters, learned from the same rows, names the same language for nearly all held-out documents of some length."""
+    docs = duck().execute("SELECT doc_id, text, lang FROM documents").fetchall()
+    found = {r["doc_id"]: r["lang_pred"] for r in queries.op6_language(spark, SF).collect()}
+    runs = lambda t: [t[k : k + 3] for k in range(len(t) - 2)]
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for i, t, lang in docs:
+        if t and lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(runs(t.lower()))
+    every = set().union(*counts.values())
+    logs = {lang: {g: math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * len(every))) for g in every} for lang, c in counts.items()}
+    same = total = 0
+    for i, t, _ in docs:
+        if t and zlib.crc32(str(i).encode()) % 4 == 2 and n_words(t) >= 20:
+            scores = {lang: sum(table[g] for g in runs(t.lower()) if g in every) for lang, table in logs.items()}
+            total += 1
+            same += max(scores, key=scores.get) == found[i]
+    assert total >= 20 and same >= 0.97 * total, (same, total)
+
+
+def test_dots_in_names(spark):
+    """Ids and texts may be columns with dots in their names."""
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "s"), (2, None, None), (3, "le chat", "s")], "`a.id` long, `a.text` string, source string")
+    assert mixing.mix_sources(docs, id_col="a.id", text_col="a.text").count() == 3
+    assert sharding.balanced_shards(docs, 2, "a.id", "a.text").columns[0] == "a.id"
+    assert jaccard.similar_documents(docs, "a.id", "a.text").count() == 3
+    assert quality.judge_quality(docs, "a.id", "a.text").columns[0] == "a.id"
+    assert media.document_media(docs, "a.id", "a.text").columns[0] == "a.id"
+
+
 def test_op7_query(spark, documents):
     want = Counter()
     for i, t, _, _ in documents:
@@ -277,6 +330,13 @@ def test_write_shards(spark, tmp_path):
     assert Counter(r["shard"] for r in back.collect()) == want
     with pytest.raises(ValueError):
         sharding.write_shards(docs.withColumn("Shard", F.lit(1)), path, 4)
+    odd = spark.createDataFrame([(None, None), (None, ""), (1, LONG), (1, LONG), (2, "x")] + [(7, "same")] * 50, "doc_id long, text string").repartition(3)
+    sharding.write_shards(odd, f"{path}-odd", 4)
+    back = spark.read.parquet(f"{path}-odd")
+    assert Counter(map(tuple, back.select("doc_id", "text").collect())) == Counter(map(tuple, odd.collect())) and len({r["shard"] for r in back.collect()}) > 1
+    for shard in (r["shard"] for r in back.select("shard").distinct().collect()):
+        ids = [r["doc_id"] for r in spark.read.parquet(f"{path}-odd/shard={shard}").collect()]
+        assert ids == sorted(ids, key=lambda i: (i is not None, i))
 
 
 def plain_votes(text: str) -> list[int]:
