@@ -52,7 +52,8 @@ def _stated(spark):
 def _slides(spark, sf_dir):
     """The stated slides, and all slides of the documents under negative ids."""
     decks = slides(table(spark, sf_dir, "documents")).select((-1 - (F.col("doc_id") * 100000 + F.col("slide_no"))).alias("id"), "title", F.col("body").alias("text"))
-    return _stated(spark).union(decks)
+    # a slide costs far more than its row: slides are dealt evenly, so one long document is not one task
+    return _stated(spark).union(decks).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
 
 
 def _detections(spark, sf_dir):
