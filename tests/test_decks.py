@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from deckloom.operators import desk, engine, paging, problems
 from deckloom.plans import desked, pictured, solved
 
+SF = "/root/testdata/sf0.001"
+
 
 def decisions(spark):
     return engine.decided(spark.createDataFrame(list(pictured.SLIDES), "id long, title string, text string"))
@@ -58,10 +60,11 @@ def test_plan_to_a_budget(spark):
 
 
 def test_generated_questions(spark):
-    rows = {r["question"]: (r["intent"], r["origin"]) for r in desked.QUERIES["generated_questions"](spark, "").collect()}
+    rows = {r["question"]: (r["intent"], r["origin"]) for r in desked.QUERIES["generated_questions"](spark, SF).collect()}
+    topics = {("topic", r[0].lower()) for r in spark.read.parquet(f"{SF}/part.parquet").select("p_name").collect()}
     want = {q: (i, "gold") for i, q in desked.GOLD}
     for intent, template, slot in desked.TEMPLATES:
-        for name, value in desked.SLOTS:
+        for name, value in {*desked.SLOTS, *topics}:
             if name == slot and zlib.crc32(f"{template}|{value}".encode()) % 3 == 0:
                 want.setdefault(template.replace("{" + slot + "}", value), (intent, "generated"))
     assert rows == want
