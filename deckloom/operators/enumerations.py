@@ -35,7 +35,8 @@ SPLIT_KINDS = r"(?i)\b(phase|stage|step|level|method|technique|approach|type|kin
 NUMBER_MARK = r"(?i)^\s*(?:\(?\d{1,2}[.)]|[ivx]+[.)]|[-*+•])\s+"
 PREDICATE = r"(?i)\b(involves?|includes?|consists?|uses?|helps?|allows?|enables?|provides?|refers?|means|describes?|acts?|converts?|performs?|following|such as|for example|e\.?g\.?|there (?:is|are))\b"
 SUBJECTS = r"(?i)\b(analysis|parsing|integration|translation|recognition|retrieval|generation|understanding|disambiguation|tokeniz[\p{L}\p{N}_]+|embedding)\b"
-TAIL, AHEAD = 400, 13
+STEP = r"(?i)^\s*(?:(?:step|phase|stage|part|item|point)\s*\d+|\d+[.:)]\s+|[a-z][.:)]\s+|[ivxlcdm]+[.:)]\s+|\b(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth)\b)"
+TAIL, AHEAD, STEPS = 400, 13, 10
 
 STYLES = ("run", "claim", "inline", "block", "header")
 
@@ -200,3 +201,14 @@ def item_sections(texts: DataFrame) -> DataFrame:
     every = F.concat(F.array(overview), F.transform("heads", section))
     rows = rows.select("doc", n.alias("total"), "kind", F.explode(every).alias("s"))
     return rows.select("doc", "s.place", "total", "kind", "s.title", "s.text", (F.col("s.place") == 0).alias("overview"))
+
+
+def steps(texts: DataFrame, most: int = STEPS) -> DataFrame:
+    """(doc, pos, item) of lines that begin as steps (``Step 1``, ``2)``, ``iv.``, ``third``): first without their marks, then as they are written where they are no headings; each once, case aside, the first ``most``."""
+    rows = lines_of(texts.select("doc", F.coalesce("text", F.lit("")).alias("text"))).withColumn("s", ends(F.col("line"))).where(F.col("s").rlike(STEP))
+    bare = rows.where(F.length("s") > 4).select("doc", F.lit(0).alias("source"), "no", ends(F.regexp_replace("s", STEP, "")).alias("item")).where("item <> ''")
+    whole = rows.where(~F.startswith("s", F.lit("#"))).select("doc", F.lit(1).alias("source"), "no", F.col("s").alias("item"))
+    found = bare.unionByName(whole)
+    once = F.row_number().over(Window.partitionBy("doc", F.lower("item")).orderBy("source", "no"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("source", "no"))
+    return found.withColumn("once", once).where("once = 1").select("doc", place.alias("pos"), "item").where(F.col("pos") <= most)

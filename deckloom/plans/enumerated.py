@@ -107,3 +107,9 @@ w AS (SELECT *, regexp_replace(kind, 's+$', '') AS kw FROM v3),
 o AS (SELECT doc, 0 AS place, n, kind, trim(title || ' — the ' || n || ' ' || kind) AS title, array_to_string(list_concat(ls[1:h[1].i], list_transform(h, lambda x: '- ' || x.label)), chr(10)) AS text FROM w
 UNION ALL SELECT doc, k, n, kind, upper(left(kw, 1)) || lower(substr(kw, 2)) || ' ' || k || ' of ' || n || ': ' || h[k].label, array_to_string(ls[h[k].i + 1:CASE WHEN k < n THEN h[k + 1].i ELSE len(ls) END], chr(10)) FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM w))
 SELECT doc, place::INT AS place, n::INT AS total, kind, title, text, place = 0 AS overview FROM o"""
+
+QUERIES["steps"] = lambda spark, sf_dir: N.steps(texts(spark, sf_dir))
+ORACLE["steps"] = f"""WITH texts AS {_T}, l AS (SELECT doc, {ends('unnest(string_split(text, chr(10)))')} AS s, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM texts), m AS (SELECT * FROM l WHERE {has(N.STEP, 's')}),
+f AS (SELECT doc, 0 AS source, no, {ends(f"regexp_replace(s, {q.text(N.STEP)}, '')")} AS item FROM m WHERE length(s) > 4 UNION ALL SELECT doc, 1, no, s FROM m WHERE NOT prefix(s, '#')),
+o AS (SELECT * FROM f WHERE item <> '' QUALIFY row_number() OVER (PARTITION BY doc, lower(item) ORDER BY source, no) = 1)
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY source, no))::INT AS pos, item FROM o QUALIFY pos <= {N.STEPS}"""

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: (cap, seconds) of the limiter.
@@ -83,7 +83,7 @@ def rate_limited_stream(events: DataFrame, cap: int = CAP, window: float = WINDO
 
 
 def breaker(events: DataFrame, trip: int = TRIP_AFTER, retry: float = RETRY_AFTER_S) -> DataFrame:
-    """(event_id, user_id, open): a circuit breaker by user over its events; ``error`` is a failure, anything else a success.
+    """(event_id, user_id, is_open): a circuit breaker by user over its events; ``error`` is a failure, anything else a success.
 
     It opens after ``trip`` failures in a row; while it is open calls are not made and change nothing; after ``retry`` seconds the next
     one is made again.
@@ -106,8 +106,9 @@ def breaker(events: DataFrame, trip: int = TRIP_AFTER, retry: float = RETRY_AFTE
 
 
 def paced(events: DataFrame, pause: float = 4.2) -> DataFrame:
-    """(user_id, n, last_start): when a user's calls start if each waits ``pause`` seconds after the one before; a fold over the array."""
-    times = F.array_sort(F.collect_list(F.unix_micros("ts") / 1e6))
-    grouped = _timed(events).groupBy("user_id").agg(times.alias("times"))
-    last = F.aggregate("times", F.lit(-1e18), lambda at, t: F.greatest(t, at + pause))
-    return grouped.select("user_id", F.size("times").cast("long").alias("n"), F.bround(last - F.get("times", F.size("times") - 1), 3).alias("delay"))
+    """(user_id, n, delay): by how much a user's last call is late if each waits ``pause`` seconds after the start of the one before. The last of n starts at the largest of t_k + (n - 1 - k) * pause, so the
+    calls are numbered by a window and the rest is a maximum."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = _timed(events).select("user_id", (F.unix_micros("ts") / 1e6).alias("t"), (F.row_number().over(order) - 1).alias("k"))
+    found = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("last"), F.max(F.col("t") - F.col("k") * pause).alias("lead"))
+    return found.select("user_id", "n", F.bround(F.col("lead") + (F.col("n") - 1) * pause - F.col("last"), 3).alias("delay"))
