@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckloom.functions.phrases import blanks
+from deckloom.operators.holding import held
 
 
 class Rule(NamedTuple):
@@ -274,24 +275,29 @@ def _hay(with_aliases: bool = True) -> Column:
 
 
 def found_presentations(entries: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, number, hits): entries by how many of a query's words they hold, best first by ``rank``; an empty query takes all by number.
+    """(query_id, number, hits, rank): entries by how many of a query's words they hold, best first; an empty query takes all by number.
 
-    ``queries`` are few (a person's requests): the smaller side of a nested loop; entries stream by.
+    Entries are read once for all words of all queries (``held``) and meet a query by a word that it has; only empty queries are given every entry, as they ask for it.
     """
     words = F.filter(blanks(F.trim(F.lower("query"))), lambda w: F.length(w) > 1)
     asked = queries.select("query_id", F.trim(F.lower("query")).alias("q"), words.alias("words"))
-    pairs = entries.select("number", _hay().alias("hay")).join(F.broadcast(asked))
-    hits = F.size(F.filter("words", lambda w: F.contains(F.col("hay"), w)))
-    rows = pairs.select("query_id", "number", F.when(F.col("q") == "", 0).otherwise(hits).alias("hits"), (F.col("q") == "").alias("every"))
+    each = asked.where("q <> ''").select("query_id", F.explode("words").alias("word"))
+    found = held(entries.select("number", _hay().alias("hay")), "number", "hay", each, "word")
+    hits = found.join(each, F.col("held") == F.col("word")).groupBy("query_id", "number").agg(F.count(F.lit(1)).cast("int").alias("hits"))
+    empty = asked.where("q = ''").agg(F.collect_list("query_id").alias("ids"))  # one row
+    every = entries.select("number").join(F.broadcast(empty)).select(F.explode("ids").alias("query_id"), "number", F.lit(0).alias("hits"))
+    rows = hits.unionByName(every)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "number"))
-    return rows.where("every OR hits > 0").select("query_id", "number", "hits", rank.alias("rank"))
+    return rows.select("query_id", "number", "hits", rank.alias("rank"))
 
 
 def found_in_gallery(entries: DataFrame, queries: DataFrame, most: int = 6) -> DataFrame:
     """(query_id, number, score, rank): catalogue entries whose title, subject or a tag holds the query, by words, 3 for the title, 2 if ready."""
     asked = queries.where(F.trim("query") != "").select("query_id", F.lower(F.trim("query")).alias("q"))
-    pairs = entries.select("number", F.lower("title").alias("t"), F.lower("subject").alias("s"), "tags", "ready").join(F.broadcast(asked))
-    kept = pairs.where(F.contains("t", F.col("q")) | F.contains("s", F.col("q")) | F.exists("tags", lambda x: F.contains(x, F.col("q"))))
+    known = entries.select("number", F.lower("title").alias("t"), F.lower("subject").alias("s"), "tags", "ready")
+    # parts stand on lines of their own, so nothing is found across two of them
+    found = held(known.select("number", F.concat_ws("\n", "t", "s", F.array_join("tags", "\n")).alias("hay")), "number", "hay", asked, "q")
+    kept = found.join(asked, F.col("held") == F.col("q")).join(known, "number")
     hay = F.concat_ws(" ", "t", "s", F.array_join("tags", " "))
     words = F.filter(blanks(F.col("q")), lambda w: F.length(w) > 1)
     score = F.size(F.filter(words, lambda w: F.contains(hay, w))) + F.when(F.contains("t", F.col("q")), 3).otherwise(0) + F.when(F.col("ready"), 2).otherwise(0)
@@ -304,7 +310,7 @@ def resolved(references: DataFrame, entries: DataFrame) -> DataFrame:
     """(ref_id, status, number, confidence, reason) of each reference (ref_id, reference, current: a number or null) to an entry (number, pres_id, title, ...).
 
     In this order: a permanent id, a word for what is open, a number, an ordinal position, then titles, subjects, tags and aliases by shared words.
-    References are few and sent to all; only scores of at least a third come back, so the ranking is over near hits.
+    Entries and references meet by a shared word or by the phrase that an entry holds; only scores of at least a third are ranked.
     """
     low = F.lower(F.trim("reference"))
     number = F.coalesce(
@@ -334,7 +340,11 @@ def resolved(references: DataFrame, entries: DataFrame) -> DataFrame:
     place_in = F.row_number().over(Window.orderBy("number"))  # a person's registry: narrow rows
     known = entries.select("number", "pres_id", place_in.alias("at"))
     hay, own = _hay(), F.array_distinct(F.concat(registry_tokens(F.concat_ws(" ", "title", "subject", "topic")), F.col("tags"), registry_tokens(F.array_join("aliases", " "))))
-    pairs = entries.select("number", hay.alias("hay"), own.alias("own")).join(F.broadcast(rows.select("ref_id", "phrase", "words")))
+    looked = entries.select("number", hay.alias("hay"), own.alias("own"))
+    # an entry is near a reference if it shares a word with it or holds its phrase: those meet, no others
+    by_word = looked.select("number", F.explode("own").alias("word")).join(rows.select("ref_id", F.explode(F.array_distinct("words")).alias("word")), "word").select("number", "ref_id")
+    by_phrase = held(looked, "number", "hay", rows, "phrase").join(rows.select("ref_id", "phrase"), F.col("held") == F.col("phrase")).select("number", "ref_id")
+    pairs = by_word.union(by_phrase).distinct().join(looked, "number").join(rows.select("ref_id", "phrase", "words"), "ref_id")
     overlap = F.when((F.size("words") == 0) | (F.size("own") == 0), 0.0).otherwise(F.size(F.array_intersect("words", "own")).cast("double") / F.size(F.array_distinct("words")))
     score = F.when((F.col("phrase") != "") & F.contains("hay", F.col("phrase")), 1.0).otherwise(overlap)
     near = pairs.select("ref_id", "number", score.alias("score")).where("score >= 0.34")

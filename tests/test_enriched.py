@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deckloom.functions import maths
-from deckloom.operators import anchors, calibration, desk, enumerations, keyterms, shaping
+from deckloom.operators import anchors, calibration, desk, enumerations, holding, keyterms, shaping
 from deckloom.plans import enriched, enumerated, fitted
 from deckloom.sources import office
 from deckloom.sources.tables import decode_text, slides
@@ -141,6 +141,15 @@ def test_labs_by_automaton_and_by_letters(spark, monkeypatch, chars):
     assert desk.labs_of_slides(slides_, labs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chars", [1 << 20, 0])
+def test_held_strings(spark, monkeypatch, chars):
+    monkeypatch.setattr(holding, "SENT_CHARS", chars)
+    texts = [(1, "the cat sat\non"), (2, None), (3, ""), (4, "cataract"), (5, "ßa a b")]
+    strings = ["cat", "the cat", "t\no", "a", "", "zz", "ß", "cat"]
+    got = holding.held(spark.createDataFrame(texts, "k long, t string"), "k", "t", spark.createDataFrame([(x,) for x in strings], "s string"), "s").collect()
+    assert sorted(map(tuple, got)) == sorted({(k, x) for k, t in texts for x in strings if x and t and x in t})
+
+
 def test_all_three_ways_of_anchoring_hit(spark):
     found = anchors.anchored_assets(enriched.page_parts(spark, SF), enriched.page_assets(spark, SF)).groupBy("stage").count().collect()
     assert {r["stage"] for r in found} == {"title", "words", "place"}
