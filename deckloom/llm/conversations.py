@@ -421,26 +421,41 @@ def repair_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
 
 
 def repaired_turns(rows: DataFrame, repairs: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, no, edit, role, text): the repaired turns themselves, by the audits of ``repair_conversations``. Conversations are grouped here, so each has to fit in a task."""
-    shaped = rows.select(col(conv).alias("conv"), col(turn).cast("long").alias("turn"), *(F.coalesce(col(c), F.lit(" ")).alias(n) for c, n in ((role, "role"), (text, "text"))))
-    parts = shaped.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), "role", F.xxhash64("text").alias("h"), "text"))).alias("rows"))
-    joined = parts.join(repairs.select(col(conv).alias("_conv"), "audit"), F.col("conv").eqNullSafe(F.col("_conv"))).select("conv", "rows.role", "rows.text", "audit")
-    sql, arrow = _kind(shaped, "conv")
+    """(conv, no, edit, role, text): the repaired turns themselves, by the audits of ``repair_conversations``. A conversation's audit and then its turns pass through a task in order, sorted on disk where they are many; what is
+    held is the audit and the place in it, never the turns."""
+    turns = rows.select(col(conv).alias("conv"), F.lit(1).alias("kind"), col(turn).cast("long").alias("turn"), *(F.coalesce(col(c), F.lit(" ")).alias(n) for c, n in ((role, "role"), (text, "text"))))
+    audits = repairs.select(col(conv).alias("conv"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("turn"), F.lit("").alias("role"), F.col("audit").alias("text"))
+    order = [F.col("conv").asc_nulls_first(), F.col("kind").asc(), F.col("turn").asc_nulls_first(), F.col("role").asc(), F.xxhash64("text").asc()]
+    ordered = turns.unionByName(audits).repartition(shuffle_partitions(rows.sparkSession), "conv").sortWithinPartitions(*order).select("conv", "kind", "role", "text")
+    sql, arrow = _kind(turns, "conv")
     schema = pa.schema([("conv", arrow), ("no", pa.int64()), ("edit", pa.string()), ("role", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, audit, at, state, no = None, "", 0, START, 0
+        out: list[tuple] = []
+
+        def insertions() -> None:
+            nonlocal at, state, no
+            while at < len(audit) and audit[at] == "I":
+                state = NEXT[state]
+                out.append((own, no, "I", ROLE[state], ""))
+                at, no = at + 1, no + 1
+
         for batch in batches:
-            for own, roles, texts, audit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out, state, at = [], START, 0
-                for edit in audit:
-                    if edit == "I":
-                        state = NEXT[state]
-                        out.append((own, len(out), edit, ROLE[state], ""))
-                        continue
-                    if edit != "D":
-                        state = NEXT[state] if edit == "R" else KEEPS[state, roles[at][:1]]
-                        out.append((own, len(out), edit, ROLE[state] if edit == "R" else roles[at], texts[at]))
-                    at += 1
-                yield _batch(out, schema)
-
-    return mapped(joined, run, f"conv {sql}, no long, edit string, role string, text string").withColumnRenamed("conv", conv)
+            for conv_id, kind, said, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 0:
+                    insertions()  # after the last turn of the conversation before
+                    own, audit, at, state, no = conv_id, body, 0, START, 0
+                    continue
+                insertions()
+                edit, at = audit[at], at + 1
+                if edit != "D":
+                    state = NEXT[state] if edit == "R" else KEEPS[state, said[:1]]
+                    out.append((own, no, edit, ROLE[state] if edit == "R" else said, body))
+                    no += 1
+            yield _batch(out, schema)
+            out.clear()
+        insertions()
+        yield _batch(out, schema)
+
+    return mapped(ordered, run, f"conv {sql}, no long, edit string, role string, text string").withColumnRenamed("conv", conv)
