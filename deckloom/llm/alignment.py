@@ -110,8 +110,8 @@ class PieceTokens:
         return self.model.encode(text[1:])
 
 
-def cut_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where segments begin: at each text's first byte (a space), and at each single space between characters that surely are no white space."""
+def cut_places(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Where segments begin: at each text's first byte (``firsts``, a space), and at each single space between characters that surely are no white space."""
     lead = np.isin(data, np.array(_LEADS, dtype=np.uint8))
     high = data >= 0x80
     before = np.zeros(len(data), dtype=bool)
@@ -122,7 +122,7 @@ def cut_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     after = np.zeros(len(data), dtype=bool)
     after[:-1] = _PLAIN[data[1:]] | (high[1:] & ~lead[1:])
     begins = (data == 0x20) & before & after
-    begins[offsets[:-1]] = True
+    begins[firsts] = True
     return np.flatnonzero(begins)
 
 

@@ -376,3 +376,11 @@ def test_segments_forgotten_and_colliding(monkeypatch):
         own = packing.WordIds(path)
         for _ in range(2):
             assert [x.tolist() for x in own.encode(data, offsets)] == want
+
+
+@pytest.mark.parametrize("text", ["a\n\n", "\x00", "\x1cé'\t", "<0x0A>🙂", "  x y", "é first"])
+def test_last_text_of_a_group_begins_a_segment(spark, text):
+    """The last text of a group keeps its own first segment, whatever it begins with and whatever stands before it, also alone."""
+    for rows in ([(1, text)], [(1, "ends in a tab\t"), (2, text)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert Counter(map(tuple, alignment.align_tokenizers(df).collect())) == Counter(brute_alignment(rows))
