@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from deckloom.llm import alignment, conversations, packing, queries, segments
+from deckloom.llm import alignment, conversations, packing, queries, segments, urls
 
 SF = "/root/testdata/sf0.001"
 SPACES = " \t\n\x0b\x0c\r"
@@ -384,3 +384,7 @@ def test_last_text_of_a_group_begins_a_segment(spark, text):
     for rows in ([(1, text)], [(1, "ends in a tab\t"), (2, text)]):
         df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
         assert Counter(map(tuple, alignment.align_tokenizers(df).collect())) == Counter(brute_alignment(rows))
+
+def test_op4_rules_are_those_of_the_contract():
+    """Each rule's word, host and path as the contract lists them."""
+    assert [f"{v} {h}{p}" for v, h, p in urls.RULES] == ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
