@@ -59,7 +59,7 @@ def picture_actions(pictures: DataFrame) -> DataFrame:
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[A-Za-z][A-Za-z\-']+"), F.lit(0))
     rows = pictures.select("id", "width", "height", "referenced", ocr.alias("ocr"), words(ocr).alias("w"), F.array_distinct(words(F.lower("slide_text"))).alias("own"))
     mine = F.array_distinct(F.transform("w", lambda x: F.lower(x)))
-    rows = rows.select("id", "referenced", "ocr", F.size("w").alias("n"), (F.col("width") * F.col("height") / 1e6).alias("mp"), F.when(F.col("height") > 0, F.col("width") / F.col("height")).otherwise(0.0).alias("aspect"), F.when((F.size(mine) > 0) & (F.size("own") > 0), F.size(F.array_intersect(mine, F.col("own"))).cast("double") / F.size(mine)).otherwise(0.0).alias("near"))
+    rows = rows.select("id", "referenced", "ocr", F.size("w").alias("n"), (F.col("width").cast("long") * F.col("height") / 1e6).alias("mp"), F.when(F.col("height") > 0, F.col("width") / F.col("height")).otherwise(0.0).alias("aspect"), F.when((F.size(mine) > 0) & (F.size("own") > 0), F.size(F.array_intersect(mine, F.col("own"))).cast("double") / F.size(mine)).otherwise(0.0).alias("near"))
     marks, decor = F.regexp_count("ocr", F.lit(STRUCTURE)), F.col("ocr").rlike(DECORATIVE)
     tiny, low, banner = F.col("mp").between(1e-9, 0.02 - 1e-9), F.col("mp").between(1e-9, 0.12 - 1e-9), (F.col("aspect") != 0) & ((F.col("aspect") > 4) | (F.col("aspect") < 0.25))
     wanted = lambda least: (F.col("near") >= least) | F.col("referenced")
