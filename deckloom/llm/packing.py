@@ -127,7 +127,7 @@ def fewest(histogram: dict[int, int], capacity: Capacity) -> list[tuple[int, lis
     limits, most = capacity.limits(), max(histogram, default=1)
     binds = (1.0, float(limits[1] < capacity.tokens), float(limits[2] < capacity.tokens * most))
     tries = [("norm", binds), ("norm", (1.0, 0.0, 0.0))] if any(binds[1:]) else [("norm", binds)]
-    tries += [("dot", binds)] if len(histogram) <= 512 else []
+    tries.append(("dot", binds))
     return min((best_fit(histogram, capacity, rule, weights) for rule, weights in tries), key=lambda p: sum(n for n, _ in p))
 
 

@@ -11,3 +11,15 @@ def test_picture_actions_of_a_large_picture(spark):
 
     rows = spark.createDataFrame([(1, 90042, 60028, "", "", False), (2, 10, 10, "", "", False)], "id long, width int, height int, ocr string, slide_text string, referenced boolean")
     assert {r["id"]: r["action"] for r in picture_actions(rows).collect()} == {1: "KEEP_AS_IS", 2: "DROP"}
+
+
+def test_packing_tries_every_rule_at_any_size(monkeypatch):
+    """The rules that are tried don't depend on how many lengths there are."""
+    from deckloom.llm import packing
+
+    tried = []
+    whole = packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda h, c, rule, weights: tried.append(rule) or whole(h, c, rule, weights))
+    used = [sum(n for n, _ in packing.fewest({k: 2 for k in range(1, most + 1)}, packing.Capacity())) for most in (3, 700)]
+    assert tried == ["norm", "dot"] * 2
+    assert used == [1, -(-sum(2 * k for k in range(1, 701)) // 4096)]
