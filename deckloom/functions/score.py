@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.functions.text import clip01, content_words, jaccard, sentences, tokens, words
+from deckloom.functions.text import clip01, content_words, jaccard, round_even, sentences, tokens, words
 
 
 def density_points(n_words: Column) -> Column:
@@ -44,7 +44,7 @@ def slide_score(title: Column, bullets: Column, takeaway: Column, layout: Column
     parts = tokens(F.array_join(bullets, " "))
     n, chars = F.size(parts), F.aggregate(F.transform(parts, F.length), F.lit(0), lambda a, x: a + x)
     points = (density_points(n), bullet_points(F.size(bullets)), title_points(F.size(tokens(title))), takeaway_points(takeaway), readability_points(n, chars), visual_points(layout, title, takeaway, has_image))
-    return F.bround(F.least(F.lit(100.0), sum((F.bround(p, 1) for p in points), F.lit(0.0))), 0)
+    return round_even(F.least(F.lit(100.0), sum((round_even(p, 1) for p in points), F.lit(0.0))), 0)
 
 
 #: Weights of the fitness model (efficiency, load, coherence), load terms and their scales, and the band of good flow.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckloom.functions.text import content_words, tokens
+from deckloom.functions.text import content_words, round_even, tokens
 from deckloom.operators.extract import glossary
 
 
@@ -79,7 +79,7 @@ def confusion(rows: DataFrame, want: str, got: str) -> DataFrame:
     """Counts of pairs of wanted and given labels, and the share of each wanted label."""
     counts = rows.groupBy(want, got).agg(F.count(F.lit(1)).alias("n"))
     totals = rows.groupBy(F.col(want).alias("_w")).agg(F.count(F.lit(1)).alias("_t"))
-    return counts.join(totals, F.col(want).eqNullSafe(F.col("_w"))).select(want, got, "n", F.bround(F.col("n").cast("double") / F.col("_t"), 4).alias("share"))
+    return counts.join(totals, F.col(want).eqNullSafe(F.col("_w"))).select(want, got, "n", round_even(F.col("n").cast("double") / F.col("_t"), 4).alias("share"))
 
 
 def phone(raw: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckloom.functions import score as S
-from deckloom.functions.text import content_words, idf_guess, jaccard, reading_grade, sentences, words
+from deckloom.functions.text import content_words, idf_guess, jaccard, reading_grade, round_even, sentences, words
 
 
 def slide_scores(slides: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def slide_scores(slides: DataFrame) -> DataFrame:
 
 def deck_scores(slides: DataFrame) -> DataFrame:
     """Rounded mean of the slides' scores by deck."""
-    found = slide_scores(slides).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_slides"), F.bround(F.sum("score") / F.count(F.lit(1)), 0).alias("overall_score"))
+    found = slide_scores(slides).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_slides"), round_even(F.sum("score") / F.count(F.lit(1)), 0).alias("overall_score"))
     return found.select("doc_id", "n_slides", "overall_score")
 
 
@@ -30,7 +30,7 @@ def novelty(slides: DataFrame) -> DataFrame:
 
 def _shaped(slides: DataFrame) -> DataFrame:
     """What the terms of fitness are made of; concepts of earlier slides of the deck are no news."""
-    fresh = novelty(slides).where("is_new").groupBy("doc_id", "slide_no").agg(F.count(F.lit(1)).alias("n_new"), F.bround(F.sum(idf_guess(F.col("concept"))), 6).alias("information"))
+    fresh = novelty(slides).where("is_new").groupBy("doc_id", "slide_no").agg(F.count(F.lit(1)).alias("n_new"), round_even(F.sum(idf_guess(F.col("concept"))), 6).alias("information"))
     body = F.array_join("bullets", " ")
     concepts = F.array_distinct(content_words(F.concat_ws(" ", "title", body)))
     return S.with_redundancy(slides).select("doc_id", "slide_no", "title", concepts.alias("concepts"), F.size("bullets").alias("n"), body.alias("body"), "redundancy").join(fresh, ["doc_id", "slide_no"], "left")
@@ -58,7 +58,7 @@ def fitness_parts(slides: DataFrame) -> DataFrame:
 
 
 def fitness_slides(slides: DataFrame) -> DataFrame:
-    rounded = {name: F.bround(c, 4) for name, c in (("efficiency", "e"), ("load", "l"), ("coherence", "c"), ("fitness", "fit"))}
+    rounded = {name: round_even(c, 4) for name, c in (("efficiency", "e"), ("load", "l"), ("coherence", "c"), ("fitness", "fit"))}
     return fitness_terms(slides).select("doc_id", "slide_no", "n_new", *[v.alias(k) for k, v in rounded.items()])
 
 
@@ -72,9 +72,9 @@ def flow(slides: DataFrame) -> DataFrame:
 
 def fitness_decks(slides: DataFrame) -> DataFrame:
     """Geometric mean of the slides' fitness times the mean flow (1 for a single slide)."""
-    means = fitness_terms(slides).groupBy("doc_id").agg(F.exp(F.avg(F.log(F.greatest(F.bround("fit", 4), F.lit(1e-6))))).alias("gm"))
+    means = fitness_terms(slides).groupBy("doc_id").agg(F.exp(F.avg(F.log(F.greatest(round_even("fit", 4), F.lit(1e-6))))).alias("gm"))
     flows = flow(slides).groupBy("doc_id").agg(F.coalesce(F.avg("flow"), F.lit(1.0)).alias("fl"))
-    return means.join(flows, "doc_id").select("doc_id", F.bround("gm", 3).alias("geometric_mean"), F.bround("fl", 4).alias("flow"), F.bround(F.col("gm") * F.col("fl"), 3).alias("deck_fitness"))
+    return means.join(flows, "doc_id").select("doc_id", round_even("gm", 3).alias("geometric_mean"), round_even("fl", 4).alias("flow"), round_even(F.col("gm") * F.col("fl"), 3).alias("deck_fitness"))
 
 
 def readability(docs: DataFrame) -> DataFrame:
@@ -104,4 +104,4 @@ def word_stats(docs: DataFrame) -> DataFrame:
 def concept_weights(docs: DataFrame) -> DataFrame:
     """Guessed information of each distinct content word, and in how many documents it is."""
     named = docs.select(F.explode(F.array_distinct(content_words(F.coalesce("text", F.lit(""))))).alias("concept"))
-    return named.groupBy("concept").agg(F.count(F.lit(1)).alias("n_docs")).select("concept", "n_docs", F.bround(idf_guess(F.col("concept")), 2).alias("weight"))
+    return named.groupBy("concept").agg(F.count(F.lit(1)).alias("n_docs")).select("concept", "n_docs", round_even(idf_guess(F.col("concept")), 2).alias("weight"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckloom.functions.text import jaccard, tokens
+from deckloom.functions.text import jaccard, round_even, tokens
 
 # Titles that say nothing, and verbs by which a title says something.
 GENERIC_TITLE = (
@@ -62,7 +62,7 @@ def transitions(slides: DataFrame) -> DataFrame:
     rows = rows.withColumns({"before": F.lag("ws").over(order), "stem0": F.lag("stem").over(order)})
     overlap = jaccard(F.col("before"), F.col("ws"))
     kind = F.when(F.col("before").isNull(), "fade").when(F.col("stem") == F.col("stem0"), "none").when(overlap >= 0.45, "fade").when(overlap >= 0.15, "slide").otherwise("convex")
-    return rows.select("doc_id", "slide_no", F.when(F.col("before").isNotNull(), F.bround(overlap, 6)).alias("overlap"), kind.alias("transition"))
+    return rows.select("doc_id", "slide_no", F.when(F.col("before").isNotNull(), round_even(overlap, 6)).alias("overlap"), kind.alias("transition"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

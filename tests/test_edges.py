@@ -13,6 +13,15 @@ def test_picture_actions_of_a_large_picture(spark):
     assert {r["id"]: r["action"] for r in picture_actions(rows).collect()} == {1: "KEEP_AS_IS", 2: "DROP"}
 
 
+def test_rounding_of_ties(spark):
+    """Ties are those of the scaled double: 7.05 is 70.5 tenths, which is even at 70."""
+    from deckloom.functions.text import round_even
+
+    rows = spark.createDataFrame([(7.05, 1, 7.0), (-7.05, 1, -7.0), (2.675, 2, 2.68), (0.15, 1, 0.2), (0.25, 1, 0.2), (3.5, 0, 4.0)], "x double, n int, want double")
+    for r in rows.collect():
+        assert rows.where(F.col("n") == r["n"]).where(F.col("x") == r["x"]).select(round_even(F.col("x"), r["n"])).first()[0] == r["want"]
+
+
 def test_packing_tries_every_rule_at_any_size(monkeypatch):
     """The rules that are tried don't depend on how many lengths there are."""
     from deckloom.llm import packing
