@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deckloom.functions.text import upper_letter
+
 # Words and patterns that labels and figures are cut by.
 LABEL_STOP = "the a an of and or to in on at for by with is are was were be been it its this that these those as from which who".split()
 DANGLING = (
@@ -98,7 +100,7 @@ def strip_end(text: Column) -> Column:
 
 def cap(text: Column) -> Column:
     t = ends(text)
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))
+    return F.concat(upper_letter(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))
 
 
 def parts(text: Column, pattern: str) -> Column:
@@ -300,7 +302,7 @@ def compressed(sentence: Column, most: int = 16) -> Column:
     """A sentence without lead words, pronoun leads and copulas; over ``most`` words without its relative clause, then cut."""
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(ends(sentence), LEAD_MARKER, ""), PRONOUN_LEAD, ""), COPULA_LEAD, "")
     s = F.regexp_replace(F.regexp_replace(s, r"\s+", " "), r"^[ ,;:.]+|[ ,;:.]+$", "")
-    s = F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s)))
+    s = F.concat(upper_letter(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s)))
     trimmed = F.regexp_replace(F.regexp_replace(s, RELATIVE, ""), r"^[ ,;:]+|[ ,;:]+$", "")
     s = F.when((F.size(blanks(s)) > most) & F.size(blanks(trimmed)).between(-(-most // 2), most + 4), trimmed).otherwise(s)
     head = F.array_join(F.slice(blanks(s), 1, most + 3), " ")

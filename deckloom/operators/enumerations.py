@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckloom.functions.phrases import blanks, ends
+from deckloom.functions.text import upper_letter
 from deckloom.operators.markdown import lines_of
 
 # Number words, the nouns that announce items, marks of items, and the patterns that hold them.
@@ -191,7 +192,7 @@ def item_sections(texts: DataFrame) -> DataFrame:
     before = F.slice("lines", F.lit(1), F.get("heads", F.lit(0))["i"])
     overview = F.struct(F.lit(0).alias("place"), F.trim(F.concat("title", F.lit(" — the "), n.cast("string"), F.lit(" "), "kind")).alias("title"), F.array_join(F.concat(before, F.transform("heads", lambda h: F.concat(F.lit("- "), h["label"]))), "\n").alias("text"))
     word = F.regexp_replace("kind", "s+$", "")
-    word = F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substring(word, 2, 100)))
+    word = F.concat(upper_letter(F.left(word, F.lit(1))), F.lower(F.substring(word, 2, 100)))
 
     def section(h: Column, k: Column) -> Column:
         end = F.when(k + 1 < n, F.get("heads", k + 1)["i"]).otherwise(F.size("lines"))

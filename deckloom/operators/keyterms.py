@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckloom.functions.phrases import blanks, ends, is_clean_sentence
+from deckloom.functions.text import upper_letter
+from deckloom.operators.extract import BEFORE_WORD
 
 #: Terms of a slide, slides before a term is shown again, and from which share of at least how many slides a term is the deck's topic, shown once.
 PER_SLIDE, REGAP, CENTRAL, LEAST_SLIDES = 2, 12, 0.3, 10
@@ -109,7 +111,7 @@ def key_terms(slides: DataFrame, glossary: DataFrame, per_slide: int = PER_SLIDE
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ranks, pa.int32()), part.column(2), part.column(3)], names=["deck", "slide_no", "rank", "term", "definition"])
 
     found = rows.mapInArrow(run, f"deck {kind}, slide_no long, rank int, term string, definition string")
-    name = F.when(F.length("term") < 4, F.col("term")).otherwise(F.concat(F.upper(F.left("term", F.lit(1))), F.substring("term", 2, 200)))
+    name = F.when(F.length("term") < 4, F.col("term")).otherwise(F.concat(upper_letter(F.left("term", F.lit(1))), F.substring("term", 2, 200)))
     return found.withColumn("term", name)
 
 
@@ -123,7 +125,7 @@ def _ranked_terms(slides: DataFrame, glossary: DataFrame) -> DataFrame:
 
 
 def _line(term: Column, definition: Column) -> Column:
-    name = F.when(F.length(term) < 30, F.concat(F.upper(F.left(term, F.lit(1))), F.substring(term, 2, 200))).otherwise(F.left(term, F.lit(30)))
+    name = F.when(F.length(term) < 30, F.concat(upper_letter(F.left(term, F.lit(1))), F.substring(term, 2, 200))).otherwise(F.left(term, F.lit(30)))
     return F.concat(name, F.lit(": "), definition)
 
 
@@ -146,7 +148,7 @@ def matching_pairs(slides: DataFrame, glossary: DataFrame, pairs: int = 5, least
     rows = _ranked_terms(slides, glossary).where(((F.size(blanks(F.col("term"))) == 3) | (F.length("term") <= 28)) & n.between(4, 18))
     order = Window.partitionBy("deck").orderBy(F.desc("times"), F.desc("term"), F.desc("definition"))
     rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pairs).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("deck")))
-    name = F.concat(F.upper(F.left("term", F.lit(1))), F.substring("term", 2, 200))
+    name = F.concat(upper_letter(F.left("term", F.lit(1))), F.substring("term", 2, 200))
     return rows.where(F.col("n") >= least).select("deck", "rank", name.alias("term"), "definition")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckloom.functions.phrases import blanks, ends, same_heading
+from deckloom.functions.text import upper_letter
 from deckloom.operators.windows import junk_heading
 
 HEADING = r"^(#{1,6})\s+(.*)$"
@@ -40,7 +41,7 @@ def joined(lines: DataFrame) -> DataFrame:
 def title_case(text: Column) -> Column:
     """Every run of letters with a capital and small letters after it."""
     runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
+    return F.array_join(F.transform(runs, lambda r: F.concat(upper_letter(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
 
 
 def outline_to_markdown(text: Column) -> Column:

@@ -22,6 +22,14 @@ def test_rounding_of_ties(spark):
         assert rows.where(F.col("n") == r["n"]).where(F.col("x") == r["x"]).select(round_even(F.col("x"), r["n"])).first()[0] == r["want"]
 
 
+def test_upper_case_stays_one_letter(spark):
+    """A sharp s heads a label as its own capital; letters without a capital of one letter stay."""
+    from deckloom.functions.phrases import cap
+
+    rows = spark.createDataFrame([("ßötz",), ("ŉa",), ("ᾳx",), ("été",), ("",)], "t string")
+    assert [r[0] for r in rows.select(cap(F.col("t"))).collect()] == ["ẞötz", "ŉa", "ᾼx", "Été", ""]
+
+
 def test_packing_tries_every_rule_at_any_size(monkeypatch):
     """The rules that are tried don't depend on how many lengths there are."""
     from deckloom.llm import packing
