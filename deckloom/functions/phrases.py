@@ -357,8 +357,10 @@ def is_clean_sentence(text: Column) -> Column:
     """Prose of 9 to 32 words that starts with a capital, ends as a sentence and has a common verb."""
     n = F.size(blanks(text))
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    verb = r"\b(?:is|are|was|were|has|have|can|will|uses?|means?|gives?|makes?|helps?|depends?|refers?|shows?|takes?|works?|needs?|allows?|produces?)\b"
-    shape = text.rlike(r"^[A-Z“\"(]") & text.rlike(r"[a-z][.!?]$") & ~text.rlike(r"[⇒→←<>|{}=_]|--|\s/\s|\b(?:wf|pos|lemma|lexsn)\b")
+    # word bounds are ASCII, as in SQL: Java's know all letters
+    before, after = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+    verb = before + r"(?:is|are|was|were|has|have|can|will|uses?|means?|gives?|makes?|helps?|depends?|refers?|shows?|takes?|works?|needs?|allows?|produces?)" + after
+    shape = text.rlike(r"^[A-Z“\"(]") & text.rlike(r"[a-z][.!?]\z") & ~text.rlike(r"[⇒→←<>|{}=_]|--|\s/\s|" + before + "(?:wf|pos|lemma|lexsn)" + after)
     return n.between(9, 32) & shape & (letters >= 0.75 * F.length(F.replace(text, F.lit(" "), F.lit("")))) & text.rlike(verb)
 
 

@@ -198,11 +198,11 @@ def context_sentences(slides: DataFrame, thin: int = THIN) -> DataFrame:
     parts = F.split(F.regexp_replace("on_slide", r"\s+", " "), r"(?<=[.!?])\s+")
     pool = rows.select("deck", F.col("slide_no").alias("source"), F.posexplode(parts).alias("pos", "sentence")).withColumn("sentence", ends(F.col("sentence"))).where(is_clean_sentence(F.col("sentence")))
     pool = pool.select("deck", "source", "pos", "sentence", signature(F.col("sentence")).alias("mark"), F.lower("sentence").alias("low"))
-    heads = pool.select("*", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"\b(?=([a-z][a-z\-]{3}))"), F.lit(1)))).alias("head"))
+    heads = pool.select("*", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(BEFORE_WORD + r"(?=([a-z][a-z\-]{3}))"), F.lit(1)))).alias("head"))
     wants = rows.where((F.size(blanks(F.col("on_slide"))) < thin) & (F.size("keys") > 0)).withColumn("own", signature(F.col("on_slide")))
     asked = wants.select("deck", "slide_no", "keys", "own", F.explode(F.array_distinct(F.transform("keys", lambda k: F.left(k, F.lit(4))))).alias("head"))
     met = asked.join(heads, ["deck", "head"]).where("source <> slide_no").dropDuplicates(["deck", "slide_no", "source", "pos"])
-    hits = F.size(F.filter("keys", lambda k: F.regexp_like("low", F.concat(F.lit(r"\b"), k))))
+    hits = F.size(F.filter("keys", lambda k: F.regexp_like("low", F.concat(F.lit(BEFORE_WORD), k))))
     need = F.when(F.size("keys") >= 3, 2).otherwise(1)
     known = F.contains("own", F.left("mark", F.lit(40)))
     met = met.where((hits >= need) & ((F.length(F.get("keys", F.lit(0))) >= 5) | (hits >= 2)) & ~known)

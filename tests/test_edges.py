@@ -13,6 +13,15 @@ def test_picture_actions_of_a_large_picture(spark):
     assert {r["id"]: r["action"] for r in picture_actions(rows).collect()} == {1: "KEEP_AS_IS", 2: "DROP"}
 
 
+def test_context_words_have_ascii_bounds(spark):
+    """A keyword is found after a letter beyond ASCII, as in the SQL."""
+    from deckloom.operators.keyterms import context_sentences
+
+    rows = [(1, 1, "Übertree", []), (1, 2, "Others", ["The übertree of a small house is what we use there."])]
+    got = context_sentences(spark.createDataFrame(rows, "deck long, slide_no int, title string, bullets array<string>")).collect()
+    assert [(r["slide_no"], r["source"]) for r in got] == [(1, 2)]
+
+
 def test_rounding_of_ties(spark):
     """Ties are those of the scaled double: 7.05 is 70.5 tenths, which is even at 70."""
     from deckloom.functions.text import round_even
