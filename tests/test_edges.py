@@ -22,6 +22,15 @@ def test_context_words_have_ascii_bounds(spark):
     assert [(r["slide_no"], r["source"]) for r in got] == [(1, 2)]
 
 
+def test_facts_at_ends_of_lines(spark):
+    """A figure keeps what stands before its line's end, and a word before a letter beyond ASCII ends a formula."""
+    from deckloom.operators.extract import facts
+
+    docs = spark.createDataFrame([(1, "in 1999,\nnext"), (2, "y = 100, soé more"), (3, "### a\r\nYear 2001\n")], "doc_id long, text string")
+    got = {(r["doc_id"], r["kind"], r["value"]) for r in facts(docs).collect()}
+    assert {(1, "figure", "1999,\n"), (2, "formula", "y = 100")} <= got
+
+
 def test_rounding_of_ties(spark):
     """Ties are those of the scaled double: 7.05 is 70.5 tenths, which is even at 70."""
     from deckloom.functions.text import round_even
