@@ -58,3 +58,23 @@ def test_packing_tries_every_rule_at_any_size(monkeypatch):
     used = [sum(n for n, _ in packing.fewest({k: 2 for k in range(1, most + 1)}, packing.Capacity())) for most in (3, 700)]
     assert tried == ["norm", "dot"] * 2
     assert used == [1, -(-sum(2 * k for k in range(1, 701)) // 4096)]
+
+
+def test_near_sets_equal_all_pairs(spark):
+    """Sets that meet by hashes and marks are those that a comparison of all pairs finds; short and long sets, null ids; pairs carry no words."""
+    import random
+
+    from deckloom.operators.sentences import NEAR_SHARE, near_before
+
+    r = random.Random(2)
+    sets = {(d, (1, k)): frozenset(r.choices([f"w{i}" for i in range(40)], k=r.choice([4, 5, 8, 30, 90]))) for d in (1, 2, None) for k in range(1, 60)}
+    df = spark.createDataFrame([(d, at, sorted(ws)) for (d, at), ws in sets.items() if len(ws) > 3], "doc_id long, first struct<slide_no:int,sent_no:int>, ws array<string>")
+    want = {}
+    for (d, a), x in sets.items():
+        others = [b for (e, b), y in sets.items() if e == d and a != b and min(len(x), len(y)) > 3 and (x <= y or y <= x or len(x & y) / len(x | y) >= NEAR_SHARE)]
+        if others:
+            want[d, a] = min(others)
+    found = near_before(df)
+    assert {(q["doc_id"], tuple(q["first"])): tuple(q["near"]) for q in found.collect()} == want
+    words = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x and "word" in x]
+    assert len(words) == 1 and "ws" not in words[0]
