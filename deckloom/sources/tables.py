@@ -19,14 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def slides(docs: DataFrame) -> DataFrame:
     """(doc_id, slide_no, body, sents, title, bullets): ``slide_no`` counts lines with text from 1."""
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = docs.select("doc_id", F.posexplode(lines).alias("pos", "body"))
+    # exploded with nulls, which are left out then: a plain explode makes the optimiser test sizes first, which makes all arrays twice
+    rows = docs.select("doc_id", F.posexplode_outer(lines).alias("pos", "body")).where("pos IS NOT NULL")
     rows = rows.select("doc_id", (F.col("pos") + 1).alias("slide_no"), "body", sentences(F.col("body")).alias("sents"))
     return rows.select("*", F.col("sents")[0].alias("title"), F.slice("sents", F.lit(2), F.greatest(F.size("sents") - 1, F.lit(0))).alias("bullets"))
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, slide_no, sent_no, title, sent): one row a sentence."""
-    return slides(docs).select("doc_id", "slide_no", "title", F.posexplode("sents").alias("pos", "sent")).select("doc_id", "slide_no", (F.col("pos") + 1).alias("sent_no"), "title", "sent")
+    return slides(docs).select("doc_id", "slide_no", "title", F.posexplode_outer("sents").alias("pos", "sent")).where("pos IS NOT NULL").select("doc_id", "slide_no", (F.col("pos") + 1).alias("sent_no"), "title", "sent")
 
 
 def read_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 
@@ -78,3 +80,27 @@ def test_near_sets_equal_all_pairs(spark):
     assert {(q["doc_id"], tuple(q["first"])): tuple(q["near"]) for q in found.collect()} == want
     words = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x and "word" in x]
     assert len(words) == 1 and "ws" not in words[0]
+
+
+def _shuffled(spark, run) -> int:
+    """Bytes that the executors of a local session shuffle while ``run`` runs."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    run()
+    time.sleep(1)
+    return written() - before
+
+
+def test_bm25_shuffles_no_words(spark):
+    """What is shuffled grows with the queries, not with the passages; ties go by the key, a query that is there twice counts twice."""
+    from deckloom.operators.retrieval import bm25_topk
+
+    queries = spark.createDataFrame([(1, "red fox"), (1, "fox"), (None, "red"), (3, "absent"), (4, None)], "item_id long, text string")
+    rows = [(-i, 1, 1, "fox" if i % 7 == 0 else "other", f"red fox number{i} runs over word{i * 31} and word{i * 17}") for i in range(4000)]
+    passages = spark.createDataFrame(rows, "doc_id long, slide_no int, sent_no int, title string, sent string")
+    found = []
+    assert _shuffled(spark, lambda: found.extend(bm25_topk(queries, passages, 3).collect())) < 150_000
+    got = {(r["item_id"], r["rank"]): (r["doc_id"], r["score"]) for r in found}
+    assert sorted(got, key=str) == [(1, 1), (1, 2), (1, 3), (None, 1), (None, 2), (None, 3)]
+    assert [got[1, n][0] for n in (1, 2, 3)] == [-3997, -3990, -3983] and [got[None, n][0] for n in (1, 2, 3)] == [-3999, -3998, -3997]
+    assert bm25_topk(queries, passages.limit(0)).count() == 0 == bm25_topk(queries.limit(0), passages).count()
