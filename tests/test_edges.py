@@ -104,3 +104,14 @@ def test_bm25_shuffles_no_words(spark):
     assert sorted(got, key=str) == [(1, 1), (1, 2), (1, 3), (None, 1), (None, 2), (None, 3)]
     assert [got[1, n][0] for n in (1, 2, 3)] == [-3997, -3990, -3983] and [got[None, n][0] for n in (1, 2, 3)] == [-3999, -3998, -3997]
     assert bm25_topk(queries, passages.limit(0)).count() == 0 == bm25_topk(queries.limit(0), passages).count()
+
+
+def test_definitions_of_a_long_text_without_one(spark):
+    """The words of a definition are looked for before the pattern tries every length at every letter."""
+    from deckloom.operators.extract import definitions
+
+    body = "lorem ipsum dolor sit amet consectetur " * 40_000
+    rows = spark.createDataFrame([(1, 1, body), (1, 2, "An Atom IS a tiny part. Cell: small room")], "doc_id long, slide_no int, body string")
+    began = time.time()
+    got = {(r["slide_no"], r["term"], r["definition"]) for r in definitions(rows).collect()}
+    assert got == {(2, "An Atom", "tiny part"), (2, "Cell", "small room")} and time.time() - began < 6
