@@ -115,3 +115,22 @@ def test_definitions_of_a_long_text_without_one(spark):
     began = time.time()
     got = {(r["slide_no"], r["term"], r["definition"]) for r in definitions(rows).collect()}
     assert got == {(2, "An Atom", "tiny part"), (2, "Cell", "small room")} and time.time() - began < 6
+
+
+def test_listed_blocks_reads_its_rows_once(spark):
+    """Files are made and parsed for one reading of their blocks; null texts and cells, and items around other blocks, are told apart."""
+    from deckloom.operators.shaping import listed_blocks
+
+    rows = [("item", 0, " a ", None), ("item", 0, "b", None), ("item", 0, None, None), ("item", 0, "c", None), ("item", 0, "d", None), ("row", 0, None, ["H", " ", "K"]), ("row", 0, None, [" 1 ", "", None]), ("row", 0, None, ["2", "x", "3"]), ("item", 0, "e", None), ("row", 1, None, ["only"])]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "doc long, unit int, place int, block string, level int, text string, cells array<string>"
+    blocks = spark.createDataFrame([(7, 0, n, *r) for n, r in enumerate(rows)], schema).mapInArrow(count, schema)
+    got = [(r["list_no"], r["items"]) for r in listed_blocks(blocks).orderBy("list_no").collect()]
+    assert got == [(1, ["a", "b"]), (2, ["c", "d"]), (3, ["H", " ", "K"]), (4, ["1", "2"]), (5, ["x"]), (6, ["3"]), (7, ["only"])]
+    assert seen.value == len(rows)
