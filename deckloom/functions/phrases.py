@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ DANGLING = (
     "may might could would shall favours favors gives makes causes leads shows has have can will must should does do uses needs requires "
     "helps allows lets means creates produces provides gets get"
 ).split()
+SPACES = " \t\n\x0b\f\r"
 LEAD_CUE = (
     r"(?i)^(?:(?:step|stage|phase)\s*\d+\s*[:.\-)]?\s*|(?:first(?:ly)?|second(?:ly)?|third(?:ly)?|fourth(?:ly)?|fifth|sixth|seventh|eighth|ninth|tenth|"
     r"to begin with|to start with|next|then|finally|lastly|after that|afterwards|meanwhile|however|in addition|also|therefore|thus|hence|as a result|"
@@ -91,11 +95,21 @@ CUES = (
 
 def ends(text: Column) -> Column:
     """White space of both ends removed."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def strip_end(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|[\s.;:,]+$", "")
+    return F.rtrim(F.ltrim(text, F.lit(SPACES)), F.lit(SPACES + ".;:,"))
+
+
+def before(text: Column, pattern: str) -> Column:
+    """What stands before the first match. ``split`` would compile its pattern anew for each text."""
+    return F.regexp_replace(text, rf"(?:{pattern})(?s:.*)", "")
+
+
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the words anywhere: asked before a slow pattern that needs one of them."""
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
 
 
 def cap(text: Column) -> Column:
@@ -115,7 +129,7 @@ def let(value: Column, use) -> Column:
 
 def blanks(text: Column) -> Column:
     """Pieces between white space."""
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
 
 
 def squeezed(text: Column) -> Column:
@@ -141,11 +155,15 @@ def clauses(text: Column) -> Column:
     blocks = F.filter(F.transform(F.split(text, r"\n+"), lambda x: F.regexp_replace(ends(x), LIST_MARK, "")), lambda x: x != "")
     sents = F.flatten(F.transform(blocks, lambda b: parts(b, r"(?<=[.!?])\s+(?=[A-Z0-9\"“(])")))
 
-    def split(s: Column) -> Column:
-        found = parts(s, r",\s*(?:and\s+)?|\s+and\s+(?=[A-Z]\w*\s+(?:has|have|holds?|is|are)\b)")
+    def of(s: Column, found: Column) -> Column:
         listed = (F.size(found) >= 3) & F.forall(found, lambda p: p.rlike(r"\d") & p.rlike(VERBISH))
         return F.when(listed, F.transform(found, lambda p: F.concat(cap(strip_end(p)), F.lit(".")))).otherwise(F.array(s))
 
+    def split(s: Column) -> Column:
+        found = parts(s, r",\s*(?:and\s+)?|\s+and\s+(?=[A-Z]\w*\s+(?:has|have|holds?|is|are)\b)")
+        # only what has three figures apart can be three clauses with a figure each
+        return F.when(s.rlike(r"\d\D+\d+\D+\d"), let(found, lambda f: of(s, f))).otherwise(F.array(s))
+
     return F.flatten(F.transform(sents, split))
 
 
@@ -170,7 +188,9 @@ def with_once(rows: DataFrame, name: str, key) -> DataFrame:
     """
     keyed = rows.withColumn("_once", F.transform(name, key))
     fresh = F.filter(name, lambda x, i: (F.get("_once", i) != "") & (F.array_position("_once", F.get("_once", i)) == i + 1))
-    return keyed.withColumn(name, F.when(F.col("_once").isNotNull(), fresh)).drop("_once")
+    # most arrays repeat nothing, which one pass over the keys tells; looking for each key's first place takes n of them
+    named = F.filter(name, lambda x, i: F.get("_once", i) != "")
+    return keyed.withColumn(name, F.when(F.size(F.array_distinct("_once")) == F.size("_once"), named).when(F.col("_once").isNotNull(), fresh)).drop("_once")
 
 
 def short_sentences(text: Column) -> Column:
@@ -203,7 +223,7 @@ def whole_sentences(text: Column) -> Column:
 
 def short_label(text: Column, most: int = 6, drop_aux: bool = False) -> Column:
     """A heading for a sentence: lead words removed, cut at a clause's end and ``most`` words, no word left hanging."""
-    words = blanks(F.element_at(F.split(F.regexp_replace(strip_end(text), LEAD_CUE, ""), CLAUSE, 2), 1))
+    words = blanks(before(F.regexp_replace(strip_end(text), LEAD_CUE, ""), CLAUSE))
     if drop_aux:
         plain = lambda ws: F.filter(ws, lambda w, i: ~(F.lower(w).isin("is", "are", "was", "were", "gets", "get") & F.coalesce(F.get(ws, i + 1).rlike(PARTICIPLE), F.lit(False))))
         words = let(words, plain)
@@ -277,7 +297,7 @@ def listed_pairs(sentence: Column) -> Column:
 
     def pair(s: Column) -> Column:
         found = figures(s)
-        words = F.regexp_extract_all(F.element_at(F.split(s, FIGURE, 2), 1), F.lit(r"[\w'’+#./&-]+"), F.lit(0))
+        words = F.regexp_extract_all(before(s, FIGURE), F.lit(r"[\w'’+#./&-]+"), F.lit(0))
         words = without_head(first_run(words, lambda w, i: ~F.lower(w).isin(TAIL_VERBS)), lambda w: F.lower(w).isin(HEAD_FILLER))
         label = F.array_join(F.slice(words, F.greatest(F.size(words) - 3, F.lit(1)), F.lit(4)), " ")
         token = F.lower(F.get(found, F.lit(0)))
@@ -350,7 +370,7 @@ def without_ocr(text: Column) -> Column:
 
 def is_citation(line: Column) -> Column:
     numbered = line.rlike(r"^\s*\[\d{1,3}\]\s+\S") & line.rlike(r"\b(?:1[89]\d{2}|20\d{2})\b")
-    return numbered | (line.rlike(CITATION) & line.rlike(r"(?i)\b(?:1[89]\d{2}|20\d{2})\b|\bed(?:ition)?\b"))
+    return numbered | (line.rlike(r"(?i)\b(?:1[89]\d{2}|20\d{2})\b|\bed(?:ition)?\b") & line.rlike(CITATION))
 
 
 def is_clean_sentence(text: Column) -> Column:

@@ -88,6 +88,12 @@ IMPERATIVE = (
 LINKS = "|".join(words for _, words in P.CUES)
 LINKED = rf"(?i)^.{{0,14}}\b(?:{LINKS})\b|^(?:this|these|those|such|it|they|its|their|that is|in other words|specifically|more precisely)\b|\b(?:whereas|while|unlike|however|because|due to|therefore|thus|hence|so that|for example|for instance|such as|e\.g\.|in order to|so as to|although|though|despite)\b"
 
+#: One of these is in every match of STEP_CUE, and of CAUSE or STRONG_CAUSE.
+STEP_WORDS = ("step", "first", "second", "third", "next", "then", "finally", "lastly", "after that", "stage", "phase")
+CAUSE_WORDS = (
+    "lead", "cause", "result", "therefore", "thus", "which in turn", "push", "raise", "drive", "trigger", "so that", "consequently", "due to", "reduce", "increase", "break", "turn", "then",
+)
+
 ITEMS = "array<struct<head:string,body:string>>"
 
 
@@ -98,7 +104,8 @@ def sentence_columns(slides: DataFrame) -> DataFrame:
     rows = rows.withColumn("sents", unlike_sentences(F.col("first"))).drop("first")
     title = F.when(F.col("title") == "", "Key idea").otherwise(F.col("title"))
     rows = rows.withColumn("sents", F.when(F.size("sents") == 0, F.array(title)).otherwise(F.col("sents")))
-    return rows.withColumns({"n": F.size("sents"), "blob": F.array_join("sents", " ")})
+    rows = rows.withColumns({"n": F.size("sents"), "blob": F.array_join("sents", " ")})
+    return rows.withColumns({"low": F.lower("blob"), "digit": F.col("blob").rlike(r"\d")})
 
 
 def detection(ok: Column, family: str | Column, variant: str | Column, confidence: float | Column, items: Column) -> Column:
@@ -129,13 +136,14 @@ def table() -> Column:
         rows = F.filter(F.slice(cells, 2, 1 << 20), lambda r: F.exists(r, lambda c: c != ""))
         return detection(F.size(rows) >= 1, "COMPARE_TABLE", "table", 0.95, F.transform(F.slice(rows, 1, 8), lambda r: named(head=F.get(r, F.lit(0)), body=F.array_join(F.slice(r, 2, 1 << 20), " | "))))
 
-    return let(pipe_table(F.col("text")), lambda c: F.when(c.isNotNull(), of(c)))
+    return F.when(F.contains("text", F.lit("|")), let(pipe_table(F.col("text")), lambda c: F.when(c.isNotNull(), of(c))))
 
 
 def sections() -> Column:
     chunks = F.slice(F.split("text", r"(?m)^###\s+"), 2, 1 << 20)
     made = F.transform(chunks, lambda c: named(head=P.ends(F.element_at(F.split(c, "\n", 2), 1)), body=P.ends(F.coalesce(F.get(F.split(c, "\n", 2), F.lit(1)), F.lit("")))))
-    return let(F.filter(made, lambda s: (s["head"] != "") & s["body"].rlike("[A-Za-z0-9]")), lambda s: detection(F.size(s) >= 2, "SECTIONS", "columns", 0.9, F.slice(s, 1, 3)))
+    found = let(F.filter(made, lambda s: (s["head"] != "") & s["body"].rlike("[A-Za-z0-9]")), lambda s: detection(F.size(s) >= 2, "SECTIONS", "columns", 0.9, F.slice(s, 1, 3)))
+    return F.when(F.contains("text", F.lit("###")), found)
 
 
 def references() -> Column:
@@ -147,7 +155,9 @@ def references() -> Column:
         ok = (F.size(found) > 0) & ((F.col("title").rlike(REFERENCE_TITLE) & (cites >= 1)) | (cites >= F.greatest(F.lit(3), F.floor(F.size(found) * 0.6))))
         return detection(ok, "REFERENCES", "list", 0.93, F.transform(F.slice(found, 1, 12), lambda x: named(head=F.lit(""), body=P.strip_end(x))))
 
-    return let(F.when(F.size(lines) == 1, single).otherwise(lines), of)
+    # a line without a digit stays one, and without such a title it takes three
+    several = F.contains("prose", F.lit("\n")) | F.col("prose").rlike(r"\d")
+    return F.when(several | F.col("title").rlike(REFERENCE_TITLE), let(F.when(F.size(lines) == 1, single).otherwise(lines), of))
 
 
 def series() -> Column:
@@ -160,7 +170,7 @@ def series() -> Column:
         kept = F.concat(F.slice(every, 1, 9), F.when(F.element_at(every, -1) != F.element_at(p, -1), F.array(F.element_at(p, -1))).otherwise(F.slice(p, F.lit(1), F.lit(0))))
         return detection(F.size(p) >= 4, "CHART_TREND", "line", 0.95, F.transform(kept, lambda q: named(head=F.concat(F.initcap(q["x"]), F.lit(" "), q["s"].cast("string")), body=F.bround(q["v"], 4).cast("string"))))
 
-    return let(points, lambda p: F.when(F.size(p) > 0, of(p)))
+    return F.when(F.col("text").rlike(r"\d"), let(points, lambda p: F.when(F.size(p) > 0, of(p))))
 
 
 def questions() -> Column:
@@ -172,7 +182,7 @@ def questions() -> Column:
         good = F.filter(pairs, lambda p: F.size(P.blanks(p["body"])).between(3, 70) & F.size(P.blanks(p["head"])).between(3, 25))
         return let(good, lambda g: detection(F.size(g) >= 2, "LIST_STRUCTURED", "qa", 0.92, F.slice(g, 1, 6)))
 
-    return let(text, of)
+    return F.when(F.contains("text", F.lit("?")), let(text, of))
 
 
 def algorithm() -> Column:
@@ -201,12 +211,12 @@ def algorithm() -> Column:
 
     keyed = F.transform(lines, lambda x: named(k=F.regexp_replace(F.lower(x), r"\W+", ""), x=x))
     distinct = let(keyed, lambda ks: F.transform(F.filter(ks, lambda s, i: (s["k"] != "") & ~F.exists(F.slice(ks, F.lit(1), i), lambda o: o["k"] == s["k"])), lambda s: s["x"]))
-    return let(distinct, of)
+    return F.when(F.size(F.split("text", "\n")) >= 3, let(distinct, of))
 
 
 def function_plot() -> Column:
     expr = F.trim(F.regexp_extract("blob", GRAPH_TEXT, 1))
-    return detection(F.contains(expr, F.lit("x")) & F.col("blob").rlike(GRAPH_WORD), "FUNCTION_PLOT", "curve", 0.88, F.array(named(head=F.lit("y"), body=F.regexp_replace(expr, " ", ""))))
+    return detection(F.contains("blob", F.lit("=")) & F.contains(expr, F.lit("x")) & F.col("blob").rlike(GRAPH_WORD), "FUNCTION_PLOT", "curve", 0.88, F.array(named(head=F.lit("y"), body=F.regexp_replace(expr, " ", ""))))
 
 
 def worked() -> Column:
@@ -216,7 +226,7 @@ def worked() -> Column:
         parts = F.split(s, ":", 2)
         return F.when(F.size(parts) == 2, named(head=P.strip_end(F.element_at(parts, 1)), body=P.strip_end(F.element_at(parts, 2)))).otherwise(named(head=F.lit(""), body=P.strip_end(s)))
 
-    return let(steps, lambda st: detection(F.size(st) >= 3, "WORKED_EXAMPLE", "steps", 0.9, F.transform(F.slice(st, 2, 10), row)))
+    return F.when(F.col("n") >= 3, let(steps, lambda st: detection(F.size(st) >= 3, "WORKED_EXAMPLE", "steps", 0.9, F.transform(F.slice(st, 2, 10), row))))
 
 
 def labelled() -> Column:
@@ -224,35 +234,40 @@ def labelled() -> Column:
     pairs = F.transform(lines, lambda x: named(k=F.concat(F.lower(F.regexp_extract(x, LABELLED, 1)), F.lit("|"), F.substring(F.regexp_replace(F.lower(F.regexp_extract(x, LABELLED, 2)), r"\W+", ""), 1, 60)), head=P.cap(F.regexp_extract(x, LABELLED, 1)), body=P.strip_end(F.regexp_extract(x, LABELLED, 2))))
     distinct = let(pairs, lambda ps: F.transform(F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, F.lit(1), i), lambda o: o["k"] == p["k"])), lambda p: named(head=p["head"], body=p["body"])))
     sided = lambda d: F.coalesce(F.get(d, F.lit(0))["head"].rlike("(?i)^(advantages?|disadvantages?|pros?|cons?)$"), F.lit(False))
-    return let(distinct, lambda d: detection((F.size(d) >= 3) & ~sided(d), "LIST_STRUCTURED", "cards", 0.86, F.slice(d, 1, 6)))
+    return F.when(F.contains("prose", F.lit(":")), let(distinct, lambda d: detection((F.size(d) >= 3) & ~sided(d), "LIST_STRUCTURED", "cards", 0.86, F.slice(d, 1, 6))))
 
 
 def equation() -> Column:
     hits = F.filter("sents", lambda s: F.contains(F.regexp_extract(s, REACTION, 1), F.lit("+")))
-    return let(hits, lambda h: detection(F.size(h) >= 1, "FORMULA_CALLOUT", "card", 0.9, F.array(named(head=F.col("title"), body=P.pretty_equation(F.regexp_extract(F.get(h, F.lit(0)), REACTION, 1))))))
+    arrow = F.contains("blob", F.lit("+")) & P.has_any(F.col("blob"), (">", "→", "⇌"))
+    return F.when(arrow, let(hits, lambda h: detection(F.size(h) >= 1, "FORMULA_CALLOUT", "card", 0.9, F.array(named(head=F.col("title"), body=P.pretty_equation(F.regexp_extract(F.get(h, F.lit(0)), REACTION, 1)))))))
 
 
 def glossary() -> Column:
-    pairs = F.filter(F.transform("sents", lambda s: named(head=F.trim(F.regexp_extract(P.strip_end(s), MEANING, 1)), body=P.strip_end(F.regexp_extract(P.strip_end(s), MEANING, 2)))), lambda p: (p["head"] != "") & (F.size(P.blanks(p["head"])) <= 5))
+    said = F.filter(F.transform("sents", P.strip_end), lambda s: s.rlike(MEANING))
+    pairs = lambda found: F.filter(F.transform(found, lambda s: named(head=F.trim(F.regexp_extract(s, MEANING, 1)), body=P.strip_end(F.regexp_extract(s, MEANING, 2)))), lambda p: (p["head"] != "") & (F.size(P.blanks(p["head"])) <= 5))
 
     def of(p: Column) -> Column:
         ok = (F.size(p) >= 3) & (F.size(p) >= 0.75 * F.col("n")) & (counted(F.col("sents"), r"\d") < 2) & (F.col("title").rlike(GLOSSARY_TITLE) | (F.size(p) >= 4))
         return detection(ok, "LIST_STRUCTURED", "cards", 0.9, F.transform(F.slice(p, 1, 8), lambda q: named(head=P.cap(q["head"]), body=P.cap(q["body"]))))
 
-    return let(pairs, of)
+    # each test that a pair has to pass is asked of the sentences first
+    enough = lambda found: (F.size(found) >= 3) & (F.size(found) >= 0.75 * F.col("n"))
+    return F.when((F.col("n") >= 4) | ((F.col("n") >= 3) & F.col("title").rlike(GLOSSARY_TITLE)), let(said, lambda found: F.when(enough(found), let(pairs(found), of))))
 
 
 def agenda() -> Column:
     items = F.transform("sents", lambda s: F.regexp_replace(P.strip_end(s), r"^[➔→•\-\s]+", ""))
     parts = F.filter(F.transform(F.split(F.get(items, F.lit(0)), r"\s*[➔→>]+\s*|\s*;\s*"), lambda p: F.regexp_replace(p, r"^[ .;,]+|[ .;,]+$", "")), lambda p: p != "")
     several = F.when((F.size(items) == 1) & (F.size(parts) >= 3), parts).otherwise(items)
-    return let(several, lambda it: detection(F.col("title").rlike(AGENDA_TITLE) & F.size(it).between(3, 12), "PROCESS_LINEAR", "agenda", 0.92, F.transform(F.slice(it, 1, 10), lambda i: named(head=P.cap(F.substring(i, 1, 48)), body=F.lit("")))))
+    found = let(several, lambda it: detection(F.size(it).between(3, 12), "PROCESS_LINEAR", "agenda", 0.92, F.transform(F.slice(it, 1, 10), lambda i: named(head=P.cap(F.substring(i, 1, 48)), body=F.lit("")))))
+    return F.when(F.col("title").rlike(AGENDA_TITLE), found)
 
 
 def compare() -> Column:
     halves = F.split(F.trim("title"), VERSUS, 2)
     from_title = F.when(F.size(halves) == 2, named(a=F.get(P.blanks(F.element_at(halves, 1)), F.lit(0)), b=F.get(P.blanks(F.element_at(halves, 2)), F.lit(0))))
-    from_text = F.when(F.col("blob").rlike(NAMED_VERSUS), named(a=F.regexp_extract("blob", NAMED_VERSUS, 1), b=F.regexp_extract("blob", NAMED_VERSUS, 2)))
+    from_text = F.when(P.has_any(F.col("blob"), ("vs", "versus")) & F.col("blob").rlike(NAMED_VERSUS), named(a=F.regexp_extract("blob", NAMED_VERSUS, 1), b=F.regexp_extract("blob", NAMED_VERSUS, 2)))
 
     def of(s: Column) -> Column:
         word = lambda w: F.concat(F.lit(r"(?i)(?<![\w-])\Q"), w, F.lit(r"\E(?![\w-])"))
@@ -261,11 +276,13 @@ def compare() -> Column:
         rows = F.transform(F.arrays_zip(left.alias("l"), right.alias("r")), lambda z: named(head=P.strip_end(F.coalesce(z["l"], F.lit(""))), body=P.strip_end(F.coalesce(z["r"], F.lit("")))))
         return detection(F.least(F.size(left), F.size(right)) >= 2, "COMPARE_TABLE", "comparison", 0.88, F.slice(rows, 1, 7))
 
-    return let(F.coalesce(from_title, from_text), lambda s: F.when(s["a"].isNotNull() & s["b"].isNotNull() & (s["a"] != "") & (s["b"] != ""), of(s)))
+    found = let(F.coalesce(from_title, from_text), lambda s: F.when(s["a"].isNotNull() & s["b"].isNotNull() & (s["a"] != "") & (s["b"] != ""), of(s)))
+    return F.when(F.col("n") >= 2, found)
 
 
 def parallel() -> Column:
-    items = F.filter(F.transform("sents", lambda s: named(head=F.trim(F.regexp_extract(P.strip_end(s), PARALLEL, 1)), body=F.trim(F.regexp_extract(P.strip_end(s), PARALLEL, 2)))), lambda p: p["head"] != "")
+    said = F.filter(F.transform("sents", P.strip_end), lambda s: s.rlike(PARALLEL))
+    items = lambda found: F.filter(F.transform(found, lambda s: named(head=F.trim(F.regexp_extract(s, PARALLEL, 1)), body=F.trim(F.regexp_extract(s, PARALLEL, 2)))), lambda p: p["head"] != "")
 
     def of(it: Column) -> Column:
         names = F.transform(it, lambda p: F.lower(p["head"]))
@@ -277,7 +294,8 @@ def parallel() -> Column:
         columns = sum((holds(p).cast("int") for p in (r"O\([^)]*\)", r"(?i)\b(not stable|unstable|stable)\b", best)), F.lit(0))
         return detection(ok, "COMPARE_TABLE", "comparison", F.when(columns >= 2, 0.9).otherwise(0.82), F.transform(it, lambda p: named(head=P.cap(p["head"]), body=P.cap(F.array_join(F.slice(P.blanks(p["body"]), 1, 16), " ")))))
 
-    return let(items, of)
+    enough = lambda found: (F.size(found) >= 3) & (F.size(found) >= 0.6 * F.col("n"))
+    return F.when(F.col("n") >= 3, let(said, lambda found: F.when(enough(found), let(items(found), of))))
 
 
 def pros_cons() -> Column:
@@ -301,26 +319,28 @@ def pros_cons() -> Column:
     def of(sides: Column) -> Column:
         pros, cons = F.size(F.filter(sides, lambda x: x == "pro")), F.size(F.filter(sides, lambda x: x == "con"))
         items = F.zip_with(F.col("sents"), sides, lambda s, x: named(head=x, body=P.cap(P.strip_end(without_lead(s)))))
-        return detection(~one_sided & said & (pros >= 1) & (cons >= 1) & (F.col("n") >= 3), "COMPARE_VISUAL", "pros_cons", 0.84, items)
+        return detection((pros >= 1) & (cons >= 1), "COMPARE_VISUAL", "pros_cons", 0.84, items)
 
-    return let(F.when(turn > 0, by_turn).when(enough, by_words), lambda x: F.when(x.isNotNull(), of(x)))
+    found = let(F.when(turn > 0, by_turn).when(enough, by_words), lambda x: F.when(x.isNotNull(), of(x)))
+    return F.when((F.col("n") >= 3) & said & ~one_sided, found)
 
 
 def matrix() -> Column:
     quads = F.filter("sents", lambda s: s.rlike(QUADRANT) & ~s.rlike("(?i)axes|axis"))
-    return let(quads, lambda q: detection(F.concat("blob", "title").rlike(AXES) & (F.size(q) >= 3), "MATRIX_GRID", "quadrant_2x2", 0.93, F.transform(F.slice(q, 1, 4), lambda s: named(head=P.cap(F.regexp_extract(s, QUADRANT, 1)), body=P.cap(P.strip_end(F.regexp_extract(s, QUADRANT, 2)))))))
+    return F.when((F.col("n") >= 3) & F.concat("blob", "title").rlike(AXES), let(quads, lambda q: detection(F.size(q) >= 3, "MATRIX_GRID", "quadrant_2x2", 0.93, F.transform(F.slice(q, 1, 4), lambda s: named(head=P.cap(F.regexp_extract(s, QUADRANT, 1)), body=P.cap(P.strip_end(F.regexp_extract(s, QUADRANT, 2))))))))
 
 
 def timeline() -> Column:
     cited = F.size(F.filter("sents", P.is_citation))
-    events = F.filter("sents", lambda s: ~P.is_citation(s) & s.rlike(DATE) & (F.length(F.regexp_replace(F.regexp_replace(s, DATE, ""), "[^A-Za-z]", "")) >= 4))
+    events = F.filter("sents", lambda s: s.rlike(DATE) & ~P.is_citation(s) & (F.length(F.regexp_replace(F.regexp_replace(s, DATE, ""), "[^A-Za-z]", "")) >= 4))
     ok = cited < F.greatest(F.lit(2), F.floor(F.col("n") / 2))
-    return let(events, lambda e: detection(ok & (F.size(e) >= 3), "TIMELINE", "dated", 0.9, F.transform(F.slice(e, 1, 8), lambda s: named(head=F.regexp_extract(s, DATE, 0), body=P.cap(P.strip_end(F.regexp_replace(s, DATE, "")))))))
+    found = let(events, lambda e: detection((F.size(e) >= 3) & ok, "TIMELINE", "dated", 0.9, F.transform(F.slice(e, 1, 8), lambda s: named(head=F.regexp_extract(s, DATE, 0), body=P.cap(P.strip_end(F.regexp_replace(s, DATE, "")))))))
+    return F.when((F.col("n") >= 3) & F.col("digit"), found)
 
 
 def subject(s: Column) -> Column:
     """What stands before a sentence's first common verb."""
-    head = F.element_at(F.split(without_lead(s), P.VERBISH, 2), 1)
+    head = P.before(without_lead(s), P.VERBISH)
     return P.cap(F.substring(F.regexp_replace(F.regexp_replace(P.ends(head), r"(?i)^(?:the|a|an)\s+", ""), r"^[ ,;]+|[ ,;]+$", ""), 1, 40))
 
 
@@ -350,7 +370,7 @@ def chart() -> Column:
         let(periods, lambda ps: detection(F.size(ps) >= 3, "CHART_TREND", "line", 0.88, F.slice(ps, 1, 10))),
         let(ones, alone),
     )
-    return F.when(F.col("blob").rlike(r"\d"), found)
+    return F.when(F.col("digit"), found)
 
 
 def funnel() -> Column:
@@ -362,11 +382,11 @@ def funnel() -> Column:
         steep = (top > end * 4) | (F.col("title").rlike(FUNNEL_TITLE) & (top > end * 1.5))
         return detection(falls & steep, "FUNNEL", "funnel", 0.86, F.transform(F.slice(v, 1, 6), lambda p: named(head=p["head"], body=P.short_number(p["v"]))))
 
-    return let(values, lambda v: F.when(F.size(v) >= 3, of(v)))
+    return F.when(F.col("digit"), let(values, lambda v: F.when(F.size(v) >= 3, of(v))))
 
 
 def venn() -> Column:
-    return detection(F.col("blob").rlike(BOTH) & F.col("blob").rlike(ONLY) & (F.col("n") >= 3), "SET_DIAGRAM", "venn2", 0.84, F.transform(F.slice("sents", 1, 8), lambda s: named(head=F.lit(""), body=P.strip_end(s))))
+    return detection((F.col("n") >= 3) & F.contains("low", F.lit("only")) & F.col("blob").rlike(ONLY) & F.col("blob").rlike(BOTH), "SET_DIAGRAM", "venn2", 0.84, F.transform(F.slice("sents", 1, 8), lambda s: named(head=F.lit(""), body=P.strip_end(s))))
 
 
 def formula_of(text: Column) -> Column:
@@ -382,11 +402,11 @@ def formula_of(text: Column) -> Column:
 
 def definition() -> Column:
     first = F.get("sents", F.lit(0))
-    formula = formula_of(F.col("blob"))
+    formula = F.when(P.has_any(F.col("low"), ("=", "equals")), formula_of(F.col("blob"))).otherwise("")
     law = F.col("title").rlike(LAW)
     asks = F.col("title").rlike(ASKS_MEANING) & first.rlike(r"(?i)\b(is|are|refers?|means)\b")
     means = (first.rlike(DEFINES) | asks) & (F.col("n") <= 4)
-    term = F.element_at(F.split(F.regexp_replace(P.strip_end(first), r"(?i)^(?:A|An|The)\s+", ""), r"(?i)\s+(?:is defined as|refers to|is a measure of|is known as|means|denotes|is)\s+", 2), 1)
+    term = P.before(F.regexp_replace(P.strip_end(first), r"(?i)^(?:A|An|The)\s+", ""), r"(?i)\s+(?:is defined as|refers to|is a measure of|is known as|means|denotes|is)\s+")
     item = lambda head, body: F.array(named(head=head, body=body))
     return F.coalesce(
         detection((means | (F.col("n") <= 5)) & (formula != ""), "FORMULA_CALLOUT", "card", 0.86, item(P.cap(term), formula)),
@@ -403,7 +423,7 @@ def layers() -> Column:
     pairs = F.transform(F.slice(picked, 1, 6), lambda s: let(entity(s), lambda e: named(k=F.lower(e), head=e, body=P.strip_end(s))))
     distinct = let(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, F.lit(1), i), lambda o: o["k"] == p["k"])))
     found = let(distinct, lambda d: detection(F.size(d) >= 3, "LAYERS", "stack", 0.84, F.transform(d, lambda p: named(head=p["head"], body=p["body"]))))
-    return F.when(F.regexp_count(F.concat_ws(" ", "blob", "title"), F.lit(LEVEL)) >= 2, found)
+    return F.when((F.col("n") >= 3) & (F.regexp_count(F.concat_ws(" ", "blob", "title"), F.lit(LEVEL)) >= 2), found)
 
 
 def cycle() -> Column:
@@ -424,15 +444,15 @@ def flowchart() -> Column:
         decisions = F.filter(st, lambda x: without_lead(x).rlike(DECIDE) & without_lead(x).rlike(BRANCH))
         procedure = F.col("title").rlike(PROCEDURE)
         moves = procedure | (F.size(cued) >= 1) | F.array_join(st, " ").rlike(LOOP_BACK)
-        ok = (F.size(st) >= 3) & ~asks & ((F.size(cued) >= 2) | procedure) & (F.size(decisions) >= 1) & (F.size(decisions) <= F.floor(F.size(st) / 2) + 1) & moves
+        ok = (F.size(st) >= 3) & (procedure | (F.size(cued) >= 2)) & ~asks & (F.size(decisions) >= 1) & (F.size(decisions) <= F.floor(F.size(st) / 2) + 1) & moves
         is_decision = lambda x: without_lead(x).rlike(DECIDE) & without_lead(x).rlike(BRANCH)
         return detection(ok, "FLOWCHART", "decision", 0.9, F.transform(st, lambda x: named(head=F.when(is_decision(x), "decision").otherwise("process"), body=P.cap(P.strip_end(without_lead(x))))))
 
-    return let(steps, of)
+    return F.when(F.col("n") >= 3, let(steps, of))
 
 
 def process() -> Column:
-    cued = counted(F.col("sents"), STEP_CUE)
+    cued = F.when(P.has_any(F.col("low"), STEP_WORDS), counted(F.col("sents"), STEP_CUE)).otherwise(0)
     starts = counted(F.col("sents"), P.LEAD_CUE)
     body = of_words(F.col("sents"), 3)
     sparse = F.exists("sents", lambda s: s.rlike(r"(?i)^(?:finally|lastly|in the end)\b")) & (cued >= 2) & (F.size(body) >= 4)
@@ -440,17 +460,18 @@ def process() -> Column:
     loop = F.col("title").rlike(r"(?i)\b(cycle|loop)\b") | F.col("blob").rlike(REPEATS)
     confidence = F.bround(0.82 + F.least(cued, F.lit(5)) * 0.02, 6)
     ok = ((cued >= 3) | (starts >= 3) | sparse) & (F.size(body) >= 3)
-    return let(steps, lambda st: detection(ok & (F.size(st) >= 3), F.when(loop, "PROCESS_CYCLIC").otherwise("PROCESS_LINEAR"), F.when(loop, "cycle").otherwise("flowchart"), confidence, items_of(st, 8, lambda s: P.short_label(s, 5, True))))
+    return F.when((F.col("n") >= 3) & ok, let(steps, lambda st: detection(F.size(st) >= 3, F.when(loop, "PROCESS_CYCLIC").otherwise("PROCESS_LINEAR"), F.when(loop, "cycle").otherwise("flowchart"), confidence, items_of(st, 8, lambda s: P.short_label(s, 5, True)))))
 
 
 def process_implicit() -> Column:
     body = of_words(F.col("sents"), 3)
     mean = F.aggregate(F.transform(body, lambda s: F.size(P.blanks(s))), F.lit(0), lambda a, x: a + x) / F.greatest(F.size(body), F.lit(1))
-    return let(body, lambda b: detection(F.col("title").rlike(PROCEDURE) & F.size(b).between(4, 8) & (mean <= 20), "PROCESS_LINEAR", "flowchart", 0.7, items_of(b, 8, lambda s: P.short_label(s, 5, True))))
+    return F.when((F.col("n") >= 4) & F.col("title").rlike(PROCEDURE), let(body, lambda b: detection(F.size(b).between(4, 8) & (mean <= 20), "PROCESS_LINEAR", "flowchart", 0.7, items_of(b, 8, lambda s: P.short_label(s, 5, True)))))
 
 
 def cause_effect() -> Column:
-    ok = ((counted(F.col("sents"), CAUSE) >= 2) | (counted(F.col("sents"), STRONG_CAUSE) >= 1)) & F.col("n").between(3, 7)
+    said = (counted(F.col("sents"), CAUSE) >= 2) | (counted(F.col("sents"), STRONG_CAUSE) >= 1)
+    ok = F.col("n").between(3, 7) & P.has_any(F.col("low"), CAUSE_WORDS) & said
     return detection(ok, "CAUSE_EFFECT", F.when(F.col("blob").rlike(LOOP), "loop").otherwise("chain"), 0.76, items_of(F.col("sents"), 6))
 
 
@@ -469,7 +490,7 @@ def stats() -> Column:
         enough = lambda d: (F.size(d) >= 3) | ((F.size(d) >= 2) & (words < 60)) | ((F.size(d) >= 1) & (words < 30))
         return let(distinct, lambda d: detection(~passing & enough(d), "STAT_TILES", "tiles", F.when(F.size(d) >= 3, 0.8).otherwise(0.74), F.slice(d, 1, 4)))
 
-    return F.when(F.col("blob").rlike(r"\d") & ~equations, let(fit, lambda ss: F.when(F.size(ss) > 0, of(ss))))
+    return F.when(F.col("digit") & ~equations, let(fit, lambda ss: F.when(F.size(ss) > 0, of(ss))))
 
 
 def base() -> Column:
@@ -480,7 +501,7 @@ def base() -> Column:
         orders = F.size(F.filter(ss, lambda s: P.ends(s).rlike(IMPERATIVE)))
         mean = F.size(P.blanks(F.array_join(ss, " "))) / F.size(ss)
         linked = F.size(F.filter(F.slice(ss, 2, 1 << 20), lambda s: s.rlike(LINKED)))
-        prose = (mean >= 13) | (linked >= 2) | (F.size(ss) < 3)
+        prose = (F.size(ss) < 3) | (mean >= 13) | (linked >= 2)
         flow = F.transform(ss, lambda s: named(head=F.lit(""), body=s))
         cards = F.transform(F.slice(ss, 1, 6), lambda s: named(head=P.heading(s), body=P.strip_end(s)))
         ticks = F.transform(F.slice(ss, 1, 8), lambda s: named(head=F.lit(""), body=P.strip_end(s)))

@@ -65,11 +65,13 @@ def unlike_sentences(sents: Column, share: float = 0.75) -> Column:
     words = lambda s: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(s), F.lit("[a-z0-9]{3,}"), F.lit(0)), lambda w: ~w.isin(LABEL_STOP)))
 
     def step(kept: Column, x: Column) -> Column:
-        said = (F.size(x["w"]) > 0) & F.exists(kept, lambda k: (F.size(k["w"]) > 0) & (F.size(F.array_intersect(x["w"], k["w"])) >= share * F.size(x["w"])))
+        # a list that is too short can't hold the share: sizes are compared before the words
+        said = (F.size(x["w"]) > 0) & F.exists(kept, lambda k: (F.size(k["w"]) > 0) & (F.size(k["w"]) >= share * F.size(x["w"])) & (F.size(F.array_intersect(x["w"], k["w"])) >= share * F.size(x["w"])))
         return F.when(said, kept).otherwise(F.concat(kept, F.array(x)))
 
     pairs = F.transform(sents, lambda s: F.struct(s.alias("s"), words(s).alias("w"))).cast(kind)
-    return F.transform(F.aggregate(pairs, F.array().cast(kind), step), lambda k: k["s"])
+    kept = F.transform(F.aggregate(pairs, F.array().cast(kind), step), lambda k: k["s"])
+    return F.when(F.size(sents) <= 1, sents).otherwise(kept)
 
 
 def sentence_groups(sents: Column, most: int = MAX_WORDS) -> Column:

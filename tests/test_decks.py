@@ -6,6 +6,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from deckloom.functions import phrases as P
 from deckloom.operators import desk, engine, paging, problems
 from deckloom.plans import desked, pictured, solved
 
@@ -74,3 +75,25 @@ def test_each_distinct_image_is_read_once(spark):
     images = spark.createDataFrame([(1, b"a"), (2, b"b"), (3, b"a"), (4, None)], "image_id long, content binary")
     got = {r["image_id"]: r["made"] for r in desk.once_each(images.where("content IS NOT NULL"), lambda c: F.length(c)).collect()}
     assert got == {1: 1, 2: 1, 3: 1}
+
+
+def test_patterns_of_detectors_are_compiled_once(spark):
+    # split compiles its pattern for every text it reads: the long ones are cut by a replacement, which keeps it
+    rows = engine.detections(spark.createDataFrame(list(pictured.SLIDES), "id long, title string, text string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert f"{P.VERBISH}, 2)" not in plan and f"{P.CLAUSE}, 2)" not in plan
+    texts = ["", "is", "a is b is c", "no verb", "IS it?", "one\nwas two\nthree"]
+    cut = spark.createDataFrame([(t,) for t in texts], "t string").select("t", P.before(F.col("t"), P.VERBISH).alias("cut"), F.split("t", P.VERBISH, 2)[0].alias("want"))
+    assert all(r["cut"] == r["want"] for r in cut.collect())
+
+
+def test_ends_are_those_of_the_whole_text(spark):
+    # Java's $ also stands before a last line separator, SQL's doesn't
+    rows = spark.createDataFrame([(" a \u2028",), ("\t b. ;\n",), ("\u00a0c",), (" . ",), (None,)], "t string")
+    got = [tuple(r) for r in rows.select(P.ends(F.col("t")), P.strip_end(F.col("t")), P.blanks(F.col("t"))).collect()]
+    assert got == [("a \u2028", "a \u2028", ["a", "\u2028"]), ("b. ;", "b", ["b.", ";"]), ("\u00a0c", "\u00a0c", ["\u00a0c"]), (".", "", ["."]), (None, None, None)]
+
+
+def test_sentences_said_again_once(spark):
+    rows = P.with_sentences(spark.createDataFrame([("One is here. Two is there. ONE is here! ...",), ("A. B. C.",), ("--",), ("",)], "text string"))
+    assert [r["sents"] for r in rows.collect()] == [["One is here.", "Two is there."], ["A.", "B.", "C."], [], []]
