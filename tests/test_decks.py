@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from deckloom.functions import phrases as P
-from deckloom.operators import desk, engine, paging, problems
+from deckloom.operators import desk, engine, paging, problems, shaping
 from deckloom.plans import desked, pictured, solved
 
 SF = "/root/testdata/sf0.001"
@@ -97,3 +97,15 @@ def test_ends_are_those_of_the_whole_text(spark):
 def test_sentences_said_again_once(spark):
     rows = P.with_sentences(spark.createDataFrame([("One is here. Two is there. ONE is here! ...",), ("A. B. C.",), ("--",), ("",)], "text string"))
     assert [r["sents"] for r in rows.collect()] == [["One is here.", "Two is there."], ["A.", "B.", "C."], [], []]
+
+
+def test_scenes_are_scored_once_and_counted_as_their_patterns_do(spark):
+    texts = ["", "Trees and a tree\u0436, wordy words, \u0436word _word word_x word\u00e9", "data-set Data, functions: FUNCTION probability", "state of the art laboratory; Kingdom, civilisations. learning"]
+    slides = spark.createDataFrame([(d, i, t[:20], t) for d in (1, 2) for i, t in enumerate(texts)], "deck long, slide_no int, title string, text string")
+    plain = lambda c: F.regexp_replace(F.lower(F.col(c)), shaping.BEYOND_ASCII, "z")
+    n = lambda c, s: F.regexp_count(plain(c), F.lit(shaping.SCENES[s])).cast("double")
+    title = lambda s: F.when(plain("title").rlike(shaping.SCENES[s]), float(shaping.IN_TITLE)).otherwise(0.0)
+    want = slides.select("deck", "slide_no", F.array(*[2 * n("title", s) + n("text", s) + title(s) for s in shaping.SCENE_ORDER]).alias("scores"), F.array(*[n("text", s) for s in shaping.SCENE_ORDER]).alias("body"))
+    got = shaping.scene_scores(slides).select("deck", "slide_no", "scores", "body")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in shaping.scenes(slides)._jdf.queryExecution().optimizedPlan().toString()
