@@ -309,6 +309,13 @@ def test_deep_brackets_and_nulls(spark):
     assert rows[1] == (False, None, None) and rows[2][:2] == (True, "y = x²") and rows[3][0] is False
 
 
+def test_forms_are_read_once_and_written_alike():
+    texts = ["x_1^2 + sqrt(7) = (alpha + 12)/3", "x_9^4 + sqrt(715) = (alpha + 1)/80", "x^2_13", "x^21_3", "Σ_(i=1)^20 x^3.5", "Σ_(i=4)^5 x^12.25", "y^2_٣", "1.2.3", "no numbers", "", "\U000f0000^2", "\U000f0000^3"]
+    forms: dict = {}
+    assert [maths.written(t, forms) for t in texts * 2] == [(maths.pretty(t), maths.mathml(t)) for t in texts * 2]
+    assert len(forms) == 4
+
+
 def test_split_bullets_keep_every_letter(spark):
     texts = ["", None, "short", "word " * 300, "x" * 1000, "a, b; c: d — e, " * 40, "First, it rains because of clouds, then " + "it stops and " * 30, "no-clause " * 14, "one two three four five six seven eight nine ten, eleven twelve thirteen fourteen"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
