@@ -316,6 +316,11 @@ def test_forms_are_read_once_and_written_alike():
     assert len(forms) == 4
 
 
+def test_split_bullets_clean_once(spark):
+    plan = spark.createDataFrame([("a",)], "t string").select(shaping.split_bullet(F.col("t"), 12, 90).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("step\\s*") == 1 and plan.count("step \\d") == 1  # the mark of a bullet, a cue of reasoning
+
+
 def test_split_bullets_keep_every_letter(spark):
     texts = ["", None, "short", "word " * 300, "x" * 1000, "a, b; c: d — e, " * 40, "First, it rains because of clouds, then " + "it stops and " * 30, "no-clause " * 14, "one two three four five six seven eight nine ten, eleven twelve thirteen fourteen"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
