@@ -70,7 +70,7 @@ def with_redundancy(slides: DataFrame) -> DataFrame:
     that the bullet has in common with another bullet. Each array is made once, in a column of its own.
     """
     rows = slides.withColumns({"_sets": F.transform("bullets", lambda b: F.array_distinct(content_words(b))), "_head": F.array_distinct(content_words(F.col("title")))})
-    rows = rows.withColumn("_sorted", F.array_sort(F.flatten("_sets")))
+    rows = rows.withColumn("_sorted", F.sort_array(F.flatten("_sets")))
     rows = rows.withColumns({"_twice": F.array_distinct(F.filter("_sorted", lambda x, i: (i > 0) & (x == F.get("_sorted", i - 1)))), "_n": F.size(F.array_distinct("_sorted"))})
     # an overlap is 0 if the bullet or the rest has no content words; then nothing is shared either
     # naming the arrays outside the lambda too keeps the optimiser from copying what makes them into it, once a bullet
@@ -87,13 +87,22 @@ def efficiency(information: Column, redundant: Column, empty: Column) -> Column:
 
 def load_terms(n_concepts: Column, body: Column, n_bullets: Column, visual: Column) -> tuple[Column, Column, Column]:
     """Element interactivity, text and visual complexity, each from 0 to 1."""
-    relations = F.regexp_count(body, F.lit(RELATIONAL)).cast("double") / F.greatest(n_bullets, F.lit(1))
-    return clip01(n_concepts * (1.0 + relations) / ELEMENT_FULL), clip01(F.size(words(body)).cast("double") / TEXT_FULL), clip01(visual.cast("double") / VISUAL_FULL)
+    return _terms(n_concepts, F.regexp_count(body, F.lit(RELATIONAL)), F.size(words(body)), n_bullets, visual)
+
+
+def _terms(n_concepts: Column, relations: Column, n_words: Column, n_bullets: Column, visual: Column) -> tuple[Column, Column, Column]:
+    related = relations.cast("double") / F.greatest(n_bullets, F.lit(1))
+    return clip01(n_concepts * (1.0 + related) / ELEMENT_FULL), clip01(n_words.cast("double") / TEXT_FULL), clip01(visual.cast("double") / VISUAL_FULL)
 
 
 def load(n_concepts: Column, body: Column, n_bullets: Column, visual: Column, split: Column) -> Column:
     """Cognitive load by a logistic curve of element interactivity, text, visual complexity and split attention."""
-    element, text, seen = load_terms(n_concepts, body, n_bullets, visual)
+    return load_of(n_concepts, F.regexp_count(body, F.lit(RELATIONAL)), F.size(words(body)), n_bullets, visual, split)
+
+
+def load_of(n_concepts: Column, relations: Column, n_words: Column, n_bullets: Column, visual: Column, split: Column) -> Column:
+    """``load`` of a text whose relating words and words are counted."""
+    element, text, seen = _terms(n_concepts, relations, n_words, n_bullets, visual)
     z = W_ELEMENT * element + W_TEXT * text + W_VISUAL * seen + W_SPLIT * split - THETA
     return 1.0 / (1.0 + F.exp(-z))
 

@@ -105,19 +105,30 @@ def viterbi(sequences: DataFrame, states: list[str], start: dict[str, float], mo
     return done.select("id", F.array_join("top.path", ">").alias("path"), (p * F.pow(F.lit(2.0), -F.col("bits"))).alias("p"), F.when(p > 0, F.log(p) - F.col("bits") * math.log(2.0)).alias("log_p"))
 
 
-def group_costs(slides: DataFrame, cap: int, target: int) -> DataFrame:
-    """(doc_id, slide_no, i, j, cost) of putting the bullets after the i-th up to the j-th on one page, for at most ``cap`` bullets."""
+def group_costs(slides: DataFrame, cap: int, target: int, least: int = 1) -> DataFrame:
+    """(doc_id, slide_no, i, j, cost) of putting the bullets after the i-th up to the j-th on one page, for at most ``cap`` bullets. Slides of under ``least`` bullets have a row without a span."""
     from deckloom.functions.text import content_words, idf_guess, words
 
-    rows = slides.where(F.size("bullets") > 0).select("doc_id", "slide_no", F.size("bullets").alias("m"), "bullets")
-    ends = F.flatten(F.transform(F.sequence(F.lit(1), F.col("m")), lambda j: F.transform(F.sequence(F.greatest(F.lit(0), j - cap), j - 1), lambda i: F.struct(i.alias("i"), j.alias("j"), F.slice("bullets", i + 1, j - i).alias("bullets")))))
-    spans = rows.select("doc_id", "slide_no", "m", F.explode(ends).alias("s")).select("doc_id", "slide_no", "m", "s.i", "s.j", "s.bullets", F.lit("").alias("title"))
-    spans = S.with_redundancy(spans).withColumn("body", F.array_join("bullets", " "))
-    spans = spans.withColumn("concepts", F.array_distinct(content_words(F.col("body"))))
+    # what a span is made of is read once a bullet: words never reach from one bullet into the next
+    counted = F.transform("bullets", lambda b: F.struct(F.size(words(b)).alias("n"), F.regexp_count(b, F.lit(S.RELATIONAL)).alias("r")))
+    apart = ~F.exists(F.slice("bullets", F.lit(1), F.size("bullets") - 1), lambda b: ~b.rlike(r"[.!?]\z")) & ~F.exists("bullets", lambda b: F.contains(F.lower(b), F.lit("if")))
+    rows = slides.where(F.size("bullets") > 0).select("doc_id", "slide_no", F.size("bullets").alias("m"), "bullets", F.transform("bullets", lambda b: F.array_distinct(content_words(b))).alias("sets"), counted.alias("counted"), apart.alias("apart"))
+    part = lambda name, i, j: F.slice(name, i + 1, j - i)
+    ends = F.flatten(F.transform(F.sequence(F.lit(1), F.col("m")), lambda j: F.transform(F.sequence(F.greatest(F.lit(0), j - cap), j - 1), lambda i: F.struct(i.alias("i"), j.alias("j")))))
+    # exploded as outer, so that no test of sizes makes the spans once more
+    spans = rows.select("*", F.explode_outer(F.when(F.col("m") >= least, ends)).alias("s")).select("doc_id", "slide_no", "m", "s.i", "s.j", *[part(c, F.col("s.i"), F.col("s.j")).alias(c) for c in ("bullets", "sets", "counted")], "apart")
+    # relations that may reach over a bullet's end (no mark there, or an if) are counted in the joined text
+    sums = lambda name: F.aggregate("counted", F.lit(0), lambda t, c: t + c[name])
+    relations = F.when(F.col("apart"), sums("r")).otherwise(F.regexp_count(F.array_join("bullets", " "), F.lit(S.RELATIONAL)))
+    spans = spans.withColumns({"concepts": F.array_distinct(F.flatten("sets")), "sorted": F.sort_array(F.flatten("sets")), "n": F.size("bullets"), "relations": relations, "n_words": sums("n")})
+    spans = spans.withColumn("twice", F.array_distinct(F.filter("sorted", lambda x, i: (i > 0) & (x == F.get("sorted", i - 1)))))
+    # a bullet beside the others: without a title only the words that another bullet has too
+    shared = F.transform("sets", lambda s: F.when(F.size("concepts") == 0, 0.0).otherwise(F.size(F.array_intersect(s, F.col("twice"))).cast("double") / F.size("concepts")))
+    redundancy = F.when(F.col("twice").isNotNull() & F.col("concepts").isNotNull(), F.when(F.size("twice") == 0, 0.0).otherwise(F.aggregate(shared, F.lit(0.0), lambda t, x: t + x) / F.col("n")))
     information = F.bround(F.aggregate(F.transform("concepts", idf_guess), F.lit(0.0), lambda a, x: a + x), 6)
-    e = S.efficiency(information, F.col("redundancy"), F.lit(False))
-    load = S.load(F.size("concepts").cast("double"), F.col("body"), F.size("bullets"), F.lit(0), F.lit(0.0))
-    over = F.greatest(F.lit(0), F.size("bullets") - target).cast("double")
+    e = S.efficiency(information, redundancy, F.lit(False))
+    load = S.load_of(F.size("concepts").cast("double"), F.col("relations"), F.col("n_words"), F.col("n"), F.lit(0), F.lit(0.0))
+    over = F.greatest(F.lit(0), F.col("n") - target).cast("double")
     return spans.select("doc_id", "slide_no", "m", "i", "j", F.bround(load + S.EMPTY_COST * (1.0 - e) + S.OVER_COST * over * over, 9).alias("cost"))
 
 
@@ -125,10 +136,10 @@ def segments(slides: DataFrame, cap: int = 5) -> DataFrame:
     """Pages of each slide's bullets with the least total cost of load and pages, at most ``cap`` bullets a page; none is lost.
 
     The best cost of each prefix is found by a fold over the costs of spans, which are made per slide; of equal costs the earliest
-    cut stands. A slide that fits on a page as it is stays one.
+    cut stands. A slide that fits on a page as it is stays one, so no costs are made for it.
     """
     target = max(1, min(cap, round(cap * 0.75)))
-    costs = group_costs(slides, cap, target)
+    costs = group_costs(slides, cap, target, cap + 1)
     listed = costs.groupBy("doc_id", "slide_no").agg(F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("j", "i", "cost"))).alias("spans"))
     # state: best[k] and cuts[k] for prefixes 0..k; spans come by end, then by start
     zero = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.array().cast("array<int>")).alias("cuts"))
@@ -143,6 +154,5 @@ def segments(slides: DataFrame, cap: int = 5) -> DataFrame:
         return F.when(fresh, grown).when(better, changed).otherwise(state)
 
     folded = listed.select("doc_id", "slide_no", "m", F.aggregate("spans", zero, step).alias("f"))
-    whole = (F.col("m") <= cap) & (F.col("m") <= cap)
-    cuts = F.when(whole, F.array("m")).otherwise(F.get(F.col("f.cuts"), F.col("m")))
+    cuts = F.when(F.col("m") <= cap, F.array("m")).otherwise(F.get(F.col("f.cuts"), F.col("m")))
     return folded.select("doc_id", "slide_no", F.col("m").alias("n_bullets"), F.array_join(cuts, ",").alias("page_ends"), F.size(cuts).alias("n_pages"))

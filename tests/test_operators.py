@@ -9,6 +9,7 @@ from collections import deque
 from pyspark.sql import functions as F
 
 from deckloom.functions import score as S
+from deckloom.functions.text import content_words, idf_guess
 from deckloom.operators import statistics as T
 from deckloom.streaming import events as E
 
@@ -95,6 +96,27 @@ def test_segments_are_the_cheapest_and_lose_nothing(spark):
     assert ends[-1] == m and abs(sum(costs[a, b] + S.SLIDE_COST for a, b in zip(ends, ends[1:], strict=False)) - best) < 1e-9
 
 
+def test_costs_of_spans_are_those_of_their_text(spark):
+    bullets = ["It rains so.", "That is due", "to clouds.", "If cells divide, they grow", "then rest therefore.", "Cells depend on energy.", "Energy flows next.", "Then clouds result", "In rain because cells divide."]
+    slides = spark.createDataFrame([(1, 1, "", bullets), (2, 1, "", bullets[5:7]), (3, 1, "", ["Cells depend on energy.", "As a result cells divide.", "Cells cause rain then."])], "doc_id long, slide_no int, title string, bullets array<string>")
+    got = {(r["doc_id"], r["i"], r["j"]): r["cost"] for r in T.group_costs(slides, 5, 4).collect()}
+    texts = [(r["doc_id"], i, j, "", r["bullets"][i:j]) for r in slides.collect() for j in range(1, len(r["bullets"]) + 1) for i in range(max(0, j - 5), j)]
+    rows = S.with_redundancy(spark.createDataFrame(texts, "doc_id long, i int, j int, title string, bullets array<string>")).withColumn("body", F.array_join("bullets", " "))
+    rows = rows.withColumn("concepts", F.array_distinct(content_words(F.col("body"))))
+    information = F.bround(F.aggregate(F.transform("concepts", idf_guess), F.lit(0.0), lambda a, x: a + x), 6)
+    load = S.load(F.size("concepts").cast("double"), F.col("body"), F.size("bullets"), F.lit(0), F.lit(0.0))
+    over = F.greatest(F.lit(0), F.size("bullets") - 4).cast("double")
+    cost = F.bround(load + S.EMPTY_COST * (1.0 - S.efficiency(information, F.col("redundancy"), F.lit(False))) + S.OVER_COST * over * over, 9)
+    assert got == {(r["doc_id"], r["i"], r["j"]): r["c"] for r in rows.select("doc_id", "i", "j", cost.alias("c")).collect()}
+
+
+def test_slides_of_one_page_have_no_costs(spark):
+    slides = spark.createDataFrame([(1, 1, "", ["One.", "Two."]), (1, 2, "", [f"Cell {k}." for k in range(6)])], "doc_id long, slide_no int, title string, bullets array<string>")
+    costs = T.group_costs(slides, 5, 4, 6).collect()
+    assert [r["i"] for r in costs if r["slide_no"] == 1] == [None] and len(costs) == 21
+    assert {(r["slide_no"], r["n_pages"]) for r in T.segments(slides).collect() if r["slide_no"] == 1} == {(1, 1)}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, i * 700, i % 3, "view" if i % 4 else "click", 1.0) for i in range(60)]
     events = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("t")).drop("t")
