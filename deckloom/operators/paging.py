@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckloom.functions.phrases import LABEL_STOP, blanks, ends
+from deckloom.functions.phrases import LABEL_STOP, blanks, ends, let
 
 # Sentences that lean on the one before, ones that announce what follows, names that say nothing.
 CONTINUES = (
@@ -45,17 +45,19 @@ def _words(items: Column) -> Column:
 def unrepeated_bullets(bullets: Column) -> Column:
     """Bullets that say something beside those kept before: not empty or equal, no fragment of up to six words of another, and not another with up to
     fourteen characters more."""
-    kind = "array<struct<raw:string,norm:string>>"
-    inside = lambda s, t: (F.length(s) >= 4) & F.contains(F.concat(F.lit(" "), t, F.lit(" ")), F.concat(F.lit(" "), s, F.lit(" ")))
+    kind = "array<struct<raw:string,norm:string,n:int,few:boolean>>"
+    wide = lambda t: F.concat(F.lit(" "), t, F.lit(" "))
+    inside = lambda s, t: F.contains(wide(t), wide(s))
 
     def step(kept: Column, x: Column) -> Column:
-        a = x["norm"]
-        shorter = lambda b: (F.length(a) <= F.length(b)) & (F.size(blanks(a)) <= 6) & inside(a, b)
-        longer = lambda b: (F.length(a) > F.length(b)) & (F.length(a) <= F.length(b) + 14) & inside(b, a)
-        said = F.exists(kept, lambda k: (k["norm"] == "") | (k["norm"] == a) | shorter(k["norm"]) | longer(k["norm"]))
-        return F.when((a == "") | said, kept).otherwise(F.concat(kept, F.array(x)))
-
-    pairs = F.transform(bullets, lambda b: F.struct(b.alias("raw"), plain(b).alias("norm"))).cast(kind)
+        # lengths and words are counted once a bullet, not for each pair
+        shorter = lambda k: (x["n"] >= 4) & x["few"] & (x["n"] <= k["n"]) & inside(x["norm"], k["norm"])
+        longer = lambda k: (k["n"] >= 4) & (x["n"] > k["n"]) & (x["n"] <= k["n"] + 14) & inside(k["norm"], x["norm"])
+        said = F.exists(kept, lambda k: (k["norm"] == "") | (k["norm"] == x["norm"]) | shorter(k) | longer(k))
+        return F.when((x["norm"] == "") | said, kept).otherwise(F.concat(kept, F.array(x)))
+
+    norms = F.transform(bullets, lambda b: F.struct(b.alias("raw"), plain(b).alias("norm")))
+    pairs = F.transform(norms, lambda p: F.struct(p["raw"].alias("raw"), p["norm"].alias("norm"), F.length(p["norm"]).alias("n"), (F.size(blanks(p["norm"])) <= 6).alias("few"))).cast(kind)
     return F.transform(F.aggregate(pairs, F.array().cast(kind), step), lambda k: k["raw"])
 
 
@@ -253,9 +255,10 @@ def paged(slides: DataFrame, extras: DataFrame | None = None, size: int = 16) ->
     """(deck, slide_no, part, title, bullets, continued): slides of over ``size`` bullets on pages as even as can be. Redundant bullets and ones that restate
     the title go first; ``extras`` (deck, slide_no, extra) are joined by place and come last."""
     rows = slides.select("deck", "slide_no", "title", unrepeated_bullets(F.col("bullets")).alias("bullets"))
-    t = plain(F.col("title"))
-    restates = lambda b: (plain(b) != "") & (t != "") & ((plain(b) == t) | ((F.length(plain(b)) >= 8) & F.contains(t, plain(b))))
-    rows = rows.withColumn("bullets", F.filter("bullets", lambda b: ~restates(b)))
+    # title and bullets are made plain once each: inside a lambda the optimiser would make them anew wherever they are named
+    same = lambda p, t: (p != "") & (t != "") & ((p == t) | ((F.length(p) >= 8) & F.contains(t, p)))
+    others = lambda t: F.filter("bullets", lambda b: ~let(plain(b), lambda p: same(p, t)))
+    rows = rows.withColumn("bullets", let(plain(F.col("title")), others))
     if extras is not None:
         rows = rows.join(extras, ["deck", "slide_no"], "left").withColumn("bullets", F.concat("bullets", F.when(F.col("extra").isNotNull(), F.array("extra")).otherwise(F.array().cast(STRINGS)))).drop("extra")
     spread = rows.select("deck", "slide_no", "title", F.size("bullets").cast("long").alias("n"), F.posexplode_outer("bullets").alias("i", "bullet"))

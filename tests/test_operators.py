@@ -117,6 +117,19 @@ def test_slides_of_one_page_have_no_costs(spark):
     assert {(r["slide_no"], r["n_pages"]) for r in T.segments(slides).collect() if r["slide_no"] == 1} == {(1, 1)}
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bullets_and_titles_are_made_plain_once(spark):
+    from deckloom.operators import paging as P
+
+    rows = [(1, 1, "Cells divide", ["Cells divide.", "cells", "Cells divide and grow", "divide and grow", "", "of cells", "Plants grow"])]
+    slides = spark.createDataFrame(rows, "deck long, slide_no long, title string, bullets array<string>")
+    assert P.paged(slides).first()["bullets"] == ["divide and grow", "of cells", "Plants grow"]
+    assert _plan(P.paged(slides)).count("[^a-z0-9 ]") <= 3
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, i * 700, i % 3, "view" if i % 4 else "click", 1.0) for i in range(60)]
     events = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("t")).drop("t")
