@@ -52,13 +52,13 @@ def naive_bayes(train: DataFrame, test: DataFrame) -> DataFrame:
     """``train`` (label, words), ``test`` (id, words): the class with the largest add-one log probability; the least label of equals."""
     docs = train.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("docs"))
     total = docs.agg(F.sum("docs").alias("total"))
-    counts = train.select("label", F.explode("words").alias("w")).groupBy("label", "w").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    counts = train.select("label", F.explode_outer("words").alias("w")).where("w IS NOT NULL").groupBy("label", "w").agg(F.count(F.lit(1)).cast("double").alias("c"))
     sizes = counts.groupBy("label").agg(F.sum("c").alias("size"))
     vocab = counts.agg(F.count_distinct("w").cast("double").alias("v"))
     # one row a class
     classes = docs.join(sizes, "label").join(F.broadcast(total)).join(F.broadcast(vocab)).select("label", F.log(F.col("docs") / F.col("total")).alias("prior"), (F.col("size") + F.col("v")).alias("room"))
     known = counts.select("w").distinct()
-    asked = test.select("id", F.explode("words").alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).cast("double").alias("k")).join(known, "w", "left_semi")
+    asked = test.select("id", F.explode_outer("words").alias("w")).where("w IS NOT NULL").groupBy("id", "w").agg(F.count(F.lit(1)).cast("double").alias("k")).join(known, "w", "left_semi")
     # a word's log probability under every class: what the counts lack is the same for all unseen words of a class
     seen = asked.join(counts, "w").join(classes.select("label", "room"), "label").groupBy("id", "label").agg(F.sum(F.bround(F.col("k") * (F.log(F.col("c") + 1.0)), 9)).alias("gain"))
     words_each = asked.groupBy("id").agg(F.sum("k").alias("k"))

@@ -130,6 +130,17 @@ def test_bullets_and_titles_are_made_plain_once(spark):
     assert _plan(P.paged(slides)).count("[^a-z0-9 ]") <= 3
 
 
+def test_words_are_not_made_to_test_sizes(spark):
+    from deckloom.functions.text import words
+    from deckloom.operators.sentences import salience
+
+    texts = spark.createDataFrame([(1, "a", "good cat"), (2, "b", "bad dog"), (3, "a", ""), (4, "b", None)], "id long, label string, text string").select("id", "label", words(F.col("text")).alias("words"))
+    found = T.naive_bayes(texts.select("label", "words"), texts.select("id", "words"))
+    assert "size(regexp_extract_all" not in _plan(found) and {r["id"]: r["label"] for r in found.collect()} == {1: "a", 2: "b"}
+    passages = spark.createDataFrame([(1, 1, 1, "Cells divide.")], "doc_id long, slide_no int, sent_no int, sent string")
+    assert "size(filter(regexp_extract_all" not in _plan(salience(passages))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, i * 700, i % 3, "view" if i % 4 else "click", 1.0) for i in range(60)]
     events = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("t")).drop("t")
