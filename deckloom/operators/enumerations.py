@@ -27,6 +27,9 @@ LED = (
     r"\b([\p{L}\p{N}_ /&'-]{2,50}?\s+(?:[Ii]nvolves?|[Ii]ncludes?|[Cc]onsists?\s+of|[Cc]omprises?|[Cc]ontains?|[Cc]overs?|are|namely|such\s+as|like)\s*[:—-]?)\s+"
     r"([A-Z][\p{L}\p{N}_()'’./&\- ]+(?:\s*(?:,|;| and | or )\s*[A-Za-z(][\p{L}\p{N}_()'’./&\- ]+){2,})"
 )
+#: What every text with a match of ``LED`` and every line with one of ``HEADER`` has; cheap to ask first.
+LED_CUE = r"\s(?:[Ii]nvolves?|[Ii]ncludes?|[Cc]onsists?\s+of|[Cc]omprises?|[Cc]ontains?|[Cc]overs?|are|namely|such\s+as|like)\s*[:—-]?\s+[A-Z]"
+HEADER_END = r"[:：]\s*$"
 ITEM_MARKS = r"^\s*(?:\(?\d{1,2}[.)]\s*|[a-hA-H][.)]\s*|[-*+•▪◦‣]\s*)+"
 JOINING, AND_SO_ON = r"(?i)^\s*(?:and|or)\s+", r"(?i)\s+(?:etc\.?|and\s+so\s+on)\s*$"
 AND_SO_ON_LINE = r"(?i)\s+(?:etc\.?|and\s+so\s+on\.?)\s*$"
@@ -90,9 +93,9 @@ def _short_lines(rows: DataFrame) -> DataFrame:
     s = F.regexp_replace(ends(F.col("line")), AND_SO_ON_LINE, "")
     n = F.size(blanks(s))
     short = (s != "") & n.between(1, 8) & ~s.rlike(r"[.!?]$") & ~F.startswith(s, F.lit("#")) & (F.length(s) <= 60)
-    rows = rows.withColumns({"s": s, "short": short})
-    island = F.row_number().over(Window.partitionBy("doc").orderBy("no")) - F.row_number().over(Window.partitionBy("doc", "short").orderBy("no"))
-    rows = rows.withColumn("island", island).where("short")
+    # lines are numbered without gaps, so only short ones need to meet
+    rows = rows.withColumns({"s": s, "short": short}).where("short").select("doc", "no", "s")
+    rows = rows.withColumn("island", F.col("no") - F.row_number().over(Window.partitionBy("doc").orderBy("no")))
     every = F.transform(F.array_sort(F.collect_list(F.struct("no", "s"))), lambda p: clean_item(p["s"]))
     found = rows.groupBy("doc", "island").agg(F.min("no").cast("long").alias("at"), F.count(F.lit(1)).alias("n"), distinct_items(every).alias("items")).where("n >= 3")
     kept = F.filter("items", lambda x: F.size(blanks(x)).between(1, 7) & _alpha(x))
@@ -114,7 +117,7 @@ def _headed(rows: DataFrame) -> DataFrame:
 def _claims(texts: DataFrame) -> DataFrame:
     """Sentences that claim a number of things, with the list that follows in the same sentence: the claim closes it at one item more than it counts."""
     marked = F.split(F.regexp_replace("text", CLAIM, "\u0001$0\u0003"), "\u0001")
-    rows = texts.select("doc", marked.alias("p")).select("doc", "p", F.posexplode("p").alias("at", "x")).where("at > 0")
+    rows = texts.select("doc", marked.alias("p")).select("doc", "p", F.posexplode_outer("p").alias("at", "x")).where("at > 0")
     match, gap = F.split_part("x", F.lit("\u0003"), F.lit(1)), F.split_part("x", F.lit("\u0003"), F.lit(2))
     later = F.replace(F.array_join(F.slice("p", F.col("at") + 2, F.size("p")), ""), F.lit("\u0003"), F.lit(""))
     tail = F.split_part(F.substring(F.concat(gap, later), 1, TAIL), F.lit("."), F.lit(1))
@@ -127,20 +130,31 @@ def _claims(texts: DataFrame) -> DataFrame:
 
 def _led_lists(texts: DataFrame) -> DataFrame:
     """Lists within a sentence after words like ``includes``."""
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(LED), F.lit(1)).alias("lead"), F.regexp_extract_all("text", F.lit(LED), F.lit(2)).alias("body"))
-    rows = texts.select("doc", F.posexplode(pairs).alias("at", "p"))
+    # what leads is found first: few texts have any, and only those are read for what follows
+    led = texts.where(F.col("text").rlike(LED_CUE)).select("doc", "text", F.regexp_extract_all("text", F.lit(LED), F.lit(1)).alias("lead"))
+    pairs = F.when(F.size("lead") > 0, F.arrays_zip("lead", F.regexp_extract_all("text", F.lit(LED), F.lit(2)).alias("body")))
+    rows = led.select("doc", F.posexplode_outer(pairs).alias("at", "p")).where("at IS NOT NULL")
     items = distinct_items(F.filter(F.transform(F.split("p.body", BETWEEN), clean_item), lambda x: _alpha(x) & F.size(blanks(x)).between(1, 6)))
     lead = F.regexp_replace("p.lead", "^[ :—-]+|[ :—-]+$", "")
     return rows.select("doc", F.lit(2).alias("source"), F.col("at").cast("long").alias("at"), F.lit("inline").alias("style"), kind_of(F.col("p.lead")).alias("kind"), lead.alias("lead"), F.lit(None).cast("int").alias("claimed"), items.alias("items"))
 
 
+def _with_line(texts: DataFrame, pattern: str, needed: str | None = None) -> DataFrame:
+    """(doc, no, line) of the texts that have a line of a pattern (asked only of lines with the ``needed`` one): windows over lines are kept to those."""
+    has = lambda x: F.regexp_replace(x, r"\s+$", "").rlike(pattern)
+    return _lines(texts.where(F.exists(F.split("text", "\n"), lambda x: has(x) if needed is None else x.rlike(needed) & has(x))))
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    return lines_of(texts).withColumn("line", F.regexp_replace("line", r"\s+$", ""))
+
+
 def enumerations(texts: DataFrame) -> DataFrame:
     """(doc, place, style, kind, lead, claimed, items, reliable) of every enumeration of the texts (doc, text): three items at least, as they are written, once each; of equal sets of items
     the first. ``reliable``: as many items as claimed, give or take one. Null and empty texts have none."""
     texts = texts.select("doc", F.coalesce("text", F.lit("")).alias("text"))
-    rows = lines_of(texts).withColumn("line", F.regexp_replace("line", r"\s+$", ""))
-    found = _marked_runs(rows)
-    for part in (_claims(texts), _led_lists(texts), _short_lines(rows), _headed(rows)):
+    found = _marked_runs(_with_line(texts, MARKED))
+    for part in (_claims(texts), _led_lists(texts), _short_lines(_lines(texts)), _headed(_with_line(texts, HEADER, HEADER_END))):
         found = found.unionByName(part)
     found = found.where(F.size("items") >= 3).withColumn("key", F.array_join(F.array_sort(F.array_distinct(F.transform("items", item_key))), "|"))
     first = F.row_number().over(Window.partitionBy("doc", "key").orderBy("source", "at"))

@@ -28,7 +28,8 @@ MERGED_CHARS, CHUNK_WORDS = 6000, 180
 
 def lines_of(texts: DataFrame, text: str = "text") -> DataFrame:
     """(doc, no, line): the lines of each text, from 0."""
-    return texts.select("doc", F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    # exploded as outer, so that no test of sizes splits the texts once more
+    return texts.select("doc", F.posexplode_outer(F.split(text, "\n")).alias("no", "line")).where("no IS NOT NULL")
 
 
 def joined(lines: DataFrame) -> DataFrame:

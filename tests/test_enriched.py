@@ -309,6 +309,18 @@ def test_deep_brackets_and_nulls(spark):
     assert rows[1] == (False, None, None) and rows[2][:2] == (True, "y = x²") and rows[3][0] is False
 
 
+def test_only_texts_with_a_line_of_the_pattern_meet(spark):
+    from deckloom.operators import enumerations as N
+
+    df = spark.createDataFrame([(1, "no list\nhere"), (2, "Types of cells:  \r\nred\nwhite\nplatelets"), (3, "1. one\n2. two\n3. three"), (4, "")], "doc long, text string")
+    assert {r["doc"] for r in N._with_line(df, N.HEADER, N.HEADER_END).collect()} == {2} and {r["doc"] for r in N._with_line(df, N.MARKED).collect()} == {3}
+    found = {(r["doc"], r["style"]): r["items"] for r in N.enumerations(df).collect()}
+    assert found[2, "header"] == ["red", "white", "platelets"] and found[3, "numbered"] == ["one", "two", "three"]
+    led = spark.createDataFrame([(1, "It includes Red, white and blue."), (2, "the colours are — Red, white and blue"), (3, "colours are red, white and blue")], "doc long, text string")
+    assert {r["doc"] for r in N._led_lists(led).collect()} == {r["doc"] for r in led.where(F.col("text").rlike(N.LED)).collect()} == {1, 2}
+    assert "size(split" not in N.enumerations(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_forms_are_read_once_and_written_alike():
     texts = ["x_1^2 + sqrt(7) = (alpha + 12)/3", "x_9^4 + sqrt(715) = (alpha + 1)/80", "x^2_13", "x^21_3", "Σ_(i=1)^20 x^3.5", "Σ_(i=4)^5 x^12.25", "y^2_٣", "1.2.3", "no numbers", "", "\U000f0000^2", "\U000f0000^3"]
     forms: dict = {}
