@@ -309,6 +309,15 @@ def test_deep_brackets_and_nulls(spark):
     assert rows[1] == (False, None, None) and rows[2][:2] == (True, "y = x²") and rows[3][0] is False
 
 
+def test_vocabulary_is_what_the_plain_pattern_finds(spark):
+    texts = ["It is a McDonald iPhone; A cat, Cat cat's aB Ab x1y É été", "", None, "cat X"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    every = [w.lower() for t in texts for w in re.findall(r"(?<![A-Za-z])[A-Za-z]?[a-z]+(?![A-Za-z])", t or "")]
+    assert sorted(r["word"] for r in shaping.vocabulary(df).collect()) == sorted(set(every))
+    assert sorted(r["word"] for r in shaping.vocabulary(df, least=2).collect()) == sorted({w for w in every if every.count(w) >= 2})
+    assert "size(regexp_extract_all" not in shaping.vocabulary(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_only_texts_with_a_line_of_the_pattern_meet(spark):
     from deckloom.operators import enumerations as N
 
