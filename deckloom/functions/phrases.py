@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.functions.text import upper_letter
+from deckloom.functions.text import as_sql, upper_letter
 
 # Words and patterns that labels and figures are cut by.
 LABEL_STOP = "the a an of and or to in on at for by with is are was were be been it its this that these those as from which who".split()
@@ -16,7 +16,8 @@ DANGLING = (
     "may might could would shall favours favors gives makes causes leads shows has have can will must should does do uses needs requires "
     "helps allows lets means creates produces provides gets get"
 ).split()
-SPACES = " \t\n\x0b\f\r"
+#: White space as SQL has it: without the vertical tab.
+SPACES = " \t\n\f\r"
 LEAD_CUE = (
     r"(?i)^(?:(?:step|stage|phase)\s*\d+\s*[:.\-)]?\s*|(?:first(?:ly)?|second(?:ly)?|third(?:ly)?|fourth(?:ly)?|fifth|sixth|seventh|eighth|ninth|tenth|"
     r"to begin with|to start with|next|then|finally|lastly|after that|afterwards|meanwhile|however|in addition|also|therefore|thus|hence|as a result|"
@@ -129,7 +130,7 @@ def let(value: Column, use) -> Column:
 
 def blanks(text: Column) -> Column:
     """Pieces between white space."""
-    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(as_sql(r"\S+")), F.lit(0))
 
 
 def squeezed(text: Column) -> Column:

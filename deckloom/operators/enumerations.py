@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckloom.functions.phrases import blanks, ends
-from deckloom.functions.text import upper_letter
+from deckloom.functions.text import as_sql, upper_letter
 from deckloom.operators.markdown import lines_of
 
 # Number words, the nouns that announce items, marks of items, and the patterns that hold them.
@@ -47,8 +47,8 @@ STYLES = ("run", "claim", "inline", "block", "header")
 
 def clean_item(text: Column) -> Column:
     """An item without marks, joining words and rims; only its label where an explanation follows one of up to six words."""
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ITEM_MARKS, ""), JOINING, ""), AND_SO_ON, ""), RIM, "")
-    label = ends(F.regexp_extract(s, LABEL, 1))
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, as_sql(ITEM_MARKS), ""), as_sql(JOINING), ""), as_sql(AND_SO_ON), ""), as_sql(RIM), "")
+    label = ends(F.regexp_extract(s, as_sql(LABEL), 1))
     return F.when((label != "") & (F.size(blanks(label)) <= 6), label).otherwise(s)
 
 
@@ -63,7 +63,7 @@ def distinct_items(items: Column) -> Column:
 
 
 def kind_of(lead: Column) -> Column:
-    return F.lower(F.regexp_extract(lead, f"(?i)({KINDS})", 1))
+    return F.lower(F.regexp_extract(lead, as_sql(f"(?i)({KINDS})"), 1))
 
 
 def _alpha(x: Column) -> Column:
@@ -75,24 +75,24 @@ def _marked_runs(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc").orderBy("no")
     stop = (F.trim("line") == "") | F.startswith("line", F.lit("#"))
     before = [F.nullif(ends(F.lag("line", k).over(order)), F.lit("")) for k in (1, 2, 3)]
-    rows = rows.withColumns({"stop": stop, "marked": F.col("line").rlike(MARKED), "lead": F.regexp_replace(F.coalesce(*before, F.lit("")), "[:.]+$", "")})
+    rows = rows.withColumns({"stop": stop, "marked": F.col("line").rlike(as_sql(MARKED)), "lead": F.regexp_replace(F.coalesce(*before, F.lit("")), as_sql("[:.]+$"), "")})
     rows = rows.withColumn("island", F.sum(F.col("stop").cast("int")).over(order)).where("NOT stop")
     inside = Window.partitionBy("doc", "island").orderBy("no")
     rows = rows.withColumn("item", F.sum(F.col("marked").cast("int")).over(inside)).where("item > 0")
-    text = F.when(F.col("marked"), clean_item(F.regexp_extract("line", MARKED, 3))).otherwise(ends(F.col("line")))
+    text = F.when(F.col("marked"), clean_item(F.regexp_extract("line", as_sql(MARKED), 3))).otherwise(ends(F.col("line")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("no", text.alias("t")))), lambda p: p["t"])
     items = rows.groupBy("doc", "island", "item").agg(F.min("no").alias("no"), F.min_by("lead", "no").alias("lead"), F.min_by("line", "no").alias("line"), ends(F.array_join(parts, " ")).alias("text"))
     every = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("item", "text"))), lambda p: p["text"]), lambda x: F.length(x) >= 2)
     found = items.groupBy("doc", "island").agg(F.min("no").cast("long").alias("at"), F.min_by("lead", "no").alias("lead"), F.min_by("line", "no").alias("line"), distinct_items(every).alias("items"))
-    style = F.when(F.col("line").rlike(r"^\s*\(?\d"), "numbered").otherwise("bulleted")
+    style = F.when(F.col("line").rlike(as_sql(r"^\s*\(?\d")), "numbered").otherwise("bulleted")
     return found.select("doc", F.lit(0).alias("source"), "at", style.alias("style"), kind_of(F.col("lead")).alias("kind"), "lead", F.lit(None).cast("int").alias("claimed"), "items")
 
 
 def _short_lines(rows: DataFrame) -> DataFrame:
     """Islands of at least three short lines that end like no sentence, of which 70 % begin with a capital."""
-    s = F.regexp_replace(ends(F.col("line")), AND_SO_ON_LINE, "")
+    s = F.regexp_replace(ends(F.col("line")), as_sql(AND_SO_ON_LINE), "")
     n = F.size(blanks(s))
-    short = (s != "") & n.between(1, 8) & ~s.rlike(r"[.!?]$") & ~F.startswith(s, F.lit("#")) & (F.length(s) <= 60)
+    short = (s != "") & n.between(1, 8) & ~s.rlike(as_sql(r"[.!?]$")) & ~F.startswith(s, F.lit("#")) & (F.length(s) <= 60)
     # lines are numbered without gaps, so only short ones need to meet
     rows = rows.withColumns({"s": s, "short": short}).where("short").select("doc", "no", "s")
     rows = rows.withColumn("island", F.col("no") - F.row_number().over(Window.partitionBy("doc").orderBy("no")))
@@ -106,47 +106,47 @@ def _short_lines(rows: DataFrame) -> DataFrame:
 def _headed(rows: DataFrame) -> DataFrame:
     """What follows a line like ``Types of x:`` within ``AHEAD`` lines, up to a blank line or heading once there is something."""
     ahead = Window.partitionBy("doc").orderBy("no").rowsBetween(1, AHEAD)
-    rows = rows.withColumn("next", F.collect_list("line").over(ahead)).where(F.col("line").rlike(HEADER))
+    rows = rows.withColumn("next", F.collect_list("line").over(ahead)).where(F.col("line").rlike(as_sql(HEADER)))
     flags = F.array_join(F.transform("next", lambda x: F.when((ends(x) == "") | F.startswith(ends(x), F.lit("#")), "0").otherwise("1")), "")
     skipped, taken = F.length(F.regexp_extract(flags, "^(0*)(1*)", 1)), F.length(F.regexp_extract(flags, "^(0*)(1*)", 2))
     block = distinct_items(F.transform(F.slice("next", skipped + 1, taken), lambda x: clean_item(ends(x))))
     items = F.filter(block, lambda x: (F.length(x) >= 2) & (F.size(blanks(x)) <= 12))
-    return rows.select("doc", F.lit(4).alias("source"), F.col("no").cast("long").alias("at"), F.lit("header").alias("style"), F.lower(F.regexp_extract("line", HEADER, 2)).alias("kind"), F.trim(F.regexp_extract("line", HEADER, 1)).alias("lead"), F.lit(None).cast("int").alias("claimed"), items.alias("items"))
+    return rows.select("doc", F.lit(4).alias("source"), F.col("no").cast("long").alias("at"), F.lit("header").alias("style"), F.lower(F.regexp_extract("line", as_sql(HEADER), 2)).alias("kind"), F.trim(F.regexp_extract("line", as_sql(HEADER), 1)).alias("lead"), F.lit(None).cast("int").alias("claimed"), items.alias("items"))
 
 
 def _claims(texts: DataFrame) -> DataFrame:
     """Sentences that claim a number of things, with the list that follows in the same sentence: the claim closes it at one item more than it counts."""
-    marked = F.split(F.regexp_replace("text", CLAIM, "\u0001$0\u0003"), "\u0001")
+    marked = F.split(F.regexp_replace("text", as_sql(CLAIM), "\u0001$0\u0003"), "\u0001")
     rows = texts.select("doc", marked.alias("p")).select("doc", "p", F.posexplode_outer("p").alias("at", "x")).where("at > 0")
     match, gap = F.split_part("x", F.lit("\u0003"), F.lit(1)), F.split_part("x", F.lit("\u0003"), F.lit(2))
     later = F.replace(F.array_join(F.slice("p", F.col("at") + 2, F.size("p")), ""), F.lit("\u0003"), F.lit(""))
     tail = F.split_part(F.substring(F.concat(gap, later), 1, TAIL), F.lit("."), F.lit(1))
-    items = distinct_items(F.filter(F.transform(F.split(tail, BETWEEN), clean_item), lambda x: F.size(blanks(x)).between(1, 8) & _alpha(x)))
-    count = F.lower(F.regexp_extract(match, CLAIM, 2))
+    items = distinct_items(F.filter(F.transform(F.split(tail, as_sql(BETWEEN)), clean_item), lambda x: F.size(blanks(x)).between(1, 8) & _alpha(x)))
+    count = F.lower(F.regexp_extract(match, as_sql(CLAIM), 2))
     n = F.coalesce(count.try_cast("int"), F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), count).cast("int") + 1)
-    rows = rows.select("doc", F.lit(1).alias("source"), F.col("at").cast("long").alias("at"), F.lit("inline").alias("style"), F.lower(F.regexp_extract(match, CLAIM, 3)).alias("kind"), ends(F.regexp_extract(match, CLAIM, 1)).alias("lead"), n.alias("claimed"), items.alias("items"))
+    rows = rows.select("doc", F.lit(1).alias("source"), F.col("at").cast("long").alias("at"), F.lit("inline").alias("style"), F.lower(F.regexp_extract(match, as_sql(CLAIM), 3)).alias("kind"), ends(F.regexp_extract(match, as_sql(CLAIM), 1)).alias("lead"), n.alias("claimed"), items.alias("items"))
     return rows.where((F.col("claimed") > 0) & (F.size("items") >= F.greatest(F.lit(3), F.col("claimed") - 1))).withColumn("items", F.slice("items", F.lit(1), F.col("claimed") + 1))
 
 
 def _led_lists(texts: DataFrame) -> DataFrame:
     """Lists within a sentence after words like ``includes``."""
     # what leads is found first: few texts have any, and only those are read for what follows
-    led = texts.where(F.col("text").rlike(LED_CUE)).select("doc", "text", F.regexp_extract_all("text", F.lit(LED), F.lit(1)).alias("lead"))
-    pairs = F.when(F.size("lead") > 0, F.arrays_zip("lead", F.regexp_extract_all("text", F.lit(LED), F.lit(2)).alias("body")))
+    led = texts.where(F.col("text").rlike(as_sql(LED_CUE))).select("doc", "text", F.regexp_extract_all("text", F.lit(as_sql(LED)), F.lit(1)).alias("lead"))
+    pairs = F.when(F.size("lead") > 0, F.arrays_zip("lead", F.regexp_extract_all("text", F.lit(as_sql(LED)), F.lit(2)).alias("body")))
     rows = led.select("doc", F.posexplode_outer(pairs).alias("at", "p")).where("at IS NOT NULL")
-    items = distinct_items(F.filter(F.transform(F.split("p.body", BETWEEN), clean_item), lambda x: _alpha(x) & F.size(blanks(x)).between(1, 6)))
-    lead = F.regexp_replace("p.lead", "^[ :—-]+|[ :—-]+$", "")
+    items = distinct_items(F.filter(F.transform(F.split("p.body", as_sql(BETWEEN)), clean_item), lambda x: _alpha(x) & F.size(blanks(x)).between(1, 6)))
+    lead = F.regexp_replace("p.lead", as_sql("^[ :—-]+|[ :—-]+$"), "")
     return rows.select("doc", F.lit(2).alias("source"), F.col("at").cast("long").alias("at"), F.lit("inline").alias("style"), kind_of(F.col("p.lead")).alias("kind"), lead.alias("lead"), F.lit(None).cast("int").alias("claimed"), items.alias("items"))
 
 
 def _with_line(texts: DataFrame, pattern: str, needed: str | None = None) -> DataFrame:
     """(doc, no, line) of the texts that have a line of a pattern (asked only of lines with the ``needed`` one): windows over lines are kept to those."""
-    has = lambda x: F.regexp_replace(x, r"\s+$", "").rlike(pattern)
-    return _lines(texts.where(F.exists(F.split("text", "\n"), lambda x: has(x) if needed is None else x.rlike(needed) & has(x))))
+    has = lambda x: F.regexp_replace(x, as_sql(r"\s+$"), "").rlike(as_sql(pattern))
+    return _lines(texts.where(F.exists(F.split("text", "\n"), lambda x: has(x) if needed is None else x.rlike(as_sql(needed)) & has(x))))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    return lines_of(texts).withColumn("line", F.regexp_replace("line", r"\s+$", ""))
+    return lines_of(texts).withColumn("line", F.regexp_replace("line", as_sql(r"\s+$"), ""))
 
 
 def enumerations(texts: DataFrame) -> DataFrame:
@@ -166,12 +166,12 @@ def enumerations(texts: DataFrame) -> DataFrame:
 
 def _is_heading(line: Column, after: Column) -> Column:
     """Whether a line names an item and the next one explains it."""
-    s = F.regexp_replace(ends(F.regexp_replace(line, NUMBER_MARK, "")), ":+$", "")
+    s = F.regexp_replace(ends(F.regexp_replace(line, as_sql(NUMBER_MARK), "")), as_sql(":+$"), "")
     n, n_after = F.size(blanks(s)), F.coalesce(F.size(blanks(after)), F.lit(0))
     words = F.filter(blanks(s), _alpha)
-    numbered = line.rlike(NUMBER_MARK)
-    label = numbered | F.coalesce(F.get(words, F.lit(0)).rlike(r"^\p{Lu}"), F.lit(False)) | s.rlike(SPLIT_KINDS) | s.rlike(SUBJECTS)
-    names = n.between(1, 7) & (F.length(s) <= 60) & ~s.rlike(r"[.!?]$") & ~((n >= 4) & s.rlike(PREDICATE)) & (F.size(words) > 0) & label
+    numbered = line.rlike(as_sql(NUMBER_MARK))
+    label = numbered | F.coalesce(F.get(words, F.lit(0)).rlike(r"^\p{Lu}"), F.lit(False)) | s.rlike(as_sql(SPLIT_KINDS)) | s.rlike(as_sql(SUBJECTS))
+    names = n.between(1, 7) & (F.length(s) <= 60) & ~s.rlike(as_sql(r"[.!?]$")) & ~((n >= 4) & s.rlike(as_sql(PREDICATE))) & (F.size(words) > 0) & label
     return names & ((n_after >= 6) | (numbered & (n_after >= 4)))
 
 
@@ -182,14 +182,14 @@ def item_sections(texts: DataFrame) -> DataFrame:
     A heading counts once: one whose letters lie in an earlier one's, or hold them, goes on with it. Every line of such a text is in the overview or in one section.
     """
     texts = texts.select("doc", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
-    hinted = enumerations(texts.select("doc", "text")).where(F.when(F.col("kind") != "", F.col("kind")).otherwise(F.col("lead")).rlike(SPLIT_KINDS) & (F.col("kind") != ""))
+    hinted = enumerations(texts.select("doc", "text")).where(F.when(F.col("kind") != "", F.col("kind")).otherwise(F.col("lead")).rlike(as_sql(SPLIT_KINDS)) & (F.col("kind") != ""))
     hinted = hinted.groupBy("doc").agg(F.min_by("kind", "place").alias("hint"))
     lines = F.filter(F.transform(F.split("text", "\n"), ends), lambda x: x != "")
     rows = texts.withColumn("lines", lines).where(F.size("lines") >= 6).join(hinted, "doc", "left")
     kind = F.coalesce(F.nullif(kind_of(F.col("title")), F.lit("")), F.col("hint"), F.lit(""))
-    in_title = F.regexp_extract("title", SPLIT_KINDS, 0)
-    rows = rows.withColumn("kind", kind).where(F.col("kind").rlike(SPLIT_KINDS) | (in_title != "")).withColumn("kind", F.when(F.col("kind") != "", F.col("kind")).otherwise(in_title))
-    heads = F.transform("lines", lambda x, i: F.struct(i.alias("i"), _is_heading(x, F.get("lines", i + 1)).alias("head"), F.regexp_replace(ends(F.regexp_replace(x, NUMBER_MARK, "")), "[:.]+$", "").alias("label")))
+    in_title = F.regexp_extract("title", as_sql(SPLIT_KINDS), 0)
+    rows = rows.withColumn("kind", kind).where(F.col("kind").rlike(as_sql(SPLIT_KINDS)) | (in_title != "")).withColumn("kind", F.when(F.col("kind") != "", F.col("kind")).otherwise(in_title))
+    heads = F.transform("lines", lambda x, i: F.struct(i.alias("i"), _is_heading(x, F.get("lines", i + 1)).alias("head"), F.regexp_replace(ends(F.regexp_replace(x, as_sql(NUMBER_MARK), "")), as_sql("[:.]+$"), "").alias("label")))
     own = item_key(F.col("title"))
     named = F.filter(heads, lambda h: h["head"] & (item_key(h["label"]) != "") & (item_key(h["label"]) != own))
     rows = rows.withColumn("named", named)
@@ -220,8 +220,8 @@ def item_sections(texts: DataFrame) -> DataFrame:
 
 def steps(texts: DataFrame, most: int = STEPS) -> DataFrame:
     """(doc, pos, item) of lines that begin as steps (``Step 1``, ``2)``, ``iv.``, ``third``): first without their marks, then as they are written where they are no headings; each once, case aside, the first ``most``."""
-    rows = lines_of(texts.select("doc", F.coalesce("text", F.lit("")).alias("text"))).withColumn("s", ends(F.col("line"))).where(F.col("s").rlike(STEP))
-    bare = rows.where(F.length("s") > 4).select("doc", F.lit(0).alias("source"), "no", ends(F.regexp_replace("s", STEP, "")).alias("item")).where("item <> ''")
+    rows = lines_of(texts.select("doc", F.coalesce("text", F.lit("")).alias("text"))).withColumn("s", ends(F.col("line"))).where(F.col("s").rlike(as_sql(STEP)))
+    bare = rows.where(F.length("s") > 4).select("doc", F.lit(0).alias("source"), "no", ends(F.regexp_replace("s", as_sql(STEP), "")).alias("item")).where("item <> ''")
     whole = rows.where(~F.startswith("s", F.lit("#"))).select("doc", F.lit(1).alias("source"), "no", F.col("s").alias("item"))
     found = bare.unionByName(whole)
     once = F.row_number().over(Window.partitionBy("doc", F.lower("item")).orderBy("source", "no"))

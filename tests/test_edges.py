@@ -134,3 +134,21 @@ def test_listed_blocks_reads_its_rows_once(spark):
     got = [(r["list_no"], r["items"]) for r in listed_blocks(blocks).orderBy("list_no").collect()]
     assert got == [(1, ["a", "b"]), (2, ["c", "d"]), (3, ["H", " ", "K"]), (4, ["1", "2"]), (5, ["x"]), (6, ["3"]), (7, ["only"])]
     assert seen.value == len(rows)
+
+
+def test_enumerations_of_odd_lines_equal_their_sql(spark):
+    """A lead that ends with a line feed, other ends of lines, vertical tabs, letters beyond ASCII beside a cue or mark."""
+    import duckdb
+
+    from deckloom.operators import enumerations as N
+    from deckloom.plans.enumerated import ENUMERATIONS_SQL
+
+    texts = ["Heed are \nRed Ones, white and blue or green", "The parts are:\u2028Wheels, doors and seats", "1. one\x0b\n2. two\rhalf\n3. three.\u2028\n4. four\x85", "Types of cells:\u2028\nred\nwhite\nplates", "Red etc.\u2028\nWhite\x0b\nBlue!\x85\nGreen\nOne"]
+    texts += ["éThe parts include Wheels, doors and seats", "It haſ three types: one, two and three", "There are two ſtepsé: one, two and three", "the three \u212aindſ are a, b, c", "- one \u2028and more\n- two\x0b\x0b\n- \x0bthree", "The kinds of it :\x0b\nOne\x0bTwo\nThree\n\x0b\nFour and so on.\u2029"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute(f"WITH {ENUMERATIONS_SQL} SELECT doc, place, style, kind, lead, claimed, items FROM enums WHERE doc < -1 ORDER BY doc, place").fetchall()
+    rows = N.enumerations(spark.createDataFrame([(-2 - i * 2, t) for i, t in enumerate(texts)], "doc long, text string"))
+    got = [tuple(r) for r in rows.select("doc", "place", "style", "kind", "lead", "claimed", "items").orderBy("doc", "place").collect()]
+    assert got == want and len(got) >= 8
