@@ -152,3 +152,25 @@ def test_enumerations_of_odd_lines_equal_their_sql(spark):
     rows = N.enumerations(spark.createDataFrame([(-2 - i * 2, t) for i, t in enumerate(texts)], "doc long, text string"))
     got = [tuple(r) for r in rows.select("doc", "place", "style", "kind", "lead", "claimed", "items").orderBy("doc", "place").collect()]
     assert got == want and len(got) >= 8
+
+
+def test_long_bullets_are_split_to_their_end(spark):
+    """Every part meets the limits, also after the ninth; the parts are those of a plain loop."""
+    from deckloom.operators.shaping import split_bullet
+
+    def plain(text: str, words: int, chars: int) -> list[str]:
+        fits = lambda s: len(s.split()) <= words and len(s) <= chars
+        out, rest = [], text
+        while rest and not fits(rest):
+            head = " ".join(rest.split()[:words])
+            if len(head) > chars:
+                head = head[:chars].rsplit(" ", 1)[0] or head[:chars]
+            out.append(head)
+            rest = rest[len(head) :].strip(" ,;:—–")
+        return out + [rest] * (rest != "")
+
+    texts = ["word " * 300 + "end", "x" * 1000, "x" * 95 + " y " + "z" * 200, ("a " * 11 + "y" * 100 + " ") * 20 + "b", "é" * 89 + " " + "w" * 90 + " " + "v" * 91, "a" * 88 + " b c" + " de" * 200, "one two three " * 4000 + "four"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", split_bullet(F.col("t"), 12, 90).alias("p")).collect()
+    for r in rows:
+        parts = [p.removeprefix("↳ ") for p in r["p"]]
+        assert all(len(p.split()) <= 12 and len(p) <= 90 for p in parts) and parts == plain(texts[r["i"]], 12, 90)
