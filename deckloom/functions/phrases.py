@@ -114,8 +114,8 @@ def has_any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def cap(text: Column) -> Column:
-    t = ends(text)
-    return F.concat(upper_letter(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))
+    # worked out once: its letter and its rest would each make the whole text anew
+    return let(ends(text), lambda t: F.concat(upper_letter(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t))))
 
 
 def parts(text: Column, pattern: str) -> Column:
@@ -222,9 +222,14 @@ def whole_sentences(text: Column) -> Column:
     return F.filter(sents, lambda p: p != "")
 
 
-def short_label(text: Column, most: int = 6, drop_aux: bool = False) -> Column:
-    """A heading for a sentence: lead words removed, cut at a clause's end and ``most`` words, no word left hanging."""
-    words = blanks(before(F.regexp_replace(strip_end(text), LEAD_CUE, ""), CLAUSE))
+def label_words(text: Column) -> Column:
+    """The words of which a sentence's label is made: without lead words, up to a clause's end."""
+    return blanks(before(F.regexp_replace(strip_end(text), LEAD_CUE, ""), CLAUSE))
+
+
+def short_label(text: Column, most: int = 6, drop_aux: bool = False, words: Column | None = None) -> Column:
+    """A heading for a sentence: lead words removed, cut at a clause's end and ``most`` words, no word left hanging. ``words``: its ``label_words``, if they are at hand."""
+    words = label_words(text) if words is None else words
     if drop_aux:
         plain = lambda ws: F.filter(ws, lambda w, i: ~(F.lower(w).isin("is", "are", "was", "were", "gets", "get") & F.coalesce(F.get(ws, i + 1).rlike(PARTICIPLE), F.lit(False))))
         words = let(words, plain)
@@ -234,15 +239,23 @@ def short_label(text: Column, most: int = 6, drop_aux: bool = False) -> Column:
     return let(cap(F.array_join(kept, " ")), lambda label: F.when(label != "", label).otherwise(cap(F.substring(strip_end(text), 1, 40))))
 
 
-def heading(text: Column) -> Column:
-    """Two or three words that head a sentence."""
+def heading(text: Column, words: Column | None = None) -> Column:
+    """Two or three words that head a sentence; its label if there are none (``words``: as in ``short_label``)."""
     t = F.regexp_replace(F.regexp_replace(strip_end(text), LEAD_CUE, ""), PRONOUN, "")
-    words = F.slice(without_head(blanks(t), lambda w: F.lower(w).isin(LABEL_STOP)), 1, 3)
-    opened = lambda ws: F.array_position(F.transform(ws, lambda w: F.regexp_count(w, F.lit(r"\(")) > F.regexp_count(w, F.lit(r"\)"))), F.lit(True)).cast("int")
-    closed = let(words, lambda ws: let(opened(ws), lambda at: F.when(at > 0, F.slice(ws, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(ws)))
+    own = F.slice(without_head(blanks(t), lambda w: F.lower(w).isin(LABEL_STOP)), 1, 3)
+    more_open = lambda w: F.length(F.replace(w, F.lit(")"), F.lit(""))) > F.length(F.replace(w, F.lit("("), F.lit("")))
+    opened = lambda ws: F.array_position(F.transform(ws, more_open), F.lit(True)).cast("int")
+    closed = let(own, lambda ws: let(opened(ws), lambda at: F.when(at > 0, F.slice(ws, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(ws)))
     hanging = list(dict.fromkeys([*LABEL_STOP, *DANGLING, "not", "also", "only", "very"]))
     kept = first_run(closed, lambda w, i: ~(F.lower(w).isin(hanging) | (F.lower(w).endswith("ly") & (i > 0))))
-    return let(cap(F.array_join(kept, " ")), lambda found: F.when(found != "", found).otherwise(short_label(text, 3)))
+    return let(cap(F.array_join(kept, " ")), lambda found: F.when(found != "", found).otherwise(short_label(text, 3, words=words)))
+
+
+def sentence_labels(sents: DataFrame) -> DataFrame:
+    """(id, pos, label, step, head) of sentences (id, pos, sent); a sentence is cut into words once for all three."""
+    rows = sents.withColumn("_words", label_words(F.col("sent")))
+    text, words = F.col("sent"), F.col("_words")
+    return rows.select("id", "pos", short_label(text, words=words).alias("label"), short_label(text, 5, True, words).alias("step"), heading(text, words).alias("head"))
 
 
 def figures(text: Column) -> Column:

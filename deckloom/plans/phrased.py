@@ -214,10 +214,7 @@ s AS (SELECT id, list_filter(list_transform(string_split(x, chr(2)), lambda e: r
 SELECT id::BIGINT AS id, (generate_subscripts(s, 1) - 1)::INT AS pos, unnest(s) AS sent FROM s""",
 )
 
-QUERIES["sentence_labels"] = lambda spark, sf_dir: (
-    P.sentence_rows(with_documents(spark, sf_dir), "id")
-    .select("id", "pos", P.short_label(F.col("sent")).alias("label"), P.short_label(F.col("sent"), 5, True).alias("step"), P.heading(F.col("sent")).alias("head"))
-)
+QUERIES["sentence_labels"] = lambda spark, sf_dir: P.sentence_labels(P.sentence_rows(with_documents(spark, sf_dir), "id"))
 ORACLE["sentence_labels"] = f"WITH texts AS {WITH_DOCUMENTS_SQL}, {VISUAL_SENTENCES_SQL} SELECT id, pos, {label('sent', 6)} AS label, {label('sent', 5, True)} AS step, {heading('sent')} AS head FROM sents"
 
 QUERIES["figures"] = lambda spark, sf_dir: (

@@ -174,3 +174,14 @@ def test_long_bullets_are_split_to_their_end(spark):
     for r in rows:
         parts = [p.removeprefix("↳ ") for p in r["p"]]
         assert all(len(p.split()) <= 12 and len(p) <= 90 for p in parts) and parts == plain(texts[r["i"]], 12, 90)
+
+
+def test_labels_cut_a_sentence_once(spark):
+    """Label, step and heading share a sentence's words, and capitals don't make a label anew for its letter and its rest."""
+    from deckloom.functions.phrases import sentence_labels, short_label
+
+    sents = spark.createDataFrame([(1, 1, "first, the rate of growth is shown (in part) which falls"), (2, 1, "it is (open words"), (3, 1, "")], "id long, pos int, sent string")
+    found = sentence_labels(sents)
+    assert [tuple(r) for r in found.orderBy("id").collect()] == [(1, 1, "The rate of growth is shown", "Rate of growth shown (in", "Rate of growth"), (2, 1, "It is (open words", "It is (open words", "It is (open"), (3, 1, "", "", "")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("whereas") == 1
+    assert sents.select(short_label(F.col("sent")).alias("l"))._jdf.queryExecution().optimizedPlan().toString().count("whereas") == 1
