@@ -185,3 +185,21 @@ def test_labels_cut_a_sentence_once(spark):
     assert [tuple(r) for r in found.orderBy("id").collect()] == [(1, 1, "The rate of growth is shown", "Rate of growth shown (in", "Rate of growth"), (2, 1, "It is (open words", "It is (open words", "It is (open"), (3, 1, "", "", "")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("whereas") == 1
     assert sents.select(short_label(F.col("sent")).alias("l"))._jdf.queryExecution().optimizedPlan().toString().count("whereas") == 1
+
+
+def test_reasons_are_those_of_the_plain_patterns(spark):
+    """Asking for a word first loses no match, in whatever case; a sentence's words are made once, as an item that is spread, and sorted without a comparing function."""
+    from deckloom.operators.sentences import REASONING, REASONING_WORDS, VERBATIM, treatments, verbatim_reason
+
+    texts = ["He Said: “yes", '"a quote of some length"', "It IS  Defined\tas x", "is the RATE of", "Is the degree of", "refers to", "MEANS  that", "is a term\nused", "Denoted by", "is KNOWN as", "Law of", "theorem:", "a rule states", "It states that", "If  and only if", "FOR\tall"]
+    texts += ["There EXISTS", "we shall", "must not", "Must Not", "is prohibited", "pursuant to", "in accordance with", "Section 3", "Clause\t4", "a => b", "x::y", "def f", "return x", "import y", "`code`", "SELECT a FROM b", "(so", "x = 3", "α ≤ β", "3 + 4", "12/5", "2 ^ 3", "proportional to", "equals two"]
+    texts += ["it equals the number", "a plain one", "", "4 - 3", "π", "Principle of", "lemma of"] + [w.upper() + "3 on" for w in REASONING_WORDS] + list(REASONING_WORDS)
+    df = spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(texts)], "doc_id long, slide_no int, sent_no int, sent string")
+    plain = F.coalesce(*[F.when(F.col("sent").rlike(p), n) for n, p in VERBATIM])
+    rows = df.select("sent", verbatim_reason(F.col("sent")).alias("got"), plain.alias("want"))
+    assert rows.where("NOT got <=> want").collect() == [] and rows.where("got IS NULL").count() < len(texts)
+    made = treatments(df)
+    told = made.join(df, "sent_no").where("treatment IN ('KEEP_REASONING', 'TIGHTEN')").select("treatment", F.col("sent").rlike(REASONING).alias("r")).collect()
+    assert all((x["treatment"] == "KEEP_REASONING") == x["r"] for x in told) and sum(x["r"] for x in told) > 25
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(" not in plan and "Generate explode(array(" in plan
